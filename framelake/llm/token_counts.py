@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
@@ -26,7 +28,9 @@ from framelake.llm.common import materialise, scratch_dir, whole
 
 CACHE = "text_digest binary, tokenizer_digest string, n_tokens long"
 #: Distinct pre-tokens whose counts a task remembers before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
+#: Texts that are Python strings at a time.
+SLICE = 256
 
 
 def tokenizer_digest(path: str) -> str:
@@ -34,6 +38,7 @@ def tokenizer_digest(path: str) -> str:
     return hashlib.sha256(Path(path).read_bytes()).hexdigest()
 
 
+@lru_cache(maxsize=2)  # a worker keeps its tokenizer over its tasks
 def counter(path: str) -> Callable[[list[str]], list[int]]:
     """Counts of whole texts as the library for this kind of file gives them."""
     if path.endswith(".model"):
@@ -43,11 +48,12 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
         return lambda texts: [len(x) for x in pieces.encode(texts, num_threads=1)]
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task a core already
     spec = json.loads(Path(path).read_text())
-    tok = Tokenizer.from_str(json.dumps(spec | {"truncation": None, "padding": None}))
     pre, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
     plain = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
     if not plain or any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added):
+        tok = Tokenizer.from_str(json.dumps(spec | {"truncation": None, "padding": None}))
         return lambda texts: [len(x.ids) for x in tok.encode_batch_fast(texts, add_special_tokens=False)]
     return _by_pretoken(spec, [t["content"] for t in added])
 
@@ -108,10 +114,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_path: str | None = None)
             misses = misses.join(cache, "text_digest", "left_anti")
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            count = None
             for batch in batches:
-                count = count or counter(tokenizer)
-                n = count(batch.column("text").to_pylist())
+                texts = batch.column("text")
+                n = [x for i in range(0, len(texts), SLICE) for x in counter(tokenizer)(texts.slice(i, SLICE).to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column("text_digest"), pa.array([version] * len(n)), pa.array(n, pa.int64())], ["text_digest", "tokenizer_digest", "n_tokens"])
 
         misses.select("text_digest", "text").mapInArrow(encode, CACHE).write.mode("append").parquet(cache_path)
