@@ -8,7 +8,8 @@ of a task are bounded; a pair of a shard and a block is a task's unit.
 
 Defined results: vectors that are null, empty, of another length than most, or hold null or non-finite components take
 no part; ties go to the smaller id; repeated rows of an id and vector are one query and as many candidates; a query's own
-id is never among its results; an empty table gives an empty result; extra columns are ignored.
+id is never among its results; inner products must fit a long; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -87,9 +88,9 @@ def _search(k: int):
     def search(_: tuple, queries: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(shard):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        vectors, wanted = (np.stack(x["v"].to_numpy()).astype("float64") for x in (shard, queries))
+        vectors, wanted = (np.stack(x.to_numpy()).astype("float64") for x in (shard["v"], queries["q"]))
         if np.abs(vectors).max(initial=1) * np.abs(wanted).max(initial=1) * vectors.shape[1] >= 2**53:
-            vectors, wanted = (np.stack(x["v"].to_numpy()).astype("int64") for x in (shard, queries))
+            vectors, wanted = (np.stack(x.to_numpy()).astype("int64") for x in (shard["v"], queries["q"]))
         tree, out = Tree(shard["vec_id"].to_numpy(), vectors), []
         bounds = tree.bounds(wanted)
         known = zip(queries["kth_score"], queries["kth_id"])
@@ -117,12 +118,12 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, shard: int = SHARD) -
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
     asked = dealt.where(queries)
     blocks = max(1, -(-asked.count() // QUERIES))
-    asked = asked.select(F.col("vec_id").alias("query_id"), "v", "shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block")).distinct()
+    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block")).distinct()
     cells = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     none = F.lit(None).cast("long")
 
     def run(q: DataFrame) -> DataFrame:
-        return q.select("query_id", "v", "kth_score", "kth_id", "shard", "block").groupBy("shard", "block").cogroup(cells.groupBy("shard", "block")).applyInPandas(_search(k), _FOUND)
+        return q.select("query_id", "q", "kth_score", "kth_id", "shard", "block").groupBy("shard", "block").cogroup(cells.groupBy("shard", "block")).applyInPandas(_search(k), _FOUND)
 
     best = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     home = materialise(run(asked.withColumn("kth_score", none).withColumn("kth_id", none)), "home")
