@@ -31,6 +31,18 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, buckets: int, key: str) -> DataFrame:
+    """df written into the shared scratch folder in buckets of key: joins and groups by key don't move its rows again.
+
+    The catalogue's entry is only needed until Spark has read it and is dropped at once; the files stay.
+    """
+    spark, name = df.sparkSession, f"framelake_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("compression", "zstd").option("path", f"{scratch_dir(spark)}/{name}").bucketBy(buckets, key).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows are within the bound; else df, to be joined by a shuffle."""
     return F.broadcast(df) if rows <= most else df
@@ -46,19 +58,18 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % F.lit(3)
 
 
+def marks_of(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label), an id once: of repeated rows the smallest label counts; null ids and labels take no part."""
+    rows = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null")
+    return rows.groupBy("doc_id").agg(F.min("label").alias("label"))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, *, learn_fold: bool) -> DataFrame:
     """(doc_id, text, lang, label) of docs that carry a label.
 
-    Repeated label rows of one id count once, the smallest label winning; null ids and labels take no part. With
-    learn_fold, only ids whose fold isn't 1. The label side is broadcast only if its counted rows allow it.
+    With learn_fold, only ids whose fold isn't 1. The label side is broadcast only if its counted rows allow it.
     """
-    marks = (
-        labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("label"))
-        .where("doc_id is not null and label is not null")
-        .groupBy("doc_id")
-        .agg(F.min("label").alias("label"))
-    )
     side = docs.select("doc_id", whole().alias("text"), F.col("lang").cast("string").alias("lang"))
     if learn_fold:
         side = side.where(fold() != 1)
-    return side.join(small(marks, labels.count()), "doc_id").select("doc_id", "text", "lang", "label")
+    return side.join(small(marks_of(labels, label), labels.count()), "doc_id").select("doc_id", "text", "lang", "label")

@@ -30,7 +30,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import labelled, materialise, small, whole
+from framelake.llm.common import labelled, marks_of, materialise, small, whole
 
 #: Rows of the probability tables that may go to every task (24 MB).
 MODEL_ROWS = 1_500_000
@@ -238,7 +238,7 @@ def score(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin
         return rows.select("doc_id", "lang", none.alias("perplexity"), none.alias("judged"), F.lit(math.inf).alias("limit"), (whole() != "").alias("keep"))
     scored = with_perplexity(rows, model, "perplexity").withColumn("judged", judged(model, F.col("perplexity"), F.length(whole())))
     scored = materialise(scored.drop("text"), "scored")
-    marks = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    marks = marks_of(labels, "quality").where("label = 1")
     limits = thresholds(scored.join(small(marks, labels.count()), "doc_id", "left_semi"), quantile, margin)
     scored = scored.withColumn("limit", limit_of(limits, F.col("lang")))
     return scored.withColumn("keep", F.coalesce(F.col("judged") <= F.col("limit"), F.lit(False)))
