@@ -33,7 +33,7 @@ def chebyshev(cells: DataFrame, seeds: Column, most: int) -> DataFrame:
 def ramp(d: Column, radius: int) -> Column:
     """1 on the mask and next to it, falling by 1/radius a step, 0 beyond radius."""
     value = (F.lit(radius) - F.greatest(d, F.lit(1)) + 1) / F.lit(float(radius))
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)), F.lit(0.0))
+    return F.when(d.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
 
 
 def paste(canvas: DataFrame, warped: DataFrame, only_new: bool = False) -> DataFrame:

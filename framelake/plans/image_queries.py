@@ -220,7 +220,7 @@ def mask_partition(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_G + """, d AS (SELECT a.x, a.y, min(greatest(abs(a.x - b.x), abs(a.y - b.y))) AS d FROM grid a LEFT JOIN grid b ON b.v > 240 AND abs(a.x - b.x) <= 5 AND abs(a.y - b.y) <= 5 GROUP BY 1, 2)
-SELECT x, y, d, round(coalesce(greatest(0, least(1, (5 - greatest(d, 1) + 1) / 5)), 0), 6) AS ramp FROM d""")
+SELECT x, y, d, round(CASE WHEN d IS NULL THEN 0 ELSE greatest(0, least(1, (5 - greatest(d, 1) + 1) / 5)) END, 6) AS ramp FROM d""")
 def distance_ramp(spark: SparkSession, d: str) -> DataFrame:
     return raster.chebyshev(image_grid(spark, d), F.col("v") > 240, 5).select("x", "y", "d", r6(raster.ramp(F.col("d"), 5)).alias("ramp"))
 
