@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
 1. A task splits its whole texts into pre-tokens. The texts of about BLOCK_BYTES form a block: its distinct words, and
-   for each document the places of its words among these, in order. Both are written once as a table.
+   for each document the places of its words among these, in order. Both are written once, in buckets of the block.
 2. The blocks' words are dealt by their hash, so each distinct word of the corpus meets in one task and is encoded once.
-3. The ids go back to the blocks and are joined to the documents' word places, which gives each document's ids in order.
+3. The ids go back to the blocks and are joined to the documents' word places, which the buckets keep from being moved;
+   this gives each document's ids in order.
 4. Decoding joins the table of token bytes (at most its vocabulary's size) to the ids.
 
 A block stands for its positions as arrays, so that a row is neither written for each pre-token nor moved for it; a very
@@ -18,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import materialise, whole
+from framelake.llm.common import bucketed, whole
 
 BLOCK_BYTES = 32 << 20
 #: Documents whose word places are one row.
@@ -36,6 +38,7 @@ RUN = 256
 REMEMBERED = 1_000_000
 
 
+@lru_cache(maxsize=2)  # a worker keeps them over its tasks
 def read_ranks(path: str) -> dict[bytes, int]:
     """Token bytes and their ids from a rank file."""
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
@@ -118,9 +121,8 @@ def encode_words(lists: DataFrame, ranks_path: str) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        coder, known = None, {}
+        coder, known = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=read_ranks(ranks_path), special_tokens={}), {}
         for batch in batches:
-            coder = coder or tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=read_ranks(ranks_path), special_tokens={})
             ids, lengths = [], []
             for words in batch.column("words").to_pylist():
                 if len(known) > REMEMBERED:
@@ -187,7 +189,7 @@ def encode(docs: DataFrame, ranks_path: str, with_ids: bool = False) -> DataFram
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row; with_ids: (doc_id, n_tokens, ids) instead."""
     spark = docs.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions() // 2)
-    blocks = materialise(split_into_blocks(docs, buckets), "blocks")
+    blocks = bucketed(split_into_blocks(docs, buckets), buckets, "block")
     lists = blocks.where("words is not null").select("block", "bucket", "words").repartition(buckets, "bucket")
     runs = blocks.where("doc_ids is not null").select("block", "doc_ids", "n_words", "places")
     id_type = docs.schema["doc_id"].dataType.simpleString()
