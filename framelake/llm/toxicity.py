@@ -32,7 +32,7 @@ FEATURES, SAMPLE, CUT = 1024, 4000, 0.7
 LEAST, CANDIDATES = 3, 100_000
 #: Standard errors that a feature's share in toxic texts exceeds that in others by.
 CLEAR = 4.5
-RIDGE, COUNTERFACTUAL = 1e-3, 1.0
+RIDGE, COUNTERFACTUAL = 3e-6, 1.0
 #: Terms of which each may be swapped for the next of its group.
 IDENTITY = (
     ("women", "men"), ("woman", "man"), ("girls", "boys"), ("girl", "boy"), ("gay", "straight", "lesbian", "bisexual"), ("transgender", "cisgender"),
