@@ -66,3 +66,27 @@ def size_text(n: Column) -> Column:
     for unit, name in ((1 << 10, "KB"), (1 << 20, "MB"), (1 << 30, "GB")):
         out = F.when(n >= unit, F.format_string(f"%.2f {name}", n / F.lit(float(unit)))).otherwise(out)
     return out
+
+
+def keyword_class(label: Column, keywords: dict[str, int]) -> Column:
+    """The class of the first keyword that the lower-cased label contains, null if none."""
+    out = F.lit(None).cast("int")
+    for word, cls in reversed(keywords.items()):
+        out = F.when(F.lower(label).contains(word), cls).otherwise(out)
+    return out
+
+
+def image_of_mask(mask_path: Column, mark: str = "_watershed_mask") -> Column:
+    """The image's path beside a mask's."""
+    return F.replace(mask_path, F.lit(mark), F.lit(""))
+
+
+def truth_copy(video: Column, frame: Column, fold: Column) -> Column:
+    """Where a truth image of a fold is copied to."""
+    return F.format_string("GT_orig_%d/%s/frame_%06d_gt_idx.png", fold, video, frame)
+
+
+def padded(size: Column, multiple: int) -> tuple[Column, Column]:
+    """Pixels to add before and after a side so that multiple divides it."""
+    more = F.pmod(-size, F.lit(multiple))
+    return F.floor(more / 2).cast("int"), (more - F.floor(more / 2)).cast("int")

@@ -159,3 +159,46 @@ def splines(matches: DataFrame, key: str, places: Sequence[tuple[float, float]])
 
     kind = matches.schema[key].dataType.simpleString()
     return matches.groupBy(key).applyInPandas(run, f"{key} {kind}, x double, y double, u double, v double")
+
+
+def canvas_of(width: Column, height: Column, scale_x: int = 3, scale_y: int = 3) -> Column:
+    """struct(cw, ch, ox, oy): a canvas some times as large as the frame, and the offset that centres the frame in it."""
+    cw, ch = width * scale_x, height * scale_y
+    half = lambda a, b: F.floor((a - b) / 2).cast("bigint")
+    return F.struct(cw.cast("bigint").alias("cw"), ch.cast("bigint").alias("ch"), half(cw, width).alias("ox"), half(ch, height).alias("oy"))
+
+
+def crop_box(mode: Column, valid: Column, original: Column, canvas_w: Column, canvas_h: Column) -> Column:
+    """The crop of a mode: external the valid region, original the projected frame, entire the canvas; else internal = valid."""
+    whole = F.struct(F.lit(0).cast("bigint").alias("x1"), F.lit(0).cast("bigint").alias("y1"), canvas_w.cast("bigint").alias("x2"), canvas_h.cast("bigint").alias("y2"))
+    return F.when(mode == "entire", whole).when(mode == "original", original).otherwise(valid)
+
+
+def to_frame(x: Column, y: Column, box_x: Column, box_y: Column, inv: Sequence[Sequence[Column]], roi_x: Column, roi_y: Column) -> tuple[Column, Column]:
+    """A point of a crop in its frame: crop to canvas by the box's corner, canvas to frame by the inverse, plus the ROI."""
+    u, v = apply(inv, x + box_x, y + box_y)
+    return u + roi_x, v + roi_y
+
+
+def box_to_frame(x1: Column, y1: Column, x2: Column, y2: Column, inv: Sequence[Sequence[Column]]) -> Column:
+    """struct(x, y, w, h), cut to whole numbers, of a box's four corners under the inverse."""
+    at = [apply(inv, x, y) for x in (x1, x2) for y in (y1, y2)]
+    xs, ys = [p[0] for p in at], [p[1] for p in at]
+    cut = lambda c: F.signum(c).cast("bigint") * F.floor(F.abs(c)).cast("bigint")
+    return F.struct(cut(F.least(*xs)).alias("x"), cut(F.least(*ys)).alias("y"), cut(F.greatest(*xs) - F.least(*xs)).alias("w"), cut(F.greatest(*ys) - F.least(*ys)).alias("h"))
+
+
+def unit_transform(m: Sequence[Sequence[Column]], src_w: int, src_h: int, dst_w: int, dst_h: int) -> list[list[Column]]:
+    """A pixel transform between coordinates that run from -1 to 1 over each image."""
+    f = lambda x: F.lit(float(x))
+    to = [[f(2 / (dst_w - 1)), f(0), f(-1)], [f(0), f(2 / (dst_h - 1)), f(-1)], [f(0), f(0), f(1)]]
+    back = [[f((src_w - 1) / 2), f(0), f((src_w - 1) / 2)], [f(0), f((src_h - 1) / 2), f((src_h - 1) / 2)], [f(0), f(0), f(1)]]
+    return product(to, product(m, back))
+
+
+def camera_shift(flow: DataFrame, key: str, least_share: float = 0.3) -> DataFrame:
+    """(key, sx, sy): lower medians of the valid flow (dx, dy, valid); 0 where too few vectors are valid."""
+    med = lambda c: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c}) FILTER (WHERE valid)")
+    by = flow.groupBy(key).agg(F.avg(F.col("valid").cast("int")).alias("share"), med("dx").alias("sx"), med("dy").alias("sy"))
+    ok = F.col("share") >= least_share
+    return by.select(key, F.when(ok, F.col("sx")).otherwise(0.0).alias("sx"), F.when(ok, F.col("sy")).otherwise(0.0).alias("sy"))

@@ -98,3 +98,31 @@ def normalised_points(x: Column, y: Column, width: Column, height: Column) -> tu
 def stop_threshold(layer: Column, layers: int) -> Column:
     """Confidence that a layer asks for: 0.8 + 0.1 exp(-4 layer / layers), within 0 and 1."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.8 + 0.1 * F.exp(-4.0 * layer / F.lit(layers))))
+
+
+def patches(points: DataFrame, cells: DataFrame, size: int, width: int, height: int) -> DataFrame:
+    """(id, px, py, v): the size x size cells around each point (id, img, x, y), its corner clamped into the image."""
+    low = lambda c, most: F.greatest(F.lit(0), F.least(F.col(c) - size // 2, F.lit(most - size)))
+    offsets = F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))).alias("k")
+    at = points.select("id", "img", low("x", width).alias("x0"), low("y", height).alias("y0"), offsets)
+    at = at.select("id", "img", (F.col("k") % size).cast("int").alias("px"), F.floor(F.col("k") / size).cast("int").alias("py"), (F.col("x0") + F.col("k") % size).cast("int").alias("x"), (F.col("y0") + F.floor(F.col("k") / size)).cast("int").alias("y"))
+    return at.join(cells.select("img", "x", "y", "v"), ["img", "x", "y"], "left").select("id", "px", "py", F.coalesce("v", F.lit(0)).alias("v"))
+
+
+def one_per_cell(points: DataFrame, img: str = "img") -> DataFrame:
+    """Of the points (img, x, y, score, ori, ...) that round to one cell, that with the highest score, then least |ori|."""
+    cell = [F.rint("x").cast("int"), F.rint("y").cast("int")]
+    w = Window.partitionBy(img, *cell).orderBy(F.desc("score"), F.abs("ori"), "x", "y")
+    return points.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def matched_points(matches: DataFrame, prev: DataFrame, curr: DataFrame, pair: str) -> DataFrame:
+    """matches (pair, i, j) with both points' places: x, y of j in the current frame, u, v of i in the one before."""
+    a = prev.select(pair, F.col("id").alias("i"), F.col("x").alias("u"), F.col("y").alias("v"))
+    return matches.join(a, [pair, "i"]).join(curr.select(pair, F.col("id").alias("j"), "x", "y"), [pair, "j"])
+
+
+def stops(tokens: DataFrame, pair: str, layer: int, layers: int, share: float = 0.95) -> DataFrame:
+    """(pair, sure, stop): the share of tokens (confidence) over the layer's threshold, and whether that is enough."""
+    sure = F.avg(F.when(F.col("confidence") >= stop_threshold(F.lit(layer), layers), 1.0).otherwise(0.0))
+    return tokens.groupBy(pair).agg(sure.alias("sure")).withColumn("stop", F.col("sure") > share)

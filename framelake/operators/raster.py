@@ -152,3 +152,63 @@ def membrane(canvas: np.ndarray, patch: np.ndarray, mask: np.ndarray, rounds: in
         mean = (np.roll(diff, 1, 0) + np.roll(diff, -1, 0) + np.roll(diff, 1, 1) + np.roll(diff, -1, 1)) / 4
         diff = np.where(inner, mean, diff)
     return np.where(m, patch + diff, canvas)
+
+
+def boxes(cells: DataFrame) -> DataFrame:
+    """(img, component, x1, y1, x2, y2, n, cx, cy) of each connected set of cells."""
+    mid = lambda c: F.avg(F.col(c).cast("double"))
+    return components(cells).groupBy("img", "component").agg(F.min("x").alias("x1"), F.min("y").alias("y1"), (F.max("x") + 1).alias("x2"), (F.max("y") + 1).alias("y2"), F.count("*").alias("n"), mid("x").alias("cx"), mid("y").alias("cy"))
+
+
+def grown_box(valid: np.ndarray, box: tuple[int, int, int, int], passes: int = 10) -> tuple[int, int, int, int]:
+    """box (x1, y1, x2, y2) grown by whole rows and columns that are valid all along: left, right, up, down, in turn.
+
+    Each step sees the edges that those before it moved.
+    """
+    x1, y1, x2, y2 = box
+    h, w = valid.shape
+    for _ in range(passes):
+        old = (x1, y1, x2, y2)
+        while x1 > 0 and valid[y1:y2, x1 - 1].all():
+            x1 -= 1
+        while x2 < w and valid[y1:y2, x2].all():
+            x2 += 1
+        while y1 > 0 and valid[y1 - 1, x1:x2].all():
+            y1 -= 1
+        while y2 < h and valid[y2, x1:x2].all():
+            y2 += 1
+        if (x1, y1, x2, y2) == old:
+            break
+    return x1, y1, x2, y2
+
+
+def pyramid(image: np.ndarray, levels: int) -> list[np.ndarray]:
+    """Differences of ever coarser means, the coarsest last; collapse() restores the image."""
+    out = []
+    for _ in range(levels - 1):
+        h, w = image.shape
+        padded = np.pad(image, ((0, h % 2), (0, w % 2)), mode="edge")
+        small = padded.reshape(padded.shape[0] // 2, 2, padded.shape[1] // 2, 2).mean(axis=(1, 3))
+        out.append(image - np.repeat(np.repeat(small, 2, 0), 2, 1)[:h, :w])
+        image = small
+    return [*out, image]
+
+
+def collapse(levels: list[np.ndarray]) -> np.ndarray:
+    image = levels[-1]
+    for diff in reversed(levels[:-1]):
+        image = diff + np.repeat(np.repeat(image, 2, 0), 2, 1)[: diff.shape[0], : diff.shape[1]]
+    return image
+
+
+def scope_circle(cells: DataFrame, least: int = 15, trim: int = 4) -> DataFrame:
+    """(img, cx, cy, r): the circle of the lit area's centre and size, less a trim; a rule by moments, stated here since
+    the enclosing circle of a contour isn't a relational notion."""
+    lit = cells.where(F.col("v") > least)
+    return lit.groupBy("img").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), (F.sqrt(F.count("*") / F.pi()) - trim).alias("r"))
+
+
+def outside_circle(cells: DataFrame, circle: DataFrame) -> DataFrame:
+    """cells with masked: whether they lie outside their image's circle."""
+    dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
+    return cells.join(circle, "img").withColumn("masked", dx * dx + dy * dy > F.col("r") * F.col("r")).drop("cx", "cy", "r")

@@ -85,3 +85,14 @@ def smooth_box(last: tuple | None, new: tuple, most: int = 20, share: float = 0.
     if area == 0 or area < least_area * (last[2] - last[0]) * (last[3] - last[1]):
         return last
     return x1, y1, x2, y2
+
+
+def dilated_sum(df: DataFrame, key: str, order: Sequence[str], value: str, kernel: Sequence[float], dilation: int) -> Column:
+    """A kernel's weighted sum over rows dilation apart, its middle on the row; rows beyond the ends count as 0."""
+    w, mid = Window.partitionBy(key).orderBy(*order), len(kernel) // 2
+    out = F.lit(0.0)
+    for i, k in enumerate(kernel):
+        at = (i - mid) * dilation
+        v = F.col(value) if at == 0 else F.lag(value, -at, 0.0).over(w) if at < 0 else F.lead(value, at, 0.0).over(w)
+        out = out + k * v
+    return out
