@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -223,6 +223,10 @@ def connected(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+def _hex(fp: Column) -> Column:
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
 def components(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id): component_id is the smallest id reachable by links."""
     prints = materialise(docs.select("doc_id", fingerprint_udf(whole()).alias("fp")), "prints")
@@ -234,15 +238,18 @@ def components(docs: DataFrame) -> DataFrame:
     named = roots.join(groups, "root").select(F.col("node").alias("fp"), "name").unionByName(groups.select(F.col("root").alias("fp"), "name"))
     names = owners.join(named, "fp", "left").select("fp", F.coalesce("name", "least").alias("component_id"))
     names = materialise(names, "names")  # a plain table, so that Spark may split the rows of a frequent print
-    return prints.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(names, "fp").select("doc_id", _hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """docs with one row of each component, that of its smallest id, and all columns of docs.
 
-    Rows that repeat an id count once. Rows with a null id stay only if their component has no other id.
+    Rows that repeat an id count once. Of rows with a null id, one of each fingerprint stays, and only where its
+    component has no id at all.
     """
     found = components(docs)
-    leaders = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_dup_id")).distinct()
-    rows = docs.join(leaders, F.col("doc_id").eqNullSafe(F.col("_dup_id")), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    leaders = found.where("doc_id = component_id").select(F.col("doc_id").alias("_dup_id")).distinct()
+    named = docs.join(leaders, F.col("doc_id") == F.col("_dup_id"), "left_semi").dropDuplicates(["doc_id"])
+    nameless = docs.where("doc_id is null").withColumn("_dup_print", _hex(fingerprint_udf(whole()))).dropDuplicates(["_dup_print"])
+    alone = found.where("doc_id is null and component_id is null").select(F.col("fingerprint").alias("_dup_alone")).distinct()
+    return named.unionByName(nameless.join(alone, F.col("_dup_print") == F.col("_dup_alone"), "left_semi").drop("_dup_print"))

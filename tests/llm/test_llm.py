@@ -464,13 +464,13 @@ def test_masks_catch_every_three_flips(blocks):
 
 
 def test_simhash_edges(spark, docs_of):
-    docs = docs_of([*EDGES, (60, "Same TEXT here"), (61, None)])
+    docs = docs_of([*EDGES, (60, "Same TEXT here"), (61, None), (None, "another without"), (None, "another without")])
     got = simhash.components(docs).collect()
     by = {r["doc_id"]: r for r in got}
-    assert len(got) == len(EDGES) + 2 and by[60]["component_id"] == 7 and by[61]["component_id"] == 1 and by[3]["fingerprint"] == "0" * 16
+    assert len(got) == len(EDGES) + 4 and by[60]["component_id"] == 7 and by[61]["component_id"] == 1 and by[3]["fingerprint"] == "0" * 16
     kept = simhash.representatives(docs)
     ids = [r["doc_id"] for r in kept.collect()]
-    assert kept.columns == docs.columns and len(ids) == len(set(ids)) and 8 not in ids and 60 not in ids and 7 in ids and None in ids
+    assert kept.columns == docs.columns and ids.count(None) == 2 and len(ids) == len(set(ids)) + 1 and 8 not in ids and 60 not in ids and 7 in ids and None in ids
     assert simhash.components(docs.limit(0)).count() == 0
 
 
