@@ -82,7 +82,14 @@ def points_to_frame(spark: SparkSession, d: str) -> DataFrame:
     return _transforms(spark, d).select("o_orderkey", F.round(x, 5).alias("fx"), F.round(y, 5).alias("fy"))
 
 
-@query()
+_ENDS = ", ".join(f"(i00*{x} + i01*{y} + i02) / greatest(i20*{x} + i21*{y} + i22, 1e-8) AS u{k}, (i10*{x} + i11*{y} + i12) / greatest(i20*{x} + i21*{y} + i22, 1e-8) AS v{k}" for k, (x, y) in enumerate((x, y) for x in ("10.0", "110.0") for y in ("20.0", "90.0")))
+
+
+@query(f"""
+WITH {_H.strip()}, {_INV}, c AS (SELECT o_orderkey, {_ENDS} FROM i),
+b AS (SELECT o_orderkey, least(u0, u1, u2, u3) AS x1, greatest(u0, u1, u2, u3) AS x2, least(v0, v1, v2, v3) AS y1, greatest(v0, v1, v2, v3) AS y2 FROM c)
+SELECT o_orderkey, CAST(trunc(x1) AS BIGINT) AS x, CAST(trunc(y1) AS BIGINT) AS y, CAST(trunc(x2 - x1) AS BIGINT) AS w, CAST(trunc(y2 - y1) AS BIGINT) AS h FROM b
+""")
 def boxes_to_frame(spark: SparkSession, d: str) -> DataFrame:
     f = lambda x: F.lit(float(x))
     box = geometry.box_to_frame(f(10), f(20), f(110), f(90), geometry.inverse(geometry.entries()))

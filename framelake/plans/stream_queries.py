@@ -17,10 +17,24 @@ def frames_of(events: DataFrame) -> DataFrame:
     return events.select(F.col("user_id").alias("video"), e.alias("frame_id"), (F.col("value") - 5).alias("dx"), (e % 9 - 4).cast("double").alias("dy"), (e % 13).alias("matches"), (F.col("value") * 4).alias("blur"), F.lit(480).alias("h"), F.when(e % 101 == 0, 640).otherwise(854).alias("w"))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (
+    SELECT user_id AS video, event_id AS frame_id, value - 5 AS dx, CAST(event_id % 9 - 4 AS DOUBLE) AS dy, event_id % 13 < 4 AS failed, value * 4 >= 30 AS sharp, event_id % 101 = 0 AS wide,
+           row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events
+), f AS (
+    SELECT video, frame_id, rn, wide, 0.0::DOUBLE AS px, 0.0::DOUBLE AS py, 0 AS epoch, sharp AS in_canvas, false AS needs_reset FROM e WHERE rn = 1
+    UNION ALL
+    SELECT video, frame_id, rn, wide, CASE WHEN far THEN 0 ELSE nx END, CASE WHEN far THEN 0 ELSE ny END, ne + CAST(far AS INTEGER), sharp, far OR flag
+    FROM (SELECT *, sharp AND greatest(abs(nx), abs(ny)) > 500 AS far FROM (
+        SELECT e.video, e.frame_id, e.rn, e.wide, e.sharp, e.failed AND e.wide = f.wide AS flag, f.epoch + CAST(e.wide <> f.wide AS INTEGER) AS ne,
+               CASE WHEN e.wide <> f.wide THEN 0 WHEN e.failed THEN f.px ELSE f.px + e.dx END AS nx, CASE WHEN e.wide <> f.wide THEN 0 WHEN e.failed THEN f.py ELSE f.py + e.dy END AS ny
+        FROM f JOIN e ON e.video = f.video AND e.rn = f.rn + 1))
+) SELECT video, frame_id, round(px, 6) + 0.0 AS px, round(py, 6) + 0.0 AS py, CAST(epoch AS BIGINT) AS epoch, in_canvas, needs_reset FROM f
+""")
 def step_batch(spark: SparkSession, d: str) -> DataFrame:
     """The step's fold over all frames as a batch."""
-    return steps.batch_steps(frames_of(table(spark, d, "events"))).select("video", "frame_id", *[c.split(" ")[0] for c in steps.OUTPUT.split(", ")])
+    place = lambda c: (F.round(c, 6) + 0.0).alias(c)
+    return steps.batch_steps(frames_of(table(spark, d, "events"))).select("video", "frame_id", place("px"), place("py"), "epoch", "in_canvas", "needs_reset")
 
 
 @query()
@@ -38,7 +52,7 @@ def stream_step_equals_batch(spark: SparkSession, d: str) -> DataFrame:
         run.awaitTermination()
     finally:
         spark.conf.set(key, old)
-    seen = spark.read.schema(out.schema).parquet(f"{root}/out").select("video", "frame_id", F.struct("px", "py", "epoch", "in_canvas", "needs_reset").alias("s"))
+    seen = spark.read.schema(out.schema).parquet(f"{root}/out").select("video", "frame_id", F.struct((F.round("px", 6) + 0.0).alias("px"), (F.round("py", 6) + 0.0).alias("py"), "epoch", "in_canvas", "needs_reset").alias("s"))
     batch = step_batch(spark, d).select("video", "frame_id", F.struct("px", "py", "epoch", "in_canvas", "needs_reset").alias("b"))
     return batch.join(seen, ["video", "frame_id"], "left").groupBy("video").agg(F.count("*").alias("n"), F.count_if(F.col("b") == F.col("s")).alias("n_equal"))
 
