@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelake.operators.graph import connected
 from framelake.operators.keypoints import around
 
 
@@ -95,17 +96,17 @@ def gray(r: Column, g: Column, b: Column, luma: bool = True) -> Column:
     return 0.299 * r + 0.587 * g + 0.114 * b if luma else (r + g + b) / 3.0
 
 
-def components(cells: DataFrame, rounds: int = 64) -> DataFrame:
-    """cells (img, x, y) with component: the smallest x * 2^20 + y reachable over 8 neighbours, by repeated minima."""
-    out = cells.select("img", "x", "y", (F.col("x") * (1 << 20) + F.col("y")).cast("bigint").alias("c"))
-    for _ in range(rounds):
-        out = out.persist()
-        near = around(out, 1, "c").groupBy("img", "x", "y").agg(F.min("c").alias("m"))
-        new = out.join(near, ["img", "x", "y"]).select("img", "x", "y", F.col("m").alias("c"), (F.col("c") != F.col("m")).alias("moved"))
-        if not new.where("moved").head(1):
-            break
-        out = new.drop("moved").checkpoint() if new.sparkSession.sparkContext.getCheckpointDir() else new.drop("moved")
-    return out.withColumnRenamed("c", "component")
+def components(cells: DataFrame) -> DataFrame:
+    """cells (img, x, y) with component: the smallest id of those reachable over 8 neighbours.
+
+    A cell's id is img 2^40 + x 2^20 + y, so img must be a number below 2^22, x and y below 2^20.
+    """
+    pixel = (F.col("img").cast("bigint") * (1 << 40) + F.col("x").cast("bigint") * (1 << 20) + F.col("y").cast("bigint")).alias("id")
+    own = cells.select("img", "x", "y", pixel)
+    near = around(own, 1, "id").where((F.col("dx") != 0) | (F.col("dy") != 0)).select("img", "x", "y", F.col("id").alias("b"))
+    links = own.join(near, ["img", "x", "y"]).select(F.col("id").alias("a"), "b").where("a > b")
+    roots = connected(links)
+    return own.join(roots, F.col("id") == F.col("node"), "left").select("img", "x", "y", F.coalesce("root", "id").alias("component"))
 
 
 def warp_packed(images: DataFrame) -> DataFrame:

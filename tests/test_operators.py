@@ -205,6 +205,9 @@ def test_ramp_and_override_modes(spark):
 def test_components_and_membrane(spark):
     c = spark.createDataFrame([(0, x, y) for x, y in ((0, 0), (1, 1), (2, 2), (5, 5), (5, 6))], "img int, x int, y int")
     assert len({r["component"] for r in raster.components(c).collect()}) == 2
+    snake = [(0, x, y) for x in range(0, 12, 2) for y in range(30)] + [(0, x, 29 if x % 4 == 1 else 0) for x in range(1, 11, 2)] + [(1, 0, 0)]
+    got = raster.components(spark.createDataFrame(snake, "img int, x int, y int")).collect()
+    assert len({r["component"] for r in got}) == 2 and len(got) == len(snake)
     canvas, patch, mask = np.full((9, 9), 10.0), np.full((9, 9), 30.0), np.zeros((9, 9))
     mask[2:7, 2:7] = 1
     out = raster.membrane(canvas, patch, mask, 200)
