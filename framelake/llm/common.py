@@ -1,48 +1,18 @@
-"""What the operators of this folder share: scratch tables, checked broadcasts, label folds."""
+"""What the operators of this folder share: checked broadcasts, label folds, and the engine's scratch tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelake.sources.scratch import bucketed, materialise, scratch_dir  # noqa: F401
+
 #: Words of a text: runs of anything but ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of two or three narrow columns that may be broadcast (about 64 MB); larger tables are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all machines share; a local one only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="framelake-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/framelake/{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df as Parquet into the shared scratch folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def bucketed(df: DataFrame, buckets: int, key: str) -> DataFrame:
-    """df written into the shared scratch folder in buckets of key: joins and groups by key don't move its rows again.
-
-    The catalogue's entry is only needed until Spark has read it and is dropped at once; the files stay.
-    """
-    spark, name = df.sparkSession, f"framelake_{uuid.uuid4().hex}"
-    df.write.format("parquet").option("compression", "zstd").option("path", f"{scratch_dir(spark)}/{name}").bucketBy(buckets, key).saveAsTable(name)
-    table = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")
-    return table
-
-
 def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows are within the bound; else df, to be joined by a shuffle."""
     return F.broadcast(df) if rows <= most else df

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from framelake.llm.common import WORD, materialise, whole
+from framelake.operators.graph import Links, connected
 
 SHINGLE, SEED, RADIUS, PIECE, LEAF = 3, 42, 3, 4096, 32
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -59,24 +60,6 @@ def fingerprint_udf(texts: pd.Series) -> pd.Series:
     return pd.Series([((x := fingerprint(s)) ^ (1 << 63)) - (1 << 63) for s in texts], dtype="int64")
 
 
-class Links:
-    """Union-find over places."""
-
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.root(i), self.root(j)
-        if i != j:
-            self.up[max(i, j)] = min(i, j)
-
-
 class BKTree:
     """Children keyed by integer Hamming distance to the parent; up to LEAF values are kept as a plain list."""
 
@@ -189,40 +172,6 @@ def links(prints: DataFrame, n: int) -> DataFrame:
     return found.unionByName(met.groupBy("shard", "lower", "upper").applyInPandas(piece_pair, "a long, b long"))
 
 
-def _fewer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A batch's links as a forest of stars."""
-    for batch in batches:
-        values, at = np.unique(np.concatenate([batch.column(c).to_numpy() for c in ("a", "b")]), return_inverse=True)
-        found = Links(len(values))
-        for i, j in zip(at[: batch.num_rows].tolist(), at[batch.num_rows :].tolist()):
-            found.join(i, j)
-        pairs = np.array([(i, r) for i in range(len(values)) if (r := found.root(i)) != i], "int64").reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(values[pairs[:, 0]]), pa.array(values[pairs[:, 1]])], ["a", "b"])
-
-
-def connected(edges: DataFrame) -> DataFrame:
-    """(node, root): each node of edges (a, b) that isn't its component's smallest, and that smallest.
-
-    Star contractions: every node links its larger neighbours, then its smaller ones, to the smallest of all, until
-    nothing changes. The tables between keep all links, and their number doesn't grow.
-    """
-    order = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
-    stars = materialise(order(edges.mapInArrow(_fewer, "a long, b long")), "edges")
-    seen = None
-    while True:
-        both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = materialise(order(large), "large")
-        least = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "small_least")
-        small = large.join(least, "a").select("b", "m").where("b != m").unionByName(least.select(F.col("a").alias("b"), "m"))
-        stars = materialise(order(small.select(F.col("b").alias("a"), F.col("m").alias("b"))), "stars")
-        now = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
-            return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = now
-
-
 def _hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
