@@ -9,8 +9,8 @@ most its language's quantile over the trusted texts, times a margin. Text that r
 perplexity and passes; this model can't see it.
 
 The probability tables have as many rows as the text has different n-grams. If that is within MODEL_ROWS they go to all
-tasks, which look n-grams up in sorted arrays; beyond it the documents' own n-gram counts, added up per distinct text,
-are joined to the tables by a shuffle. Both ways give the same perplexities.
+tasks, which look n-grams up in sorted arrays; beyond it the documents' own n-gram counts, in blocks of documents, are
+joined to the tables by shuffles. Both ways give the same perplexities.
 
 Defined results: null and empty texts have no perplexity and aren't kept; a language without trusted texts, or a null
 one, has the quantile over all trusted texts; without any trusted text, all but empty texts are kept. Repeated rows get
@@ -26,15 +26,18 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import labelled, marks_of, materialise, small, whole
+from framelake.llm.common import bucketed, labelled, marks_of, materialise, small, whole
 
 #: Rows of the probability tables that may go to every task (24 MB).
 MODEL_ROWS = 1_500_000
 QUANTILE, MARGIN = 0.999, 1.25
+#: Characters of a block of texts that share a list of trigrams.
+BLOCK_CHARS = 16 << 20
 #: Characters at the mean log probability of trusted text that are added to each text before it is judged.
 PRIOR = 100
 _BEGIN, _BITS = 0x110000, 21
@@ -182,24 +185,80 @@ def perplexity_udf(model: Model):
     return lambda text: perplexity(text)
 
 
-def joined_perplexities(docs: DataFrame, model: Model) -> DataFrame:
-    """(digest, perplexity) of docs' distinct texts by shuffled joins, for models of any size."""
+_BLOCKS = "block long, start int, keys array<long>, digests array<binary>, sizes array<int>, places array<int>, counts array<int>"
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for digest, s in zip(batch.column("digest").to_pylist(), batch.column("text").to_pylist()):
-                k, n = np.unique(trigrams(s), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([digest] * len(k), pa.binary()), pa.array(k), pa.array(n)], ["digest", "key", "n"])
 
-    texts = docs.select(whole().alias("text")).where("text != ''").groupBy(F.unhex(F.sha2("text", 256)).alias("digest")).agg(F.first("text").alias("text"))
-    grams = texts.mapInArrow(own, "digest binary, key long, n long")
-    rows = grams.join(model.tri.withColumnRenamed("logp", "p3"), "key", "left")
+def _gram_blocks(docs: DataFrame) -> DataFrame:
+    """Rows of two kinds: a block's distinct trigrams (keys, numbered from start), and its texts' counts by their numbers.
+
+    A block is what a task has read when its texts reach BLOCK_CHARS, so a common trigram has one row in each block.
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, block, held, digests, keys, counts = TaskContext.get().partitionId(), 0, 0, [], [], []
+        schema = pa.schema([("block", pa.int64()), ("start", pa.int32()), ("keys", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("places", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
+
+        def rows_of() -> Iterator[pa.RecordBatch]:
+            number = (part << 24) | block
+            known, places = np.unique(np.concatenate(keys), return_inverse=True)
+            for at in range(0, len(known), 10_000):
+                yield pa.RecordBatch.from_pylist([{"block": number, "start": at, "keys": known[at : at + 10_000]}], schema)
+            sizes = [len(k) for k in keys]
+            edges = np.concatenate(([0], np.cumsum(sizes)))
+            for i in range(0, len(digests), 256):
+                own = slice(edges[i], edges[min(i + 256, len(digests))])
+                yield pa.RecordBatch.from_pylist([{"block": number, "digests": digests[i : i + 256], "sizes": sizes[i : i + 256], "places": places[own], "counts": np.concatenate(counts[i : i + 256])}], schema)
+
+        for batch in batches:
+            for digest, text in zip(batch.column("digest").to_pylist(), batch.column("text").to_pylist()):
+                k, n = np.unique(trigrams(text), return_counts=True)
+                digests.append(digest), keys.append(k), counts.append(n)
+                held += len(text)
+                if held > BLOCK_CHARS:
+                    yield from rows_of()
+                    block, held, digests, keys, counts = block + 1, 0, [], [], []
+        if digests:
+            yield from rows_of()
+
+    texts = docs.select(whole().alias("text")).where("text != ''").select("text", F.unhex(F.sha2("text", 256)).alias("digest"))
+    return texts.mapInArrow(split, _BLOCKS)
+
+
+def log_probabilities(keys: DataFrame, model: Model) -> DataFrame:
+    """(key, logp) of distinct trigrams: stored, else backed off, by joins to the tables."""
+    rows = keys.join(model.tri.withColumnRenamed("logp", "p3"), "key", "left")
     rows = rows.withColumn("context", F.shiftright("key", _BITS)).join(model.ctx3.withColumnRenamed("logg", "g3"), "context", "left")
     rows = rows.withColumn("two", F.col("key").bitwiseAND(F.lit(_LOW2))).join(model.bi.select(F.col("key").alias("two"), F.col("logp").alias("p2")), "two", "left")
     rows = rows.withColumn("mid", F.col("context").bitwiseAND(F.lit(_LOW))).join(model.ctx2.select(F.col("context").alias("mid"), F.col("logg").alias("g2")), "mid", "left")
     rows = rows.withColumn("one", F.col("key").bitwiseAND(F.lit(_LOW))).join(model.uni.select(F.col("key").alias("one"), F.col("logp").alias("p1")), "one", "left")
     back = F.coalesce("g3", F.lit(0.0)) + F.coalesce("p2", F.coalesce("g2", F.lit(0.0)) + F.coalesce("p1", F.lit(model.unknown)))
-    return rows.groupBy("digest").agg(F.exp(-F.sum(F.col("n") * F.coalesce("p3", back)) / F.sum("n")).alias("perplexity"))
+    return rows.select("key", F.coalesce("p3", back).alias("logp"))
+
+
+def joined_perplexities(docs: DataFrame, model: Model) -> DataFrame:
+    """(digest, perplexity) of docs' distinct texts by shuffled joins, for models of any size.
+
+    The corpus' distinct trigrams are joined to the model once; what comes out is joined to the blocks' trigrams, and
+    each block's values go back to its texts' counts, which buckets keep in place.
+    """
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    blocks = bucketed(_gram_blocks(docs), buckets, "block")
+    grams = blocks.where("keys is not null").select("block", "start", F.posexplode("keys").alias("at", "key"))
+    known = materialise(log_probabilities(grams.select("key").distinct(), model), "known")
+    values = grams.join(known, "key").select(F.col("block").alias("in_block"), (F.col("start") + F.col("at")).alias("place"), "logp")
+    runs = blocks.where("digests is not null").select("block", "digests", "sizes", "places", "counts")
+
+    def add_up(values: pa.Table, runs: pa.Table) -> pa.Table:
+        logp = np.zeros(values.num_rows)
+        logp[values["place"].to_numpy()] = values["logp"].to_numpy()
+        flat = lambda c: runs[c].combine_chunks().flatten()
+        sizes, n = flat("sizes").to_numpy().astype("int64"), flat("counts").to_numpy().astype("int64")
+        starts = np.cumsum(sizes) - sizes
+        mean = np.add.reduceat(n * logp[flat("places").to_numpy()], starts) / np.add.reduceat(n, starts)
+        return pa.table([flat("digests"), pa.array(np.exp(-mean))], ["digest", "perplexity"])
+
+    found = values.groupBy("in_block").cogroup(runs.groupBy("block")).applyInArrow(add_up, "digest binary, perplexity double")
+    return found.groupBy("digest").agg(F.max("perplexity").alias("perplexity"))
 
 
 def with_perplexity(docs: DataFrame, model: Model, name: str, most: int = MODEL_ROWS) -> DataFrame:
