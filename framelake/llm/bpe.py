@@ -29,13 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import bucketed, whole
+from framelake.llm.common import bucketed, strings, whole
 
 BLOCK_BYTES = 32 << 20
 #: Documents whose word places are one row.
 RUN = 256
 #: Distinct words whose ids a task remembers before it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 
 @lru_cache(maxsize=2)  # a worker keeps them over its tasks
@@ -71,25 +71,23 @@ def split_into_blocks(docs: DataFrame, buckets: int) -> DataFrame:
         import xxhash
 
         find, part, block = regex.compile(public_tokenizers.PATTERN).findall, TaskContext.get().partitionId(), 0
-        held, ids, words, counts = 0, [], [], []
+        held, ids, places, counts, known = 0, [], [], [], {}
         schema = None
 
         def rows_of() -> Iterator[pa.RecordBatch]:
             number = (part << 24) | block
-            coded = pa.chunked_array(words, pa.string()).combine_chunks().dictionary_encode()
-            known = coded.dictionary.to_pylist()
-            place = coded.indices.to_numpy()
-            at = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in known), "int64", len(known))
-            often = np.bincount(place, minlength=len(known))
+            words, place = list(known), np.concatenate(places)
+            at = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in words), "int64", len(words))
+            often = np.bincount(place, minlength=len(words))
             order = np.lexsort((-often, at))
-            new = np.empty(len(known), "int64")
-            new[order] = np.arange(len(known))
+            new = np.empty(len(words), "int32")
+            new[order] = np.arange(len(words))
             place = new[place]
             ends = np.searchsorted(at[order], np.arange(buckets), "right")
             out, start = [], 0
             for b, end in enumerate(ends):
                 if end > start:
-                    out.append({"block": number, "bucket": b, "words": [known[i] for i in order[start:end]]})
+                    out.append({"block": number, "bucket": b, "words": [words[i] for i in order[start:end]]})
                 start = end
             edges = np.concatenate(([0], np.cumsum(counts)))
             for i in range(0, len(ids), RUN):
@@ -100,15 +98,16 @@ def split_into_blocks(docs: DataFrame, buckets: int) -> DataFrame:
 
         for batch in batches:
             schema = schema or pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("words", pa.list_(pa.string())), ("doc_ids", pa.list_(batch.schema.field("doc_id").type)), ("n_words", pa.list_(pa.int32())), ("places", pa.binary())])
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                found = find(text)
-                words.append(pa.array(found, pa.string()))
+            for doc, text in zip(batch.column("doc_id").to_pylist(), strings(batch.column("text"))):
+                found = pa.array(find(text), pa.string()).dictionary_encode()
+                own = np.fromiter((known.setdefault(w, len(known)) for w in found.dictionary.to_pylist()), "int32", len(found.dictionary))
+                places.append(own[found.indices.to_numpy()])
                 ids.append(doc)
                 counts.append(len(found))
                 held += len(text)
                 if held > BLOCK_BYTES:
                     yield from rows_of()
-                    held, ids, words, counts, block = 0, [], [], [], block + 1
+                    held, ids, places, counts, known, block = 0, [], [], [], {}, block + 1
         if ids:
             yield from rows_of()
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,12 @@ def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def strings(column: pa.Array, most: int = 256) -> Iterator[str]:
+    """A column's strings; most of them at a time are Python objects, so that a batch of long texts isn't held twice."""
+    for start in range(0, len(column), most):
+        yield from column.slice(start, most).to_pylist()
+
+
 def whole(text: str = "text") -> Column:
     """The text, null read as empty."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))

@@ -24,14 +24,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import bucketed, labelled, marks_of, materialise, small, whole
+from framelake.llm.common import bucketed, labelled, marks_of, materialise, small, strings, whole
 
 #: Rows of the probability tables that may go to every task (24 MB).
 MODEL_ROWS = 1_500_000
@@ -70,7 +69,7 @@ def count_trigrams(texts: DataFrame, text: str = "text") -> DataFrame:
                 keys, counts, held, waiting = [k], [n], 0, []
 
         for batch in batches:
-            for s in batch.column(text).to_pylist():
+            for s in strings(batch.column(text)):
                 waiting.append(trigrams(s))
                 held += len(waiting[-1])
                 if held > 2_000_000:
@@ -177,10 +176,10 @@ def perplexity_udf(model: Model):
     """A column function text -> perplexity, for models within MODEL_ROWS."""
     tables = _to_tasks(model)
 
-    @F.pandas_udf("double")
-    def perplexity(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def perplexity(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            yield pd.Series([math.exp(-_log_probs(tables.value, trigrams(s)).mean()) if s else None for s in batch], dtype="float64")
+            yield pa.array([math.exp(-_log_probs(tables.value, trigrams(s)).mean()) if s else None for s in strings(batch)], pa.float64())
 
     return lambda text: perplexity(text)
 
@@ -210,7 +209,7 @@ def _gram_blocks(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([{"block": number, "digests": digests[i : i + 256], "sizes": sizes[i : i + 256], "places": places[own], "counts": np.concatenate(counts[i : i + 256])}], schema)
 
         for batch in batches:
-            for digest, text in zip(batch.column("digest").to_pylist(), batch.column("text").to_pylist()):
+            for digest, text in zip(batch.column("digest").to_pylist(), strings(batch.column("text"))):
                 k, n = np.unique(trigrams(text), return_counts=True)
                 digests.append(digest), keys.append(k), counts.append(n)
                 held += len(text)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from framelake.llm.common import WORD, materialise, whole
+from framelake.llm.common import WORD, materialise, strings, whole
 from framelake.operators.graph import Links, connected
 
 SHINGLE, SEED, RADIUS, PIECE, LEAF = 3, 42, 3, 4096, 32
@@ -54,10 +54,10 @@ def fingerprint(text: str) -> int:
     return int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype="int64") > len(bits)).tobytes(), "big")
 
 
-@F.pandas_udf(LongType())
-def fingerprint_udf(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(LongType())
+def fingerprint_udf(texts: pa.Array) -> pa.Array:
     """fingerprint as a signed long."""
-    return pd.Series([((x := fingerprint(s)) ^ (1 << 63)) - (1 << 63) for s in texts], dtype="int64")
+    return pa.array([((x := fingerprint(s)) ^ (1 << 63)) - (1 << 63) for s in strings(texts)], pa.int64())
 
 
 class BKTree:

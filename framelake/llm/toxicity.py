@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import fold, labelled, whole
+from framelake.llm.common import fold, labelled, strings, whole
 
 FEATURES, SAMPLE, CUT = 1024, 4000, 0.7
 #: Features of at least LEAST toxic texts whose counts in other texts are taken; the most frequent CANDIDATES.
@@ -82,7 +82,7 @@ def _counts(texts: DataFrame, among: list[str] | None) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([among[k] if index is not None else k for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["feature", "n"])
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
+            for text in strings(batch.column("text")):
                 words = words_of(text)
                 seen.update(index.of(words) if index is not None else {f for w in words for f in word_features(w)})
             if len(seen) > 200_000:
@@ -136,7 +136,7 @@ def fit(train: DataFrame) -> dict:
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(features)
         for batch in batches:
-            words = [words_of(t) for t in batch.column("text").to_pylist()]
+            words = [words_of(t) for t in strings(batch.column("text"))]
             own = [sorted(index.of(w)) for w in words]
             swapped = [sorted(index.of({SWAP.get(x, x) for x in w})) if not w.isdisjoint(SWAP) else None for w in words]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(own, pa.list_(pa.int32())), pa.array(swapped, pa.list_(pa.int32()))], ["doc_id", "label", "own", "swapped"])
@@ -164,13 +164,13 @@ def score_udf(docs: DataFrame, model: dict):
     """A column function text -> score from 0 to 1."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = held.value
         index, weights, base = Index(m["features"]), m["weights"].tolist(), m["intercept"]
         for batch in texts:
-            logits = np.array([base + sum([weights[i] for i in sorted(index.of(words_of(t)))]) for t in batch], "float64")
-            yield pd.Series(1 / (1 + np.exp(-np.clip(logits, -500, 500))))
+            logits = np.array([base + sum([weights[i] for i in sorted(index.of(words_of(t)))]) for t in strings(batch)], "float64")
+            yield pa.array(1 / (1 + np.exp(-np.clip(logits, -500, 500))))
 
     return lambda text: score(text)
 
