@@ -10,6 +10,11 @@ pieces, in pairs. A shard gives links that join what it found connected, not all
 
 Components come from repeated star contractions of the links, with a table in the shared folder between the rounds.
 
+representatives() joins near copies instead: texts whose sets of WIDTH-word shingles have a Jaccard similarity of NEAR
+or more, which lie too many bits apart for a BK-tree to leave out anything. Candidates are the sets that share one of
+BANDS bands of ROWS min-hashes; each link is checked on the sets themselves. A pair of similarity s shares a band with
+probability 1 - (1 - s^ROWS)^BANDS, 0.9998 at 0.8 and more above it; it must be linked directly or through others.
+
 Defined results: null texts are empty; a text without words has fingerprint zero and links like any other; repeated
 rows get equal results; a null id is never a component's name unless all its ids are null; an empty table gives an empty
 result; extra columns are ignored by components() and kept by representatives().
@@ -26,12 +31,18 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import BooleanType, LongType
 
-from framelake.llm.common import WORD, materialise, strings, whole
+from framelake.llm.common import WORD, materialise, small, strings, whole
 from framelake.operators.graph import Links, connected
 
 SHINGLE, SEED, RADIUS, PIECE, LEAF = 3, 42, 3, 4096, 32
+#: Near copies: words of a shingle and the least Jaccard similarity (a fraction); bands and min-hashes of each.
+WIDTH, NEAR, BANDS, ROWS = 5, (4, 5), 28, 6
+#: Sets of a shard that a task holds are twice as many.
+PART = 512
+_TIMES = np.random.RandomState(SEED).randint(0, 1 << 63, BANDS * ROWS, "uint64") * np.uint64(2) + np.uint64(1)
+_FLIP = np.random.RandomState(SEED + 1).randint(0, 1 << 63, BANDS * ROWS, "uint64") * np.uint64(2)
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _WORDS = re.compile(WORD.encode())
 
@@ -190,15 +201,164 @@ def components(docs: DataFrame) -> DataFrame:
     return prints.join(names, "fp").select("doc_id", _hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str) -> np.ndarray:
+    """The distinct hashes of a text's WIDTH-word shingles, sorted; a shorter text is one shingle."""
+    import xxhash
+
+    words = _WORDS.findall(text.encode("utf-8", "surrogatepass").translate(_LOWER))
+    if not words:
+        return np.zeros(0, "uint64")
+    line = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts, stops = [0, *ends[:-1].tolist()], (ends - 1).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(line[a:b], SEED) for a, b in zip(starts, stops[min(WIDTH, len(words)) - 1 :])], "uint64"))
+
+
+def set_key(hashes: np.ndarray) -> int:
+    """The name of a set of shingles, a signed long."""
+    import xxhash
+
+    return (xxhash.xxh64_intdigest(hashes.tobytes(), SEED) ^ (1 << 63)) - (1 << 63)
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A value for each of BANDS bands of ROWS min-hashes; equal values are alike in the whole band."""
+    if not len(hashes):
+        return np.zeros(0, "int64")
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, "uint64")
+    for start in range(0, len(hashes), 1024):
+        np.minimum(least, ((hashes[start : start + 1024] ^ _FLIP[:, None]) * _TIMES[:, None]).min(axis=1), out=least)
+    out = np.arange(1, BANDS + 1, dtype="uint64") * _TIMES[0]
+    for row in least.reshape(BANDS, ROWS).T:
+        out = (out ^ row) * _TIMES[1]
+        out ^= out >> np.uint64(29)
+    return out.view("int64")
+
+
+@F.arrow_udf(LongType())
+def set_key_udf(texts: pa.Array) -> pa.Array:
+    """set_key of the texts' shingles."""
+    return pa.array([set_key(shingle_set(s)) for s in strings(texts)], pa.int64())
+
+
+def near(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two sorted sets of shingles is NEAR or more."""
+    both = np.sort(np.concatenate((a, b)))
+    both = int(np.count_nonzero(both[1:] == both[:-1]))
+    return both * NEAR[1] >= NEAR[0] * (len(a) + len(b) - both)
+
+
+@F.arrow_udf(BooleanType())
+def near_udf(first: pa.Array, second: pa.Array) -> pa.Array:
+    """near() of two columns of sets."""
+    return pa.array([near(np.frombuffer(x.as_py(), "uint64"), np.frombuffer(y.as_py(), "uint64")) for x, y in zip(first, second)], pa.bool_())
+
+
+def _shingled(docs: DataFrame) -> DataFrame:
+    """(key, hashes) of each row's text."""
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                sets = [shingle_set(s) for s in batch.column("text").slice(start, 256).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["key", "hashes"])
+
+    return docs.select(whole().alias("text")).mapInArrow(shingle, "key long, hashes binary")
+
+
+def near_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links that connect all of sets (key, n, bands) that share a band and have similarity NEAR or more.
+
+    First every set is compared with the smallest of each of its bands. Then, in the bands that hold more than one
+    component, all pairs that aren't connected are compared, in pairs of pieces of at most about PART sets. A large
+    group of near copies so needs few comparisons, and comparisons that fail have no rows.
+    """
+    shards = sets.select("key", "n", F.explode("bands").alias("shard"))
+    heads = shards.groupBy("shard").agg(F.min(F.struct("key", "n")).alias("head"), F.count("*").alias("size")).where("size > 1").select("shard", "head")
+    shared = materialise(shards.join(heads, "shard").select("shard", "key", "n", "head"), "shared")
+    keys = materialise(shared.select("key").distinct(), "shared_keys")
+    held = _shingled(docs).join(small(keys, keys.count()), "key", "left_semi").groupBy("key").agg(F.first("hashes").alias("hashes"))
+    held = materialise(held, "shingles")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        rows = pairs.join(held.select(F.col("key").alias("a"), F.col("hashes").alias("first")), "a")
+        rows = rows.join(held.select(F.col("key").alias("b"), F.col("hashes").alias("second")), "b")
+        return materialise(rows.select("a", "b", near_udf("first", "second").alias("near")), "compared")
+
+    #: sets whose sizes are too far apart can't be near
+    may = lambda m, n: F.least(m, n) * NEAR[1] >= F.greatest(m, n) * NEAR[0]
+    heads_met = shared.where((F.col("key") != F.col("head.key")) & may(F.col("n"), F.col("head.n")))
+    one = compared(heads_met.select(F.col("head.key").alias("a"), F.col("key").alias("b")).distinct())
+    roots = materialise(connected(one.where("near").select("a", "b")), "near_roots")
+    with_root = shared.join(roots, F.col("key") == F.col("node"), "left").select("shard", "key", "n", "head", F.coalesce("root", "key").alias("group"))
+    of_head = roots.select(F.col("node").alias("head_node"), F.col("root").alias("head_root"))
+    placed = with_root.join(of_head, F.col("head.key") == F.col("head_node"), "left")
+    placed = materialise(placed.select("shard", "key", "n", "group", F.coalesce("head_root", "head.key").alias("main")), "placed")
+    apart = placed.where("group != main").select("shard").groupBy("shard").count().drop("count")
+    rest = materialise(placed.join(apart, "shard").select("shard", "key", "group"), "apart")
+    sizes = rest.groupBy("shard").agg(F.ceil(F.count("*") / PART).cast("int").alias("pieces"))
+    own = rest.join(sizes, "shard").withColumn("piece", F.pmod(F.xxhash64("key"), F.col("pieces")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other")
+    met = own.select("shard", "key", "group", "piece", other).select("shard", "key", "group", "piece", F.least("piece", "other").alias("lower"), F.greatest("piece", "other").alias("upper"))
+    met = met.join(held, "key").join(sets.select("key", "bands"), "key")
+    two = met.groupBy("shard", "lower", "upper").applyInPandas(_near_in_shard, "a long, b long")
+    return one.where("near").select("a", "b").unionByName(two)
+
+
+def _near_in_shard(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links that connect the near copies of two pieces of a shard; pairs that also share an earlier band are left to it."""
+    keys, group, piece = (pdf[c].to_numpy() for c in ("key", "group", "piece"))
+    group, hashes, band = group.copy(), [np.frombuffer(x, "uint64") for x in pdf["hashes"]], np.stack(pdf["bands"].to_list())
+    sizes = np.array([len(x) for x in hashes])
+    here = int(np.flatnonzero(band[0] == pdf["shard"].iat[0])[0])
+    second = np.flatnonzero(piece == pdf["upper"].iat[0])
+    pairs = []
+    for i in np.flatnonzero(piece == pdf["lower"].iat[0]).tolist():
+        may = second[(group[second] != group[i]) & (np.minimum(sizes[second], sizes[i]) * NEAR[1] >= np.maximum(sizes[second], sizes[i]) * NEAR[0])]
+        may = may[(band[may] == band[i]).argmax(axis=1) == here]
+        if pdf["lower"].iat[0] == pdf["upper"].iat[0]:
+            may = may[may > i]
+        for j in may.tolist():
+            if group[i] != group[j] and near(hashes[i], hashes[j]):
+                pairs.append((keys[i], keys[j]))
+                group[group == group[j]] = group[i]
+    return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
+
+
+def near_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, component_id): component_id is the smallest id reachable by links of near copies."""
+    rows = docs.select("doc_id", whole().alias("text"))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                sets = [shingle_set(s) for s in part.column("text").to_pylist()]
+                made = pa.array([set_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array([bands(x) for x in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *made], ["doc_id", "key", "n", "bands"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    prints = materialise(rows.mapInArrow(sketch, f"doc_id {kind}, key long, n int, bands array<long>"), "sketches")
+    sets = materialise(prints.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")), "sets")
+    roots = materialise(connected(near_links(docs, sets)), "roots")
+    groups = roots.join(sets, F.col("node") == F.col("key")).groupBy("root").agg(F.min("least").alias("m"))
+    groups = groups.join(sets, F.col("root") == F.col("key")).select("root", F.least("m", "least").alias("name"))
+    named = roots.join(groups, "root").select(F.col("node").alias("key"), "name").unionByName(groups.select(F.col("root").alias("key"), "name"))
+    names = sets.join(named, "key", "left").select("key", F.coalesce("name", "least").alias("component_id"))
+    names = materialise(names, "names")
+    return prints.join(names, "key").select("doc_id", "key", "component_id")
+
+
 def representatives(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component, that of its smallest id, and all columns of docs.
+    """docs with one row of each component of near copies, that of its smallest id, and all columns of docs.
 
-    Rows that repeat an id count once. Of rows with a null id, one of each fingerprint stays, and only where its
+    Rows that repeat an id count once. Of rows with a null id, one of each set of shingles stays, and only where its
     component has no id at all.
     """
-    found = components(docs)
+    found = near_components(docs)
     leaders = found.where("doc_id = component_id").select(F.col("doc_id").alias("_dup_id")).distinct()
     named = docs.join(leaders, F.col("doc_id") == F.col("_dup_id"), "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id is null").withColumn("_dup_print", _hex(fingerprint_udf(whole()))).dropDuplicates(["_dup_print"])
-    alone = found.where("doc_id is null and component_id is null").select(F.col("fingerprint").alias("_dup_alone")).distinct()
+    nameless = docs.where("doc_id is null").withColumn("_dup_print", set_key_udf(whole())).dropDuplicates(["_dup_print"])
+    alone = found.where("doc_id is null and component_id is null").select(F.col("key").alias("_dup_alone")).distinct()
     return named.unionByName(nameless.join(alone, F.col("_dup_print") == F.col("_dup_alone"), "left_semi").drop("_dup_print"))

@@ -476,6 +476,35 @@ def test_simhash_edges(spark, docs_of):
     assert simhash.components(docs.limit(0)).count() == 0
 
 
+def shingles_of(text):
+    w = WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+@pytest.mark.parametrize("part", [512, 3])
+def test_representatives_join_planted_near_copies(spark, docs_of, monkeypatch, part):
+    monkeypatch.setattr(simhash, "PART", part, raising=False)
+    rng = random.Random(5)
+    texts = []
+    for _ in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 400))]
+        texts.append(" ".join(words))
+        for share in (0.005, 0.01, 0.02, 0.03, 0.05):  # a replaced word changes five shingles
+            copy = list(words)
+            for i in rng.sample(range(len(words)), max(1, round(share * len(words)))):
+                copy[i] = f"new{rng.randrange(5000)}"
+            texts.append(" ".join(copy))
+    sets = [shingles_of(t) for t in texts]
+    jaccard = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(texts)) for j in range(i) if i // 6 == j // 6}
+    root = list(range(len(texts)))
+    for (i, j), s in sorted(jaccard.items()):
+        if s >= 0.8:
+            root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert sum(0.8 <= s < 0.95 for s in jaccard.values()) > 50 and any(s < 0.8 for s in jaccard.values())
+    got = {r["doc_id"] for r in simhash.representatives(docs_of(list(enumerate(texts)))).collect()}
+    assert got == set(root)
+
+
 # SQL and the pipeline
 
 
