@@ -5,8 +5,8 @@ pre-added in each task. Everything else of the training is joins and sums of cou
 trigrams, their contexts' sums, how many contexts a bigram continues, the discounts from the counts of counts, and the
 interpolated probabilities. A document's perplexity is that of all its characters. Since a short text says little, it
 is judged with PRIOR more characters of the trusted text's mean: it is kept if the perplexity so drawn to the mean is at
-most its language's quantile over the trusted texts, times a margin. Text that repeats well-formed words has a low
-perplexity and passes; this model can't see it.
+most its language's quantile over the trusted texts, without a margin. With fewer than 100 trusted texts that is their
+largest. Some texts that repeat well-formed words lie below it and pass.
 
 The probability tables have as many rows as the text has different n-grams. If that is within MODEL_ROWS they go to all
 tasks, which look n-grams up in sorted arrays; beyond it the documents' own n-gram counts, in blocks of documents, are
@@ -34,7 +34,8 @@ from framelake.llm.common import bucketed, labelled, marks_of, materialise, smal
 
 #: Rows of the probability tables that may go to every task (24 MB).
 MODEL_ROWS = 1_500_000
-QUANTILE, MARGIN = 0.999, 1.25
+#: Share of a language's trusted texts that the limit must keep; the rest, 1 %, is what it may reject of them.
+QUANTILE = 0.99
 #: Characters of a block of texts that share a list of trigrams.
 BLOCK_CHARS = 16 << 20
 #: Characters at the mean log probability of trusted text that are added to each text before it is judged.
@@ -273,9 +274,9 @@ def judged(model: Model, perplexity: Column, characters: Column) -> Column:
     return F.exp((F.log(perplexity) * characters + F.lit(PRIOR * model.entropy)) / (characters + PRIOR))
 
 
-def thresholds(scored: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> tuple[dict[str, float], float]:
-    """Per language, and over all, margin times the quantile of scored (lang, judged)."""
-    of = F.percentile("judged", F.lit(quantile)) * margin
+def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> tuple[dict[str, float], float]:
+    """Per language, and over all, the least of scored's values (lang, judged) that has the share quantile at or below it."""
+    of = F.expr(f"percentile_disc({quantile}D) WITHIN GROUP (ORDER BY judged)")
     rows = scored.where("judged is not null").rollup("lang").agg(F.grouping("lang").alias("all"), of.alias("t")).collect()
     every = next((r["t"] for r in rows if r["all"]), None)
     return {r["lang"]: r["t"] for r in rows if not r["all"] and r["lang"] is not None}, math.inf if every is None else every
@@ -286,7 +287,7 @@ def limit_of(limits: tuple[dict[str, float], float], lang: Column) -> Column:
     return F.coalesce(F.try_element_at(by, F.coalesce(lang, F.lit(""))), F.lit(limits[1]))
 
 
-def score(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """(doc_id, lang, perplexity, judged, limit, keep) of each row; trusted are the documents labelled quality 1."""
     trusted = labelled(docs, labels, "quality", learn_fold=False).where("label = 1")
     model = train(trusted)
@@ -297,18 +298,18 @@ def score(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin
     scored = with_perplexity(rows, model, "perplexity").withColumn("judged", judged(model, F.col("perplexity"), F.length(whole())))
     scored = materialise(scored.drop("text"), "scored")
     marks = marks_of(labels, "quality").where("label = 1")
-    limits = thresholds(scored.join(small(marks, labels.count()), "doc_id", "left_semi"), quantile, margin)
+    limits = thresholds(scored.join(small(marks, labels.count()), "doc_id", "left_semi"), quantile)
     scored = scored.withColumn("limit", limit_of(limits, F.col("lang")))
     return scored.withColumn("keep", F.coalesce(F.col("judged") <= F.col("limit"), F.lit(False)))
 
 
-def kept_documents(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def kept_documents(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """docs without the rejected ones, with all columns of docs."""
     trusted = labelled(docs, labels, "quality", learn_fold=False).where("label = 1")
     model = train(trusted)
     if model is None:
         return docs.where(whole() != "")
     seen = judged(model, F.col("_lm_perplexity"), F.length(whole()))
-    limits = thresholds(with_perplexity(trusted, model, "_lm_perplexity").select("lang", seen.alias("judged")), quantile, margin)
+    limits = thresholds(with_perplexity(trusted, model, "_lm_perplexity").select("lang", seen.alias("judged")), quantile)
     scored = with_perplexity(docs, model, "_lm_perplexity")
     return scored.where(seen <= limit_of(limits, F.col("lang").cast("string"))).drop("_lm_perplexity")

@@ -212,6 +212,13 @@ def test_quality_on_the_table(spark):
     assert got[got["quality"] == 0]["keep"].mean() < 0.5
 
 
+def test_quality_limit_has_no_margin(spark):
+    scored = spark.createDataFrame([("a", float(i)) for i in range(1, 1001)] + [("b", float(i)) for i in range(1, 21)], "lang string, judged double")
+    assert quality_lm.thresholds(scored)[0] == {"a": 990.0, "b": 20.0}
+    got = queries.op4_quality(spark, SF).join(table(spark, "labels").select("doc_id", "quality"), "doc_id").toPandas()
+    assert got[got["quality"] == 1]["keep"].mean() >= 0.98 and got[got["quality"] == 0]["keep"].mean() < 0.25
+
+
 def test_quality_edges(spark, docs_of):
     docs = docs_of(EDGES)
     labels = spark.createDataFrame([(4, 1, 0), (5, 1, 0), (5, 0, 0), (7, 1, None), (None, 1, 1)], LABELS)
