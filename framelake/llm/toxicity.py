@@ -1,8 +1,8 @@
 """Toxicity by a counterfactually regularised classifier.
 
 A text's features are its distinct lower-cased words, their beginnings and their ends. How many toxic and other texts
-hold a feature is counted over all labelled training texts; features that are clearly more frequent in toxic ones are
-kept, FEATURES at most, the clearest first. A logistic regression on them is fitted on a bounded sample, about SAMPLE
+hold a feature is counted over all labelled training texts, and for all features; those that are clearly more frequent
+in toxic ones are kept, FEATURES at most, the clearest first. A logistic regression on them is fitted on a bounded sample, about SAMPLE
 texts of each label, those with the smallest hashes, the same in each run. Its loss has, besides a ridge, the squared
 change of a text's logit when each identity term in it is swapped for another of its group, so that the mere mention of
 a group can't carry weight.
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from framelake.llm.common import fold, labelled, strings, whole
 
 FEATURES, SAMPLE, CUT = 1024, 4000, 0.7
-#: Features of at least LEAST toxic texts whose counts in other texts are taken; the most frequent CANDIDATES.
-LEAST, CANDIDATES = 3, 100_000
+#: Toxic texts that must hold a feature.
+LEAST = 3
 #: Standard errors that a feature's share in toxic texts exceeds that in others by.
 CLEAR = 4.5
 RIDGE, COUNTERFACTUAL = 3e-6, 1.0
@@ -71,26 +71,35 @@ class Index(dict):
         return {i for w in words for i in self[w]}
 
 
-def _counts(texts: DataFrame, among: list[str] | None) -> DataFrame:
-    """(feature, n): texts that hold each feature (of among, if given)."""
+def _counts(texts: DataFrame) -> DataFrame:
+    """(feature, n1, n0): toxic and other texts that hold each feature."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        index = Index(among) if among is not None else None
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([among[k] if index is not None else k for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["feature", "n"])
+        def out() -> Iterator[pa.RecordBatch]:
+            for label, own in enumerate(seen):
+                n = np.fromiter(own.values(), "int64", len(own))
+                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array(n * label), pa.array(n * (1 - label))], ["feature", "n1", "n0"])
+                own.clear()
 
         for batch in batches:
-            for text in strings(batch.column("text")):
-                words = words_of(text)
-                seen.update(index.of(words) if index is not None else {f for w in words for f in word_features(w)})
-            if len(seen) > 200_000:
-                yield out()
-                seen.clear()
-        yield out()
+            for text, label in zip(strings(batch.column("text")), batch.column("label").to_pylist()):
+                seen[label].update({f for w in words_of(text) for f in word_features(w)})
+                if len(seen[0]) + len(seen[1]) > 200_000:
+                    yield from out()
+        yield from out()
 
-    return texts.select("text").mapInArrow(count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    return texts.select("text", "label").mapInArrow(count, "feature string, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+
+
+def clearest(train: DataFrame, n1: int, n0: int) -> list[str]:
+    """The FEATURES clearest of all features of train's n1 toxic and n0 other texts."""
+    rows = _counts(train.where("label in (0, 1)")).where(F.col("n1") >= min(LEAST, n1))
+    p1, p0, p = F.col("n1") / n1, F.col("n0") / n0, (F.col("n1") + F.col("n0") + 0.5) / (n1 + n0 + 1)
+    rows = rows.withColumn("z", (p1 - p0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)))
+    best = rows.where((F.col("z") >= CLEAR) & (p1 >= 2 * p0)).orderBy(F.desc("z"), "feature").limit(FEATURES)
+    return [r["feature"] for r in best.select("feature", "z").collect()]
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, change: np.ndarray, ridge: float = RIDGE, counterfactual: float = COUNTERFACTUAL, rounds: int = 25) -> tuple[np.ndarray, float]:
@@ -119,15 +128,7 @@ def fit(train: DataFrame) -> dict:
     plain = {"features": [], "weights": np.zeros(0), "intercept": math.log(max(share, 1e-6) / max(1 - share, 1e-6))}
     if not n1 or not n0:
         return plain
-    toxic = _counts(train.where("label = 1"), None).where(F.col("n") >= min(LEAST, n1)).orderBy(F.desc("n"), "feature").limit(CANDIDATES).toPandas()
-    if not len(toxic):
-        return plain
-    other = _counts(train.where("label = 0"), toxic["feature"].to_list()).toPandas()
-    both = toxic.merge(other, on="feature", how="left", suffixes=("1", "0")).fillna({"n0": 0})
-    p1, p0, p = both["n1"] / n1, both["n0"] / n0, (both["n1"] + both["n0"] + 0.5) / (n1 + n0 + 1)
-    both["z"] = (p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    best = both[(both["z"] >= CLEAR) & (p1 >= 2 * p0)].sort_values(["z", "feature"], ascending=[False, True])
-    features = best["feature"].head(FEATURES).to_list()
+    features = clearest(train, n1, n0)
     if not features:
         return plain
     lot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))

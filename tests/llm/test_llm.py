@@ -387,6 +387,14 @@ def test_toxicity_finds_planted_words_and_spares_groups(spark, docs_of):
     assert s[1] < 0.7 and abs(np.log(s[1] / (1 - s[1])) - np.log(s[2] / (1 - s[2]))) < 1.0
 
 
+def test_rare_clear_words_outlast_frequent_ones(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CANDIDATES", 100, raising=False)
+    common = " ".join(f"usual{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100))
+    texts = [(i, f"{common} grubworm" if i % 10 == 0 else common, 1) for i in range(100)] + [(100 + i, common, 0) for i in range(400)]
+    found = toxicity.fit(spark.createDataFrame(texts, "doc_id long, text string, label int"))["features"]
+    assert "grubworm" in found and not any(f.startswith("usual") for f in found)
+
+
 def test_counterfactual_penalty_flattens_a_weight():
     x = np.array([[1.0, 0], [1, 1], [0, 0], [0, 1]] * 50)
     y = np.array([1.0, 1, 0, 0] * 50)
