@@ -1,20 +1,26 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of character trigrams, trained on trusted text.
 
-Trigrams of code points (three times 21 bits, packed exactly into a long) are counted in every whole trusted text,
-pre-added in each task. Everything else of the training is joins and sums of count tables, dealt by n-gram: count
-trigrams, their contexts' sums, how many contexts a bigram continues, the discounts from the counts of counts, and the
-interpolated probabilities. A document's perplexity is that of all its characters. Since a short text says little, it
-is judged with PRIOR more characters of the trusted text's mean: it is kept if the perplexity so drawn to the mean is at
-most its language's quantile over the trusted texts, without a margin. With fewer than 100 trusted texts that is their
-largest. Some texts that repeat well-formed words lie below it and pass.
-
-The probability tables have as many rows as the text has different n-grams. If that is within MODEL_ROWS they go to all
-tasks, which look n-grams up in sorted arrays; beyond it the documents' own n-gram counts, in blocks of documents, are
-joined to the tables by shuffles. Both ways give the same perplexities.
+Trigrams of code points (three times 21 bits, packed exactly into a long) are counted in whole trusted texts, pre-added
+in each task. Everything else of the training is joins and sums of count tables, dealt by n-gram: count trigrams, their
+contexts' sums, how many contexts a bigram continues, the discounts from the counts of counts, and the interpolated
+probabilities. A document's perplexity is that of all its characters, and comes from joins too:
+
+1. Tasks read the documents in blocks of about BLOCK_CHARS and write the rows, with their block's number, and each
+   block's distinct trigrams once, in buckets of the block.
+2. The distinct trigrams of the corpus are joined to the model's tables, dealt by n-gram; a trigram that they lack is
+   backed off to its bigram and to its last character.
+3. The blocks' trigrams are joined to what comes out, and meet the block's rows, which the buckets keep in place.
+
+One trusted text of HOLD_OUT is kept out of training. Limits come from these: since a short text says little, a text is
+judged with PRIOR more characters of the trained text's mean, and kept if the perplexity so drawn to the mean is at most
+its language's QUANTILE over the held-out texts, found exactly by counting in bins. A language with fewer than LEAST of
+them, whose quantile would be one chance text's, has the quantile over all its trusted texts. Some texts that repeat
+well-formed words lie below the limit and pass.
 
 Defined results: null and empty texts have no perplexity and aren't kept; a language without trusted texts, or a null
-one, has the quantile over all trusted texts; without any trusted text, all but empty texts are kept. Repeated rows get
-equal results; extra columns are ignored by score() and kept by kept_documents().
+one, has the quantile over all texts that set a limit; where the hash holds out all trusted texts, they train the model
+too; without any trusted text, all but empty texts are kept. A text of any length is read in slices. Equal texts get equal results; extra columns, whatever their names, are ignored by score() and kept by
+kept_documents().
 """
 
 from __future__ import annotations
@@ -26,18 +32,22 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.broadcast import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from framelake.llm.common import bucketed, labelled, marks_of, materialise, small, strings, whole
+from framelake.llm.common import bucketed, labelled, materialise, small, strings, whole
 
-#: Rows of the probability tables that may go to every task (24 MB).
-MODEL_ROWS = 1_500_000
-#: Share of a language's trusted texts that the limit must keep; the rest, 1 %, is what it may reject of them.
+#: Share of a language's held-out trusted texts that the limit must keep; the rest, 1 %, is what it may reject of them.
 QUANTILE = 0.99
-#: Characters of a block of texts that share a list of trigrams.
-BLOCK_CHARS = 16 << 20
+#: One trusted text of so many is held out from training.
+HOLD_OUT = 5
+#: Held-out texts of a language, below which its other trusted texts help to set its limit.
+LEAST = 100
+#: Characters of a block of texts that share a list of trigrams, and of a slice of a text.
+BLOCK_CHARS, SLICE = 4 << 20, 1 << 20
+#: Rows (key, logp) of the corpus' trigrams that may be broadcast (8 MB); more are joined by a shuffle.
+KNOWN_ROWS = 500_000
 #: Characters at the mean log probability of trusted text that are added to each text before it is judged.
 PRIOR = 100
 _BEGIN, _BITS = 0x110000, 21
@@ -46,9 +56,16 @@ _LOW, _LOW2 = (1 << _BITS) - 1, (1 << 2 * _BITS) - 1
 
 def trigrams(text: str) -> np.ndarray:
     """Packed trigrams of a text, one for each character, with two begin marks before the first."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype("int64")
-    c = np.concatenate(([_BEGIN, _BEGIN], c))
-    return (c[:-2] << 2 * _BITS) | (c[1:-1] << _BITS) | c[2:]
+    return np.concatenate([*slices(text), np.zeros(0, "int64")])
+
+
+def slices(text: str) -> Iterator[np.ndarray]:
+    """trigrams() of SLICE characters at a time."""
+    before = np.array([_BEGIN, _BEGIN], "int64")
+    for at in range(0, len(text), SLICE):
+        c = np.concatenate((before, np.frombuffer(text[at : at + SLICE].encode("utf-32-le", "surrogatepass"), "<u4")))
+        yield (c[:-2] << 2 * _BITS) | (c[1:-1] << _BITS) | c[2:]
+        before = c[-2:]
 
 
 def _add_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,10 +88,11 @@ def count_trigrams(texts: DataFrame, text: str = "text") -> DataFrame:
 
         for batch in batches:
             for s in strings(batch.column(text)):
-                waiting.append(trigrams(s))
-                held += len(waiting[-1])
-                if held > 2_000_000:
-                    press()
+                for grams in slices(s):
+                    waiting.append(grams)
+                    held += len(grams)
+                    if held > 1_000_000:
+                        press()
         press()
         if keys:
             for at in range(0, len(keys[0]), 100_000):
@@ -113,7 +131,6 @@ class Model:
     uni: DataFrame
     unknown: float
     entropy: float
-    rows: int
 
 
 def train(trusted: DataFrame) -> Model | None:
@@ -142,86 +159,51 @@ def train(trusted: DataFrame) -> Model | None:
     ctx3, ctx2 = logs(ctx3, "ctx3"), logs(ctx2, "ctx2")
     log_p = lambda df, name: materialise(df.select("key", F.log("p").alias("logp")), name)
     uni, bi = log_p(uni, "uni"), log_p(bi, "logbi")
-    return Model(tri, ctx3, bi, ctx2, uni, math.log(uniform), entropy, sum(x.count() for x in (tri, ctx3, bi, ctx2, uni)))
-
-
-def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return keys[at] == wanted, values[at]
-
-
-def _log_probs(tables: dict, keys: np.ndarray) -> np.ndarray:
-    """ln p of each packed trigram: stored, else backed off to its bigram, else to its last character."""
-    hit, out = _look_up(*tables["tri"], keys)
-    if len(miss := np.flatnonzero(~hit)):
-        k = keys[miss]
-        known, gamma = _look_up(*tables["ctx3"], k >> _BITS)
-        hit2, p = _look_up(*tables["bi"], k & _LOW2)
-        known2, gamma2 = _look_up(*tables["ctx2"], (k >> _BITS) & _LOW)
-        hit1, p1 = _look_up(*tables["uni"], k & _LOW)
-        p1 = np.where(hit1, p1, tables["unknown"]) + np.where(known2, gamma2, 0)
-        out = out.copy()
-        out[miss] = np.where(known, gamma, 0) + np.where(hit2, p, p1)
-    return out
-
-
-def _to_tasks(model: Model) -> Broadcast:
-    tables: dict = {"unknown": model.unknown}
-    for name in ("tri", "ctx3", "bi", "ctx2", "uni"):
-        pdf = getattr(model, name).toPandas().sort_values(getattr(model, name).columns[0])
-        tables[name] = (pdf.iloc[:, 0].to_numpy("int64"), pdf.iloc[:, 1].to_numpy("float64"))
-    return model.uni.sparkSession.sparkContext.broadcast(tables)
-
-
-def perplexity_udf(model: Model):
-    """A column function text -> perplexity, for models within MODEL_ROWS."""
-    tables = _to_tasks(model)
-
-    @F.arrow_udf("double")
-    def perplexity(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in texts:
-            yield pa.array([math.exp(-_log_probs(tables.value, trigrams(s)).mean()) if s else None for s in strings(batch)], pa.float64())
-
-    return lambda text: perplexity(text)
-
-
-_BLOCKS = "block long, start int, keys array<long>, digests array<binary>, sizes array<int>, places array<int>, counts array<int>"
+    return Model(tri, ctx3, bi, ctx2, uni, math.log(uniform), entropy)
 
 
 def _gram_blocks(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: a block's distinct trigrams (keys, numbered from start), and its texts' counts by their numbers.
+    """Rows of two kinds: (block, row) with a row of docs as a struct, and (block, keys), a block's distinct trigrams.
 
-    A block is what a task has read when its texts reach BLOCK_CHARS, so a common trigram has one row in each block.
+    A block ends where a task has read BLOCK_CHARS of texts, so a common trigram has one entry in each block.
     """
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    schema = StructType([StructField("block", LongType()), StructField("row", rows.schema["row"].dataType), StructField("keys", ArrayType(LongType()))])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, block, held, digests, keys, counts = TaskContext.get().partitionId(), 0, 0, [], [], []
-        schema = pa.schema([("block", pa.int64()), ("start", pa.int32()), ("keys", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("places", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
-
-        def rows_of() -> Iterator[pa.RecordBatch]:
-            number = (part << 24) | block
-            known, places = np.unique(np.concatenate(keys), return_inverse=True)
-            for at in range(0, len(known), 10_000):
-                yield pa.RecordBatch.from_pylist([{"block": number, "start": at, "keys": known[at : at + 10_000]}], schema)
-            sizes = [len(k) for k in keys]
-            edges = np.concatenate(([0], np.cumsum(sizes)))
-            for i in range(0, len(digests), 256):
-                own = slice(edges[i], edges[min(i + 256, len(digests))])
-                yield pa.RecordBatch.from_pylist([{"block": number, "digests": digests[i : i + 256], "sizes": sizes[i : i + 256], "places": places[own], "counts": np.concatenate(counts[i : i + 256])}], schema)
+        part, block, held, known, waiting, kind = TaskContext.get().partitionId(), 0, 0, np.zeros(0, "int64"), [], None
+
+        def press() -> None:
+            nonlocal known, waiting
+            known, waiting = np.unique(np.concatenate((known, *waiting))), []
+
+        def rows_of(rows: pa.StructArray) -> pa.RecordBatch:
+            number = pa.array(np.full(len(rows), (part << 24) | block))
+            return pa.RecordBatch.from_arrays([number, rows, pa.nulls(len(rows), pa.list_(pa.int64()))], ["block", "row", "keys"])
+
+        def keys_of() -> pa.RecordBatch:
+            press()
+            return pa.RecordBatch.from_arrays([pa.array([(part << 24) | block]), pa.nulls(1, kind), pa.array([known], pa.list_(pa.int64()))], ["block", "row", "keys"])
 
         for batch in batches:
-            for digest, text in zip(batch.column("digest").to_pylist(), strings(batch.column("text"))):
-                k, n = np.unique(trigrams(text), return_counts=True)
-                digests.append(digest), keys.append(k), counts.append(n)
-                held += len(text)
+            rows, begun = batch.column("row"), 0
+            kind = rows.type
+            for at, text in enumerate(strings(rows.field("text"))):
+                for grams in slices(text or ""):
+                    waiting.append(np.unique(grams))
+                    held += len(grams)
+                    if len(waiting) >= 256:
+                        press()
                 if held > BLOCK_CHARS:
-                    yield from rows_of()
-                    block, held, digests, keys, counts = block + 1, 0, [], [], []
-        if digests:
-            yield from rows_of()
+                    yield rows_of(rows.slice(begun, at + 1 - begun))
+                    yield keys_of()
+                    block, held, known, begun = block + 1, 0, np.zeros(0, "int64"), at + 1
+            if begun < len(rows):
+                yield rows_of(rows.slice(begun))
+        if held or len(known):
+            yield keys_of()
 
-    texts = docs.select(whole().alias("text")).where("text != ''").select("text", F.unhex(F.sha2("text", 256)).alias("digest"))
-    return texts.mapInArrow(split, _BLOCKS)
+    return rows.mapInArrow(split, schema)
 
 
 def log_probabilities(keys: DataFrame, model: Model) -> DataFrame:
@@ -235,51 +217,54 @@ def log_probabilities(keys: DataFrame, model: Model) -> DataFrame:
     return rows.select("key", F.coalesce("p3", back).alias("logp"))
 
 
-def joined_perplexities(docs: DataFrame, model: Model) -> DataFrame:
-    """(digest, perplexity) of docs' distinct texts by shuffled joins, for models of any size.
+def _mean_log(text: str, keys: np.ndarray, logp: np.ndarray) -> float:
+    return sum(float(logp[np.searchsorted(keys, grams)].sum()) for grams in slices(text)) / len(text)
 
-    The corpus' distinct trigrams are joined to the model once; what comes out is joined to the blocks' trigrams, and
-    each block's values go back to its texts' counts, which buckets keep in place.
-    """
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+
+def with_perplexity(docs: DataFrame, model: Model) -> DataFrame:
+    """(row, perplexity): docs' rows as structs and the perplexities of their whole texts, by joins of counted trigrams."""
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = bucketed(_gram_blocks(docs), buckets, "block")
-    grams = blocks.where("keys is not null").select("block", "start", F.posexplode("keys").alias("at", "key"))
+    grams = blocks.where("keys is not null").select("block", F.explode("keys").alias("key"))
     known = materialise(log_probabilities(grams.select("key").distinct(), model), "known")
-    values = grams.join(known, "key").select(F.col("block").alias("in_block"), (F.col("start") + F.col("at")).alias("place"), "logp")
-    runs = blocks.where("digests is not null").select("block", "digests", "sizes", "places", "counts")
-
-    def add_up(values: pa.Table, runs: pa.Table) -> pa.Table:
-        logp = np.zeros(values.num_rows)
-        logp[values["place"].to_numpy()] = values["logp"].to_numpy()
-        flat = lambda c: runs[c].combine_chunks().flatten()
-        sizes, n = flat("sizes").to_numpy().astype("int64"), flat("counts").to_numpy().astype("int64")
-        starts = np.cumsum(sizes) - sizes
-        mean = np.add.reduceat(n * logp[flat("places").to_numpy()], starts) / np.add.reduceat(n, starts)
-        return pa.table([flat("digests"), pa.array(np.exp(-mean))], ["digest", "perplexity"])
-
-    found = values.groupBy("in_block").cogroup(runs.groupBy("block")).applyInArrow(add_up, "digest binary, perplexity double")
-    return found.groupBy("digest").agg(F.max("perplexity").alias("perplexity"))
+    values = grams.join(small(known, known.count(), KNOWN_ROWS), "key").select(F.col("block").alias("in_block"), "key", "logp")
+    rows = blocks.where("row is not null").select("block", "row")
 
+    def add_up(values: pa.Table, rows: pa.Table) -> pa.Table:
+        keys, logp = values["key"].to_numpy(), values["logp"].to_numpy()
+        order = np.argsort(keys)
+        keys, logp = keys[order], logp[order]
+        found = [math.exp(-_mean_log(s, keys, logp)) if s else None for c in rows["row"].chunks for s in strings(c.field("text"))]
+        return pa.table([rows["row"], pa.array(found, pa.float64())], ["row", "perplexity"])
 
-def with_perplexity(docs: DataFrame, model: Model, name: str, most: int = MODEL_ROWS) -> DataFrame:
-    """docs with the column name: the perplexity of its whole text."""
-    if model.rows <= most:
-        return docs.withColumn(name, perplexity_udf(model)(whole()))
-    found = joined_perplexities(docs, model).select(F.col("digest").alias("_lm_digest"), F.col("perplexity").alias(name))
-    return docs.join(found, F.unhex(F.sha2(whole(), 256)) == F.col("_lm_digest"), "left").drop("_lm_digest")
+    schema = StructType([StructField("row", rows.schema["row"].dataType), StructField("perplexity", DoubleType())])
+    return values.groupBy("in_block").cogroup(rows.groupBy("block")).applyInArrow(add_up, schema)
 
 
 def judged(model: Model, perplexity: Column, characters: Column) -> Column:
-    """The perplexity drawn to the trusted text's by PRIOR characters of it."""
+    """The perplexity drawn to the trained text's by PRIOR characters of it."""
     return F.exp((F.log(perplexity) * characters + F.lit(PRIOR * model.entropy)) / (characters + PRIOR))
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> tuple[dict[str, float], float]:
-    """Per language, and over all, the least of scored's values (lang, judged) that has the share quantile at or below it."""
-    of = F.expr(f"percentile_disc({quantile}D) WITHIN GROUP (ORDER BY judged)")
-    rows = scored.where("judged is not null").rollup("lang").agg(F.grouping("lang").alias("all"), of.alias("t")).collect()
-    every = next((r["t"] for r in rows if r["all"]), None)
-    return {r["lang"]: r["t"] for r in rows if not r["all"] and r["lang"] is not None}, math.inf if every is None else every
+    """Per language, and over all, the least of scored's values (lang, judged) that has the share quantile at or below it.
+
+    Counts by bins of ln judged say which bin holds the rank; only that bin's values are counted one by one.
+    """
+    group = F.explode(F.array(F.struct(F.lit(True).alias("every"), F.lit("").alias("lang")), F.struct(F.lit(False).alias("every"), F.col("lang")))).alias("g")
+    each = scored.where("judged is not null").select(F.floor(F.log("judged") * 1000).alias("bin"), "judged", group)
+    each = materialise(each.select("g.every", "g.lang", "bin", "judged").where("lang is not null").groupBy("every", "lang", "bin", "judged").agg(F.count("*").alias("n")), "judged")
+
+    def ranked(counts: DataFrame, value: str) -> DataFrame:
+        by = Window.partitionBy("every", "lang")
+        upto = by.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+        return counts.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(by))
+
+    bins = ranked(each.groupBy("every", "lang", "bin").agg(F.sum("n").alias("n")), "bin").withColumn("rank", F.ceil(F.col("total") * F.lit(quantile)))
+    bins = materialise(bins.where("upto >= rank and upto - n < rank").select("every", "lang", "bin", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank")), "bins")
+    inside = ranked(each.join(F.broadcast(bins) if bins.count() < 100_000 else bins, ["every", "lang", "bin"]), "judged")
+    found = inside.where("upto >= rank and upto - n < rank").select("every", "lang", "judged").collect()
+    return {r["lang"]: r["judged"] for r in found if not r["every"]}, next((r["judged"] for r in found if r["every"]), math.inf)
 
 
 def limit_of(limits: tuple[dict[str, float], float], lang: Column) -> Column:
@@ -287,29 +272,38 @@ def limit_of(limits: tuple[dict[str, float], float], lang: Column) -> Column:
     return F.coalesce(F.try_element_at(by, F.coalesce(lang, F.lit(""))), F.lit(limits[1]))
 
 
+def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> tuple[Model, tuple[dict[str, float], float]] | None:
+    """The model and the limits from docs that are labelled quality 1; None without their text."""
+    trusted = labelled(docs, labels, "quality", learn_fold=False).where("label = 1 and text != ''")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(HOLD_OUT)) == 0
+    counts = trusted.groupBy("lang").agg(F.count_if(held).alias("held"), F.count("*").alias("n")).collect()
+    if not counts:
+        return None
+    trained, few = sum(r["n"] - r["held"] for r in counts), [r["lang"] for r in counts if r["lang"] is not None and r["held"] < LEAST]
+    model = train(trusted.where(~held) if trained else trusted)
+    judges = trusted if sum(r["held"] for r in counts) < LEAST else trusted.where(held | F.coalesce(F.col("lang").isin(few), F.lit(False)))
+    scored = with_perplexity(judges, model).select("row.lang", judged(model, F.col("perplexity"), F.length("row.text")).alias("judged"))
+    return model, thresholds(scored, quantile)
+
+
 def score(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """(doc_id, lang, perplexity, judged, limit, keep) of each row; trusted are the documents labelled quality 1."""
-    trusted = labelled(docs, labels, "quality", learn_fold=False).where("label = 1")
-    model = train(trusted)
-    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    if model is None:
+    """(doc_id, lang, perplexity, judged, limit, keep) of each row."""
+    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), whole().alias("text"))
+    fitted = fit(docs, labels, quantile)
+    if fitted is None:
         none = F.lit(None).cast("double")
-        return rows.select("doc_id", "lang", none.alias("perplexity"), none.alias("judged"), F.lit(math.inf).alias("limit"), (whole() != "").alias("keep"))
-    scored = with_perplexity(rows, model, "perplexity").withColumn("judged", judged(model, F.col("perplexity"), F.length(whole())))
-    scored = materialise(scored.drop("text"), "scored")
-    marks = marks_of(labels, "quality").where("label = 1")
-    limits = thresholds(scored.join(small(marks, labels.count()), "doc_id", "left_semi"), quantile)
+        return rows.select("doc_id", "lang", none.alias("perplexity"), none.alias("judged"), F.lit(math.inf).alias("limit"), (F.col("text") != "").alias("keep"))
+    model, limits = fitted
+    scored = with_perplexity(rows, model).select("row.doc_id", "row.lang", "perplexity", judged(model, F.col("perplexity"), F.length("row.text")).alias("judged"))
     scored = scored.withColumn("limit", limit_of(limits, F.col("lang")))
     return scored.withColumn("keep", F.coalesce(F.col("judged") <= F.col("limit"), F.lit(False)))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """docs without the rejected ones, with all columns of docs."""
-    trusted = labelled(docs, labels, "quality", learn_fold=False).where("label = 1")
-    model = train(trusted)
-    if model is None:
+    fitted = fit(docs, labels, quantile)
+    if fitted is None:
         return docs.where(whole() != "")
-    seen = judged(model, F.col("_lm_perplexity"), F.length(whole()))
-    limits = thresholds(with_perplexity(trusted, model, "_lm_perplexity").select("lang", seen.alias("judged")), quantile)
-    scored = with_perplexity(docs, model, "_lm_perplexity")
-    return scored.where(seen <= limit_of(limits, F.col("lang").cast("string"))).drop("_lm_perplexity")
+    model, limits = fitted
+    seen = judged(model, F.col("perplexity"), F.length("row.text"))
+    return with_perplexity(docs, model).where(seen <= limit_of(limits, F.col("row.lang").cast("string"))).select("row.*")
