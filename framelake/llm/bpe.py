@@ -1,8 +1,10 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
-1. A task splits its whole texts into pre-tokens. The texts of about BLOCK_BYTES form a block: its distinct words, and
-   for each document the places of its words among these, in order. Both are written once, in buckets of the block.
-2. The blocks' words are dealt by their hash, so each distinct word of the corpus meets in one task and is encoded once.
+1. A task splits its whole texts into pre-tokens. The texts of about BLOCK_CHARS form a block: its distinct words, in the
+   order in which they come, and for each document the places of its words among these. Both are written once, in
+   buckets of the block.
+2. The blocks' words are dealt by the word and sorted, so each distinct word of the corpus meets in one task, in a row,
+   and is encoded once.
 3. The ids go back to the blocks and are joined to the documents' word places, which the buckets keep from being moved;
    this gives each document's ids in order.
 4. Decoding joins the table of token bytes (at most its vocabulary's size) to the ids.
@@ -10,8 +12,9 @@
 A block stands for its positions as arrays, so that a row is neither written for each pre-token nor moved for it; a very
 common word has one entry in each block.
 
-Defined results: null texts are empty and have no ids; repeated rows are returned each; extra columns are ignored; an
-empty table gives an empty result. Special strings in texts are ordinary text.
+Defined results: null texts are empty and have no ids; repeated rows are returned each; extra columns, whatever their
+names, are ignored; an empty table gives an empty result. A text of any length is one document of one block, whose task
+holds its words once. Special strings in texts are ordinary text. All machines need the rank file at its path.
 """
 
 from __future__ import annotations
@@ -24,18 +27,17 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import bucketed, strings, whole
+from framelake.llm.common import bucketed, release, strings, trimmed, whole
 
-BLOCK_BYTES = 32 << 20
-#: Documents whose word places are one row.
-RUN = 256
-#: Distinct words whose ids a task remembers before it starts anew.
-REMEMBERED = 300_000
+BLOCK_CHARS = 32 << 20
+#: Documents whose word places are one row, and words that are one row.
+RUN, WORDS = 256, 10_000
 
 
 @lru_cache(maxsize=2)  # a worker keeps them over its tasks
@@ -54,88 +56,74 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
 
 
-_BLOCKS = "block long, bucket int, words array<string>, doc_ids array<{id}>, n_words array<int>, places binary"
+_BLOCKS = "block long, start int, words array<string>, doc_ids array<{id}>, n_words array<int>, places binary"
 
 
-def split_into_blocks(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows of two kinds: a block's words by bucket, and runs of documents with their words' places in the block.
-
-    A block's words are numbered bucket by bucket, in the order of each bucket's list.
-    """
+def split_into_blocks(docs: DataFrame) -> DataFrame:
+    """Rows of two kinds: a block's distinct words, numbered from start, and runs of documents with their words' numbers."""
     rows = docs.select("doc_id", whole().alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
+    @trimmed
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
         import regex
-        import xxhash
 
         find, part, block = regex.compile(public_tokenizers.PATTERN).findall, TaskContext.get().partitionId(), 0
-        held, ids, places, counts, known = 0, [], [], [], {}
-        schema = None
-
-        def rows_of() -> Iterator[pa.RecordBatch]:
-            number = (part << 24) | block
-            words, place = list(known), np.concatenate(places)
-            at = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in words), "int64", len(words))
-            often = np.bincount(place, minlength=len(words))
-            order = np.lexsort((-often, at))
-            new = np.empty(len(words), "int32")
-            new[order] = np.arange(len(words))
-            place = new[place]
-            ends = np.searchsorted(at[order], np.arange(buckets), "right")
-            out, start = [], 0
-            for b, end in enumerate(ends):
-                if end > start:
-                    out.append({"block": number, "bucket": b, "words": [words[i] for i in order[start:end]]})
-                start = end
-            edges = np.concatenate(([0], np.cumsum(counts)))
-            for i in range(0, len(ids), RUN):
-                n = counts[i : i + RUN]
-                out.append({"block": number, "doc_ids": ids[i : i + RUN], "n_words": n, "places": _pack(place[edges[i] : edges[i + len(n)]])})
-            for i in range(0, len(out), 64):
-                yield pa.RecordBatch.from_pylist(out[i : i + 64], schema)
+        held, ids, places, known, schema = 0, [], [], {}, None
+
+        def run_of() -> pa.RecordBatch:
+            row = {"block": (part << 24) | block, "doc_ids": list(ids), "n_words": [len(p) for p in places], "places": _pack(np.concatenate(places))}
+            ids.clear(), places.clear()
+            return pa.RecordBatch.from_pylist([row], schema)
+
+        def words_of() -> Iterator[pa.RecordBatch]:
+            words = list(known)
+            for at in range(0, len(words), WORDS):
+                yield pa.RecordBatch.from_pylist([{"block": (part << 24) | block, "start": at, "words": words[at : at + WORDS]}], schema)
 
         for batch in batches:
-            schema = schema or pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("words", pa.list_(pa.string())), ("doc_ids", pa.list_(batch.schema.field("doc_id").type)), ("n_words", pa.list_(pa.int32())), ("places", pa.binary())])
+            schema = schema or pa.schema([("block", pa.int64()), ("start", pa.int32()), ("words", pa.list_(pa.string())), ("doc_ids", pa.list_(batch.schema.field("doc_id").type)), ("n_words", pa.list_(pa.int32())), ("places", pa.binary())])
             for doc, text in zip(batch.column("doc_id").to_pylist(), strings(batch.column("text"))):
                 found = pa.array(find(text), pa.string()).dictionary_encode()
                 own = np.fromiter((known.setdefault(w, len(known)) for w in found.dictionary.to_pylist()), "int32", len(found.dictionary))
                 places.append(own[found.indices.to_numpy()])
                 ids.append(doc)
-                counts.append(len(found))
                 held += len(text)
-                if held > BLOCK_BYTES:
-                    yield from rows_of()
-                    held, ids, places, counts, known, block = 0, [], [], [], {}, block + 1
+                if len(ids) == RUN:
+                    yield run_of()
+                if held > BLOCK_CHARS:
+                    if ids:
+                        yield run_of()
+                    yield from words_of()
+                    held, known, block = 0, {}, block + 1
         if ids:
-            yield from rows_of()
+            yield run_of()
+        yield from words_of()
 
     return rows.mapInArrow(split, _BLOCKS.format(id=id_type))
 
 
-def encode_words(lists: DataFrame, ranks_path: str) -> DataFrame:
-    """(block, bucket, ids, lengths): the ids of each list's words one after the other, and how many each word has."""
+def encode_words(words: DataFrame, ranks_path: str) -> DataFrame:
+    """(block, number, ids) of words (block, number, word), which come sorted by word; ids as little-endian integers."""
 
+    @trimmed
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        coder, known = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=read_ranks(ranks_path), special_tokens={}), {}
+        coder, last = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=read_ranks(ranks_path), special_tokens={}), (None, b"")
         for batch in batches:
-            ids, lengths = [], []
-            for words in batch.column("words").to_pylist():
-                if len(known) > REMEMBERED:
-                    known.clear()
-                for w in words:
-                    if w not in known:
-                        known[w] = coder.encode_ordinary(w)
-                each = [known[w] for w in words]
-                lengths.append(np.fromiter(map(len, each), "<u4", len(each)))
-                ids.append(np.fromiter((i for x in each for i in x), "<u4"))
-            packed = [pa.array([_pack(x) for x in col], pa.binary()) for col in (ids, lengths)]
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), *packed], ["block", "bucket", "ids", "lengths"])
-
-    return lists.mapInArrow(encode, "block long, bucket int, ids binary, lengths binary")
+            runs = pc.run_end_encode(batch.column("word"))
+            ids = []
+            for word in runs.values.to_pylist():
+                if word != last[0]:  # the first may go on from the batch before
+                    last = (word, np.array(coder.encode_ordinary(word), "<u4").tobytes())
+                ids.append(last[1])
+            lengths = np.diff(runs.run_ends.to_numpy(), prepend=0)
+            column = pa.array(ids, pa.binary()).take(pa.array(np.repeat(np.arange(len(ids)), lengths)))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("number"), column], ["block", "number", "ids"])
+
+    return words.mapInArrow(encode, "block long, number int, ids binary")
 
 
 def _gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -149,21 +137,19 @@ def _assemble(kind: pa.DataType, ranks_path: str, with_ids: bool):
     """Joins a block's ids to its documents' word places; digests of ids and of decoded bytes, or the ids themselves."""
 
     def assemble(words: pa.Table, runs: pa.Table) -> pa.Table:
-        ids_of, lens_of = [], []
-        order = np.argsort(words["bucket"].to_numpy())
-        for i in order:
-            ids_of.append(_unpack(words["ids"][int(i)].as_py()))
-            lens_of.append(_unpack(words["lengths"][int(i)].as_py()).astype("int64"))
-        ids = np.concatenate(ids_of) if ids_of else np.zeros(0, "<u4")
-        lens = np.concatenate(lens_of) if lens_of else np.zeros(0, "int64")
-        starts = np.cumsum(lens) - lens
+        number, column = words["number"].to_numpy(), words["ids"].combine_chunks()
+        own = pc.binary_length(column).to_numpy().astype("int64") // 4
+        ids = np.frombuffer(b"".join(column.to_pylist()), "<u4")
+        lens, starts = np.zeros(len(number), "int64"), np.zeros(len(number), "int64")
+        lens[number], starts[number] = own, np.cumsum(own) - own
         table = sorted(read_ranks(ranks_path).items(), key=lambda x: x[1])
         tokens = np.frombuffer(b"".join(t for t, _ in table), "u1")
         token_lens = np.zeros(table[-1][1] + 1, "int64")
         token_lens[[i for _, i in table]] = [len(t) for t, _ in table]
         token_starts = np.cumsum(token_lens) - token_lens
         out: list[list] = [[] for _ in range(4)]
-        for docs, counts, places in zip(*(runs[c].to_pylist() for c in ("doc_ids", "n_words", "places"))):
+        for at in range(runs.num_rows):
+            docs, counts, places = (runs[c][at].as_py() for c in ("doc_ids", "n_words", "places"))
             place = _unpack(places)
             all_lens = lens[place]
             all_ids = _gather(ids, starts[place], all_lens).astype("<u4")
@@ -177,6 +163,7 @@ def _assemble(kind: pa.DataType, ranks_path: str, with_ids: bool):
                 out[2].append(own.astype("int32") if with_ids else hashlib.sha256(own.tobytes()).hexdigest())
                 if not with_ids:
                     out[3].append(hashlib.sha256(raw[bytes_at[i] : bytes_at[i + 1]].tobytes()).hexdigest())
+        release()
         if with_ids:
             return pa.table([pa.array(out[0], kind), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int32()))], ["doc_id", "n_tokens", "ids"])
         return pa.table([pa.array(out[0], kind), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -186,20 +173,20 @@ def _assemble(kind: pa.DataType, ranks_path: str, with_ids: bool):
 
 def encode(docs: DataFrame, ranks_path: str, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row; with_ids: (doc_id, n_tokens, ids) instead."""
-    spark = docs.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions() // 2)
-    blocks = bucketed(split_into_blocks(docs, buckets), buckets, "block")
-    lists = blocks.where("words is not null").select("block", "bucket", "words").repartition(buckets, "bucket")
+    blocks = bucketed(split_into_blocks(docs), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block")
+    words = blocks.where("words is not null").select("block", "start", F.posexplode("words").alias("at", "word"))
+    words = words.select("block", (F.col("start") + F.col("at")).alias("number"), "word").repartition("word").sortWithinPartitions("word")
     runs = blocks.where("doc_ids is not null").select("block", "doc_ids", "n_words", "places")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     kind = blocks.select("doc_ids").limit(0).toArrow().schema.field("doc_ids").type.value_type
     out = f"doc_id {id_type}, n_tokens long, " + ("ids array<int>" if with_ids else "ids_sha256 string, decoded_sha256 string")
-    return encode_words(lists, ranks_path).groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(_assemble(kind, ranks_path, with_ids), out)
+    return encode_words(words, ranks_path).groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(_assemble(kind, ranks_path, with_ids), out)
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
     """(doc_id, decoded): the bytes of each row's ids by a join to the token-byte table; unknown ids give null."""
 
+    @trimmed
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = {i: t for t, i in read_ranks(ranks_path).items()}
         for batch in batches:

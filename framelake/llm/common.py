@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+import time
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,6 +31,33 @@ def strings(column: pa.Array, most: int = 256) -> Iterator[str]:
         yield from column.slice(start, most).to_pylist()
 
 
+_released = 0.0
+
+
+def release(every: float = 1.0) -> None:
+    """Gives this worker's freed memory back to the machine, at most once in every seconds; workers outlive their tasks."""
+    global _released
+    if (now := time.monotonic()) - _released >= every:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # not glibc
+            pass
+        _released = now
+
+
+def trimmed(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """task, a generator over batches, with release() at its end."""
+
+    @wraps(task)
+    def run(batches: Iterator) -> Iterator:
+        yield from task(batches)
+        release(0)
+
+    return run
+
+
 def whole(text: str = "text") -> Column:
     """The text, null read as empty."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
