@@ -1,12 +1,13 @@
 """SimHash near-duplicate detection with BK-trees.
 
-Fingerprints are 64 bits wide; two link at RADIUS or fewer differing bits. All bits but RADIUS blocks of them must then
-agree, so each distinct fingerprint goes to a shard for each choice of agreeing blocks, and only shards hold links. How
-many blocks there are follows from the number of distinct fingerprints, so that a shard holds few of unlike texts. In a
-shard stands a BK-tree: children are keyed by their Hamming distance to the parent, and a search follows only edges
-within RADIUS of its own distance. The trees are not sent to all tasks, since they grow with the corpus; fingerprints go to
-their shards instead. A shard of more than PIECE fingerprints is split: its pieces' trees are each searched by the other
-pieces, in pairs. A shard gives links that join what it found connected, not all pairs.
+Fingerprints are 64 bits wide; two link at RADIUS or fewer differing bits. With the bits dealt into blocks, all but
+RADIUS of the blocks must then agree, so each distinct fingerprint goes to a shard for each choice of agreeing blocks,
+named by as many of their bits as bring a shard of unlike texts down to about SHARD fingerprints. Over each shard stands
+a BK-tree: children are keyed by their Hamming distance to the parent, and a search follows only edges within RADIUS of
+its own distance; all fingerprints of the shard go down together. Trees hold the fingerprints of all documents, so they
+are neither brought to the driver nor broadcast: fingerprints go to their shards instead. A shard of more than PIECE
+fingerprints is split: its pieces' trees are each searched by the other pieces, in pairs. A shard gives links that join
+what it found connected, not all pairs.
 
 Components come from repeated star contractions of the links, with a table in the shared folder between the rounds.
 
@@ -17,14 +18,16 @@ probability 1 - (1 - s^ROWS)^BANDS, 0.9998 at 0.8 and more above it; it must be
 
 Defined results: null texts are empty; a text without words has fingerprint zero and links like any other; repeated
 rows get equal results; a null id is never a component's name unless all its ids are null; an empty table gives an empty
-result; extra columns are ignored by components() and kept by representatives().
+result; extra columns, whatever their names, are ignored by components() and kept by representatives(). A text of any
+length is read CHUNK words at a time.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pandas as pd
@@ -33,10 +36,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType
 
-from framelake.llm.common import WORD, materialise, small, strings, whole
-from framelake.operators.graph import Links, connected
+from framelake.llm.common import WORD, materialise, release, small, strings, trimmed, whole
+from framelake.operators.graph import connected
 
-SHINGLE, SEED, RADIUS, PIECE, LEAF = 3, 42, 3, 4096, 32
+SHINGLE, SEED, RADIUS = 3, 42, 3
+#: Fingerprints of a shard, those beyond which it is split, and those that a tree keeps as a plain list.
+SHARD, PIECE, LEAF = 2048, 8192, 8
+#: Words that are Python objects at a time, in texts of over LONG bytes.
+CHUNK, LONG = 1 << 16, 1 << 20
 #: Near copies: words of a shingle and the least Jaccard similarity (a fraction); bands and min-hashes of each.
 WIDTH, NEAR, BANDS, ROWS = 5, (4, 5), 28, 6
 #: Sets of a shard that a task holds are twice as many.
@@ -47,22 +54,29 @@ _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _WORDS = re.compile(WORD.encode())
 
 
+def shingle_chunks(text: str, width: int, digest) -> Iterator[list]:
+    """The digests of a text's shingles of width lower-cased words, in order; fewer words are one shingle."""
+    data = text.encode("utf-8", "surrogatepass").translate(_LOWER)
+    found = iter(_WORDS.findall(data)) if len(data) <= LONG else (m[0] for m in _WORDS.finditer(data))
+    before: list[bytes] = []
+    while new := list(islice(found, CHUNK)):
+        words = before + new
+        line = b" ".join(words)
+        ends = np.cumsum([len(w) + 1 for w in words])
+        starts, stops = [0, *ends[:-1].tolist()], (ends - 1).tolist()
+        yield [digest(line[a:b], SEED) for a, b in zip(starts, stops[min(width, len(words)) - 1 :])]
+        before = words[-(width - 1) :] if len(words) >= width else []
+
+
 def fingerprint(text: str) -> int:
     """64 bits, each set if it is set in over half of the hashes of all shingles, repeats included."""
     import xxhash
 
-    words = _WORDS.findall(text.encode("utf-8", "surrogatepass").translate(_LOWER))
-    if not words:
-        return 0
-    line = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = [0, *ends[:-1].tolist()]
-    stops = (ends - 1).tolist()
-    wide = min(SHINGLE, len(words))
-    digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(line[a:b], SEED) for a, b in zip(starts, stops[wide - 1 :])])
-    bits = np.unpackbits(np.frombuffer(hashes, "u1").reshape(-1, 8), axis=1)
-    return int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype="int64") > len(bits)).tobytes(), "big")
+    total, n = np.zeros(64, "int64"), 0
+    for digests in shingle_chunks(text, SHINGLE, xxhash.xxh64_digest):
+        total += np.unpackbits(np.frombuffer(b"".join(digests), "u1").reshape(-1, 8), axis=1).sum(axis=0, dtype="int64")
+        n += len(digests)
+    return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
 
 
 @F.arrow_udf(LongType())
@@ -80,85 +94,86 @@ class BKTree:
         self.children: dict[int, BKTree] = {}
         if self.leaf is None:
             self.value = values[0]
-            away = np.bitwise_count(values ^ self.value)
-            for d in np.unique(away[1:]).tolist():
-                own = np.flatnonzero(away == d)
-                own = own[own > 0]
-                self.children[d] = BKTree(values[own], places[own])
-
-    def search(self, queries: np.ndarray, asked: np.ndarray, found: list, radius: int = RADIUS) -> None:
-        """Appends (query places, tree places) of the pairs within radius; queries go down together."""
+            away = np.bitwise_count(values[1:] ^ self.value)
+            order = np.argsort(away, kind="stable")
+            edges = np.flatnonzero(np.diff(away[order], prepend=255))
+            for own in np.split(order + 1, edges[1:]):
+                self.children[int(away[own[0] - 1])] = BKTree(values[own], places[own])
+
+    def search(self, queries: np.ndarray, asked: np.ndarray, found: list, radius: int = RADIUS) -> int:
+        """Appends (query places, tree places) of the pairs within radius; queries go down together.
+
+        Returns how many distances it took.
+        """
         if self.leaf is not None:
-            for start in range(0, len(queries), 8192):
-                i, j = np.nonzero(np.bitwise_count(queries[start : start + 8192, None] ^ self.leaf) <= radius)
-                found.append((asked[start + i], self.places[j]))
-            return
+            i, j = np.nonzero(np.bitwise_count(queries[:, None] ^ self.leaf) <= radius)
+            found.append((asked[i], self.places[j]))
+            return len(queries) * len(self.leaf)
         away = np.bitwise_count(queries ^ self.value).astype("int64")
         near = away <= radius
         found.append((asked[near], np.full(int(near.sum()), self.places[0])))
+        took = len(queries)
         for d, child in self.children.items():
             if (on := np.abs(away - d) <= radius).any():
-                child.search(queries[on], asked[on], found, radius)
+                took += child.search(queries[on], asked[on], found, radius)
+        return took
 
 
-def _linked(values: np.ndarray, first: np.ndarray, second: np.ndarray) -> list[tuple[int, int]]:
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels, each the smallest place of its set, after the sets of a's places are joined with those of b's."""
+    while len(on := np.flatnonzero(label[a] != label[b])):
+        least, one, two = np.arange(len(label)), label[a[on]], label[b[on]]
+        np.minimum.at(least, np.maximum(one, two), np.minimum(one, two))
+        while (least[least] != least).any():
+            least = least[least]
+        label = least[label]
+    return label
+
+
+def _linked(values: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what is connected by pairs of first with second (places in values)."""
     values = values.view("uint64")
-    links, tree = Links(len(values)), BKTree(values[second], second)
-    for start in range(0, len(first), 256):
+    label, tree = np.arange(len(values)), BKTree(values[second], second)
+    for start in range(0, len(first), 1024):
         found: list = []
-        tree.search(values[first[start : start + 256]], first[start : start + 256], found)
-        for a, b in found:
-            lower, upper = np.minimum(a, b), np.maximum(a, b)
-            for pair in np.unique(lower * len(values) + upper).tolist():
-                links.join(*divmod(pair, len(values)))
-    return [(i, r) for i in range(len(values)) if (r := links.root(i)) != i]
-
-
-def blocks_for(n: int) -> int:
-    """Blocks of the 64 bits such that 16 fingerprints or fewer of n unlike ones agree in all but RADIUS of them."""
-    return next((b for b in range(RADIUS + 1, 12) if n <= 16 * 2 ** (64 * (b - RADIUS) // b)), 12)
+        tree.search(values[first[start : start + 1024]], first[start : start + 1024], found)
+        label = _joined(label, *(np.concatenate(x) for x in zip(*found)))
+    on = np.flatnonzero(label != np.arange(len(values)))
+    return values[on].view("int64"), values[label[on]].view("int64")
 
 
-def _masks(blocks: int) -> list[int]:
+def masks_for(n: int) -> list[int]:
+    """Masks of bits, of which two fingerprints within RADIUS agree in one, as few as bring n unlike ones to SHARD a shard."""
+    bits = max(0, math.ceil(math.log2(max(1, n) / SHARD)))
+    blocks = next((b for b in range(RADIUS + 1, 12) if bits <= 64 * (b - RADIUS) // b), 12)
     edges = [64 * i // blocks for i in range(blocks + 1)]
-    part = [((1 << b) - (1 << a)) for a, b in zip(edges, edges[1:])]
-    return [sum(c) - (1 << 64) * (sum(c) >> 63) for c in combinations(part, blocks - RADIUS)]
+    masks = []
+    for chosen in combinations(range(blocks), blocks - RADIUS):
+        places = [p for step in range(64) for c in chosen if (p := edges[c] + step) < edges[c + 1]]
+        masks.append(sum(1 << p for p in places[:bits]))
+    return [m - (1 << 64) * (m >> 63) for m in dict.fromkeys(masks)]
 
 
 def links(prints: DataFrame, n: int) -> DataFrame:
     """(a, b): links that connect all of n distinct prints (column fp) within RADIUS of each other."""
-    masks = _masks(blocks_for(n))
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(masks)]))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(masks_for(n))]))
     shards = prints.select("fp", each.alias("s")).select("fp", F.xxhash64("s.mask", "s.part").alias("shard"))
     sizes = shards.groupBy("shard").count()
     hot = materialise(sizes.where(F.col("count") > PIECE).select("shard", F.ceil(F.col("count") / PIECE).cast("int").alias("pieces")), "hot")
     none = hot.count() == 0
     usual = shards if none else shards.join(hot, "shard", "left_anti")
 
-    def small_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @trimmed
+    def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by shard; those whose shard isn't complete wait for the next batch."""
         rest = np.zeros((2, 0), "int64")
 
         def link(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            shard, fp = rows
-            starts = np.flatnonzero(np.diff(shard, prepend=shard[:1] - 1)) if len(shard) else np.zeros(0, "int64")
-            sizes = np.diff(np.append(starts, len(shard)))
-            out: list[np.ndarray] = []
-            little = np.repeat(sizes, sizes) <= LEAF  # a tree of one leaf each: all of them are searched at once
-            group = np.repeat(np.arange(len(sizes)), sizes)
-            for step in range(1, LEAF):
-                i = np.flatnonzero(little[:-step] & (group[:-step] == group[step:])) if len(fp) > step else np.zeros(0, "int64")
-                if not len(i):
-                    break
-                i = i[np.bitwise_count((fp[i] ^ fp[i + step]).view("uint64")) <= RADIUS]
-                out.append(np.stack((fp[i], fp[i + step])))
-            for s, n_ in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist()):
-                own = fp[s : s + n_]
-                pairs = np.array(_linked(own, np.arange(n_), np.arange(n_)), "int64").reshape(-1, 2)
-                out.append(np.stack((own[pairs[:, 0]], own[pairs[:, 1]])))
-            if out and (pairs := np.concatenate(out, axis=1)).shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            edges = np.flatnonzero(np.diff(rows[0], prepend=rows[0, :1] - 1)) if rows.shape[1] else []
+            for own in np.split(rows[1], edges[1:]):
+                a, b = _linked(own, np.arange(len(own)), np.arange(len(own))) if len(own) > 1 else (own[:0], own[:0])
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
             rows = np.concatenate((rest, np.stack([batch.column(c).to_numpy() for c in ("shard", "fp")])), axis=1)
@@ -167,15 +182,15 @@ def links(prints: DataFrame, n: int) -> DataFrame:
             rest = rows[:, cut:]
         yield from link(rest)
 
-    found = usual.repartition("shard").sortWithinPartitions("shard").select("shard", "fp").mapInArrow(small_shards, "a long, b long")
+    found = usual.repartition("shard").sortWithinPartitions("shard").select("shard", "fp").mapInArrow(by_shard, "a long, b long")
     if none:
         return found
 
     def piece_pair(pdf: pd.DataFrame) -> pd.DataFrame:
         values, piece = pdf["fp"].to_numpy("int64"), pdf["piece"].to_numpy()
         one, two = pdf["lower"].iat[0], pdf["upper"].iat[0]
-        pairs = np.array(_linked(values, np.flatnonzero(piece == one), np.flatnonzero(piece == two)), "int64").reshape(-1, 2)
-        return pd.DataFrame({"a": values[pairs[:, 0]], "b": values[pairs[:, 1]]})
+        a, b = _linked(values, np.flatnonzero(piece == one), np.flatnonzero(piece == two))
+        return pd.DataFrame({"a": a, "b": b})
 
     own = shards.join(hot, "shard").withColumn("piece", F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other")
@@ -205,14 +220,7 @@ def shingle_set(text: str) -> np.ndarray:
     """The distinct hashes of a text's WIDTH-word shingles, sorted; a shorter text is one shingle."""
     import xxhash
 
-    words = _WORDS.findall(text.encode("utf-8", "surrogatepass").translate(_LOWER))
-    if not words:
-        return np.zeros(0, "uint64")
-    line = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts, stops = [0, *ends[:-1].tolist()], (ends - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(line[a:b], SEED) for a, b in zip(starts, stops[min(WIDTH, len(words)) - 1 :])], "uint64"))
+    return np.unique(np.concatenate([np.zeros(0, "uint64"), *(np.array(x, "uint64") for x in shingle_chunks(text, WIDTH, xxhash.xxh64_intdigest))]))
 
 
 def set_key(hashes: np.ndarray) -> int:
@@ -258,10 +266,11 @@ def near_udf(first: pa.Array, second: pa.Array) -> pa.Array:
 def _shingled(docs: DataFrame) -> DataFrame:
     """(key, hashes) of each row's text."""
 
+    @trimmed
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                sets = [shingle_set(s) for s in batch.column("text").slice(start, 256).to_pylist()]
+            for start in range(0, batch.num_rows, 64):
+                sets = [shingle_set(s) for s in batch.column("text").slice(start, 64).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["key", "hashes"])
 
     return docs.select(whole().alias("text")).mapInArrow(shingle, "key long, hashes binary")
@@ -323,6 +332,7 @@ def _near_in_shard(pdf: pd.DataFrame) -> pd.DataFrame:
             if group[i] != group[j] and near(hashes[i], hashes[j]):
                 pairs.append((keys[i], keys[j]))
                 group[group == group[j]] = group[i]
+    release()
     return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
 
 
@@ -330,10 +340,11 @@ def near_components(docs: DataFrame) -> DataFrame:
     """(doc_id, key, component_id): component_id is the smallest id reachable by links of near copies."""
     rows = docs.select("doc_id", whole().alias("text"))
 
+    @trimmed
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
                 sets = [shingle_set(s) for s in part.column("text").to_pylist()]
                 made = pa.array([set_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array([bands(x) for x in sets], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *made], ["doc_id", "key", "n", "bands"])

@@ -504,12 +504,35 @@ def test_links_connect_what_is_near(spark, monkeypatch, piece):
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
-@pytest.mark.parametrize("blocks", [4, 5, 6])
-def test_masks_catch_every_three_flips(blocks):
-    masks, rng = simhash._masks(blocks), random.Random(blocks)
+@pytest.mark.parametrize("n", [1, 3000, 10**6, 10**9, 10**13])
+def test_masks_catch_every_three_flips(n):
+    masks, rng = simhash.masks_for(n), random.Random(n)
     for _ in range(500):
         flips = sum(1 << b for b in rng.sample(range(64), 3))
         assert any((m % (1 << 64)) & flips == 0 for m in masks)
+    assert all(n / 2 ** (m % (1 << 64)).bit_count() <= simhash.SHARD for m in masks)
+
+
+def test_trees_leave_most_of_a_shard_out():
+    rng = np.random.default_rng(11)
+    values = rng.integers(0, 1 << 63, 2000, "uint64") * np.uint64(2)
+    values[1000:1100] = values[:100] ^ np.uint64(6)
+    tree, found = simhash.BKTree(values, np.arange(2000)), []
+    took = tree.search(values, np.arange(2000), found)
+    assert tree.leaf is None and all(((t.value if t.leaf is None else t.leaf[0]) ^ tree.value).bit_count() == d for d, t in tree.children.items())
+    assert took < 0.5 * 2000 * 2000
+    pairs = {(int(a), int(b)) for x, y in found for a, b in zip(x, y)}
+    near = np.bitwise_count(values[:, None] ^ values) <= 3
+    assert pairs == {(int(a), int(b)) for a, b in zip(*np.nonzero(near))}
+
+
+def test_the_query_builds_trees(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    prints = docs.select(simhash.fingerprint_udf(simhash.whole()).alias("fp")).distinct().toPandas()["fp"].to_numpy()
+    assert simhash.masks_for(len(prints)) == [0] and len(prints) > 500  # one shard, and one tree over it
+    values = prints.view("uint64")
+    tree = simhash.BKTree(values, np.arange(len(values)))
+    assert len(tree.children) > 10 and tree.search(values, np.arange(len(values)), []) < 0.5 * len(values) ** 2
 
 
 def test_simhash_edges(spark, docs_of):
