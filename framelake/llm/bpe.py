@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import bucketed, release, strings, trimmed, whole
+from framelake.llm.common import bounded_batches, bucketed, release, strings, trimmed, whole
 
 BLOCK_CHARS = 32 << 20
 #: Documents whose word places are one row, and words that are one row.
@@ -173,6 +173,7 @@ def _assemble(kind: pa.DataType, ranks_path: str, with_ids: bool):
 
 def encode(docs: DataFrame, ranks_path: str, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row; with_ids: (doc_id, n_tokens, ids) instead."""
+    bounded_batches(docs)
     blocks = bucketed(split_into_blocks(docs), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block")
     words = blocks.where("words is not null").select("block", "start", F.posexplode("words").alias("at", "word"))
     words = words.select("block", (F.col("start") + F.col("at")).alias("number"), "word").repartition("word").sortWithinPartitions("word")

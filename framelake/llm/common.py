@@ -58,6 +58,16 @@ def trimmed(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
     return run
 
 
+def bounded_batches(df: DataFrame, rows: int = 1000) -> None:
+    """Has Spark hand whole texts to Python in batches of so many rows, unless the session says otherwise already.
+
+    Spark's own 10,000 rows are tens of MB of text at a time on both sides. No result depends on it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, rows)
+
+
 def whole(text: str = "text") -> Column:
     """The text, null read as empty."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from framelake.llm.common import bucketed, labelled, materialise, small, strings, whole
+from framelake.llm.common import bounded_batches, bucketed, labelled, materialise, release, small, strings, trimmed, whole
 
 #: Share of a language's held-out trusted texts that the limit must keep; the rest, 1 %, is what it may reject of them.
 QUANTILE = 0.99
@@ -76,6 +76,7 @@ def _add_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 def count_trigrams(texts: DataFrame, text: str = "text") -> DataFrame:
     """(key, n): how often each trigram occurs in all whole texts."""
 
+    @trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, held, waiting = [], [], 0, []
 
@@ -170,6 +171,7 @@ def _gram_blocks(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
     schema = StructType([StructField("block", LongType()), StructField("row", rows.schema["row"].dataType), StructField("keys", ArrayType(LongType()))])
 
+    @trimmed
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, held, known, waiting, kind = TaskContext.get().partitionId(), 0, 0, np.zeros(0, "int64"), [], None
 
@@ -235,6 +237,7 @@ def with_perplexity(docs: DataFrame, model: Model) -> DataFrame:
         order = np.argsort(keys)
         keys, logp = keys[order], logp[order]
         found = [math.exp(-_mean_log(s, keys, logp)) if s else None for c in rows["row"].chunks for s in strings(c.field("text"))]
+        release()
         return pa.table([rows["row"], pa.array(found, pa.float64())], ["row", "perplexity"])
 
     schema = StructType([StructField("row", rows.schema["row"].dataType), StructField("perplexity", DoubleType())])
@@ -274,6 +277,7 @@ def limit_of(limits: tuple[dict[str, float], float], lang: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> tuple[Model, tuple[dict[str, float], float]] | None:
     """The model and the limits from docs that are labelled quality 1; None without their text."""
+    bounded_batches(docs)
     trusted = labelled(docs, labels, "quality", learn_fold=False).where("label = 1 and text != ''")
     held = F.pmod(F.xxhash64("doc_id"), F.lit(HOLD_OUT)) == 0
     counts = trusted.groupBy("lang").agg(F.count_if(held).alias("held"), F.count("*").alias("n")).collect()

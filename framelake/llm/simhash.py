@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType
 
-from framelake.llm.common import WORD, materialise, release, small, strings, trimmed, whole
+from framelake.llm.common import WORD, bounded_batches, materialise, release, small, strings, trimmed, whole
 from framelake.operators.graph import connected
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -204,6 +204,7 @@ def _hex(fp: Column) -> Column:
 
 def components(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id): component_id is the smallest id reachable by links."""
+    bounded_batches(docs)
     prints = materialise(docs.select("doc_id", fingerprint_udf(whole()).alias("fp")), "prints")
     owners = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "owners")
     roots = materialise(connected(links(owners.select("fp"), owners.count())), "roots")
@@ -338,6 +339,7 @@ def _near_in_shard(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def near_components(docs: DataFrame) -> DataFrame:
     """(doc_id, key, component_id): component_id is the smallest id reachable by links of near copies."""
+    bounded_batches(docs)
     rows = docs.select("doc_id", whole().alias("text"))
 
     @trimmed

@@ -24,7 +24,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import materialise, scratch_dir, whole
+from framelake.llm.common import bounded_batches, materialise, scratch_dir, trimmed, whole
 
 CACHE = "text_digest binary, tokenizer_digest string, n_tokens long"
 #: Distinct pre-tokens whose counts a task remembers before it starts anew.
@@ -101,6 +101,7 @@ def _read_cache(spark: SparkSession, path: str, version: str) -> DataFrame:
 
 def count_tokens(docs: DataFrame, tokenizer: str, cache_path: str | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) for each row; cache_path is read and appended to (a new cache where None)."""
+    bounded_batches(docs)
     spark = docs.sparkSession
     cache_path, version = cache_path or f"{scratch_dir(spark)}/token_cache", tokenizer_digest(tokenizer)
     digest = F.unhex(F.sha2(whole(), 256)).alias("text_digest")
@@ -113,6 +114,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_path: str | None = None)
         if stored:
             misses = misses.join(cache, "text_digest", "left_anti")
 
+        @trimmed
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = batch.column("text")

@@ -7,9 +7,12 @@ texts of each label, those with the smallest hashes, the same in each run. Its l
 change of a text's logit when each identity term in it is swapped for another of its group, so that the mere mention of
 a group can't carry weight.
 
+The distinct words of labelled texts are written once; counts and sample are read from there. A text of any length is
+one set of words.
+
 Defined results: null texts are empty and have the score of a text without features; with no toxic or no other
-training text every score is the toxic share. Repeated rows get equal results; extra columns are ignored by score() and
-kept by clean_documents().
+training text every score is the toxic share. Repeated rows get equal results; extra columns, whatever their names, are ignored by score()
+and kept by clean_documents().
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import fold, labelled, strings, whole
+from framelake.llm.common import bounded_batches, fold, labelled, materialise, release, strings, trimmed, whole
 
 FEATURES, SAMPLE, CUT = 1024, 4000, 0.7
+#: Words whose features a task remembers before it starts anew.
+KNOWN = 100_000
 #: Toxic texts that must hold a feature.
 LEAST = 3
 #: Standard errors that a feature's share in toxic texts exceeds that in others by.
@@ -62,18 +67,34 @@ class Index(dict):
         self.number = {f: i for i, f in enumerate(features)}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 500_000:
+        if len(self) > KNOWN:
             self.clear()
         self[word] = out = tuple(self.number[f] for f in word_features(word) if f in self.number)
         return out
 
-    def of(self, words: set[str]) -> set[int]:
+    def of(self, words: Iterable[str]) -> set[int]:
         return {i for w in words for i in self[w]}
 
 
-def _counts(texts: DataFrame) -> DataFrame:
-    """(feature, n1, n0): toxic and other texts that hold each feature."""
+def _words(train: DataFrame) -> DataFrame:
+    """(doc_id, label, lot, words) of train's rows: their distinct words, and a number from 0 to 1 by which some are drawn."""
+    rows = train.where("label in (0, 1)").select("doc_id", "label", "text", (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))).alias("lot"))
+
+    @trimmed
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                words = pa.array([sorted(words_of(t)) for t in part.column("text").to_pylist()], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "label", "lot")), words], ["doc_id", "label", "lot", "words"])
+
+    return rows.mapInArrow(split, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, label int, lot double, words array<string>")
+
+
+def _counts(rows: DataFrame) -> DataFrame:
+    """(feature, n1, n0): toxic and other rows (label, words) that hold each feature."""
 
+    @trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
 
@@ -84,18 +105,18 @@ def _counts(texts: DataFrame) -> DataFrame:
                 own.clear()
 
         for batch in batches:
-            for text, label in zip(strings(batch.column("text")), batch.column("label").to_pylist()):
-                seen[label].update({f for w in words_of(text) for f in word_features(w)})
+            for words, label in zip(strings(batch.column("words"), 64), batch.column("label").to_pylist()):
+                seen[label].update({f for w in words for f in word_features(w)})
                 if len(seen[0]) + len(seen[1]) > 200_000:
                     yield from out()
         yield from out()
 
-    return texts.select("text", "label").mapInArrow(count, "feature string, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    return rows.select("words", "label").mapInArrow(count, "feature string, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
 
 def clearest(train: DataFrame, n1: int, n0: int) -> list[str]:
-    """The FEATURES clearest of all features of train's n1 toxic and n0 other texts."""
-    rows = _counts(train.where("label in (0, 1)")).where(F.col("n1") >= min(LEAST, n1))
+    """The FEATURES clearest of all features of train's n1 toxic and n0 other rows (label, words)."""
+    rows = _counts(train).where(F.col("n1") >= min(LEAST, n1))
     p1, p0, p = F.col("n1") / n1, F.col("n0") / n0, (F.col("n1") + F.col("n0") + 0.5) / (n1 + n0 + 1)
     rows = rows.withColumn("z", (p1 - p0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)))
     best = rows.where((F.col("z") >= CLEAR) & (p1 >= 2 * p0)).orderBy(F.desc("z"), "feature").limit(FEATURES)
@@ -122,7 +143,9 @@ def fit_weights(x: np.ndarray, y: np.ndarray, change: np.ndarray, ridge: float =
 
 def fit(train: DataFrame) -> dict:
     """features, weights and intercept from train's text and label (1: toxic)."""
-    sizes = {r[0]: r[1] for r in train.groupBy("label").count().collect() if r[0] in (0, 1)}
+    bounded_batches(train)
+    train = materialise(_words(train), "words")
+    sizes = {r[0]: r[1] for r in train.groupBy("label").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     share = n1 / max(1, n0 + n1)
     plain = {"features": [], "weights": np.zeros(0), "intercept": math.log(max(share, 1e-6) / max(1 - share, 1e-6))}
@@ -131,19 +154,20 @@ def fit(train: DataFrame) -> dict:
     features = clearest(train, n1, n0)
     if not features:
         return plain
-    lot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    picked = train.where(lot < F.when(F.col("label") == 1, min(1.0, SAMPLE / n1)).when(F.col("label") == 0, min(1.0, SAMPLE / n0)))
+    picked = train.where(F.col("lot") < F.when(F.col("label") == 1, min(1.0, SAMPLE / n1)).otherwise(min(1.0, SAMPLE / n0)))
 
+    @trimmed
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(features)
         for batch in batches:
-            words = [words_of(t) for t in strings(batch.column("text"))]
-            own = [sorted(index.of(w)) for w in words]
-            swapped = [sorted(index.of({SWAP.get(x, x) for x in w})) if not w.isdisjoint(SWAP) else None for w in words]
+            own, swapped = [], []
+            for words in strings(batch.column("words"), 64):
+                own.append(sorted(index.of(words)))
+                swapped.append(sorted(index.of({SWAP.get(x, x) for x in words})) if not SWAP.keys().isdisjoint(words) else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(own, pa.list_(pa.int32())), pa.array(swapped, pa.list_(pa.int32()))], ["doc_id", "label", "own", "swapped"])
 
     kind = train.schema["doc_id"].dataType.simpleString()
-    rows = picked.select("doc_id", "label", "text").mapInArrow(featurise, f"doc_id {kind}, label int, own array<int>, swapped array<int>").orderBy("label", "doc_id").toPandas()
+    rows = picked.select("doc_id", "label", "words").mapInArrow(featurise, f"doc_id {kind}, label int, own array<int>, swapped array<int>").orderBy("label", "doc_id").toPandas()
 
     def matrix(lists: pd.Series) -> np.ndarray:
         x = np.zeros((len(lists), len(features)))
@@ -161,17 +185,16 @@ def fit(train: DataFrame) -> dict:
     return {"features": features, "weights": weights, "intercept": intercept}
 
 
-def score_udf(docs: DataFrame, model: dict):
-    """A column function text -> score from 0 to 1."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def score_udf(model: dict):
+    """A column function text -> score from 0 to 1; the model, FEATURES words and weights at most, goes along with it."""
 
     @F.arrow_udf("double")
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        m = held.value
-        index, weights, base = Index(m["features"]), m["weights"].tolist(), m["intercept"]
+        index, weights, base = Index(model["features"]), model["weights"].tolist(), model["intercept"]
         for batch in texts:
             logits = np.array([base + sum([weights[i] for i in sorted(index.of(words_of(t)))]) for t in strings(batch)], "float64")
             yield pa.array(1 / (1 + np.exp(-np.clip(logits, -500, 500))))
+        release(0)
 
     return lambda text: score(text)
 
@@ -179,11 +202,11 @@ def score_udf(docs: DataFrame, model: dict):
 def score(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row, by a model of the labelled rows outside the held-out fold."""
     model = fit(labelled(docs, labels, "toxic", learn_fold=True))
-    rows = docs.select("doc_id", (fold() == 1).alias("held_out"), score_udf(docs, model)(whole()).alias("score"))
+    rows = docs.select("doc_id", (fold() == 1).alias("held_out"), score_udf(model)(whole()).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """docs whose score is below cut, with all columns of docs."""
     model = fit(labelled(docs, labels, "toxic", learn_fold=True))
-    return docs.where(score_udf(docs, model)(whole()) < cut)
+    return docs.where(score_udf(model)(whole()) < cut)

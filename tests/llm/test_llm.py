@@ -413,7 +413,7 @@ def test_toxicity_finds_planted_words_and_spares_groups(spark, docs_of):
     held = got[got["held_out"]]
     assert (held["predicted"] == held["toxic"]).mean() > 0.97
     model = toxicity.fit(toxicity.labelled(docs, labels, "toxic", learn_fold=True))
-    spared = toxicity.score_udf(docs, model)
+    spared = toxicity.score_udf(model)
     probe = docs_of([(1, "muslims meet bacu"), (2, "christians meet bacu"), (3, "meet bacu")], extra=False)
     s = {r[0]: r[1] for r in probe.select("doc_id", spared(F.col("text"))).collect()}
     assert s[1] < 0.7 and abs(np.log(s[1] / (1 - s[1])) - np.log(s[2] / (1 - s[2]))) < 1.0
