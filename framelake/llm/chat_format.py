@@ -8,7 +8,8 @@ and the tokens it stands for are recorded.
 
 The output is a row per turn with its place in the conversation's string, so a conversation of any length needs no more
 memory than a turn. Turns are ordered by turn (null first), then role, then text; null roles and texts are empty;
-repeated rows are turns of their own; an empty table gives an empty result; extra columns are ignored.
+repeated rows are turns of their own; an empty table gives an empty result; extra columns are ignored. Ids may be of any
+type. read_back() needs no order or place of its rows, so they may have been stored in between.
 """
 
 from __future__ import annotations
@@ -92,12 +93,13 @@ DIGESTS = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 strin
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of each conversation, parsed from the formatted turns alone and hashed as they stream by in order."""
-    rows = formatted.select("conv_id", "turn_no", "formatted", "loss_start", "loss_chars")
-    ordered = rows.sortWithinPartitions("conv_id", "turn_no")  # the window above has dealt them by conv_id
-    kind = pa.int64()
+    # the window deals by conv_id and sorts, unless its input is dealt so already
+    at = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn_no"))
+    ordered = formatted.select("conv_id", "formatted", "loss_start", "loss_chars", at.alias("at"))
+    id_type = ordered.schema["conv_id"].dataType.simpleString()
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, state, out = object(), None, []
+        last, state, out, kind = object(), None, [], None
 
         def close() -> None:
             if state:
@@ -109,6 +111,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
         for batch in batches:
+            kind = batch.schema.field("conv_id").type
             for conv, text, start, chars in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_start", "loss_chars"))):
                 if conv != last:
                     close()
@@ -125,6 +128,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 yield batch_of(out)
                 out = []
         close()
-        yield batch_of(out)
+        if out:
+            yield batch_of(out)
 
-    return ordered.mapInArrow(digest, f"conv_id long, {DIGESTS}")
+    return ordered.mapInArrow(digest, f"conv_id {id_type}, {DIGESTS}")

@@ -7,9 +7,12 @@ BLOCK units are rounded in parallel, each leaves one fractional unit at most, an
 further levels of blocks until one per source is left, which goes to its nearer side. So the words taken from a source
 differ from its target by at most half a document.
 
-Defined results: null texts have size 0 and are never taken; a null source is a source of its own, last in order;
-rows equal in id, source and size are rounded as one unit and get the same number of copies; an empty table gives an
-empty result. The random choices come from hashes of the ids and of the block numbers, so reruns agree.
+Rows equal in id, source and size are one unit: of their expected copies together, the whole part is taken at once and
+only the fraction is rounded; they are dealt to the rows as evenly as whole numbers allow.
+
+Defined results: null texts have size 0 and are never taken; a null source is a source of its own, last in order; an
+empty table gives an empty result; a text of any length is one unit. Extra columns, whatever their names, are kept by
+mixed_documents(); of rows that share id, source and size but differ elsewhere, those with smaller hashes come first. The random choices come from hashes of the ids and of the block numbers, so reruns agree.
 """
 
 from __future__ import annotations
@@ -79,29 +82,28 @@ def pivot(mass: np.ndarray, p: np.ndarray, seed: int) -> np.ndarray:
 def _round_block(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["toss", "doc_id", "size"], kind="stable")
     seed = abs(hash((int(pdf["source_no"].iat[0]), int(pdf["block"].iat[0]), int(pdf["height"].iat[0]), SEED)))
-    return pdf.assign(p=pivot((pdf["size"] * pdf["rows"]).to_numpy("float64"), pdf["p"].to_numpy("float64"), seed))
+    return pdf.assign(p=pivot(pdf["size"].to_numpy("float64"), pdf["p"].to_numpy("float64"), seed))
 
 
-def mix(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, ceiling: float = CEILING) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) for each row of sized, which has doc_id, source and size.
+def unit_copies(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, ceiling: float = CEILING) -> DataFrame:
+    """(doc_id, source, size, rows, source_size, target, each, more): units of equal rows with their copies.
 
-    sized should be a stored table: it is read three times.
+    Each of a unit's rows has each copies, and more of them one further. sized should be a stored table: it is read
+    twice.
     """
     names = Window.orderBy(F.col("source").asc_nulls_last())
     targets = materialise(source_targets(sized, weights, share, ceiling).withColumn("source_no", F.row_number().over(names).cast("long")), "targets")
-    near = small(targets, targets.count(), 200_000)
+    near = small(targets, targets.count(), 200_000).withColumnRenamed("source", "target_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    units = (
-        sized.where("size > 0")
-        .groupBy("doc_id", "source", "size")
-        .agg(F.count("*").alias("rows"))
-        .join(near.withColumnRenamed("source", "target_source"), F.col("source").eqNullSafe(F.col("target_source")))
-        .select("doc_id", "source_no", "size", "rows", (rate - F.floor(rate)).alias("p"), F.xxhash64("doc_id", "size", F.lit(SEED)).alias("toss"), F.ceil(F.col("units") / BLOCK).alias("blocks"))
-    )
-    shape = "doc_id {}, source_no long, size long, rows long, p double, toss long, block long, height int"
-    shape = shape.format(sized.schema["doc_id"].dataType.simpleString())
-    level = units.select("doc_id", "source_no", "size", "rows", "p", "toss", F.pmod(F.xxhash64("toss"), F.col("blocks")).alias("block"), F.lit(0).alias("height"))
-    most = targets.agg(F.max(F.ceil(F.col("units") / BLOCK))).first()[0] or 1
+    own = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")).join(near, F.col("source").eqNullSafe(F.col("target_source")))
+    extra = F.when(F.col("size") > 0, F.col("rows") * (rate - F.floor(rate))).otherwise(0.0)
+    own = own.withColumn("each", F.when(F.col("size") > 0, F.floor(rate)).otherwise(0).cast("long")).withColumn("whole", F.floor(extra + 1e-9).cast("long")).withColumn("p", extra - F.col("whole"))
+    own = own.withColumn("p", F.when(F.col("p") > 1e-9, F.col("p")).otherwise(0.0))
+    own = materialise(own.select("doc_id", "source", "size", "rows", "source_size", "target", "source_no", "each", "whole", "p", F.ceil(F.col("units") / BLOCK).alias("blocks")), "units")
+    toss = F.xxhash64("doc_id", "size", F.lit(SEED))
+    shape = f"doc_id {own.schema['doc_id'].dataType.simpleString()}, source_no long, size long, p double, toss long, block long, height int"
+    level = own.where("p > 0").select("doc_id", "source_no", "size", "p", toss.alias("toss"), F.pmod(F.xxhash64(toss), F.col("blocks")).alias("block"), F.lit(0).alias("height"))
+    most = own.agg(F.max("blocks")).first()[0] or 1
     done, height = [], 0
     while True:
         rounded = materialise(level.groupBy("source_no", "block").applyInPandas(_round_block, shape), f"level{height}")
@@ -113,20 +115,34 @@ def mix(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHA
     bits = done[0]
     for more in done[1:]:
         bits = bits.unionByName(more)
-    bits = bits.select(F.col("doc_id").alias("unit_id"), F.col("source_no").alias("unit_source"), F.col("size").alias("unit_size"), F.when(F.col("p") >= 0.5, 1).otherwise(0).alias("bit"))
-    rows = sized.join(near.withColumnRenamed("source", "target_source"), F.col("source").eqNullSafe(F.col("target_source"))).drop("target_source")
+    bits = bits.where("p >= 0.5").select(F.col("doc_id").alias("unit_id"), F.col("source_no").alias("unit_source"), F.col("size").alias("unit_size"), F.lit(1).alias("bit"))
     same = F.col("doc_id").eqNullSafe(F.col("unit_id")) & (F.col("source_no") == F.col("unit_source")) & (F.col("size") == F.col("unit_size"))
-    copies = F.when(F.col("size") > 0, F.floor(rate) + F.coalesce("bit", F.lit(0))).otherwise(0).cast("long")
-    return rows.join(bits, same, "left").select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    return own.join(bits, same, "left").select("doc_id", "source", "size", "rows", "source_size", "target", "each", (F.col("whole") + F.coalesce("bit", F.lit(0))).alias("more"))
+
+
+def mix(sized: DataFrame, **how) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies) for each row of sized, which has doc_id, source and size."""
+    row = unit_copies(sized, **how).withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    return row.select("doc_id", "source", "size", "source_size", "target", (F.col("each") + (F.col("row") <= F.col("more")).cast("long")).alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """docs as the mix takes them: each row as many times as it has copies, with the columns of docs."""
-    sized = materialise(sizes(docs), "sizes")
-    chosen = mix(sized, **how).select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), F.col("copies").alias("_mix_copies"))
-    chosen = chosen.where("_mix_copies > 0").distinct()
+    units = materialise(unit_copies(materialise(sizes(docs), "sizes"), **how).where("each > 0 or more > 0"), "copies")
     words = F.regexp_count(whole(), F.lit(WORD)).cast("long")
-    same = F.col("doc_id").eqNullSafe(F.col("_mix_id")) & F.col("source").cast("string").eqNullSafe(F.col("_mix_source")) & (words == F.col("_mix_size"))
-    taken = docs.join(chosen, same).withColumn("_mix_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies"))))
-    return taken.select(*[taken[f"`{c}`"] for c in docs.columns])
-
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), F.col("doc_id").alias("id"), F.col("source").cast("string").alias("of"), words.alias("words"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & F.col("of").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size"))
+    even = units.where("more = 0 or more = rows")
+    taken = rows.join(even, same).select("doc", (F.col("each") + (F.col("more") > 0).cast("long")).alias("copies"))
+    torn = units.where("more > 0 and more < rows")
+    if torn.head(1):  # some of a unit's rows get one copy more: they are numbered by hash and by the part they lie in
+        key = ["doc_id", "source", "size"]
+        part = materialise(rows.join(torn, same).select(*key, "each", "more", "doc", F.pmod(F.xxhash64("doc"), F.lit(64)).alias("lot"), F.spark_partition_id().alias("part")), "torn")
+        counts = part.groupBy(*key, "lot", "part").agg(F.count("*").alias("n"))
+        upto = Window.partitionBy(*key).orderBy("lot", "part").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.select(*[F.col(c).alias(f"of_{c}") for c in (*key, "lot", "part")], F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+        at = part.withColumn("place", F.row_number().over(Window.partitionBy(*key, "lot", "part").orderBy("lot")))
+        on = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in (*key, "lot", "part")]
+        more = (F.col("before") + F.col("place") <= F.col("more")).cast("long")
+        taken = taken.unionByName(at.join(counts, on[0] & on[1] & on[2] & on[3] & on[4]).select("doc", (F.col("each") + more).alias("copies")))
+    return taken.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc.*")

@@ -83,6 +83,15 @@ def test_mixed_documents_keep_columns(spark, docs_of):
     assert mixing.mixed_documents(empty).count() == 0 and mixing.mix(mixing.sizes(empty)).count() == 0
 
 
+def test_equal_rows_share_their_copies(spark, docs_of):
+    docs = docs_of([(7, "w w w", "en", "a")] * 900 + [(7, "v w x", "en", "a")] * 10 + [(i, "w " * 5, "en", "b") for i in range(200)])
+    mixed = mixing.mix(mixing.sizes(docs)).toPandas()
+    by = mixed.assign(taken=mixed["size"] * mixed["copies"]).groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), most=("size", "max"), n=("size", "count"))
+    assert by["n"].to_dict() == {"a": 910, "b": 200} and ((by["taken"] - by["target"]).abs() <= by["most"] / 2 + 1e-6).all()
+    once, again = (mixing.mixed_documents(d).groupBy("doc_id", "text").count().toPandas().sort_values(["doc_id", "text"]).reset_index(drop=True) for d in (docs, docs.repartition(5)))
+    assert once.equals(again) and once[once["doc_id"] == 7]["count"].sum() == mixed[mixed["doc_id"] == 7]["copies"].sum()
+
+
 def test_pivot_keeps_mass_and_expectation():
     mass = np.array([5.0, 3, 8, 1, 9, 2])
     start = np.full(6, 0.3)
@@ -173,6 +182,14 @@ def test_chat_edges_and_strings(spark):
     assert chat_format.read_back(chat_format.format_conversations(df.limit(0))).count() == 0
 
 
+def test_stored_turns_and_other_ids(spark, tmp_path):
+    turns = [(f"c{i % 3}", i, "assistant" if i % 2 else "user", f"text {i}</s>") for i in range(3000)] + [(None, 1, "user", "x")]
+    df = spark.createDataFrame(turns, "conv_id string, turn long, role string, text string")
+    chat_format.format_conversations(df).repartition(7).write.parquet(f"{tmp_path}/turns")
+    got = {r[0]: tuple(r)[1:] for r in rows(chat_format.read_back(spark.read.parquet(f"{tmp_path}/turns")), "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256")}
+    assert got == brute_chat(turns)
+
+
 def test_typed_parts(spark):
     part = "array<struct<type:string,text:string,ref:string,units:int>>"
     content = [("text", "see [IMAGE:0] ", None, None), ("image", None, "a.png", 2), None, ("video", None, "v", 1), ("audio", None, "b.wav", None), ("text", None, None, None), ("document", "x", "c.pdf", 3)]
