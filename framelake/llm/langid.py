@@ -10,7 +10,9 @@ Document frequencies cover all training texts. The centroids are fitted on a bou
 language, those with the smallest hashes of id and text, the same in each run.
 
 Defined results: a text that is null or without a letter is `und` with score 0; null languages aren't learned; without
-any learned language every text is `und`. Repeated rows get equal results; extra columns are ignored.
+any learned language every text is `und`. Every language is learned, however few rows it has. Repeated rows get equal
+results; extra columns, whatever their names, are ignored; an empty table gives an empty result. A very long text is one
+row of counts.
 """
 
 from __future__ import annotations
@@ -24,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import fold, materialise, whole
+from framelake.llm.common import bounded_batches, fold, materialise, small, strings, trimmed, whole
 
 DIMENSIONS, CLUSTERS, SAMPLE, REJECT = 4096, 3, 800, 0.001
-#: Languages with the most rows that are learned: bounds the centroids that go to each task (48 KB a language).
-LANGUAGES = 1000
+#: Centroids that go to a task at once (16 KB each); more are compared in further passes over the rows.
+CENTRES = 3000
+#: What two products of the same vectors may differ by.
+ROUNDING = 1e-6
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -69,20 +73,19 @@ def centroids(vectors: np.ndarray, k: int = CLUSTERS, rounds: int = 12) -> tuple
 
 def fit(docs: DataFrame) -> dict:
     """Model from docs' text and lang: idf, centres, langs and limits of the centres."""
-    known = docs.where("lang is not null and text is not null")
-    counts = {r[0]: r[1] for r in known.groupBy(F.col("lang").cast("string")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
-        return {"langs": np.zeros(0, object), "idf": np.zeros(DIMENSIONS), "centres": np.zeros((0, DIMENSIONS)), "limits": np.zeros(0)}
-    share = F.try_element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, SAMPLE / n))]), F.col("lang").cast("string"))
+    bounded_batches(docs)
+    known = docs.where("lang is not null and text is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    counts = materialise(known.groupBy("lang").agg(F.least(F.lit(1.0), SAMPLE / F.count("*")).alias("share")), "languages")
     lot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    rows = known.select(F.col("lang").cast("string").alias("lang"), "text", F.coalesce(lot < share, F.lit(False)).alias("sampled"))
+    rows = known.join(small(counts, counts.count()), "lang").select("lang", "text", (lot < F.col("share")).alias("sampled"))
 
+    @trimmed
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, texts = np.zeros(DIMENSIONS, "int64"), 0
         schema = pa.schema([("lang", pa.string()), ("bins", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
         for batch in batches:
             out = []
-            for lang, text, sampled in zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "sampled"))):
+            for text, lang, sampled in zip(strings(batch.column("text")), *(batch.column(c).to_pylist() for c in ("lang", "sampled"))):
                 if not has_letter(text):
                     continue
                 bins, n = grams(text)
@@ -117,25 +120,31 @@ def fit(docs: DataFrame) -> dict:
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected) of each row, from its text alone."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select("doc_id", (fold() == 1).alias("held_out"), whole().alias("text"))
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        centres = m["centres"].astype("float32")
-        for batch in batches:
-            langs, scores, rejected = [], [], []
-            for text in batch.column("text").to_pylist():
-                if not len(centres) or not has_letter(text):
-                    langs.append("und"), scores.append(0.0), rejected.append(True)
-                    continue
-                cosines = centres @ vector(text, m["idf"])
-                i = int(cosines.argmax())
-                langs.append(m["langs"][i]), scores.append(float(min(1, max(0, cosines[i])))), rejected.append(bool(cosines[i] < m["limits"][i]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(nearest, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
+    bounded_batches(docs)
+    rows = docs.select("doc_id", (fold() == 1).alias("held_out"), whole().alias("text"), F.lit(None).cast("string").alias("lang_pred"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("boolean").alias("rejected"))
+    schema = rows.schema
+
+    def nearest_of(centres: np.ndarray, langs: np.ndarray, limits: np.ndarray, idf: np.ndarray):
+        @trimmed
+        def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                best = [list(x) for x in zip(*(batch.column(c).to_pylist() for c in ("lang_pred", "score", "rejected")))]
+                for so_far, text in zip(best, strings(batch.column("text"))):
+                    if has_letter(text):
+                        cosines = centres @ vector(text, idf)
+                        i = int(cosines.argmax())
+                        if so_far[1] is None or cosines[i] > so_far[1]:
+                            so_far[:] = langs[i], float(cosines[i]), bool(cosines[i] < limits[i] - ROUNDING)
+                made = (pa.array([x[k] for x in best], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_())))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "held_out", "text")), *made], schema.names)
+
+        return nearest
+
+    for at in range(0, len(model["centres"]), CENTRES):
+        own = slice(at, at + CENTRES)
+        rows = rows.mapInArrow(nearest_of(model["centres"][own].astype("float32"), model["langs"][own], model["limits"][own], model["idf"]), schema)
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("score", F.lit(0.0))))
+    return rows.select("doc_id", "held_out", F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), score.alias("score"), F.coalesce("rejected", F.lit(True)).alias("rejected"))
 
 
 def identify(docs: DataFrame) -> DataFrame:

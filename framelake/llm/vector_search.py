@@ -1,29 +1,33 @@
 """Exact top-k search by inner product with a KD-tree per shard.
 
-Vectors are dealt to shards of about SHARD by a hash of their id. A shard's task builds a tree by median splits of the
-widest side with tight bounding boxes; a query goes through it best first, by the largest inner product that a box
-allows, and stops where that can't reach its kth result. Every query first searches one shard; the kth result found
-there goes along to the others, so most of their boxes are never opened. Queries come in blocks of QUERIES, so the rows
-of a task are bounded; a pair of a shard and a block is a task's unit.
-
-Defined results: vectors that are null, empty, of another length than most, or hold null or non-finite components take
-no part; ties go to the smaller id; repeated rows of an id and vector are one query and as many candidates; a query's own
-id is never among its results; inner products must fit a long; an empty table gives an empty result; extra columns are
-ignored.
+Vectors are dealt to shards by a hash of their id, as many as there are shuffle partitions, but with at most SHARD and no
+fewer than LITTLE vectors each. A shard's rows stream to a task, its vectors first and the queries after them: the task
+builds the shard's tree once, by median splits of the widest side with tight bounding boxes, and takes the queries batch
+by batch. A query goes through the tree best first, by the largest inner product that a box allows, and stops where that
+can't reach its kth result. Every query first searches its own shard; the kth result found there goes along to the
+others, so that most of their boxes, or the whole tree, are never opened. Only queries are copied to the shards, never
+vectors.
+
+Defined results: vectors that are null, empty or hold null or non-finite components take no part; of two vectors of
+different lengths the shorter counts as filled up with zeros; ties go to the smaller id; repeated rows of an id and vector
+are one query and as many candidates, and an id with several vectors is a query for each, whose results are taken
+together; a query's own id is never among its results; an inner product that a long can't hold ends the query with an
+error, as do components beyond it; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.common import materialise
+from framelake.llm.common import materialise, trimmed
 
-SHARD, QUERIES, LEAF = 4096, 4096, 64
+SHARD, LITTLE, LEAF = 65_536, 2048, 64
 _FOUND = "query_id long, vec_id long, score long"
 
 
@@ -46,7 +50,8 @@ class Tree:
         axis = int((high - low).argmax())
         if end - start > self.leaf and high[axis] > low[axis]:
             half = (end - start) // 2
-            self.order[start:end] = rows[np.argpartition(here[:, axis], half)]
+            exact = here.dtype == object  # whole numbers of any size
+            self.order[start:end] = rows[np.argsort(here[:, axis]) if exact else np.argpartition(here[:, axis], half)]
             self.child[node] = (self._grow(start, start + half), self._grow(start + half, end))
         return node
 
@@ -84,54 +89,90 @@ class Tree:
         return best
 
 
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """Lists of longs as rows, filled up with zeros to the longest."""
+    lengths = np.diff(lists.offsets.to_numpy())
+    out = np.zeros((len(lists), int(lengths.max(initial=0))), "int64")
+    out[np.arange(out.shape[1]) < lengths[:, None]] = lists.flatten().to_numpy()
+    return out
+
+
+def _wide(x: np.ndarray, width: int) -> np.ndarray:
+    return np.pad(x, ((0, 0), (0, width - x.shape[1])))
+
+
 def _search(k: int):
-    def search(_: tuple, queries: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(shard):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        vectors, wanted = (np.stack(x.to_numpy()).astype("float64") for x in (shard["v"], queries["q"]))
-        if np.abs(vectors).max(initial=1) * np.abs(wanted).max(initial=1) * vectors.shape[1] >= 2**53:
-            vectors, wanted = (np.stack(x.to_numpy()).astype("int64") for x in (shard["v"], queries["q"]))
-        tree, out = Tree(shard["vec_id"].to_numpy(), vectors), []
-        bounds = tree.bounds(wanted)
-        known = zip(queries["kth_score"], queries["kth_id"])
-        for q, v, b, (score, i) in zip(queries["query_id"], wanted, bounds, known):
-            kth = None if pd.isna(score) else (int(score), -int(i))
-            out += [(q, -i, int(s)) for s, i in tree.search(q, v, b, k, kth)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+    """A task's generator over rows (shard, id, v, query, kth_score, kth_id), sorted by shard with its vectors first."""
+
+    @trimmed
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, ids, vectors, tree = None, [], [], None
+
+        def ask(rows: pa.RecordBatch) -> pa.RecordBatch | None:
+            nonlocal tree, ids, vectors
+            queries = _matrix(rows.column("v"))
+            if tree is None:
+                width = max(x.shape[1] for x in vectors)
+                tree = (np.concatenate(ids), np.concatenate([_wide(x, width) for x in vectors]))
+                ids, vectors, tree = [], [], [*tree, np.abs(tree[1].astype("float64")).max(initial=1), None, None]
+            width = max(queries.shape[1], tree[1].shape[1])
+            most = tree[2] * np.abs(queries.astype("float64")).max(initial=1) * width * 1.001
+            kind = "float64" if most < 2**53 else "int64" if most < 2**63 else object
+            if tree[3] != kind:
+                tree[3:] = kind, Tree(tree[0], tree[1].astype(kind))
+            queries = _wide(queries, width)[:, : tree[1].shape[1]].astype(kind)
+            bounds, out = tree[4].bounds(queries), []
+            known = zip(rows.column("id").to_pylist(), rows.column("kth_score").to_pylist(), rows.column("kth_id").to_pylist())
+            for (q, score, i), v, b in zip(known, queries, bounds):
+                out += [(q, -i, int(s)) for s, i in tree[4].search(q, v, b, k, None if score is None else (score, -i))]
+            return pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in range(3)], ["query_id", "vec_id", "score"])
+
+        for batch in batches:
+            owner, query = batch.column("shard").to_numpy(), np.asarray(batch.column("query"))
+            edges = np.flatnonzero((np.diff(owner, prepend=owner[:1] - 1) != 0) | (np.diff(query, prepend=-1) != 0)).tolist() if len(owner) else []
+            for a, b in zip(edges, [*edges[1:], len(owner)]):
+                rows = batch.slice(a, b - a)
+                if owner[a] != shard:
+                    shard, ids, vectors, tree = owner[a], [], [], None
+                if not query[a]:
+                    ids.append(rows.column("id").to_numpy()), vectors.append(_matrix(rows.column("v")))
+                elif ids or tree is not None:
+                    yield ask(rows)
 
     return search
 
 
 def quantised(embedding: Column, scale: int = 256) -> Column:
-    """floor(scale * x) of each component as a long; null if a component is null or not finite."""
+    """floor(scale * x) of each component as a long; null if a component is null or not finite.
+
+    A component that a long can't hold is an error.
+    """
     bad = F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(~F.coalesce(bad, F.lit(True)) & (F.size(embedding) > 0), F.transform(embedding, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long")))
+    return F.when(~F.coalesce(bad, F.lit(True)) & (F.size(embedding) > 0), F.transform(embedding, lambda x: F.when(F.abs(F.lit(float(scale)) * x.cast("double")) < 2.0**63, F.floor(F.lit(float(scale)) * x.cast("double")).cast("long")).otherwise(F.raise_error(F.lit("a component is too large for a long")))))
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 5, shard: int = SHARD) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of all rows of vectors (vec_id, v) for those where queries holds."""
-    rows = materialise(vectors.where("vec_id is not null and v is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "v"), "vectors")
-    common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    n = common["count"] if common else 0
-    rows = rows.where(F.size("v") == (common["n"] if common else 0))
-    shards = max(1, -(-n // shard))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    asked = dealt.where(queries)
-    blocks = max(1, -(-asked.count() // QUERIES))
-    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block")).distinct()
-    cells = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    spark = vectors.sparkSession
+    rows = vectors.where("vec_id is not null and v is not null").select(F.col("vec_id").cast("long").alias("id"), "v", F.coalesce(queries, F.lit(False)).alias("query"))
+    rows = materialise(rows, "vectors")
+    n = rows.count()
+    shards = max(-(-n // shard), min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // LITTLE), 1)
     none = F.lit(None).cast("long")
+    dealt = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "v", "query", none.alias("kth_score"), none.alias("kth_id"))
+    held, asked = dealt.withColumn("query", F.lit(0)), dealt.where("query").withColumn("query", F.lit(1)).distinct()
 
     def run(q: DataFrame) -> DataFrame:
-        return q.select("query_id", "q", "kth_score", "kth_id", "shard", "block").groupBy("shard", "block").cogroup(cells.groupBy("shard", "block")).applyInPandas(_search(k), _FOUND)
+        return held.unionByName(q).repartition("shard").sortWithinPartitions("shard", "query").mapInArrow(_search(k), _FOUND)
 
     best = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
-    home = materialise(run(asked.withColumn("kth_score", none).withColumn("kth_id", none)), "home")
-    if shards == 1:
-        return best(home).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-    kth = best(home).where(F.col("rank") == k).select("query_id", F.col("score").alias("kth_score"), F.col("vec_id").alias("kth_id"))
-    away = asked.withColumnRenamed("shard", "home").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard != home")
-    found = home.unionByName(run(away.join(kth, "query_id", "left")))
+    home = materialise(run(asked), "home")
+    found = home
+    if shards > 1:
+        kth = best(home).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth_score"), F.col("vec_id").alias("kth_id"))
+        other = F.explode(F.sequence(F.lit(1), F.lit(shards - 1))).alias("step")
+        away = asked.drop("kth_score", "kth_id").select("*", other).withColumn("shard", F.pmod(F.col("shard") + F.col("step"), F.lit(shards)).cast("int")).drop("step")
+        found = home.unionByName(run(away.join(kth, "id", "left").select(asked.columns)))
     return best(found).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

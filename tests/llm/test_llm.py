@@ -328,6 +328,15 @@ def test_language_held_out_accuracy(spark):
     assert got["score"].between(0, 1).all()
 
 
+def test_many_languages_in_few_centres(spark, docs_of, monkeypatch):
+    base = [(i, t * 3, lang) for i, (t, lang) in enumerate([("the cat and the dog ", "en"), ("der Hund und die Katze ", "de"), ("le chat et le chien ", "fr"), ("el gato y el perro ", "es")] * 12)]
+    whole = langid.identify(docs_of(base)).toPandas().round({"score": 5})
+    monkeypatch.setattr(langid, "CENTRES", 2)
+    again = langid.identify(docs_of(base)).toPandas().round({"score": 5})
+    assert again.sort_values("doc_id").reset_index(drop=True).equals(whole.sort_values("doc_id").reset_index(drop=True))
+    assert set(whole["lang_pred"]) == {"en", "de", "fr", "es"}
+
+
 def test_language_edges(spark, docs_of):
     base = [(100 + i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("der Hund und die Katze", "de")] * 12)]
     got = {r["doc_id"]: r for r in langid.identify(docs_of([*base, *EDGES, (200, "123 ..."), (201, "x", None)])).collect()}
@@ -350,9 +359,8 @@ def brute_top(vectors, every=50, k=5):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("shard", "block"), [(4096, 4096), (64, 3)])
-def test_top_k_equals_brute_force(spark, monkeypatch, shard, block):
-    monkeypatch.setattr(vector_search, "QUERIES", block)
+@pytest.mark.parametrize("shard", [4096, 64])
+def test_top_k_equals_brute_force(spark, shard):
     rng = random.Random(5)
     rows_ = [(i, [rng.choice([-1.0, -0.5, 0.0, 0.25, rng.random()]) for _ in range(6)]) for i in range(600)]
     rows_ += [(1000 + i, [0.25] * 6) for i in range(200)] + [(2000, None), (2050, [None] * 6), (2100, [float("nan")] * 6), (2150, [float("inf")] + [0.0] * 5), (2200, []), (None, [0.1] * 6)]
@@ -369,6 +377,19 @@ def test_top_k_few_empty_and_large_values(spark):
     assert vector_search.search_embeddings(df.limit(0)).count() == 0
 
 
+def test_top_k_of_unequal_lengths_and_beyond_a_long(spark):
+    unequal = [(i, [1.0, 0.5 * i]) for i in range(1, 4)] + [(50, [5.0]), (100, [-1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(unequal, "vec_id long, embedding array<double>")
+    padded = [(i, v + [0.0] * (3 - len(v))) for i, v in unequal]
+    assert sorted(rows(vector_search.search_embeddings(df), "query_id", "rank", "vec_id", "score")) == brute_top(padded)
+    large = [(0, [8e6, 1.0]), (50, [1.2e7, -1.0]), (7, [-8e6, 3.0])]  # the square of 50 is beyond a long
+    df = spark.createDataFrame(large, "vec_id long, embedding array<double>")
+    assert sorted(rows(vector_search.search_embeddings(df), "query_id", "rank", "vec_id", "score")) == brute_top(large)
+    for beyond in ([(0, [1e16, 1e16]), (1, [1e16, 1e16])], [(0, [1e300]), (1, [1.0])]):
+        with pytest.raises(Exception, match="long|[Oo]verflow|too large"):
+            vector_search.search_embeddings(spark.createDataFrame(beyond, "vec_id long, embedding array<double>")).collect()
+
+
 def test_tree_boxes_bound_their_rows():
     rng = np.random.default_rng(3)
     vectors = rng.integers(-50, 50, (500, 8)).astype(float)
