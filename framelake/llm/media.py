@@ -1,7 +1,10 @@
 """Media columns from ISO base media files: boxes are walked and sample tables decoded, payloads never are.
 
-Defined results: bytes that aren't such a file, are cut off or have no track give null features and an error string;
-null bytes give null; a track without an stss box has keyframes only (each sample is one).
+Defined results: bytes that aren't such a file, are cut off, have no track or tables that contradict each other, that
+nest deeper than DEPTH, or that are fragmented (their samples aren't in these tables) give null features and an error
+string; null bytes give null; a track without an stss box has keyframes only (each sample is one). Repeated rows get
+equal results, an empty table an empty one. A table's counts are held against its box before anything is built of them,
+so a file costs no more memory than a few times its own size.
 """
 
 from __future__ import annotations
@@ -16,18 +19,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import whole
+from framelake.llm.common import bounded_batches, strings, trimmed, whole
 
-#: Fixed values of the file format: boxes that hold boxes.
+#: Fixed values of the file format: boxes that hold boxes, and those of fragmented files.
 CONTAINERS = frozenset((b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf"))
+FRAGMENTS = frozenset((b"moof", b"mvex"))
+DEPTH = 16
 #: Bytes of a stored sample, samples of a chunk and samples between keyframes, as container() writes them.
 SAMPLE, CHUNK, KEY_EVERY, RATE = 64, 16, 16, 8000
 
 
-def boxes(data: memoryview, at: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+def boxes(data: memoryview) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
     """(path, start, end) of each box's content, nested boxes after the one that holds them."""
-    end = len(data) if end is None else end
-    while at + 8 <= end:
+    open_: list[tuple[tuple[bytes, ...], int, int]] = [((), 0, len(data))]
+    while open_:
+        path, at, end = open_.pop()
+        if at + 8 > end:
+            if at < end and not path:
+                raise ValueError(f"bytes at {at} are no box")
+            continue
         size, kind, head = *struct.unpack_from(">I4s", data, at), 8
         if size == 1:
             size, head = struct.unpack_from(">Q", data, at + 8)[0], 16
@@ -35,10 +45,12 @@ def boxes(data: memoryview, at: int = 0, end: int | None = None, path: tuple[byt
             size = end - at
         if size < head or at + size > end:
             raise ValueError(f"box {kind!r} at {at} leaves its parent")
+        open_.append((path, at + size, end))
         yield (*path, kind), at + head, at + size
         if kind in CONTAINERS:
-            yield from boxes(data, at + head, at + size, (*path, kind))
-        at += size
+            if len(path) >= DEPTH:
+                raise ValueError("boxes nest too deeply")
+            open_.append(((*path, kind), at + head, at + size))
 
 
 def _table(data: memoryview, at: int, end: int, kind: str, columns: int = 1) -> np.ndarray:
@@ -50,13 +62,50 @@ def _table(data: memoryview, at: int, end: int, kind: str, columns: int = 1) ->
     return np.frombuffer(data, kind, n * columns, at + 8).astype("int64").reshape(n, columns)
 
 
+def _sizes(data: memoryview, at: int, end: int) -> np.ndarray:
+    same, n = struct.unpack_from(">II", data, at + 4)
+    if not same:
+        if at + 12 + 4 * n > end:
+            raise ValueError("table leaves its box")
+        return np.frombuffer(data, ">u4", n, at + 12).astype("int64")
+    if n * same > len(data):
+        raise ValueError("samples lie beyond the file")
+    return np.full(n, same, "int64")
+
+
+def _place(t: dict, length: int) -> None:
+    """Adds the samples' offsets, from the chunks' places and how many samples each holds; checks what is there."""
+    n, chunks, runs = len(t["sizes"]), t["chunks"], t["runs"]
+    first = np.append(runs[:, 0] - 1, len(chunks))
+    if len(runs) and (first[0] != 0 or (np.diff(first) < 0).any() or (runs[:, 1] < 1).any()):
+        raise ValueError("chunk runs are out of order")
+    per = np.minimum(np.repeat(runs[:, 1], np.diff(first)), n) if len(runs) else np.zeros(0, "int64")
+    ends = np.minimum(np.cumsum(per), n)
+    if n and (not len(ends) or ends[-1] < n):
+        raise ValueError("chunks hold fewer samples than there are sizes")
+    chunk = np.searchsorted(ends, np.arange(n), "right")
+    before = np.cumsum(t["sizes"]) - t["sizes"]
+    starts = np.flatnonzero(np.diff(chunk, prepend=-1))
+    t["offsets"] = chunks[chunk] + before - np.repeat(before[starts], np.diff(np.append(starts, n))) if n else before
+    if n and (t["offsets"].min() < 0 or (t["offsets"] + t["sizes"]).max() > length):
+        raise ValueError("samples lie beyond the file")
+    if t["keys"] is None:
+        t["keys"] = np.arange(n)
+    elif len(t["keys"]) and (t["keys"].min() < 0 or t["keys"].max() >= n):
+        raise ValueError("a keyframe is none of the samples")
+    if t["times"] is not None and (n_times := int(t["times"][:, 0].sum())) != n:
+        raise ValueError(f"{n_times} sample times for {n} samples")
+
+
 def tracks(data: bytes) -> list[dict]:
     """codec, timescale, duration, sizes, offsets and keyframes (from 0) of each track."""
     view, out = memoryview(data), []
     for path, at, end in boxes(view):
         kind = path[-1]
+        if kind in FRAGMENTS:
+            raise ValueError("fragmented file")
         if kind == b"trak":
-            out.append({"codec": None, "timescale": 0, "duration": 0, "sizes": np.zeros(0, "int64"), "keys": None})
+            out.append({"codec": None, "timescale": 0, "duration": 0, "sizes": np.zeros(0, "int64"), "keys": None, "times": None, "chunks": np.zeros(0, "int64"), "runs": np.zeros((0, 3), "int64")})
         elif not out or b"trak" not in path:
             continue
         t = out[-1]
@@ -65,8 +114,7 @@ def tracks(data: bytes) -> list[dict]:
         elif kind == b"stsd" and end - at >= 16:
             t["codec"] = bytes(view[at + 12 : at + 16]).decode("latin-1")
         elif kind == b"stsz":
-            same, n = struct.unpack_from(">II", view, at + 4)
-            t["sizes"] = np.full(n, same, "int64") if same else np.frombuffer(view, ">u4", n, at + 12).astype("int64")
+            t["sizes"] = _sizes(view, at, end)
         elif kind == b"stsc":
             t["runs"] = _table(view, at, end, ">u4", 3)
         elif kind in (b"stco", b"co64"):
@@ -76,17 +124,7 @@ def tracks(data: bytes) -> list[dict]:
         elif kind == b"stts":
             t["times"] = _table(view, at, end, ">u4", 2)
     for t in out:
-        n, chunks, runs = len(t["sizes"]), t.get("chunks", np.zeros(0, "int64")), t.get("runs", np.zeros((0, 3), "int64"))
-        first = np.append(runs[:, 0] - 1, len(chunks))
-        chunk = np.repeat(np.arange(len(chunks)), np.repeat(runs[:, 1], np.diff(first)))[:n] if len(runs) else np.zeros(0, "int64")
-        if len(chunk) < n:
-            raise ValueError("chunks hold fewer samples than there are sizes")
-        before = np.cumsum(t["sizes"]) - t["sizes"]
-        starts = np.flatnonzero(np.diff(chunk, prepend=-1))
-        t["offsets"] = chunks[chunk] + before - np.repeat(before[starts], np.diff(np.append(starts, n))) if n else before
-        if n and (t["offsets"] + t["sizes"]).max() > len(data):
-            raise ValueError("samples lie beyond the file")
-        t["keys"] = np.arange(n) if t["keys"] is None else t["keys"]
+        _place(t, len(data))
     return out
 
 
@@ -109,46 +147,58 @@ def container(payload: bytes) -> bytes:
         keys = np.arange(1, n + 1, KEY_EVERY, dtype=">u4").tobytes()
         stbl = _box(b"stbl", full(b"stsd", struct.pack(">I", 1), entry), full(b"stts", struct.pack(">III", 1, n, SAMPLE)), full(b"stsz", struct.pack(">II", SAMPLE, n)), full(b"stsc", struct.pack(">I", len(runs)), *(struct.pack(">III", *r) for r in runs)), full(b"stco", struct.pack(">I", total), offsets), full(b"stss", struct.pack(">I", len(keys) // 4), keys))
         mdhd = full(b"mdhd", struct.pack(">IIIIHH", 0, 0, RATE, n * SAMPLE, 0x55C4, 0))
-        return _box(b"moov", _box(b"trak", _box(b"mdia", mdhd, full(b"hdlr", b"\0" * 4, b"soun", b"\0" * 13), _box(b"minf", stbl))))
+        dinf = _box(b"dinf", full(b"dref", struct.pack(">I", 1), _box(b"url ", b"\0\0\0\1")))
+        minf = _box(b"minf", full(b"smhd", b"\0" * 4), dinf, stbl)
+        unity = struct.pack(">9I", 1 << 16, 0, 0, 0, 1 << 16, 0, 0, 0, 1 << 30)
+        mvhd = full(b"mvhd", struct.pack(">IIIIIH", 0, 0, RATE, n * SAMPLE, 1 << 16, 1 << 8), b"\0" * 10, unity, b"\0" * 24, struct.pack(">I", 2))
+        tkhd = _box(b"tkhd", b"\0\0\0\7", struct.pack(">IIIII", 0, 0, 1, 0, n * SAMPLE), b"\0" * 12, struct.pack(">HH", 1 << 8, 0), unity, b"\0" * 8)
+        return _box(b"moov", mvhd, _box(b"trak", tkhd, _box(b"mdia", mdhd, full(b"hdlr", b"\0" * 4, b"soun", b"\0" * 13), minf)))
 
     head = _box(b"ftyp", b"isom", struct.pack(">I", 0), b"isom")
     start = len(head) + len(moov(0)) + 8
     return head + moov(start) + _box(b"mdat", payload)
 
 
-FEATURES = "codec string, timescale long, duration long, n_samples long, sample_bytes long, keyframes array<struct<offset:long,bytes:long>>, error string"
+_TRACK = "codec string, timescale long, duration long, n_samples long, sample_bytes long, keyframes array<struct<offset:long,bytes:long>>"
+#: The first track's columns, those of all tracks, and what is wrong with the file.
+FEATURES = f"{_TRACK}, tracks array<struct<{_TRACK.replace(' ', ':').replace(',:', ',')}>>, error string"
+_KEYS = pa.list_(pa.struct([("offset", pa.int64()), ("bytes", pa.int64())]))
+_FIELDS = [("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("n_samples", pa.int64()), ("sample_bytes", pa.int64()), ("keyframes", _KEYS)]
+_SCHEMA = pa.schema([*_FIELDS, ("tracks", pa.list_(pa.struct(_FIELDS))), ("error", pa.string())])
 
 
 def features(data: bytes | None) -> dict:
-    """The first track's features, or what is wrong with the file."""
-    none = dict.fromkeys(("codec", "timescale", "duration", "n_samples", "sample_bytes", "keyframes", "error"))
+    """The first track's features and all tracks', or what is wrong with the file."""
+    none = dict.fromkeys(_SCHEMA.names)
     if data is None:
         return none
     try:
-        t = tracks(data)[0]
-        keys = [{"offset": int(o), "bytes": int(b)} for o, b in zip(t["offsets"][t["keys"]], t["sizes"][t["keys"]])]
-    except (ValueError, IndexError, struct.error) as e:
-        return none | {"error": str(e) or "no track"}
-    return {"codec": t["codec"], "timescale": t["timescale"], "duration": t["duration"], "n_samples": len(t["sizes"]), "sample_bytes": int(t["sizes"].sum()), "keyframes": keys, "error": None}
+        found = [
+            {"codec": t["codec"], "timescale": t["timescale"], "duration": t["duration"], "n_samples": len(t["sizes"]), "sample_bytes": int(t["sizes"].sum()), "keyframes": [{"offset": int(o), "bytes": int(b)} for o, b in zip(t["offsets"][t["keys"]], t["sizes"][t["keys"]])]}
+            for t in tracks(data)
+        ]
+        return {**found[0], "tracks": found, "error": None}
+    except (ValueError, IndexError, OverflowError, struct.error) as e:
+        return none | {"error": "no track" if isinstance(e, IndexError) else str(e)}
 
 
 def media_columns(files: DataFrame, content: str = "content") -> DataFrame:
-    """files' rows' features by the file in the column content; the other columns stay, under their names."""
+    """files with the features of the file in the column content instead of it.
+
+    The other columns stay; one whose name is a feature's gets the prefix file_.
+    """
     keep = [c for c in files.columns if c != content]
-    schema = files.select(*[f"`{c}`" for c in keep]).schema
-    names = [f.split(" ")[0] for f in FEATURES.replace("struct<offset:long,bytes:long>", "x").split(", ")]
-    clash = set(keep) & set(names)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} exist; rename them first")
+    rows = files.select(F.struct(*[files[f"`{c}`"].alias(f"file_{c}" if c in _SCHEMA.names else c) for c in keep]).alias("row"), files[f"`{content}`"].alias("content"))
 
+    @trimmed
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(x) for x in batch.column(content).to_pylist()]
-            made = pa.Table.from_pylist(rows, pa.schema([("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("n_samples", pa.int64()), ("sample_bytes", pa.int64()), ("keyframes", pa.list_(pa.struct([("offset", pa.int64()), ("bytes", pa.int64())]))), ("error", pa.string())]))
-            cols = [batch.column(c) for c in keep] + [made[n].combine_chunks() for n in names]
-            yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], [*keep, *names])
+            made = pa.Table.from_pylist([features(x) for x in strings(batch.column("content"), 16)], _SCHEMA)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *(made[n].combine_chunks() for n in _SCHEMA.names)], ["row", *_SCHEMA.names])
 
-    return files.mapInArrow(walk, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), FEATURES]))
+    bounded_batches(files)
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(walk, f"row {kind}, {FEATURES}").select("row.*", *_SCHEMA.names)
 
 
 STORED = "doc_id {}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -160,10 +210,13 @@ def stored_texts(docs: DataFrame) -> DataFrame:
     Null texts are empty; the payload is padded with zero bytes to a positive multiple of SAMPLE.
     """
 
+    bounded_batches(docs)
+
+    @trimmed
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list] = [[] for _ in range(7)]
-            for text in batch.column("text").to_pylist():
+            for text in strings(batch.column("text"), 64):
                 data = text.encode()
                 media = container(data.ljust(max(1, -(-len(data) // SAMPLE)) * SAMPLE, b"\0"))
                 t = tracks(media)[0]
@@ -183,5 +236,10 @@ def stored_texts(docs: DataFrame) -> DataFrame:
 
 def files_of(texts: DataFrame) -> DataFrame:
     """(doc_id, content): the files themselves, for a media table."""
-    make = F.udf(lambda s: bytearray(container((s or "").encode().ljust(max(1, -(-len((s or "").encode()) // SAMPLE)) * SAMPLE, b"\0"))), "binary")
-    return texts.select("doc_id", make(F.col("text")).alias("content"))
+
+    @F.arrow_udf("binary")
+    def make(column: pa.Array) -> pa.Array:
+        data = (s.encode() for s in strings(column))
+        return pa.array([container(x.ljust(max(1, -(-len(x) // SAMPLE)) * SAMPLE, b"\0")) for x in data], pa.binary())
+
+    return texts.select("doc_id", make(whole()).alias("content"))

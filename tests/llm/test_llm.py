@@ -306,6 +306,38 @@ def test_media_columns(spark, docs_of):
     assert all(got[i]["error"] for i in (3, 5, 6)) and got[4]["error"] is None and got[4]["codec"] is None
 
 
+def test_media_of_two_tracks_fragments_and_hostile_files(spark):
+    import struct
+
+    box, full = media._box, lambda kind, *parts: media._box(kind, b"\0\0\0\0", *parts)
+
+    def track(codec, stsz, stsc=((1, 2, 1),), offsets=(0,), extra=b""):
+        stbl = box(b"stbl", full(b"stsd", struct.pack(">I", 1), box(codec, b"\0" * 8)), full(b"stsz", stsz), full(b"stsc", struct.pack(">I", len(stsc)), *(struct.pack(">III", *r) for r in stsc)), full(b"stco", struct.pack(">I", len(offsets)), *(struct.pack(">I", o) for o in offsets)), extra)
+        return box(b"trak", box(b"mdia", box(b"minf", stbl)))
+
+    two = struct.pack(">IIII", 0, 2, 5, 7)
+    deep = b""
+    for _ in range(3000):
+        deep = box(b"moov", deep)
+    files = {
+        1: box(b"moov", track(b"avc1", two), track(b"mp4a", two, offsets=(20,), extra=full(b"stss", struct.pack(">II", 1, 2)))) + box(b"mdat", b"x" * 100),
+        2: box(b"moov", track(b"avc1", struct.pack(">II", 0, 0), offsets=())) + box(b"moof", b"\0" * 8),
+        3: deep,
+        4: box(b"moov", track(b"avc1", struct.pack(">II", 64, 2**32 - 1))),
+        5: box(b"moov", track(b"avc1", two, extra=full(b"stss", struct.pack(">II", 1, 0)))) + box(b"mdat", b"x" * 100),
+        6: box(b"moov", track(b"avc1", two, stsc=((1, 2**32 - 1, 1),))) + box(b"mdat", b"x" * 100),
+        7: box(b"moov", track(b"avc1", two, stsc=((2, 1, 1), (1, 1, 1)))) + box(b"mdat", b"x" * 100),
+        8: box(b"moov", track(b"avc1", two, extra=full(b"stts", struct.pack(">III", 1, 9, 1)))) + box(b"mdat", b"x" * 100),
+    }
+    df = spark.createDataFrame([(k, bytearray(v), "mine", 1) for k, v in files.items()], "doc_id long, content binary, codec string, error int")
+    out = media.media_columns(df)
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert [(t["codec"], [(k["offset"], k["bytes"]) for k in t["keyframes"]]) for t in got[1]["tracks"]] == [("avc1", [(0, 5), (5, 7)]), ("mp4a", [(25, 7)])]
+    assert got[1]["codec"] == "avc1" and got[1]["file_codec"] == "mine" and got[1]["file_error"] == 1 and got[1]["error"] is None
+    assert all(got[k]["error"] and got[k]["tracks"] is None for k in (2, 3, 4, 5, 7, 8)) and got[2]["error"] == "fragmented file"
+    assert got[6]["n_samples"] == 2 and media.media_columns(df.limit(0)).count() == 0
+
+
 def test_variable_sizes_and_large_boxes():
     import struct
 
