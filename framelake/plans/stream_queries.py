@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.plans.registry import query, table
+from framelake.sources.scratch import scratch_dir
 from framelake.streaming import steps
 
 
@@ -40,8 +39,7 @@ def step_batch(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def stream_step_equals_batch(spark: SparkSession, d: str) -> DataFrame:
     """Per video: frames, and those where the stateful stream and the batch fold agree (all, for ordered input)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/framelake-streams"
-    root = f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    root = scratch_dir(spark)
     source = table(spark, d, "events")
     stream = spark.readStream.schema(source.schema).parquet(f"{d}/events.parque[t]")  # a pattern, since the table may be a file or a folder
     key, old = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")

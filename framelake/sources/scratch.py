@@ -4,17 +4,43 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[str] = []
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all machines share; a local one only where that is unset (tests)."""
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which all machines share; a local folder only where it is unset and all runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="framelake-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/framelake/{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder below the shared one."""
+    _made.append(f"{shared_folder(spark)}/framelake/{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+@contextmanager
+def scratch_removed(spark: SparkSession) -> Iterator[None]:
+    """Deletes the scratch folders made within; only for results that are written or gone by its end."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for folder in _made[before:]:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+        del _made[before:]
 
 
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
