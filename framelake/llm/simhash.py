@@ -32,7 +32,7 @@ from itertools import combinations, islice
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType
 
@@ -337,8 +337,8 @@ def _near_in_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
 
 
-def near_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, component_id): component_id is the smallest id reachable by links of near copies."""
+def near_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, rows, group) of docs: key names the set of shingles, group what links of near copies connect."""
     bounded_batches(docs)
     rows = docs.select("doc_id", whole().alias("text"))
 
@@ -353,25 +353,28 @@ def near_components(docs: DataFrame) -> DataFrame:
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     prints = materialise(rows.mapInArrow(sketch, f"doc_id {kind}, key long, n int, bands array<long>"), "sketches")
-    sets = materialise(prints.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")), "sets")
+    sets = materialise(prints.groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands")), "sets")
     roots = materialise(connected(near_links(docs, sets)), "roots")
-    groups = roots.join(sets, F.col("node") == F.col("key")).groupBy("root").agg(F.min("least").alias("m"))
-    groups = groups.join(sets, F.col("root") == F.col("key")).select("root", F.least("m", "least").alias("name"))
-    named = roots.join(groups, "root").select(F.col("node").alias("key"), "name").unionByName(groups.select(F.col("root").alias("key"), "name"))
-    names = sets.join(named, "key", "left").select("key", F.coalesce("name", "least").alias("component_id"))
-    names = materialise(names, "names")
-    return prints.join(names, "key").select("doc_id", "key", "component_id")
+    keys = prints.groupBy("doc_id", "key").agg(F.count("*").alias("rows"))
+    return keys.join(roots, F.col("key") == F.col("node"), "left").select("doc_id", "key", "rows", F.coalesce("root", "key").alias("group"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component of near copies, that of its smallest id, and all columns of docs.
+    """docs with one row of each group of near copies, that of its smallest id, and all columns of docs.
 
-    Rows that repeat an id count once. Of rows with a null id, one of each set of shingles stays, and only where its
-    component has no id at all.
+    A null id comes after all others. An id whose rows have unlike texts is in several groups, and may stay for each; of
+    rows equal in id and set of shingles the one with the smallest hash of its text stays.
     """
-    found = near_components(docs)
-    leaders = found.where("doc_id = component_id").select(F.col("doc_id").alias("_dup_id")).distinct()
-    named = docs.join(leaders, F.col("doc_id") == F.col("_dup_id"), "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id is null").withColumn("_dup_print", set_key_udf(whole())).dropDuplicates(["_dup_print"])
-    alone = found.where("doc_id is null and component_id is null").select(F.col("key").alias("_dup_alone")).distinct()
-    return named.unionByName(nameless.join(alone, F.col("_dup_print") == F.col("_dup_alone"), "left_semi").drop("_dup_print"))
+    groups = materialise(near_groups(docs), "groups")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")).alias("first")
+    leaders = groups.groupBy("group").agg(least).select("first.doc_id", "first.key")
+    repeated = materialise(groups.groupBy("doc_id").agg(F.sum("rows").alias("rows")).where("rows > 1 or doc_id is null").select("doc_id"), "repeated")
+    ids = small(repeated, repeated.count())
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), F.col("doc_id").alias("id"), whole().alias("text"))
+    same = F.col("id").eqNullSafe(F.col("doc_id"))
+    # the id alone finds the row, unless it has several; only those are shingled once more
+    alone = rows.join(leaders.join(ids.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left_anti"), same, "left_semi")
+    other = rows.join(ids, same, "left_semi").withColumn("set", set_key_udf("text"))
+    other = other.join(leaders, same & (F.col("set") == F.col("key")), "left_semi")
+    first = F.row_number().over(Window.partitionBy("id", "set").orderBy(F.xxhash64("text"), F.xxhash64("doc")))
+    return alone.select("doc.*").unionByName(other.withColumn("place", first).where("place = 1").select("doc.*"))

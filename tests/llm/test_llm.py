@@ -616,6 +616,12 @@ def test_simhash_edges(spark, docs_of):
     assert simhash.components(docs.limit(0)).count() == 0
 
 
+def test_an_id_with_unlike_texts_loses_none(spark, docs_of):
+    docs = docs_of([(1, "one text of its own kind that stays here"), (1, "another and wholly different thing under this id"), (1, "One text of its own kind that stays here"), (2, "another and wholly different thing under this id")])
+    got = [(r["doc_id"], r["text"].lower()) for r in simhash.representatives(docs).collect()]
+    assert sorted(got) == [(1, "another and wholly different thing under this id"), (1, "one text of its own kind that stays here")]
+
+
 def shingles_of(text):
     w = WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text))
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
