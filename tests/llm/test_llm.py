@@ -506,6 +506,14 @@ def test_counterfactual_penalty_flattens_a_weight():
     assert free[0] > 3 and abs(held[0]) < 0.1
 
 
+def test_toxicity_on_held_out_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    held = queries.op9_toxicity(spark, sf).where("held_out").join(labels, "doc_id").toPandas()
+    toxic = held["toxic"] == 1
+    assert len(held) > 100 and held[toxic]["predicted"].mean() >= 0.7 and held[~toxic]["predicted"].mean() <= 0.02
+
+
 def test_toxicity_edges(spark, docs_of):
     docs = docs_of(EDGES)
     labels = spark.createDataFrame([(4, 1, 1), (5, 1, 0), (7, None, None)], LABELS)
@@ -684,8 +692,16 @@ def test_pipeline_stages(spark, coder):
     clean = [i for i, r in labels.items() if r["quality"] == 1]
     assert sum(i in kept for i in clean) > 0.98 * len(clean)
     before, after = (ids(x) for x in at["near_dedup"])
-    groups = brute_groups({r["doc_id"]: brute_print(r["text"]) for r in at["near_dedup"][0].collect()})
-    assert sorted(after) == sorted(set(groups.values())) and len(after) < len(before)
+    scored = toxicity.score(at["toxicity"][0], table(spark, "labels")).where("score < 0.7")
+    assert sorted(ids(at["toxicity"][1])) == sorted(ids(scored)) and len(ids(scored)) < len(kept)
+    sets = {r["doc_id"]: shingles_of(r["text"]) for r in at["near_dedup"][0].collect()}
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = {k: new if v == old else v for k, v in root.items()}
+    assert sorted(after) == sorted(set(root.values())) and len(after) < len(before)
     mixed = {}
     for i in ids(at["mix"][1]):
         mixed[i] = mixed.get(i, 0) + 1
