@@ -90,3 +90,21 @@ def padded(size: Column, multiple: int) -> tuple[Column, Column]:
     """Pixels to add before and after a side so that multiple divides it."""
     more = F.pmod(-size, F.lit(multiple))
     return F.floor(more / 2).cast("int"), (more - F.floor(more / 2)).cast("int")
+
+
+def probabilities(logits: Column) -> Column:
+    """Softmax over an array of logits; the sigmoid where there is only one."""
+    top = F.array_max(logits)
+    powers = F.transform(logits, lambda x: F.exp(x - top))
+    total = F.aggregate(powers, F.lit(0.0), lambda s, x: s + x)
+    return F.when(F.size(logits) == 1, F.transform(logits, lambda x: 1 / (1 + F.exp(-x)))).otherwise(F.transform(powers, lambda x: x / total))
+
+
+def label_of(probs: Column, least: float = 0.5) -> Column:
+    """The most probable class, ties to the lowest; of a single probability whether it is at least least."""
+    return F.when(F.size(probs) == 1, (probs[0] >= least).cast("int")).otherwise((F.array_position(probs, F.array_max(probs)) - 1).cast("int"))
+
+
+def mask_set(value: Column) -> Column:
+    """Whether a mask's value, from 0 to 1, counts as set."""
+    return F.coalesce(value > 0.5, F.lit(False))

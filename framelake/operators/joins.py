@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.operators.keypoints import matrix
+
 
 def lag_offset(frame: Column, start: Column, every: int = 6) -> Column:
     """greatest(0, ceil((frame - start) / every)); 0 where there is no start."""
@@ -57,16 +61,31 @@ def consecutive(frames: DataFrame, key: str, frame: str) -> DataFrame:
     return frames.withColumn("prev_frame", prev).withColumn("continuous", F.coalesce(prev == F.col(frame) - 1, F.lit(False)))
 
 
-def dot(a: Column, b: Column) -> Column:
-    """Inner product of two arrays."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def matches(prev: DataFrame, curr: DataFrame, pair: str, least: float | None = None) -> DataFrame:
+    """(pair, i, j, score) of keypoints (pair, id, descriptor) that are each other's best, ties to the smaller id.
 
+    A pair's sides are two frames' keypoints, a few thousand at most: one product of matrices in a task gives the scores,
+    of which only the matches leave it.
+    """
 
-def similarities(prev: DataFrame, curr: DataFrame, pair: str) -> DataFrame:
-    """(pair, i, j, score) within each frame pair; a pair's sides are the keypoints of one frame, a few thousand at most."""
-    a = prev.select(pair, F.col("id").alias("i"), F.col("descriptor").alias("a"))
-    b = curr.select(pair, F.col("id").alias("j"), F.col("descriptor").alias("b"))
-    return a.join(b, pair).select(pair, "i", "j", F.round(dot(F.col("a"), F.col("b")), 6).alias("score"))
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        a, b = a.sort_by("id"), b.sort_by("id")
+        i = j = np.zeros(0, "int64")
+        scores = np.zeros((0, 0))
+        if a.num_rows and b.num_rows:
+            scores = np.round(matrix(a["descriptor"]) @ matrix(b["descriptor"]).T, 6)
+            i = np.arange(a.num_rows)
+            j = scores.argmax(axis=1)
+            mutual = scores.argmax(axis=0)[j] == i
+            i, j = i[mutual], j[mutual]
+            if least is not None:
+                i, j = (x[scores[i, j] > least] for x in (i, j))
+        key = (a if a.num_rows else b)[pair][0]
+        return pa.table([pa.array([key.as_py()] * len(i), key.type), a["id"].take(pa.array(i)), b["id"].take(pa.array(j)), pa.array(scores[i, j] if len(i) else [], pa.float64())], [pair, "i", "j", "score"])
+
+    kinds = [x.schema[c].dataType.simpleString() for x, c in ((prev, pair), (prev, "id"), (curr, "id"))]
+    sides = (side.select(pair, "id", "descriptor").groupBy(pair) for side in (prev, curr))
+    return next(sides).cogroup(next(sides)).applyInArrow(run, f"{pair} {kinds[0]}, i {kinds[1]}, j {kinds[2]}, score double")
 
 
 def mutual_best(scores: DataFrame, pair: str, least: float | None = None) -> DataFrame:
@@ -78,7 +97,23 @@ def mutual_best(scores: DataFrame, pair: str, least: float | None = None) -> Dat
 
 
 def gather(cells: DataFrame, source: DataFrame, x: Column, y: Column, name: str = "v") -> DataFrame:
-    """cells with the value of source (x, y, v) at integer places x and y, 0 outside; source has a row per place."""
-    s = source.select(F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("v").alias("sv"))
-    rows = cells.withColumn("gx", x.cast("int")).withColumn("gy", y.cast("int"))
-    return rows.join(s, (F.col("gx") == F.col("sx")) & (F.col("gy") == F.col("sy")), "left").withColumn(name, F.coalesce("sv", F.lit(0).cast("bigint"))).drop("sx", "sy", "sv", "gx", "gy")
+    """cells (img, ...) with the value of their image in source (img, x, y, v) at places x and y, 0 outside.
+
+    Places are rounded already; source has a row per place.
+    """
+    s = source.select(F.col("img").alias("_img"), F.col("x").alias("_sx"), F.col("y").alias("_sy"), F.col("v").alias("_sv"))
+    rows = cells.withColumn("_gx", x.cast("int")).withColumn("_gy", y.cast("int"))
+    same = F.col("img").eqNullSafe(F.col("_img")) & (F.col("_gx") == F.col("_sx")) & (F.col("_gy") == F.col("_sy"))
+    return rows.join(s, same, "left").withColumn(name, F.coalesce("_sv", F.lit(0).cast("bigint"))).drop("_img", "_sx", "_sy", "_sv", "_gx", "_gy")
+
+
+def aligned(pred: DataFrame, gt: DataFrame) -> DataFrame:
+    """(img, x, y, pred, gt) of two label images (img, x, y, v), pred brought to gt's size by nearest places where they differ.
+
+    An image's size is what its cells span from 0.
+    """
+    size = lambda df, a, b: df.groupBy("img").agg((F.max("x") + 1).alias(a), (F.max("y") + 1).alias(b))
+    sizes = size(gt, "gw", "gh").join(size(pred, "pw", "ph"), "img")
+    cells = gt.withColumnRenamed("v", "gt").join(sizes, "img")
+    at = lambda c, a, b: F.floor(F.col(c) * F.col(a) / F.col(b))
+    return gather(cells, pred, at("x", "pw", "gw"), at("y", "ph", "gh"), "pred").select("img", "x", "y", "pred", "gt")

@@ -1,36 +1,21 @@
 """Keypoints: local maxima, thresholds, top-k, sub-pixel refinement, descriptors, assignment.
 
-A score map is a table (img, x, y, s) with one row for each cell that has a score. Neighbourhoods are built by sending
-each cell to the places around it, an aggregation with (2r + 1)^2 rows a cell, so they need no theta join.
+A score map is a table (img, x, y, s) with one row for each cell that has a score.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def around(cells: DataFrame, radius: int, *values: str) -> DataFrame:
-    """Each cell at all places within radius: (img, x, y, dx, dy, values); dx, dy lead from the place to the cell."""
-    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in range(-radius, radius + 1) for dy in range(-radius, radius + 1)])
-    rows = cells.select("img", "x", "y", *values, F.explode(steps).alias("d"))
-    return rows.select("img", (F.col("x") - F.col("d.dx")).alias("x"), (F.col("y") - F.col("d.dy")).alias("y"), F.col("d.dx").alias("dx"), F.col("d.dy").alias("dy"), *values)
-
-
-def local_max(cells: DataFrame, value: str, radius: int, name: str) -> DataFrame:
-    """cells with the largest value within radius."""
-    best = around(cells, radius, value).groupBy("img", "x", "y").agg(F.max(value).alias(name))
-    return cells.join(best, ["img", "x", "y"])
+from framelake.operators import images
 
 
 def suppress(cells: DataFrame, radius: int, recoveries: int = 2) -> DataFrame:
     """cells with kept: local maxima (ties all stay), then those that are maxima once the kept ones' surroundings are out."""
-    out = local_max(cells, "s", radius, "m").withColumn("kept", F.col("s") == F.col("m")).drop("m")
-    for _ in range(recoveries):
-        out = local_max(out.withColumn("k", F.col("kept").cast("int")), "k", radius, "near").withColumn("left", F.when(F.col("near") > 0, 0.0).otherwise(F.col("s").cast("double")))
-        out = local_max(out, "left", radius, "m").withColumn("kept", F.col("kept") | ((F.col("near") == 0) & (F.col("left") == F.col("m"))))
-        out = out.drop("k", "near", "left", "m")
-    return out
+    return images.by_image(cells, ["s"], lambda p, there: {"kept": images.kept_maxima(p["s"], there, radius, recoveries)}, "kept boolean")
 
 
 def inside(x: Column, y: Column, width: int, height: int, border: int) -> Column:
@@ -53,13 +38,8 @@ def top_k(rows: DataFrame, key: str, k: int, *order: Column) -> DataFrame:
 
 def soft_argmax(cells: DataFrame, radius: int, temperature: float = 0.1) -> DataFrame:
     """(img, x, y, ox, oy, spread): offsets of the softmax's centre of mass, and its mean squared distance from there."""
-    near = around(cells, radius, "s").groupBy("img", "x", "y").agg(F.max("s").alias("m"), F.array_sort(F.collect_list(F.struct("dx", "dy", "s"))).alias("n"))
-    near = near.join(cells.select("img", "x", "y"), ["img", "x", "y"])
-    weight = F.transform("n", lambda c: F.struct(c["dx"].alias("dx"), c["dy"].alias("dy"), F.exp((c["s"] - F.col("m")) / temperature).alias("w")))
-    total = lambda f: F.aggregate(F.col("n"), F.lit(0.0), lambda a, c: a + f(c))
-    out = near.withColumn("n", weight).withColumn("t", total(lambda c: c["w"])).withColumn("ox", total(lambda c: c["w"] * c["dx"]) / F.col("t")).withColumn("oy", total(lambda c: c["w"] * c["dy"]) / F.col("t"))
-    spread = total(lambda c: c["w"] * ((c["dx"] - F.col("ox")) * (c["dx"] - F.col("ox")) + (c["dy"] - F.col("oy")) * (c["dy"] - F.col("oy")))) / F.col("t")
-    return out.select("img", "x", "y", "ox", "oy", spread.alias("spread"))
+    of = lambda p, there: dict(zip(("ox", "oy", "spread"), images.centres_of_mass(p["s"], there, radius, temperature)))
+    return images.by_image(cells.select("img", "x", "y", "s"), ["s"], of, "ox double, oy double, spread double").drop("s")
 
 
 def bilinear(points: DataFrame, cells: DataFrame) -> DataFrame:
@@ -80,13 +60,49 @@ def root_normalised(x: Column, eps: float = 1e-6) -> Column:
     return F.transform(root, lambda v: v / F.greatest(F.sqrt(add(root, lambda u: u * u)), F.lit(1e-12)))
 
 
-def assignment(scores: DataFrame, pair: str) -> DataFrame:
-    """scores (pair, i, j, score, z0, z1) with log_p: log-softmax over i and over j plus both sides' log-sigmoid gates."""
-    by_i, by_j = Window.partitionBy(pair, "i"), Window.partitionBy(pair, "j")
-    rows = scores.withColumn("mi", F.max("score").over(by_i)).withColumn("mj", F.max("score").over(by_j))
-    lse = lambda m, w: F.col(m) + F.ln(F.sum(F.exp(F.col("score") - F.col(m))).over(w))
-    gate = lambda z: -F.log1p(F.exp(-F.col(z)))
-    return rows.withColumn("log_p", 2 * F.col("score") - lse("mi", by_i) - lse("mj", by_j) + gate("z0") + gate("z1")).drop("mi", "mj")
+def assignments(prev: DataFrame, curr: DataFrame, pair: str, *, dustbin: bool = True) -> DataFrame:
+    """(pair, i, j, log_p) of keypoints (pair, id, descriptor, z): log-softmax over i and over j plus both sides' gates.
+
+    Similarities are inner products over the square root of the descriptors' length, gates the log-sigmoid of z. With
+    dustbin there are rows with i or j null: the log-probability that a keypoint matches none, from its gate alone. A
+    pair's sides are two frames' keypoints: one product of matrices in a task.
+    """
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = []
+        if a.num_rows and b.num_rows:
+            x, y = matrix(a["descriptor"]), matrix(b["descriptor"])
+            s = x @ y.T / np.sqrt(x.shape[1])
+            norm = lambda axis: s.max(axis, keepdims=True) + np.log(np.exp(s - s.max(axis, keepdims=True)).sum(axis, keepdims=True))
+            z0, z1 = a["z"].to_numpy(), b["z"].to_numpy()
+            log_p = 2 * s - norm(1) - norm(0) - np.logaddexp(0, -z0)[:, None] - np.logaddexp(0, -z1)
+            i, j = np.repeat(a["id"].to_numpy(), len(y)), np.tile(b["id"].to_numpy(), len(x))
+            found = [(pa.array(i), pa.array(j), pa.array(log_p.ravel()))]
+        if dustbin:
+            none = lambda t: pa.nulls(t.num_rows, pa.int64())
+            found += [(a["id"].combine_chunks().cast(pa.int64()), none(a), pa.array(-np.logaddexp(0, a["z"].to_numpy()))), (none(b), b["id"].combine_chunks().cast(pa.int64()), pa.array(-np.logaddexp(0, b["z"].to_numpy())))]
+        key = (a if a.num_rows else b)[pair][0]
+        tables = [pa.table([pa.array([key.as_py()] * len(p), key.type), i, j, p], [pair, "i", "j", "log_p"]) for i, j, p in found]
+        return pa.concat_tables(tables) if tables else pa.table([pa.array([], key.type), *(pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64()))], [pair, "i", "j", "log_p"])
+
+    sides = (side.select(pair, F.col("id").cast("long").alias("id"), "descriptor", F.col("z").cast("double").alias("z")).groupBy(pair) for side in (prev, curr))
+    return next(sides).cogroup(next(sides)).applyInArrow(run, f"{pair} {prev.schema[pair].dataType.simpleString()}, i long, j long, log_p double")
+
+
+def matrix(lists: pa.ChunkedArray) -> np.ndarray:
+    """Descriptors of one length as rows."""
+    column = lists.combine_chunks()
+    return column.flatten().to_numpy().astype(float).reshape(len(column), -1)
+
+
+def pruned(confidence: Column, matchability: Column, layer: int, layers: int, keep: float = 0.95) -> Column:
+    """Whether a token stays: its matchability is over 1 - keep, or it isn't yet as sure as its layer asks (null: no such test)."""
+    return (matchability > 1 - keep) | F.coalesce(confidence <= stop_threshold(F.lit(layer), layers), F.lit(False))
+
+
+def fixed_length(values: Column, length: int, sentinel: float) -> Column:
+    """An array cut or filled up with sentinel to length."""
+    return F.slice(F.concat(values, F.array_repeat(F.lit(sentinel), length)), 1, length)
 
 
 def normalised_points(x: Column, y: Column, width: Column, height: Column) -> tuple[Column, Column]:

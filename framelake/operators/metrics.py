@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.operators.raster import ground_distance, warp_labels
+
 EPS = 1e-6
 
 
@@ -71,6 +73,50 @@ def size_bins(pixels: DataFrame, image: Sequence[str], small: float, medium: flo
     return per_image.groupBy("cls", size.alias("bin")).agg(*[F.sum(c).alias(c) for c in ("inter", "pred_sum", "gt_sum")])
 
 
+def counts_in_bins(pixels: DataFrame, image: Sequence[str], classes: Sequence[int]) -> DataFrame:
+    """(cls, bin, inter, pred_sum, gt_sum) of pixels (image, pred, gt, bin), as size_bins() counts."""
+    per_image = class_counts(pairs(pixels, F.col("pred"), F.col("gt"), *image, "bin"), classes, *image, "bin")
+    whole = Window.partitionBy(*image, "cls")
+    rows = per_image.withColumn("_has", F.sum("gt_sum").over(whole)).where("_has > 0")
+    return rows.groupBy("cls", "bin").agg(*[F.sum(c).alias(c) for c in ("inter", "pred_sum", "gt_sum")])
+
+
+def ground_bins(pixels: DataFrame, classes: Sequence[int] = range(256), bins: int = 12) -> DataFrame:
+    """(cls, bin, inter, pred_sum, gt_sum) of pixels (img, x, y, pred, gt) off the background, class 0 of gt.
+
+    bin is by the distance to the background over the image's largest. Images without background take no part.
+    """
+    far = ground_distance(pixels, F.col("gt") == 0).where("gt != 0 and d is not null")
+    rows = far.withColumn("bin", F.least(F.floor(F.col("d") / (1.01 / bins)), F.lit(bins - 1)).cast("int"))
+    return counts_in_bins(rows, ["img"], [c for c in classes if c != 0])
+
+
+def rolled_up(counts: DataFrame, group: int = 4) -> DataFrame:
+    """(bins, bin, mean_dice): the classes' mean Dice of each bin of counts, without an epsilon, and of bins joined by group."""
+    sums = [F.sum(c).alias(c) for c in ("inter", "pred_sum", "gt_sum")]
+    coarse = counts.groupBy("cls", F.floor(F.col("bin") / group).cast("int").alias("bin")).agg(*sums)
+    plain = counts.groupBy("bin").agg(F.avg(F.try_divide(2 * F.col("inter"), F.col("pred_sum") + F.col("gt_sum"))).alias("mean_dice"))
+    joined = coarse.groupBy("bin").agg(F.avg(dice(F.col("inter"), F.col("pred_sum"), F.col("gt_sum"))).alias("mean_dice"))
+    return plain.select(F.lit(12).alias("bins"), "bin", "mean_dice").unionByName(joined.select(F.lit(12 // group).alias("bins"), "bin", "mean_dice"))
+
+
+def temporal_consistency(labels: DataFrame, flow: DataFrame, classes: Sequence[int], ignore: Sequence[int] = ()) -> DataFrame:
+    """(video, n_pairs, consistency): mean over consecutive frames of the classes' mean IoU with the frame before, warped.
+
+    labels (video, frame_id, x, y, v); flow (video, frame_id, x, y, dx, dy) leads from a frame to the one before. Class 0
+    and ignored classes don't count, nor pairs of frames without any other.
+    """
+    img = F.struct("video", "frame_id").alias("img")
+    before = labels.select(F.struct("video", (F.col("frame_id") + 1).alias("frame_id")).alias("img"), "x", "y", "v")
+    known = before.select("img").distinct()
+    warped = warp_labels(before, flow.select(img, "x", "y", "dx", "dy").join(known, "img", "left_semi"))
+    both = labels.select(img, "x", "y", F.col("v").alias("now")).join(warped, ["img", "x", "y"])
+    counts = class_counts(pairs(both, F.col("label"), F.col("now"), "img"), [c for c in classes if c not in (0, *ignore)], "img")
+    union = F.col("pred_sum") + F.col("gt_sum") - F.col("inter")
+    per_pair = counts.where(union > 0).groupBy("img").agg(F.avg(F.col("inter") / union).alias("iou"))
+    return per_pair.groupBy(F.col("img.video").alias("video")).agg(F.count("*").alias("n_pairs"), F.avg("iou").alias("consistency"))
+
+
 def robust_flags(df: DataFrame, key: str, value: str, factor: float = 3.0) -> DataFrame:
     """df's key and value with flags: far from the key's lower median by mean + factor sample deviations, and by MAD.
 

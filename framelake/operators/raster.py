@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.operators.graph import connected
-from framelake.operators.keypoints import around
+from framelake.operators import geometry, images
+from framelake.operators.joins import gather
 
 
 def grid(width: int, height: int, spark) -> DataFrame:
@@ -25,10 +25,91 @@ def warp_nearest(src: DataFrame, dx: int, dy: int, width: int, height: int) -> D
     return rows.where((F.col("x") < width) & (F.col("y") < height)).select("img", "x", "y", F.coalesce("moved", F.lit(0)).cast("bigint").alias("v"))
 
 
+def sampled(places: DataFrame, source: DataFrame, u: Column, v: Column, mode: str = "nearest", edge: DataFrame | None = None) -> DataFrame:
+    """places (img, x, y, ...) with v: their image's value in source (img, x, y, v) at (u, v), which needn't be whole.
+
+    nearest rounds half to even; bilinear weighs the four cells around. What lies outside, or has no cell, counts as 0;
+    with edge (img, w, h), the sizes of the images, places are moved to the nearest one inside first.
+    """
+    rows = places.withColumn("_u", u.cast("double")).withColumn("_v", v.cast("double"))
+    if edge is not None:
+        rows = rows.join(edge.select("img", F.col("w").alias("_w"), F.col("h").alias("_h")), "img")
+        inside = lambda c, most: F.greatest(F.lit(0.0), F.least(F.col(c), F.col(most) - 1.0))
+        rows = rows.withColumn("_u", inside("_u", "_w")).withColumn("_v", inside("_v", "_h")).drop("_w", "_h")
+    if mode == "nearest":
+        return gather(rows, source, F.rint("_u"), F.rint("_v")).drop("_u", "_v")
+    corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])).alias("_c")
+    rows = rows.withColumn("_bu", F.floor("_u")).withColumn("_bv", F.floor("_v")).select("*", corner)
+    weight = F.abs(1 - F.col("_c.i") - (F.col("_u") - F.col("_bu"))) * F.abs(1 - F.col("_c.j") - (F.col("_v") - F.col("_bv")))
+    rows = rows.withColumn("_weight", weight).where("_weight > 0")
+    hit = gather(rows, source, F.col("_bu") + F.col("_c.i"), F.col("_bv") + F.col("_c.j"), "_value")
+    return hit.groupBy(*places.columns).agg(F.sum(F.col("_weight") * F.col("_value")).alias("v"))
+
+
+def warp(source: DataFrame, transforms: DataFrame, width: int, height: int, mode: str = "nearest") -> DataFrame:
+    """(img, x, y, v): each image of source (img, x, y, v) under its transform (img, h00..h22), on width x height places.
+
+    Each place takes the value from where the inverse sends it; a singular transform gives an image of zeros. Only a row
+    an image is copied to the places, which are made where they are used.
+    """
+    inv = geometry.inverse(geometry.entries())
+    rows = transforms.select("img", *[inv[i][j].alias(geometry.NAMES[3 * i + j]) for i in range(3) for j in range(3)])
+    places = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
+    u, v = geometry.apply(geometry.entries(), F.col("x"), F.col("y"))
+    beyond = lambda c: F.coalesce(c, F.lit(-10.0))
+    return sampled(places.select("img", "x", "y", beyond(u).alias("u"), beyond(v).alias("w")), source, F.col("u"), F.col("w"), mode).select("img", "x", "y", "v")
+
+
+def resize(source: DataFrame, sizes: DataFrame, width: int, height: int, mode: str = "nearest", align_corners: bool = False) -> DataFrame:
+    """(img, x, y, v): images of source (img, x, y, v), of the sizes (img, w, h), on width x height places.
+
+    nearest takes the place whose share of the side is as large, cut to whole numbers; bilinear maps the pixels' middles,
+    or with align_corners the outermost pixels, onto each other, and the edge goes on outside.
+    """
+    places = sizes.select("img", "w", "h", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
+
+    def at(c: str, old: str, new: int) -> Column:
+        if mode == "nearest":
+            return F.floor(F.col(c) * F.col(old) / F.lit(new))
+        if align_corners:
+            return F.col(c) * (F.col(old) - 1) / F.lit(max(1, new - 1))
+        return (F.col(c) + 0.5) * F.col(old) / F.lit(new) - 0.5
+
+    return sampled(places, source, at("x", "w", width), at("y", "h", height), mode, sizes).select("img", "x", "y", "v")
+
+
+def warp_labels(labels: DataFrame, flow: DataFrame) -> DataFrame:
+    """(img, x, y, label): labels (img, x, y, v) of the frame before at the places to which flow (img, x, y, dx, dy) leads.
+
+    Each class has the bilinear weight of its cells among the four; the heaviest class wins, ties to the smallest, and
+    places that reach no cell are class 0.
+    """
+    corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])).alias("c")
+    at = flow.select("img", "x", "y", (F.col("x") + F.col("dx")).alias("u"), (F.col("y") + F.col("dy")).alias("v")).select("*", corner)
+    weight = F.abs(1 - F.col("c.i") - (F.col("u") - F.floor("u"))) * F.abs(1 - F.col("c.j") - (F.col("v") - F.floor("v")))
+    at = at.select("img", "x", "y", (F.floor("u") + F.col("c.i")).alias("sx"), (F.floor("v") + F.col("c.j")).alias("sy"), weight.alias("weight"))
+    hit = at.join(labels.select("img", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("v").alias("cls")), ["img", "sx", "sy"], "left")
+    by = hit.groupBy("img", "x", "y", F.coalesce("cls", F.lit(0)).alias("cls")).agg(F.round(F.sum("weight"), 9).alias("weight"))
+    return by.groupBy("img", "x", "y").agg(F.max_by("cls", F.struct("weight", -F.col("cls"))).alias("label"))
+
+
 def chebyshev(cells: DataFrame, seeds: Column, most: int) -> DataFrame:
     """cells with d: the Chebyshev distance to the nearest seed cell, null beyond most."""
-    near = around(cells.where(seeds).select("img", "x", "y"), most).groupBy("img", "x", "y").agg(F.min(F.greatest(F.abs("dx"), F.abs("dy"))).alias("d"))
-    return cells.join(near, ["img", "x", "y"], "left")
+    near = images.by_image(cells.withColumn("_seed", F.coalesce(seeds, F.lit(False))), ["_seed"], lambda p, there: {"d": images.square_distance(p["_seed"], most)}, "d double")
+    return near.withColumn("d", F.col("d").cast("int")).drop("_seed")
+
+
+def ground_distance(cells: DataFrame, ground: Column) -> DataFrame:
+    """cells with d: the Euclidean distance to their image's nearest cell of ground, over the image's largest (plus 1e-12).
+
+    null in images without such a cell. The distance is exact, where a chamfer approximates it.
+    """
+
+    def share(p, there):
+        d = images.plain_distance(p["_ground"])
+        return {"d": np.where(np.isfinite(d), d / (d[there].max() + 1e-12), np.nan)}
+
+    return images.by_image(cells.withColumn("_ground", F.coalesce(ground, F.lit(False))), ["_ground"], share, "d double").drop("_ground")
 
 
 def ramp(d: Column, radius: int) -> Column:
@@ -52,16 +133,23 @@ def paste(canvas: DataFrame, warped: DataFrame, only_new: bool = False) -> DataF
 
 def morph(cells: DataFrame, radius: int, largest: bool) -> DataFrame:
     """Dilation (largest) or erosion of v by a square; places that lack don't count."""
-    f = F.max if largest else F.min
-    out = around(cells, radius, "v").groupBy("img", "x", "y").agg(f("v").alias("m"))
-    return cells.join(out, ["img", "x", "y"]).select("img", "x", "y", F.col("m").alias("v"))
+
+    def run(p, there):
+        v = np.where(there, p["v"].astype(float), -np.inf if largest else np.inf)
+        return {"m": images.spread(v, radius, np.maximum if largest else np.minimum)}
+
+    out = images.by_image(cells.select("img", "x", "y", "v"), ["v"], run, "m double")
+    return out.select("img", "x", "y", F.col("m").cast(cells.schema["v"].dataType).alias("v"))
 
 
 def laplacian_variance(cells: DataFrame) -> DataFrame:
     """(img, blur): population variance of the 4-neighbour Laplacian, places outside counting as zero."""
-    cross = around(cells, 1, "v").where(F.abs("dx") + F.abs("dy") <= 1)
-    sums = cross.groupBy("img", "x", "y").agg(F.sum(F.when((F.col("dx") == 0) & (F.col("dy") == 0), -4 * F.col("v")).otherwise(F.col("v"))).alias("lap"))
-    return cells.select("img", "x", "y").join(sums, ["img", "x", "y"]).groupBy("img").agg(F.var_pop("lap").alias("blur"))
+    return images.by_image(cells.select("img", "x", "y", "v"), ["v"], lambda p, there: {"lap": images.laplacian(p["v"])}, "lap double").groupBy("img").agg(F.var_pop("lap").alias("blur"))
+
+
+def complement(mask: Column) -> Column:
+    """255 where a mask is 0, else 0."""
+    return F.when(mask == 0, 255).otherwise(0)
 
 
 def vignette(x: Column, y: Column, v: Column, width: int, height: int, sigma: float = 0.95) -> Column:
@@ -97,39 +185,50 @@ def gray(r: Column, g: Column, b: Column, luma: bool = True) -> Column:
 
 
 def components(cells: DataFrame) -> DataFrame:
-    """cells (img, x, y) with component: the smallest id of those reachable over 8 neighbours.
+    """cells (img, x, y) with component, struct(img, x, y): the first cell, by y and x, of those reachable over 8 neighbours."""
 
-    A cell's id is img 2^40 + x 2^20 + y, so img must be a number below 2^22, x and y below 2^20.
-    """
-    pixel = (F.col("img").cast("bigint") * (1 << 40) + F.col("x").cast("bigint") * (1 << 20) + F.col("y").cast("bigint")).alias("id")
-    own = cells.select("img", "x", "y", pixel)
-    near = around(own, 1, "id").where((F.col("dx") != 0) | (F.col("dy") != 0)).select("img", "x", "y", F.col("id").alias("b"))
-    links = own.join(near, ["img", "x", "y"]).select(F.col("id").alias("a"), "b").where("a > b")
-    roots = connected(links)
-    return own.join(roots, F.col("id") == F.col("node"), "left").select("img", "x", "y", F.coalesce("root", "id").alias("component"))
+    def run(p, there):
+        first = images.first_cells(there)
+        x0, y0 = p["x"][there].min(), p["y"][there].min()
+        return {"_fx": first % there.shape[1] + x0, "_fy": first // there.shape[1] + y0}
+
+    out = images.by_image(cells, ["x", "y"], run, "_fx long, _fy long")
+    return out.withColumn("component", F.struct("img", F.col("_fx").alias("x"), F.col("_fy").alias("y"))).drop("_fx", "_fy")
+
+
+def warped(image: np.ndarray, m: np.ndarray, width: int, height: int, mode: str = "nearest") -> np.ndarray | None:
+    """An image under a transform, on width x height places, 0 where nothing comes from; None for a singular one."""
+    if abs(np.linalg.det(m)) < 1e-12:
+        return None
+    y, x = np.mgrid[:height, :width]
+    u, v, w = np.tensordot(np.linalg.inv(m), np.stack((x, y, np.ones_like(x))).astype(float), 1)
+    w = np.maximum(w, 1e-8)
+    u, v = u / w, v / w
+    h0, w0 = image.shape
 
+    def at(sx: np.ndarray, sy: np.ndarray) -> np.ndarray:
+        ok = (sx >= 0) & (sx < w0) & (sy >= 0) & (sy < h0)
+        return np.where(ok, image[sy.clip(0, h0 - 1).astype(int), sx.clip(0, w0 - 1).astype(int)], 0)
 
-def warp_packed(images: DataFrame) -> DataFrame:
-    """images (img, h, w, pixels binary of h x w bytes, h00..h22) with warped: nearest samples at the inverse's places."""
+    if mode == "nearest":
+        return at(np.rint(u), np.rint(v))
+    bu, bv = np.floor(u), np.floor(v)
+    return sum(np.abs(1 - i - (u - bu)) * np.abs(1 - j - (v - bv)) * at(bu + i, bv + j) for i in (0, 1) for j in (0, 1))
+
+
+def warp_packed(images_: DataFrame, mode: str = "nearest") -> DataFrame:
+    """images (img, h, w, pixels binary of h x w bytes, h00..h22) with warped: samples at the inverse's places."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                src = np.frombuffer(r.pixels, "u1").reshape(r.h, r.w)
-                m = np.array([getattr(r, f"h{i}{j}") for i in range(3) for j in range(3)], float).reshape(3, 3)
-                if abs(np.linalg.det(m)) < 1e-12:
-                    out.append(None)
-                    continue
-                y, x = np.mgrid[: r.h, : r.w]
-                u, v, w = np.tensordot(np.linalg.inv(m), np.stack((x, y, np.ones_like(x))).astype(float), 1)
-                w = np.maximum(w, 1e-8)
-                sx, sy = np.rint(u / w).astype(int), np.rint(v / w).astype(int)
-                ok = (sx >= 0) & (sx < r.w) & (sy >= 0) & (sy < r.h)
-                out.append(np.where(ok, src[sy.clip(0, r.h - 1), sx.clip(0, r.w - 1)], 0).astype("u1").tobytes())
+                m = np.array([getattr(r, n) for n in geometry.NAMES], float).reshape(3, 3)
+                image = warped(np.frombuffer(r.pixels, "u1").reshape(r.h, r.w), m, r.w, r.h, mode)
+                out.append(None if image is None else np.rint(image).astype("u1").tobytes())
             yield pd.DataFrame({"img": pdf["img"], "h": pdf["h"], "w": pdf["w"], "warped": out})
 
-    return images.mapInPandas(run, f"img {images.schema['img'].dataType.simpleString()}, h int, w int, warped binary")
+    return images_.mapInPandas(run, f"img {images_.schema['img'].dataType.simpleString()}, h int, w int, warped binary")
 
 
 def pack(cells: DataFrame, width: int, height: int) -> DataFrame:
@@ -161,6 +260,11 @@ def boxes(cells: DataFrame) -> DataFrame:
     return components(cells).groupBy("img", "component").agg(F.min("x").alias("x1"), F.min("y").alias("y1"), (F.max("x") + 1).alias("x2"), (F.max("y") + 1).alias("y2"), F.count("*").alias("n"), mid("x").alias("cx"), mid("y").alias("cy"))
 
 
+def regions(cells: DataFrame) -> DataFrame:
+    """(img, x1, y1, x2, y2, n, radius) of each image's cells: their box, number, and the radius of a disc as large."""
+    return cells.groupBy("img").agg(F.min("x").alias("x1"), F.min("y").alias("y1"), (F.max("x") + 1).alias("x2"), (F.max("y") + 1).alias("y2"), F.count("*").alias("n"), F.sqrt(F.count("*") / F.pi()).alias("radius"))
+
+
 def grown_box(valid: np.ndarray, box: tuple[int, int, int, int], passes: int = 10) -> tuple[int, int, int, int]:
     """box (x1, y1, x2, y2) grown by whole rows and columns that are valid all along: left, right, up, down, in turn.
 

@@ -56,23 +56,20 @@ def fold(df: DataFrame, key: str, order: Sequence[str], step: Callable[[object,
     Keys are dealt to tasks and rows sorted by Spark; a task streams through its rows and holds one state, so a key of
     any length needs no more memory than a short one.
     """
-    columns = df.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, state, begun = None, None, False
+        state = None
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
-                k = getattr(row, key)
-                if not begun or k != last:
-                    last, state, begun = k, None, True
-                state, values = step(state, row)
+                state, values = step(None if row[-1] else state, row)
                 out.append(values)
-            yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(out, columns=list(names))], axis=1)
+            yield pd.concat([pdf.drop(columns="_first").reset_index(drop=True), pd.DataFrame(out, columns=list(names))], axis=1)
 
-    ordered = df.repartition(key).sortWithinPartitions(key, *order)
+    # the window deals and sorts the rows, and says where a key, null or not, begins
+    first = F.row_number().over(Window.partitionBy(key).orderBy(*order)) == 1
     own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
-    return ordered.select(*columns).mapInPandas(run, f"{own}, {schema}")
+    return df.select(*df.columns, first.alias("_first")).mapInPandas(run, f"{own}, {schema}")
 
 
 def smooth_box(last: tuple | None, new: tuple, most: int = 20, share: float = 0.3, least_area: float = 0.6) -> tuple:

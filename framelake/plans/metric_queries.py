@@ -75,50 +75,34 @@ _CENTRE = "sqrt((x - 25.0) * (x - 25.0) + (y - 5.0) * (y - 5.0)) / (sqrt(25.0 *
 
 
 @query(f"""
-WITH {LINES.strip()}, {COUNTS.strip()}, c AS (SELECT CASE WHEN {_CENTRE} < 0.33 THEN 0 WHEN {_CENTRE} < 0.66 THEN 1 ELSE 2 END AS bin, cls, {SUMS} FROM sides GROUP BY 1, 2)
+WITH {LINES.strip()}, {COUNTS.strip()}, has AS (SELECT DISTINCT image, gt AS cls FROM lines),
+c AS (SELECT CASE WHEN {_CENTRE} < 0.33 THEN 0 WHEN {_CENTRE} < 0.66 THEN 1 ELSE 2 END AS bin, cls, {SUMS} FROM sides SEMI JOIN has USING (image, cls) GROUP BY 1, 2)
 SELECT cls, bin, inter, pred_sum, gt_sum, round({_DICE}, 6) AS dice FROM c
 """)
 def dice_distance_bins(spark: SparkSession, d: str) -> DataFrame:
+    """Classes that an image's truth lacks don't count there, even where predicted."""
     far = m.centre_distance(F.col("x"), F.col("y"), 51, 11)
-    pixels = labelled_lines(spark, d).withColumn("bin", m.bin_of(far, (0, 0.33, 0.66, 1.01)))
-    c = m.class_counts(m.pairs(pixels, F.col("pred"), F.col("gt"), "bin"), _CLASSES, "bin")
+    c = m.counts_in_bins(labelled_lines(spark, d).withColumn("bin", m.bin_of(far, (0, 0.33, 0.66, 1.01))), ["image"], _CLASSES)
     return c.select("cls", "bin", "inter", "pred_sum", "gt_sum", r6(m.dice(F.col("inter"), F.col("pred_sum"), F.col("gt_sum"))).alias("dice"))
 
 
-@query(f"""
-WITH {LINES.strip()}, {COUNTS.strip()}, c AS (SELECT CAST(least(floor({_CENTRE} / (1.01 / 12)), 11) AS INTEGER) AS fine, cls, {SUMS} FROM sides GROUP BY 1, 2),
-r AS (SELECT cls, fine // 4 AS bin, CAST(sum(inter) AS BIGINT) AS inter, CAST(sum(pred_sum) AS BIGINT) AS pred_sum, CAST(sum(gt_sum) AS BIGINT) AS gt_sum FROM c GROUP BY 1, 2)
-SELECT 12 AS bins, fine AS bin, round(avg(2 * inter / nullif(pred_sum + gt_sum, 0)), 6) AS mean_dice FROM c GROUP BY fine
-UNION ALL SELECT 3, bin, round(avg({_DICE}), 6) FROM r GROUP BY bin
-""")
-def dice_12_to_3_rollup(spark: SparkSession, d: str) -> DataFrame:
-    """Twelve bins by distance without an epsilon, and their roll-up to three with one."""
-    far = m.centre_distance(F.col("x"), F.col("y"), 51, 11)
-    pixels = labelled_lines(spark, d).withColumn("bin", F.least(F.floor(far / (1.01 / 12)), F.lit(11)).cast("int"))
-    fine = m.class_counts(m.pairs(pixels, F.col("pred"), F.col("gt"), "bin"), _CLASSES, "bin")
-    coarse = fine.groupBy("cls", F.floor(F.col("bin") / 4).cast("int").alias("bin")).agg(*[F.sum(c).alias(c) for c in ("inter", "pred_sum", "gt_sum")])
-    plain = fine.groupBy("bin").agg(r6(F.avg(F.try_divide(2 * F.col("inter"), F.col("pred_sum") + F.col("gt_sum")))).alias("mean_dice"))
-    rolled = coarse.groupBy("bin").agg(r6(F.avg(m.dice(F.col("inter"), F.col("pred_sum"), F.col("gt_sum")))).alias("mean_dice"))
-    return plain.select(F.lit(12).alias("bins"), "bin", "mean_dice").unionByName(rolled.select(F.lit(3).alias("bins"), "bin", "mean_dice"))
+_VIDEO = """
+WITH e AS (SELECT event_type AS video, CAST(epoch_us(ts) // 86400000000 AS BIGINT) AS frame_id, user_id % 40 AS x, CAST(user_id // 40 AS BIGINT) AS y, event_id FROM events),
+px AS (SELECT video, frame_id, x, y, max(event_id) % 5 AS cls FROM e GROUP BY 1, 2, 3, 4)"""
 
 
-@query("""
-WITH px AS (SELECT DISTINCT event_type AS video, CAST(epoch_us(ts) // 86400000000 AS BIGINT) AS frame_id, user_id AS px FROM events),
-n AS (SELECT video, frame_id, count(*) AS n FROM px GROUP BY 1, 2),
-i AS (SELECT b.video, b.frame_id, count(*) AS i FROM px a JOIN px b ON a.video = b.video AND a.px = b.px AND a.frame_id + 1 = b.frame_id GROUP BY 1, 2),
-p AS (SELECT b.video, b.frame_id, coalesce(i.i, 0) / (a.n + b.n - coalesce(i.i, 0)) AS iou FROM n a JOIN n b ON a.video = b.video AND a.frame_id + 1 = b.frame_id LEFT JOIN i ON i.video = b.video AND i.frame_id = b.frame_id)
-SELECT video, count(*) AS n_pairs, round(avg(iou), 6) AS consistency FROM p GROUP BY video
-""")
+@query(_VIDEO + """, pair AS (SELECT c.video, c.frame_id, c.x, c.y, c.cls AS now, coalesce(p.cls, 0) AS was FROM px c JOIN (SELECT DISTINCT video, frame_id + 1 AS frame_id FROM px) q USING (video, frame_id)
+    LEFT JOIN px p ON p.video = c.video AND p.frame_id = c.frame_id - 1 AND p.x = c.x + 1 AND p.y = c.y),
+k AS (SELECT video, frame_id, k, count(*) FILTER (now = k AND was = k) AS i, count(*) FILTER (now = k OR was = k) AS u FROM pair, (SELECT unnest([1, 2, 4]) AS k) GROUP BY 1, 2, 3),
+f AS (SELECT video, frame_id, avg(i / u) AS iou FROM k WHERE u > 0 GROUP BY 1, 2)
+SELECT video, count(*) AS n_pairs, round(avg(iou), 6) AS consistency FROM f GROUP BY 1""")
 def temporal_consistency(spark: SparkSession, d: str) -> DataFrame:
-    """Mean IoU of consecutive frames: a video for each event type, a frame a day, its users the pixels."""
+    """A video for each event type, a frame a day, users as pixels; the flow leads one pixel to the right; class 3 is ignored."""
     day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000).cast("bigint")
-    px = table(spark, d, "events").select(F.col("event_type").alias("video"), day.alias("frame_id"), F.col("user_id").alias("px")).distinct()
-    n = px.groupBy("video", "frame_id").agg(F.count("*").alias("n"))
-    after = lambda df: df.withColumn("frame_id", F.col("frame_id") + 1)
-    inter = after(px).join(px, ["video", "frame_id", "px"]).groupBy("video", "frame_id").agg(F.count("*").alias("i"))
-    pairs = after(n).withColumnRenamed("n", "before").join(n, ["video", "frame_id"]).join(inter, ["video", "frame_id"], "left")
-    i = F.coalesce("i", F.lit(0))
-    return pairs.groupBy("video").agg(F.count("*").alias("n_pairs"), r6(F.avg(i / (F.col("before") + F.col("n") - i))).alias("consistency"))
+    e = table(spark, d, "events").select(F.col("event_type").alias("video"), day.alias("frame_id"), (F.col("user_id") % 40).alias("x"), F.floor(F.col("user_id") / 40).alias("y"), "event_id")
+    px = e.groupBy("video", "frame_id", "x", "y").agg((F.max("event_id") % 5).cast("int").alias("v"))
+    flow = px.select("video", "frame_id", "x", "y", F.lit(1.0).alias("dx"), F.lit(0.0).alias("dy"))
+    return m.temporal_consistency(px, flow, classes=(1, 2, 3, 4), ignore=(3,)).withColumn("consistency", r6(F.col("consistency")))
 
 
 @query("""

@@ -37,12 +37,12 @@ def duplicate_keypoints(spark: SparkSession, d: str) -> DataFrame:
     return keypoints.one_per_cell(p).select("img", "event_id")
 
 
-@query(_G + """, p AS (SELECT x * 100 + y AS id, greatest(0, least(x - 1, 51 - 3)) AS x0, greatest(0, least(y - 1, 8 - 3)) AS y0 FROM grid WHERE v > 200),
-k AS (SELECT id, CAST(k % 3 AS INTEGER) AS px, CAST(k // 3 AS INTEGER) AS py, x0 + k % 3 AS x, y0 + k // 3 AS y FROM p, (SELECT unnest(range(9)) AS k))
-SELECT id, px, py, coalesce(v, 0) AS v FROM k LEFT JOIN grid g ON g.x = k.x AND g.y = k.y""")
+@query(_G + """, p AS (SELECT img, img * 10000 + x * 100 + y AS id, greatest(0, least(x - 1, 51 - 3)) AS x0, greatest(0, least(y - 1, 8 - 3)) AS y0 FROM grid WHERE v > 200),
+k AS (SELECT img, id, CAST(k % 3 AS INTEGER) AS px, CAST(k // 3 AS INTEGER) AS py, x0 + k % 3 AS x, y0 + k // 3 AS y FROM p, (SELECT unnest(range(9)) AS k))
+SELECT id, px, py, coalesce(v, 0) AS v FROM k LEFT JOIN grid g ON g.img = k.img AND g.x = k.x AND g.y = k.y""")
 def keypoint_patches(spark: SparkSession, d: str) -> DataFrame:
     cells = image_grid(spark, d)
-    points = cells.where("v > 200").select((F.col("x") * 100 + F.col("y")).alias("id"), "img", "x", "y")
+    points = cells.where("v > 200").select((F.col("img") * 10000 + F.col("x") * 100 + F.col("y")).alias("id"), "img", "x", "y")
     return keypoints.patches(points, cells, 3, WIDTH, HEIGHT)
 
 
@@ -96,17 +96,21 @@ def boxes_to_frame(spark: SparkSession, d: str) -> DataFrame:
     return _transforms(spark, d).select("o_orderkey", box.alias("b")).select("o_orderkey", "b.*")
 
 
-@query()
+@query(_G.replace("WITH", "WITH RECURSIVE") + """, p AS (SELECT img, x, y FROM grid WHERE v > 200),
+r AS (SELECT img, x, y, x AS fx, y AS fy FROM p UNION SELECT p.img, p.x, p.y, r.fx, r.fy FROM r JOIN p ON p.img = r.img AND abs(p.x - r.x) <= 1 AND abs(p.y - r.y) <= 1),
+c AS (SELECT img, x, y, min(fy * 1000 + fx) AS first FROM r GROUP BY 1, 2, 3)
+SELECT img, first % 1000 AS fx, first // 1000 AS fy, min(x) AS x1, min(y) AS y1, max(x) + 1 AS x2, max(y) + 1 AS y2, count(*) AS n, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy FROM c GROUP BY img, first""")
 def mask_boxes(spark: SparkSession, d: str) -> DataFrame:
     """Connected sets of bright cells and their boxes."""
-    return raster.boxes(image_grid(spark, d).where("v > 200").select("img", "x", "y")).drop("component")
+    found = raster.boxes(image_grid(spark, d).where("v > 200").select("img", "x", "y"))
+    return found.select("img", F.col("component.x").alias("fx"), F.col("component.y").alias("fy"), "x1", "y1", "x2", "y2", "n", r6(F.col("cx")).alias("cx"), r6(F.col("cy")).alias("cy"))
 
 
-@query(_G + """, c AS (SELECT avg(x) AS cx, avg(y) AS cy, sqrt(count(*) / pi()) - 2 AS r FROM grid WHERE v > 15)
-SELECT x, y, (x - cx) * (x - cx) + (y - cy) * (y - cy) > r * r AS masked FROM grid, c""")
+@query(_G + """, c AS (SELECT img, avg(x) AS cx, avg(y) AS cy, sqrt(count(*) / pi()) - 2 AS r FROM grid WHERE v > 15 GROUP BY img)
+SELECT g.img, x, y, (x - cx) * (x - cx) + (y - cy) * (y - cy) > r * r AS masked FROM grid g JOIN c ON g.img = c.img""")
 def scope_mask(spark: SparkSession, d: str) -> DataFrame:
     cells = image_grid(spark, d)
-    return raster.outside_circle(cells, raster.scope_circle(cells, 15, 2)).select("x", "y", "masked")
+    return raster.outside_circle(cells, raster.scope_circle(cells, 15, 2)).select("img", "x", "y", "masked")
 
 
 @query("""
@@ -148,15 +152,32 @@ def unit_homography(spark: SparkSession, d: str) -> DataFrame:
     return _transforms(spark, d).select("o_orderkey", r6(m[0][0]).alias("n00"), r6(m[1][1]).alias("n11"))
 
 
-@query(_G + f""", px AS (SELECT x, y, CAST(v % 3 AS INTEGER) AS gt, CAST((v // 3) % 3 AS INTEGER) AS pred FROM grid),
-bg AS (SELECT x, y FROM px WHERE gt = 0), d AS (SELECT p.*, (SELECT min(greatest(abs(p.x - bg.x), abs(p.y - bg.y))) FROM bg WHERE abs(p.x - bg.x) <= 4 AND abs(p.y - bg.y) <= 4) AS d FROM px p),
-sides AS (SELECT *, pred AS cls, 1 AS p, 0 AS g FROM d UNION ALL SELECT *, gt, 0, 1 FROM d)
-SELECT cls, CAST(coalesce(d, 5) AS INTEGER) AS bin, {SUMS} FROM sides GROUP BY 1, 2""")
-def background_distance_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Counts by class and Chebyshev distance to the nearest background pixel."""
+_TRUTH = """, px AS (SELECT img, x, y, CAST(v % 3 AS INTEGER) AS gt, CAST((v // 3) % 3 AS INTEGER) AS pred FROM grid),
+far AS (SELECT p.*, (SELECT min(sqrt((p.x - b.x) * (p.x - b.x) + (p.y - b.y) * (p.y - b.y))) FROM px b WHERE b.img = p.img AND b.gt = 0) AS d FROM px p),
+bins AS (SELECT f.*, CAST(floor(d / (m.most + 1e-12) / (1.01 / 12)) AS INTEGER) AS bin FROM far f JOIN (SELECT img, max(d) AS most FROM far GROUP BY 1) m ON f.img = m.img WHERE gt <> 0)"""
+_IN_BINS = f""", sides AS (SELECT *, pred AS cls, 1 AS p, 0 AS g FROM bins UNION ALL SELECT *, gt, 0, 1 FROM bins),
+per AS (SELECT img, cls, bin, {SUMS} FROM sides GROUP BY 1, 2, 3),
+has AS (SELECT DISTINCT img, gt AS cls FROM px),
+c AS (SELECT cls, bin, CAST(sum(inter) AS BIGINT) AS inter, CAST(sum(pred_sum) AS BIGINT) AS pred_sum, CAST(sum(gt_sum) AS BIGINT) AS gt_sum FROM per SEMI JOIN has USING (img, cls) WHERE cls <> 0 GROUP BY 1, 2)"""
+
+
+def _ground_bins(spark: SparkSession, d: str) -> DataFrame:
     px = image_grid(spark, d).select("img", "x", "y", (F.col("v") % 3).cast("int").alias("gt"), (F.floor(F.col("v") / 3) % 3).cast("int").alias("pred"))
-    far = raster.chebyshev(px, F.col("gt") == 0, 4).withColumn("bin", F.coalesce("d", F.lit(5)).cast("int"))
-    return metrics.class_counts(metrics.pairs(far, F.col("pred"), F.col("gt"), "bin"), (0, 1, 2), "bin")
+    return metrics.ground_bins(px)
+
+
+@query(_G + _TRUTH + _IN_BINS + " SELECT * FROM c")
+def background_distance_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Counts by class and distance to the background over the image's largest, in twelve bins."""
+    return _ground_bins(spark, d)
+
+
+@query(_G + _TRUTH + _IN_BINS + """, r AS (SELECT cls, bin // 4 AS bin, CAST(sum(inter) AS BIGINT) AS inter, CAST(sum(pred_sum) AS BIGINT) AS pred_sum, CAST(sum(gt_sum) AS BIGINT) AS gt_sum FROM c GROUP BY 1, 2)
+SELECT 12 AS bins, bin, round(avg(2 * inter / nullif(pred_sum + gt_sum, 0)), 6) AS mean_dice FROM c GROUP BY bin
+UNION ALL SELECT 3, bin, round(avg(CASE WHEN pred_sum + gt_sum > 0 THEN 2 * inter / (pred_sum + gt_sum + 1e-6) END), 6) FROM r GROUP BY bin""")
+def dice_12_to_3_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Twelve bins by distance to the background without an epsilon, and their roll-up to three with one."""
+    return metrics.rolled_up(_ground_bins(spark, d)).withColumn("mean_dice", r6(F.col("mean_dice")))
 
 
 @query()

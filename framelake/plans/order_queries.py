@@ -108,16 +108,20 @@ s AS (SELECT a.pair, a.id AS i, b.id AS j, round(list_inner_product(a.v, b.v), 6
 @query(_SCORES + """, r AS (SELECT *, row_number() OVER (PARTITION BY pair, i ORDER BY score DESC, j) AS ri, row_number() OVER (PARTITION BY pair, j ORDER BY score DESC, i) AS rj FROM s)
 SELECT pair, i, j, score FROM r WHERE ri = 1 AND rj = 1 AND score > 0.1""")
 def mutual_nn_match(spark: SparkSession, d: str) -> DataFrame:
-    return joins.mutual_best(joins.similarities(*_descriptors(spark, d), "pair"), "pair", 0.1)
+    return joins.matches(*_descriptors(spark, d), "pair", 0.1)
 
 
-@query(_SCORES + """, z AS (SELECT *, 0.01 * (i % 50) AS z0, 0.02 * (j % 50) AS z1 FROM s),
+@query(_SCORES.replace("round(list_inner_product(a.v, b.v), 6)", "list_inner_product(a.v, b.v) / 8") + """, z AS (SELECT *, 0.01 * (i % 50) AS z0, 0.02 * (j % 50) AS z1 FROM s),
 l AS (SELECT pair, i, j, 2 * score - ln(sum(exp(score)) OVER (PARTITION BY pair, i)) - ln(sum(exp(score)) OVER (PARTITION BY pair, j)) - ln(1 + exp(-z0)) - ln(1 + exp(-z1)) AS log_p FROM z),
-r AS (SELECT *, row_number() OVER (PARTITION BY pair, i ORDER BY log_p DESC, j) AS rn FROM l)
-SELECT pair, i, round(max(log_p), 6) AS best, round(sum(exp(log_p)), 6) AS mass FROM l GROUP BY 1, 2""")
+bin AS (SELECT pair, id AS i, -ln(1 + exp(0.01 * (id % 50))) AS none FROM e WHERE id % 2 = 0)
+SELECT l.pair, l.i, round(max(log_p), 6) AS best, round(sum(exp(log_p)), 6) AS mass, round(any_value(none), 6) AS unmatched FROM l JOIN bin ON bin.pair = l.pair AND bin.i = l.i GROUP BY 1, 2""")
 def double_softmax_assignment(spark: SparkSession, d: str) -> DataFrame:
-    s = joins.similarities(*_descriptors(spark, d), "pair").withColumn("z0", 0.01 * (F.col("i") % 50)).withColumn("z1", 0.02 * (F.col("j") % 50))
-    return keypoints.assignment(s, "pair").groupBy("pair", "i").agg(r6(F.max("log_p")).alias("best"), r6(F.sum(F.exp("log_p"))).alias("mass"))
+    """Of each previous keypoint the best assignment, their mass, and the log-probability of having none."""
+    prev, curr = _descriptors(spark, d)
+    gate = lambda side, by: side.withColumn("z", by * (F.col("id") % 50))
+    rows = keypoints.assignments(gate(prev, 0.01), gate(curr, 0.02), "pair").where("i is not null")
+    both = rows.groupBy("pair", "i").agg(F.max(F.when(F.col("j").isNotNull(), F.col("log_p"))).alias("best"), F.sum(F.when(F.col("j").isNotNull(), F.exp("log_p"))).alias("mass"), F.max(F.when(F.col("j").isNull(), F.col("log_p"))).alias("unmatched"))
+    return both.where("best is not null").select("pair", "i", *[r6(F.col(c)).alias(c) for c in ("best", "mass", "unmatched")])
 
 
 @query("SELECT user_id, event_id, value, CAST(row_number() OVER w AS INTEGER) AS rank FROM events WINDOW w AS (PARTITION BY user_id ORDER BY value DESC, event_id) QUALIFY row_number() OVER w <= 3")

@@ -59,14 +59,15 @@ SUMS = "CAST(sum(CASE WHEN p = 1 AND pred = gt THEN 1 ELSE 0 END) AS BIGINT) AS
 
 
 def image_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(img, x, y, v) with v from 0 to 255: one image made of lineitem, with holes."""
-    cells = table(spark, sf_dir, "lineitem").groupBy(F.col("l_quantity").cast("int").alias("x"), F.col("l_linenumber").alias("y")).agg(F.sum("l_extendedprice").alias("s"))
-    return cells.select(F.lit(0).alias("img"), "x", "y", F.pmod(F.floor(F.round("s", 2)), F.lit(256)).cast("bigint").alias("v"))
+    """(img, x, y, v) with v from 0 to 255: three images made of lineitem, with holes and different contents."""
+    img, x = (F.col("l_suppkey") % 3).cast("int").alias("img"), F.col("l_quantity").cast("int").alias("x")
+    cells = table(spark, sf_dir, "lineitem").groupBy(img, x, F.col("l_linenumber").alias("y")).agg(F.sum("l_extendedprice").alias("s"))
+    return cells.select("img", "x", "y", F.pmod(F.floor(F.round("s", 2)), F.lit(256)).cast("bigint").alias("v"))
 
 
 GRID = """
 grid AS (
-    SELECT 0 AS img, CAST(l_quantity AS INTEGER) AS x, l_linenumber AS y, CAST(floor(round(sum(l_extendedprice), 2)) AS BIGINT) % 256 AS v
-    FROM lineitem GROUP BY 2, 3
+    SELECT CAST(l_suppkey % 3 AS INTEGER) AS img, CAST(l_quantity AS INTEGER) AS x, l_linenumber AS y, CAST(floor(round(sum(l_extendedprice), 2)) AS BIGINT) % 256 AS v
+    FROM lineitem GROUP BY 1, 2, 3
 )"""
 WIDTH, HEIGHT = 51, 8
