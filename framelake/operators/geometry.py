@@ -68,35 +68,45 @@ def corner_box(m: Sequence[Sequence[Column]], width: int, height: int, canvas_w:
     return F.struct(box(x1, 0).alias("x1"), box(y1, 0).alias("y1"), box(x2, canvas_w).alias("x2"), box(y2, canvas_h).alias("y2"))
 
 
-def point_moments(points: DataFrame, key: str, x: str, y: str, w: str) -> DataFrame:
+Keys = str | list[str]
+
+
+def keys_of(key: Keys) -> list[str]:
+    return [key] if isinstance(key, str) else key
+
+
+def point_moments(points: DataFrame, key: Keys, x: str, y: str, w: str) -> DataFrame:
     """(key, cx, cy, dist, scale): weighted centre, mean distance from it, and the scale that makes that sqrt 2."""
-    total = points.groupBy(key).agg(F.sum(w).alias("t"), F.sum(F.col(w) * F.col(x)).alias("sx"), F.sum(F.col(w) * F.col(y)).alias("sy"))
-    centre = total.select(key, "t", (F.col("sx") / F.col("t")).alias("cx"), (F.col("sy") / F.col("t")).alias("cy"))
-    away = points.join(centre, key).groupBy(key, "cx", "cy", "t").agg(F.sum(F.col(w) * F.hypot(F.col(x) - F.col("cx"), F.col(y) - F.col("cy"))).alias("d"))
-    return away.select(key, "cx", "cy", (F.col("d") / F.col("t")).alias("dist"), (F.lit(2**0.5) / (F.col("d") / F.col("t") + 1e-8)).alias("scale"))
+    key = keys_of(key)
+    total = points.groupBy(*key).agg(F.sum(w).alias("t"), F.sum(F.col(w) * F.col(x)).alias("sx"), F.sum(F.col(w) * F.col(y)).alias("sy"))
+    centre = total.select(*key, "t", (F.col("sx") / F.col("t")).alias("cx"), (F.col("sy") / F.col("t")).alias("cy"))
+    away = points.join(centre, key).groupBy(*key, "cx", "cy", "t").agg(F.sum(F.col(w) * F.hypot(F.col(x) - F.col("cx"), F.col(y) - F.col("cy"))).alias("d"))
+    return away.select(*key, "cx", "cy", (F.col("d") / F.col("t")).alias("dist"), (F.lit(2**0.5) / (F.col("d") / F.col("t") + 1e-8)).alias("scale"))
 
 
-def normal_sums(points: DataFrame, key: str, w: Column) -> DataFrame:
+def normal_sums(points: DataFrame, key: Keys, w: Column) -> DataFrame:
     """(key, n, a00..a77 of the upper triangle, b0..b7): the weighted normal equations of x, y -> u, v in one pass."""
     x, y, u, v, o, z = F.col("x"), F.col("y"), F.col("u"), F.col("v"), F.lit(1.0), F.lit(0.0)
     rows = ([x, y, o, z, z, z, -u * x, -u * y], [z, z, z, x, y, o, -v * x, -v * y])
     a = [F.sum(w * (rows[0][i] * rows[0][j] + rows[1][i] * rows[1][j])).alias(f"a{i}{j}") for i in range(8) for j in range(i, 8)]
     b = [F.sum(w * (rows[0][i] * u + rows[1][i] * v)).alias(f"b{i}") for i in range(8)]
-    return points.groupBy(key).agg(F.count("*").alias("n"), *a, *b)
+    return points.groupBy(*keys_of(key)).agg(F.count("*").alias("n"), *a, *b)
 
 
-def solve_homographies(matches: DataFrame, key: str, ridge: float = 1e-6, least: int = 4) -> DataFrame:
+def solve_homographies(matches: DataFrame, key: Keys, ridge: float = 1e-6, least: int = 4, seed: int = 42) -> DataFrame:
     """(key, h00..h22) from matches (key, x, y, u, v, w); NULL with fewer than least matches or without a solution.
 
-    Points are first moved and scaled on both sides; sums are taken by Spark, a task only solves 8x8 systems.
+    Points are first moved and scaled on both sides; sums are taken by Spark, a task only solves 8x8 systems. Keys whose
+    sums give no finite solution are tried again on samples of their matches (sampled_homographies).
     """
+    key = keys_of(key)
     rows = matches.where("w > 0")
-    p = point_moments(rows, key, "x", "y", "w").select(key, F.col("cx").alias("px"), F.col("cy").alias("py"), F.col("scale").alias("ps"))
-    q = point_moments(rows, key, "u", "v", "w").select(key, F.col("cx").alias("qx"), F.col("cy").alias("qy"), F.col("scale").alias("qs"))
-    total = rows.groupBy(key).agg(F.sum("w").alias("total"))
+    p = point_moments(rows, key, "x", "y", "w").select(*key, F.col("cx").alias("px"), F.col("cy").alias("py"), F.col("scale").alias("ps"))
+    q = point_moments(rows, key, "u", "v", "w").select(*key, F.col("cx").alias("qx"), F.col("cy").alias("qy"), F.col("scale").alias("qs"))
+    total = rows.groupBy(*key).agg(F.sum("w").alias("total"))
     sides = p.join(q, key).join(total, key)
     at = lambda c, mid, s: ((F.col(c) - F.col(mid)) * F.col(s)).alias(c)
-    scaled = rows.join(sides, key).select(key, at("x", "px", "ps"), at("y", "py", "ps"), at("u", "qx", "qs"), at("v", "qy", "qs"), (F.col("w") / (F.col("total") + 1e-8)).alias("w"))
+    scaled = rows.join(sides, key).select(*key, at("x", "px", "ps"), at("y", "py", "ps"), at("u", "qx", "qs"), at("v", "qy", "qs"), (F.col("w") / (F.col("total") + 1e-8)).alias("w"))
     sums = normal_sums(scaled, key, F.col("w")).join(sides, key)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,11 +127,55 @@ def solve_homographies(matches: DataFrame, key: str, ridge: float = 1e-6, least:
                         h = m / m[2, 2] if np.isfinite(m).all() and abs(m[2, 2]) > 1e-12 else None
                     except np.linalg.LinAlgError:
                         h = None
-                out.append([r[key], *(h.ravel() if h is not None else [None] * 9)])
-            yield pd.DataFrame(out, columns=[key, *NAMES])
+                out.append([*(r[k] for k in key), r["n"], *(h.ravel() if h is not None else [None] * 9)])
+            yield pd.DataFrame(out, columns=[*key, "n", *NAMES])
 
-    kind = matches.schema[key].dataType.simpleString()
-    return sums.mapInPandas(solve, f"{key} {kind}, " + ", ".join(f"{n} double" for n in NAMES))
+    kinds = ", ".join(f"`{k}` {matches.schema[k].dataType.simpleString()}" for k in key)
+    fitted = sums.mapInPandas(solve, f"{kinds}, n long, " + ", ".join(f"{n} double" for n in NAMES))
+    failed = fitted.where(F.col("h00").isNull() & (F.col("n") >= least)).select(*key)
+    again = sampled_homographies(rows.join(failed, key, "left_semi"), key, seed).select(*key, *[F.col(n).alias(f"s{n}") for n in NAMES])
+    return fitted.join(again, key, "left").select(*key, *[F.coalesce(n, f"s{n}").alias(n) for n in NAMES])
+
+
+def exact_homography(src: np.ndarray, dst: np.ndarray) -> np.ndarray | None:
+    """The transform of four points or more, by least squares; None if there is no finite one."""
+    x, y, u, v = *src.T, *dst.T
+    o, z = np.ones_like(x), np.zeros_like(x)
+    a = np.concatenate((np.stack((x, y, o, z, z, z, -u * x, -u * y), 1), np.stack((z, z, z, x, y, o, -v * x, -v * y), 1)))
+    h, _, rank, _ = np.linalg.lstsq(a, np.concatenate((u, v)), rcond=None)
+    return np.append(h, 1).reshape(3, 3) if rank == 8 and np.isfinite(h).all() else None
+
+
+def sampled_homographies(matches: DataFrame, key: Keys, seed: int = 42, rounds: int = 100, within: float = 2.0, sure: float = 0.95) -> DataFrame:
+    """(key, h00..h22) from seeded samples of four matches: the one with most matches within so many pixels, fitted to these.
+
+    Ends before rounds where a sample without an outlier has been drawn with the probability sure. A key is a frame,
+    whose matches are a few thousand at most; NULL where no sample has a solution.
+    """
+    key = keys_of(key)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["x", "y", "u", "v"])
+        src, dst, draw = pdf[["x", "y"]].to_numpy(float), pdf[["u", "v"]].to_numpy(float), np.random.default_rng(seed)
+        best, ok, left, at = None, np.zeros(len(src), bool), rounds, 0
+        while at < left and len(src) >= 4:
+            at += 1
+            some = draw.choice(len(src), 4, replace=False)
+            if (h := exact_homography(src[some], dst[some])) is None:
+                continue
+            to = np.c_[src, np.ones(len(src))] @ h.T
+            with np.errstate(divide="ignore", invalid="ignore"):
+                near = np.hypot(*(to[:, :2] / to[:, 2:] - dst).T) <= within
+            if best is None or near.sum() > ok.sum():
+                best, ok = h, near
+                share = ok.mean() ** 4
+                left = min(left, rounds if share <= 0 else 1 if share >= 1 else int(np.ceil(np.log(1 - sure) / np.log(1 - share))))
+        if ok.sum() > 4 and (h := exact_homography(src[ok], dst[ok])) is not None:
+            best = h
+        return pd.DataFrame([[*(pdf[k].iat[0] for k in key), *(best.ravel() if best is not None else [None] * 9)]], columns=[*key, *NAMES])
+
+    kinds = ", ".join(f"`{k}` {matches.schema[k].dataType.simpleString()}" for k in key)
+    return matches.groupBy(*key).applyInPandas(run, f"{kinds}, " + ", ".join(f"{n} double" for n in NAMES))
 
 
 def fit_spline(src: np.ndarray, dst: np.ndarray, ridge: float = 1e-6) -> np.ndarray | None:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def _upto(key: str, order: Sequence[str]) -> Window:
@@ -57,19 +60,22 @@ def fold(df: DataFrame, key: str, order: Sequence[str], step: Callable[[object,
     any length needs no more memory than a short one.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # the window deals and sorts the rows, and says where a key, null or not, begins
+    first = F.row_number().over(Window.partitionBy(key).orderBy(*order)) == 1
+    made = StructType.fromDDL(schema)
+    kinds = to_arrow_schema(made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = None
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for row in pdf.itertuples(index=False):
+            for row in batch.to_pandas(integer_object_nulls=True).itertuples(index=False):
                 state, values = step(None if row[-1] else state, row)
                 out.append(values)
-            yield pd.concat([pdf.drop(columns="_first").reset_index(drop=True), pd.DataFrame(out, columns=list(names))], axis=1)
+            columns = [pa.array([v[i] for v in out], k.type) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], *names])
 
-    # the window deals and sorts the rows, and says where a key, null or not, begins
-    first = F.row_number().over(Window.partitionBy(key).orderBy(*order)) == 1
-    own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
-    return df.select(*df.columns, first.alias("_first")).mapInPandas(run, f"{own}, {schema}")
+    return df.select(*df.columns, first.alias("_first")).mapInArrow(run, StructType([*df.schema.fields, *made.fields]))
 
 
 def smooth_box(last: tuple | None, new: tuple, most: int = 20, share: float = 0.3, least_area: float = 0.6) -> tuple:

@@ -279,24 +279,151 @@ def test_sinks(spark, tmp_path):
 
 
 class Row:
-    def __init__(self, **k):
-        self.__dict__.update({"dx": 1.0, "dy": 0.0, "matches": 9, "blur": 99.0, "h": 4, "w": 4} | k)
+    def __init__(self, h=(1, 0, 1, 0, 1, 0, 0, 0, 1), **k):
+        self.__dict__.update({"blur": 99.0, "h": 4, "w": 4} | k | dict(zip(geometry.NAMES, h or [None] * 9)))
 
 
-@pytest.mark.parametrize(("policy", "want"), [("restart", (0.0, 1, False)), ("keep", (1.0, 0, False)), ("flag", (1.0, 0, True))])
+def folded(config, *rows):
+    state, outs = None, []
+    for r in rows:
+        state, out = steps.step(state, r, config)
+        outs.append(dict(zip(steps._OUT, out)))
+    return outs
+
+
+@pytest.mark.parametrize(("policy", "want"), [("restart", (0, 1, False)), ("keep", (1, 0, False)), ("flag", (0, 0, True))])
 def test_failure_policies(policy, want):
-    c = steps.StepConfig(on_failure=policy)
-    s, _ = steps.step(None, Row(), c)
-    s, _ = steps.step(s, Row(), c)
-    _, (px, _, epoch, _, reset) = steps.step(s, Row(matches=3), c)
-    assert (px, epoch, reset) == want
+    last = folded(steps.StepConfig(on_failure=policy), Row(), Row(), Row(h=None))[-1]
+    assert (last["h02"], last["epoch"], last["needs_reset"]) == want
 
 
 def test_shape_change_and_blur():
-    s, _ = steps.step(None, Row())
-    s, out = steps.step(s, Row(w=5))
-    assert out[2] == 1 and out[0] == 0
-    s, out = steps.step(s, Row(w=5, blur=1.0, dx=900.0))
-    assert out[3] is False and out[0] == 900 and out[2] == 1  # no new origin while blurred
-    _, out = steps.step(s, Row(w=5))
-    assert out[2] == 2 and out[4]
+    a, b, c, d = folded(steps.StepConfig(), Row(), Row(w=5), Row(w=5, blur=1.0, h=rotation(20)), Row(w=5, h=rotation(1)))
+    assert (b["epoch"], b["h02"]) == (1, 0)
+    assert c["rotation"] == pytest.approx(20) and not c["reoriented"] and not c["in_canvas"]  # none while blurred
+    assert d["rotation"] == pytest.approx(21) and d["reoriented"]
+
+
+@pytest.mark.parametrize(("m", "far"), [(rotation(14.9), False), (rotation(15.1), True), (rotation(-15.1), True), (rotation(0, 1.99), False), (rotation(0, 2.01), True), (rotation(0, 1 / 2.01), True)])
+def test_orientation_reset(m, far):
+    _, a, b = folded(steps.StepConfig(), Row(), Row(h=m), Row(h=(1, 0, 3, 0, 1, 0, 0, 0, 1)))
+    assert a["reoriented"] is far and (b["h02"] == 3 and b["rotation"] == 0 and b["scale"] == pytest.approx(1)) is far
+    _, a, b = folded(steps.TRACKER, Row(), Row(), Row())
+    assert a["reoriented"] and b["h02"] == 1
+    assert not folded(steps.PREDICTIONS, Row(), Row(h=m))[1]["reoriented"]
+
+
+def test_fold_of_null_keys(spark):
+    rows = [(None, i) for i in range(4)] + [(2**53 + 1, i) for i in range(3)] + [(2**53 + 2, i) for i in range(2)]
+    df = spark.createDataFrame(rows, "k long, i int")
+    out = sequence.fold(df, "k", ["i"], lambda s, r: ((s or 0) + 1, ((s or 0) + 1,)), ["n"], "n int")
+    assert sorted(values(out), key=str) == sorted([(k, i, i + 1) for k, i in rows], key=str)
+
+
+def still(video, n, image, h=(1, 0, 2, 0, 1, 1, 0, 0, 1), **more):
+    return [(video, i, *image.shape, 99.0, *(map(float, h)), bytearray(image.tobytes())) for i in range(n)]
+
+
+FRAMES = "video string, frame_id long, h int, w int, blur double, " + ", ".join(f"{n} double" for n in geometry.NAMES) + ", pixels binary"
+
+
+def test_canvas_holds_frames_where_they_belong(spark):
+    image = np.arange(1, 25, dtype="u1").reshape(4, 6) * 10 % 251
+    df = spark.createDataFrame([*still("a", 3, image), *still("b", 1, image)], FRAMES)
+    got = steps.canvases(df)
+    by = {(r["video"], r["frame_id"]): r for r in got.collect()}
+    last = by["a", 2]
+    canvas, painted = (np.frombuffer(last[c], "u1").reshape(12, 18) for c in ("canvas", "painted"))
+    want, seen = np.zeros((12, 18)), np.zeros((12, 18), bool)
+    for i in range(3):  # each frame lies 2 to the right of and 1 below the one before
+        at = np.s_[4 + i : 8 + i, 6 + 2 * i : 12 + 2 * i]
+        want[at] = np.where(seen[at], 0.5 * want[at] + 0.5 * image, image)
+        seen[at] = True
+    assert (painted == seen * 255).all() and np.abs(canvas - want).max() <= 0.5
+    back = {(r["video"], r["frame_id"]): np.frombuffer(r["seen"], "u1").reshape(4, 6) for r in steps.reprojected(got).collect()}
+    assert (back["b", 0] == image).all() and (back["a", 2] == canvas[6:10, 10:16]).all()
+    classes = {(r["video"], r["frame_id"]): np.frombuffer(r["classes"], "u1").reshape(4, 6) for r in steps.model_on_canvas(got, "entire").collect()}
+    assert classes["b", 0].shape == (4, 6) and set(np.unique(classes["b", 0])) <= {0, 1, 2, 3}
+
+
+def test_canvas_of_blurred_and_turned_frames(spark):
+    image = np.full((6, 6), 200, "u1")
+    rows = still("a", 2, image, h=(1, 0, 3, 0, 1, 0, 0, 0, 1))
+    rows[1] = (*rows[1][:4], 1.0, *rows[1][5:])  # blurred: stays out of the base canvas, but in its own
+    third = still("a", 3, image, h=rotation(90))[2]
+    by = {r["frame_id"]: r for r in steps.canvases(spark.createDataFrame([*rows, third], FRAMES)).collect()}
+    count = lambda i: int((np.frombuffer(by[i]["painted"], "u1") > 0).sum())
+    assert count(0) == 36 and count(1) == 54 and not by[1]["in_canvas"]
+    assert by[2]["reoriented"] and by[2]["rotation"] == pytest.approx(90)
+
+
+def test_transforms_from_keypoints(spark):
+    rng = np.random.default_rng(4)
+    points, descriptors = rng.uniform(0, 300, (30, 2)), rng.normal(size=(30, 16))
+    descriptors /= np.linalg.norm(descriptors, axis=1, keepdims=True)
+    kp = lambda shift: [("v", 1, i, float(x + shift[0]), float(y + shift[1]), d.tolist()) for i, ((x, y), d) in enumerate(zip(points, descriptors))]
+    schema = "video string, frame_id long, id int, x double, y double, descriptor array<double>"
+    frames = spark.createDataFrame([("v", 0, 480, 640, 50.0), ("v", 1, 480, 640, 50.0)], "video string, frame_id long, h int, w int, blur double")
+    found = steps.transforms_of(frames, spark.createDataFrame(kp((7, -4)), schema), spark.createDataFrame(kp((0, 0)), schema), 0.5)
+    by = {r["frame_id"]: r for r in steps.batch_steps(found).collect()}
+    assert by[1]["h02"] == pytest.approx(7, abs=0.05) and by[1]["h12"] == pytest.approx(-4, abs=0.05) and not by[1]["needs_reset"]
+
+
+def test_late_rows_are_marked(spark, tmp_path):
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    image = np.zeros((2, 2), "u1")
+    rows = still("a", 4, image)
+    for part in ([rows[0], rows[2]], [rows[1], rows[3]]):
+        spark.createDataFrame(part, FRAMES).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = own.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    run = steps.stream_steps(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = {r["frame_id"]: (r["late"], r["h02"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {0: (False, 0.0), 2: (False, 2.0), 1: (True, None), 3: (False, 4.0)} or got == {1: (False, 0.0), 3: (False, 2.0), 0: (True, None), 2: (True, None)}
+
+
+def test_samples_find_a_transform_among_outliers(spark):
+    rng = np.random.default_rng(2)
+    src = rng.uniform(0, 400, (40, 2))
+    dst = src + (5, -3)
+    dst[:12] = rng.uniform(0, 400, (12, 2))
+    rows = [("a", *map(float, p), *map(float, q), 1.0) for p, q in zip(src, dst)] + [("line", float(i), 0.0, float(i), 0.0, 1.0) for i in range(6)]
+    df = spark.createDataFrame(rows, "k string, x double, y double, u double, v double, w double")
+    got = {r["k"]: r for r in geometry.sampled_homographies(df, "k").collect()}
+    assert got["a"]["h02"] == pytest.approx(5, abs=1e-6) and got["a"]["h12"] == pytest.approx(-3, abs=1e-6) and got["line"]["h00"] is None
+
+
+def test_images_stay_apart(spark):
+    a = [(i, x, y, 10 * i + x + y) for i in range(3) for x in range(4) for y in range(3)]
+    cells = spark.createDataFrame(a, "img int, x int, y int, v long")
+    got = joins.gather(cells.select("img", "x", "y"), cells, F.col("x"), F.col("y"))
+    assert sorted(values(got.select("img", "x", "y", "v"))) == sorted(a)
+    pred = cells.where("x < 2").withColumn("v", F.col("img").cast("long"))
+    pairs = joins.aligned(pred, cells)
+    assert pairs.count() == len(a) and pairs.where("pred != img").count() == 0
+
+
+@pytest.mark.parametrize("radius", [1, 2, 5])
+def test_windows_equal_brute_force(radius):
+    from framelake.operators import images
+
+    rng = np.random.default_rng(radius)
+    a, there = rng.integers(0, 50, (7, 9)).astype(float), rng.random((7, 9)) > 0.2
+    v = np.where(there, a, -np.inf)
+    brute = np.array([[v[max(0, y - radius) : y + radius + 1, max(0, x - radius) : x + radius + 1].max() for x in range(9)] for y in range(7)])
+    assert (images.spread(v, radius) == brute).all()
+    ground = np.argwhere(~there)
+    far = images.plain_distance(~there)
+    assert all(far[y, x] == pytest.approx(np.hypot(*(ground - (y, x)).T).min()) for y in range(7) for x in range(9))
+    d = images.square_distance(~there, radius)
+    want = np.array([[np.abs(ground - (y, x)).max(axis=1).min() for x in range(9)] for y in range(7)])
+    assert (np.nan_to_num(d, nan=99) == np.where(want <= radius, want, 99)).all()
+
+
+def test_small_pieces(spark):
+    one = spark.range(1)
+    got = one.select(keypoints.fixed_length(F.array(F.lit(1.0), F.lit(2.0)), 4, -2.0), keypoints.fixed_length(F.array(F.lit(1.0), F.lit(2.0)), 1, -2.0), keypoints.pruned(F.lit(0.5), F.lit(0.0), 0, 9), keypoints.pruned(F.lit(0.99), F.lit(0.0), 0, 9), keypoints.pruned(F.lit(None).cast("double"), F.lit(0.9), 0, 9)).first()
+    assert list(got) == [[1.0, 2.0, -2.0, -2.0], [1.0], True, False, True]
+    p = one.select(parsing.probabilities(F.array(F.lit(0.0), F.lit(0.0))), parsing.label_of(F.array(F.lit(0.5))), parsing.label_of(F.array(F.lit(0.2), F.lit(0.4), F.lit(0.4))), parsing.mask_set(F.lit(0.5)), raster.complement(F.lit(0)), raster.complement(F.lit(9))).first()
+    assert list(p) == [[0.5, 0.5], 1, 1, False, 255, 0]
