@@ -136,3 +136,71 @@ def first_cells(there: np.ndarray) -> np.ndarray:
         if (new == label).all():
             return label
         label = new
+
+
+def membrane(canvas: np.ndarray, patch: np.ndarray, mask: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """patch in canvas where mask is set, with its edge's difference to canvas spread inwards by Jacobi steps: no seam shows."""
+    mask = mask.astype(bool)
+    around = ((1, 0), (-1, 0), (0, 1), (0, -1))
+    inner = mask & np.logical_and.reduce([shifted(mask, dx, dy) for dx, dy in around])
+    diff = np.where(mask & ~inner, canvas.astype(float) - patch, 0.0)
+    for _ in range(rounds):
+        diff = np.where(inner, sum(shifted(diff, dx, dy) for dx, dy in around) / 4, diff)
+    return np.where(mask, patch + diff, canvas)
+
+
+def _circle(points: list[tuple[float, float]]) -> tuple[float, float, float] | None:
+    """The circle through two points, as its diameter, or three; None for three in a line."""
+    (ax, ay), (bx, by), *rest = points
+    if not rest:
+        return (ax + bx) / 2, (ay + by) / 2, float(np.hypot(ax - bx, ay - by)) / 2
+    (cx, cy) = rest[0]
+    d = 2 * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
+    if abs(d) < 1e-9:
+        return None
+    a, b, c = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
+    x, y = (a * (by - cy) + b * (cy - ay) + c * (ay - by)) / d, (a * (cx - bx) + b * (ax - cx) + c * (bx - ax)) / d
+    return x, y, float(np.hypot(ax - x, ay - y))
+
+
+def enclosing_circle(there: np.ndarray) -> tuple[float, float, float]:
+    """Centre and radius of the smallest circle around all set places, by adding points one after the other."""
+    ys = np.flatnonzero(there.any(axis=1))
+    left, right = there[ys].argmax(axis=1), there.shape[1] - 1 - there[ys][:, ::-1].argmax(axis=1)
+    points = [(float(x), float(y)) for x, y in dict.fromkeys((*zip(left, ys), *zip(right, ys)))]
+    points = [points[i] for i in np.random.default_rng(1).permutation(len(points))]
+    out = lambda p, c: np.hypot(p[0] - c[0], p[1] - c[1]) > c[2] + 1e-9
+    best = (*points[0], 0.0)
+    for i, p in enumerate(points):
+        if out(p, best):
+            best = (*p, 0.0)
+            for j, q in enumerate(points[:i]):
+                if out(q, best):
+                    best = _circle([p, q])
+                    for r in points[:j]:
+                        if out(r, best) and (c := _circle([p, q, r])):
+                            best = c
+    return best
+
+
+def scope(v: np.ndarray, there: np.ndarray, least: int, radius: int) -> tuple[float, float, float] | None:
+    """The circle around the largest lit set, after opening and closing by a square; None if nothing is lit."""
+    lit = there & (v > least)
+    smaller = lambda a: ~spread(~a, radius, np.logical_or)
+    larger = lambda a: spread(a, radius, np.logical_or)
+    lit = smaller(larger(larger(smaller(lit))))
+    if not lit.any():
+        return None
+    label = first_cells(lit)
+    numbers, sizes = np.unique(label[lit], return_counts=True)
+    return enclosing_circle(label == numbers[sizes.argmax()])
+
+
+def halved(image: np.ndarray) -> np.ndarray:
+    """Means of 2 x 2 places, an odd side's last ones repeated."""
+    padded = np.pad(image, [(0, n % 2) for n in image.shape], mode="edge")
+    return padded.reshape(padded.shape[0] // 2, 2, padded.shape[1] // 2, 2).mean(axis=(1, 3))
+
+
+def doubled(image: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    return np.repeat(np.repeat(image, 2, 0), 2, 1)[: shape[0], : shape[1]]

@@ -84,7 +84,8 @@ def matches(prev: DataFrame, curr: DataFrame, pair: str, least: float | None = N
         return pa.table([pa.array([key.as_py()] * len(i), key.type), a["id"].take(pa.array(i)), b["id"].take(pa.array(j)), pa.array(scores[i, j] if len(i) else [], pa.float64())], [pair, "i", "j", "score"])
 
     kinds = [x.schema[c].dataType.simpleString() for x, c in ((prev, pair), (prev, "id"), (curr, "id"))]
-    sides = (side.select(pair, "id", "descriptor").groupBy(pair) for side in (prev, curr))
+    # columns of their own, since both sides often come from one table
+    sides = (side.select(*[F.col(c).alias(c) for c in (pair, "id", "descriptor")]).groupBy(pair) for side in (prev, curr))
     return next(sides).cogroup(next(sides)).applyInArrow(run, f"{pair} {kinds[0]}, i {kinds[1]}, j {kinds[2]}, score double")
 
 

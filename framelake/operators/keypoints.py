@@ -85,7 +85,7 @@ def assignments(prev: DataFrame, curr: DataFrame, pair: str, *, dustbin: bool =
         tables = [pa.table([pa.array([key.as_py()] * len(p), key.type), i, j, p], [pair, "i", "j", "log_p"]) for i, j, p in found]
         return pa.concat_tables(tables) if tables else pa.table([pa.array([], key.type), *(pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64()))], [pair, "i", "j", "log_p"])
 
-    sides = (side.select(pair, F.col("id").cast("long").alias("id"), "descriptor", F.col("z").cast("double").alias("z")).groupBy(pair) for side in (prev, curr))
+    sides = (side.select(F.col(pair).alias(pair), F.col("id").cast("long").alias("id"), F.col("descriptor").alias("descriptor"), F.col("z").cast("double").alias("z")).groupBy(pair) for side in (prev, curr))
     return next(sides).cogroup(next(sides)).applyInArrow(run, f"{pair} {prev.schema[pair].dataType.simpleString()}, i long, j long, log_p double")
 
 

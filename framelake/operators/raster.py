@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelake.functions.parsing import padded
 from framelake.operators import geometry, images
 from framelake.operators.joins import gather
 
@@ -243,15 +244,54 @@ def pack(cells: DataFrame, width: int, height: int) -> DataFrame:
     return cells.where(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)).groupBy("img").applyInPandas(run, f"img {kind}, h int, w int, pixels binary")
 
 
-def membrane(canvas: np.ndarray, patch: np.ndarray, mask: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """patch with its edge's difference to canvas spread inwards by Jacobi steps: a blend without a seam."""
-    m = mask.astype(bool)
-    inner = m & np.roll(m, 1, 0) & np.roll(m, -1, 0) & np.roll(m, 1, 1) & np.roll(m, -1, 1)
-    diff = np.where(m & ~inner, canvas.astype(float) - patch, 0.0)
-    for _ in range(rounds):
-        mean = (np.roll(diff, 1, 0) + np.roll(diff, -1, 0) + np.roll(diff, 1, 1) + np.roll(diff, -1, 1)) / 4
-        diff = np.where(inner, mean, diff)
-    return np.where(m, patch + diff, canvas)
+membrane = images.membrane
+
+
+def membrane_pasted(cells: DataFrame, rounds: int = 50) -> DataFrame:
+    """cells (img, x, y, canvas, patch, mask) with v: patch pasted where mask is set, its edge's difference spread inwards."""
+    return images.by_image(cells, ["canvas", "patch", "mask"], lambda p, there: {"v": images.membrane(p["canvas"], p["patch"], p["mask"], rounds)}, "v double")
+
+
+def pyramid_levels(cells: DataFrame, levels: int = 3) -> DataFrame:
+    """cells (img, x, y, v) with low, the coarsest of levels ever coarser means, and high, what it lacks of v."""
+
+    def run(p, there):
+        low, shapes = p["v"].astype(float), []
+        for _ in range(levels - 1):
+            shapes.append(low.shape)
+            low = images.halved(low)
+        for shape in reversed(shapes):
+            low = images.doubled(low, shape)
+        return {"low": low, "high": p["v"] - low}
+
+    return images.by_image(cells, ["v"], run, "low double, high double")
+
+
+def grown_boxes(cells: DataFrame, box: tuple[int, int, int, int], valid: Column, passes: int = 10) -> DataFrame:
+    """(img, x1, y1, x2, y2): each image's box grown over rows and columns that are valid all along; places as cells give them."""
+
+    def run(p, there):
+        x0, y0 = int(p["x"][there].min()), int(p["y"][there].min())
+        grown = grown_box(p["_valid"], (box[0] - x0, box[1] - y0, box[2] - x0, box[3] - y0), passes)
+        return {n: np.full(there.shape, v + o) for n, v, o in zip(("x1", "y1", "x2", "y2"), grown, (x0, y0, x0, y0))}
+
+    rows = cells.select("img", "x", "y", F.coalesce(valid, F.lit(False)).alias("_valid"))
+    return images.by_image(rows, ["x", "y", "_valid"], run, "x1 long, y1 long, x2 long, y2 long").groupBy("img").agg(*[F.first(c).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+def padded_image(source: DataFrame, sizes: DataFrame, multiple: int = 8) -> DataFrame:
+    """(img, x, y, v): images of source, of the sizes (img, w, h), with their edges repeated so that multiple divides both sides."""
+    (left, right), (top, bottom) = padded(F.col("w"), multiple), padded(F.col("h"), multiple)
+    rows = sizes.select("img", left.alias("left"), top.alias("top"), F.explode(F.sequence(F.lit(0), F.col("h") + top + bottom - 1)).alias("y"), (F.col("w") + left + right - 1).alias("last"))
+    rows = rows.select("img", "left", "top", "y", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("x"))
+    return sampled(rows, source, F.col("x") - F.col("left"), F.col("y") - F.col("top"), "nearest", sizes).select("img", "x", "y", "v")
+
+
+def unpadded_image(cells: DataFrame, sizes: DataFrame, multiple: int = 8) -> DataFrame:
+    """What padded_image() made, without what it added."""
+    (left, _), (top, _) = padded(F.col("w"), multiple), padded(F.col("h"), multiple)
+    rows = cells.join(sizes, "img").withColumn("x", F.col("x") - left).withColumn("y", F.col("y") - top)
+    return rows.where("x between 0 and w - 1 and y between 0 and h - 1").select("img", "x", "y", "v")
 
 
 def boxes(cells: DataFrame) -> DataFrame:
@@ -287,33 +327,22 @@ def grown_box(valid: np.ndarray, box: tuple[int, int, int, int], passes: int = 1
     return x1, y1, x2, y2
 
 
-def pyramid(image: np.ndarray, levels: int) -> list[np.ndarray]:
-    """Differences of ever coarser means, the coarsest last; collapse() restores the image."""
-    out = []
-    for _ in range(levels - 1):
-        h, w = image.shape
-        padded = np.pad(image, ((0, h % 2), (0, w % 2)), mode="edge")
-        small = padded.reshape(padded.shape[0] // 2, 2, padded.shape[1] // 2, 2).mean(axis=(1, 3))
-        out.append(image - np.repeat(np.repeat(small, 2, 0), 2, 1)[:h, :w])
-        image = small
-    return [*out, image]
-
+def scope_circle(cells: DataFrame, least: int = 15, trim: int = 4, radius: int = 4) -> DataFrame:
+    """(img, cx, cy, r): the smallest circle around the largest lit set of each image, less a trim.
 
-def collapse(levels: list[np.ndarray]) -> np.ndarray:
-    image = levels[-1]
-    for diff in reversed(levels[:-1]):
-        image = diff + np.repeat(np.repeat(image, 2, 0), 2, 1)[: diff.shape[0], : diff.shape[1]]
-    return image
+    Lit is v over least, after opening and closing by a square of radius (4: a 5 x 5 one, twice). Images with nothing lit
+    have no row.
+    """
 
+    def run(p, there):
+        found = images.scope(p["v"], there, least, radius)
+        return {n: np.full(there.shape, np.nan if found is None else found[i] + o) for i, (n, o) in enumerate((("cx", p["x"][there].min()), ("cy", p["y"][there].min()), ("r", -trim)))}
 
-def scope_circle(cells: DataFrame, least: int = 15, trim: int = 4) -> DataFrame:
-    """(img, cx, cy, r): the circle of the lit area's centre and size, less a trim; a rule by moments, stated here since
-    the enclosing circle of a contour isn't a relational notion."""
-    lit = cells.where(F.col("v") > least)
-    return lit.groupBy("img").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), (F.sqrt(F.count("*") / F.pi()) - trim).alias("r"))
+    rows = images.by_image(cells.select("img", "x", "y", "v"), ["x", "y", "v"], run, "cx double, cy double, r double")
+    return rows.groupBy("img").agg(*[F.first(c).alias(c) for c in ("cx", "cy", "r")]).where("r is not null")
 
 
 def outside_circle(cells: DataFrame, circle: DataFrame) -> DataFrame:
     """cells with masked: whether they lie outside their image's circle."""
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
-    return cells.join(circle, "img").withColumn("masked", dx * dx + dy * dy > F.col("r") * F.col("r")).drop("cx", "cy", "r")
+    return cells.join(circle, "img").withColumn("masked", F.round(dx * dx + dy * dy, 4) > F.round(F.col("r") * F.col("r"), 4)).drop("cx", "cy", "r")

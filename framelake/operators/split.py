@@ -6,13 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def group_folds(rows: DataFrame, group: str, stratum: Column, folds: int = 5) -> DataFrame:
+def stratum_of(first: Column, second: Column) -> Column:
+    """A row's stratum from two flags: 1 for the first, 2 for the second, 3 for both."""
+    return first.cast("int") + 2 * second.cast("int")
+
+
+def group_folds(rows: DataFrame, group: str, stratum: Column, folds: int = 5, seed: int | None = None) -> DataFrame:
     """(group, stratum, n, fold): whole groups, dealt to folds back and forth by falling size within their stratum.
 
-    A group's stratum is the largest of its rows'. Only a row per group is ranked.
+    A group's stratum is the largest of its rows'. Only a row per group is ranked; with a seed, groups of one size come
+    in an order drawn by it.
     """
     by = rows.groupBy(group).agg(F.max(stratum).alias("stratum"), F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy("stratum").orderBy(F.desc("n"), group)) - 1
+    place = F.row_number().over(Window.partitionBy("stratum").orderBy(F.desc("n"), *([F.xxhash64(group, F.lit(seed))] if seed is not None else []), group)) - 1
     lap, at = F.floor(place / folds), F.pmod(place, F.lit(folds))
     return by.withColumn("fold", F.when(lap % 2 == 0, at).otherwise(folds - 1 - at).cast("int"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from framelake.functions import models, parsing
 from framelake.operators import geometry, joins, keypoints, raster
 from framelake.plans.registry import GRID, HEIGHT, WIDTH, image_grid, query, r6, table
+from framelake.sources import files
 
 _G = f"WITH {GRID.strip()}"
 _AROUND = "FROM grid a JOIN grid b ON b.x BETWEEN a.x - {r} AND a.x + {r} AND b.y BETWEEN a.y - {r} AND a.y + {r} AND a.img = b.img GROUP BY a.img, a.x, a.y"
@@ -110,14 +111,18 @@ def dlt_normal_matrix(spark: SparkSession, d: str) -> DataFrame:
     return sums.select("grp", "n", *[F.round(F.col(c) / F.col("n"), 5).alias(c) for c in sums.columns[2:]])
 
 
-@query()
+@query("""
+WITH k AS (SELECT o_orderpriority AS grp, CAST(left(o_orderpriority, 1) AS INTEGER) AS k FROM orders GROUP BY 1 HAVING count(*) >= 4)
+SELECT grp, 1.0::DOUBLE AS h00, 0.0::DOUBLE AS h01, 3.0::DOUBLE * k AS h02, 0.0::DOUBLE AS h10, 1.1::DOUBLE AS h11, -2.0::DOUBLE * k AS h12, round(1e-5 * k, 5) AS h20, 0.0::DOUBLE AS h21, 1.0::DOUBLE AS h22 FROM k
+""")
 def homography_solve(spark: SparkSession, d: str) -> DataFrame:
-    """Fits each order priority's transform from its orders as matches under a known one."""
+    """Fits each order priority's transform from its orders as matches under a known one, which it must give back."""
     x, y = (F.col("o_orderkey") % 640).cast("double"), (F.col("o_custkey") % 480).cast("double")
     k = F.substring("o_orderpriority", 1, 1).cast("int")
     w = 1 + 1e-5 * k * x
     m = table(spark, d, "orders").select(F.col("o_orderpriority").alias("grp"), x.alias("x"), y.alias("y"), ((x + 3 * k) / w).alias("u"), ((1.1 * y - 2 * k) / w).alias("v"), F.lit(1.0).alias("w"))
-    return geometry.solve_homographies(m, "grp").select("grp", *[F.round(F.col(n), 4).alias(n) for n in geometry.NAMES])
+    digits = dict.fromkeys(("h02", "h12"), 1) | dict.fromkeys(("h20", "h21"), 5)
+    return geometry.solve_homographies(m, "grp").select("grp", *[(F.round(F.col(n), digits.get(n, 3)) + 0.0).alias(n) for n in geometry.NAMES])
 
 
 def _transforms(spark: SparkSession, d: str) -> DataFrame:
@@ -348,3 +353,77 @@ def segment_stub_model(spark: SparkSession, d: str) -> DataFrame:
     packed = raster.pack(image_grid(spark, d), WIDTH, HEIGHT)
     kp = models.keypoints(packed).groupBy("img").agg(F.count("*").alias("n_keypoints"), F.round(F.max("score"), 6).alias("steepest"))
     return models.segment(packed).select("img", "h", "w", F.hex("classes").alias("classes")).join(kp, "img")
+
+
+@query(_G + f""", s AS (SELECT DISTINCT img, {WIDTH} - img AS w, {HEIGHT} AS h FROM grid), e AS (SELECT *, CAST(floor(((8 - w % 8) % 8) / 2) AS INTEGER) AS l, CAST((8 - w % 8) % 8 AS INTEGER) AS more FROM s),
+p AS (SELECT img, w, h, l, CAST(unnest(range(w + more)) AS INTEGER) AS x FROM e), q AS (SELECT *, CAST(unnest(range(h)) AS INTEGER) AS y FROM p)
+SELECT q.img, q.x, q.y, coalesce(g.v, 0) AS v FROM q LEFT JOIN grid g ON g.img = q.img AND g.x = greatest(0, least(q.x - l, w - 1)) AND g.y = q.y""")
+def replicate_padding(spark: SparkSession, d: str) -> DataFrame:
+    cells = image_grid(spark, d)
+    return raster.padded_image(cells, _sizes(cells))
+
+
+def _patched(spark: SparkSession, d: str) -> DataFrame:
+    cells = image_grid(spark, d)
+    return cells.select("img", "x", "y", F.col("v").alias("canvas"), (255 - F.col("v")).alias("patch"), F.col("x").between(10, 39).alias("mask"))
+
+
+_NEAR = "LEFT JOIN {t} l ON l.img = a.img AND l.x = a.x - 1 AND l.y = a.y LEFT JOIN {t} r ON r.img = a.img AND r.x = a.x + 1 AND r.y = a.y LEFT JOIN {t} u ON u.img = a.img AND u.x = a.x AND u.y = a.y - 1 LEFT JOIN {t} b ON b.img = a.img AND b.x = a.x AND b.y = a.y + 1"
+_ROUND = "d{n} AS (SELECT a.img, a.x, a.y, a.c, a.p, a.m, a.i, CASE WHEN a.i THEN (coalesce(l.d, 0) + coalesce(r.d, 0) + coalesce(u.d, 0) + coalesce(b.d, 0)) / 4 ELSE a.d END AS d FROM d{k} a " + _NEAR + ")"
+
+
+@query(_G + """, m AS (SELECT img, x, y, v AS c, 255 - v AS p, x BETWEEN 10 AND 39 AS m FROM grid),
+i AS (SELECT a.*, a.m AND coalesce(l.m, false) AND coalesce(r.m, false) AND coalesce(u.m, false) AND coalesce(b.m, false) AS i FROM m a """ + _NEAR.format(t="m") + """),
+d0 AS (SELECT *, CASE WHEN m AND NOT i THEN CAST(c - p AS DOUBLE) ELSE 0 END AS d FROM i), """ + ", ".join(_ROUND.format(n=n, k=n - 1, t=f"d{n - 1}") for n in (1, 2, 3)) + " SELECT img, x, y, round(CASE WHEN m THEN p + d ELSE c END, 6) AS v FROM d3")
+def membrane_paste(spark: SparkSession, d: str) -> DataFrame:
+    """A patch pasted with three Jacobi steps."""
+    return raster.membrane_pasted(_patched(spark, d), 3).select("img", "x", "y", r6(F.col("v")).alias("v"))
+
+
+@query(_G + """, o AS (SELECT img, min(x) AS ox, min(y) AS oy, max(x) - min(x) AS mx, max(y) - min(y) AS my FROM grid GROUP BY 1),
+q AS (SELECT o.img, hx, hy, least(2 * hx + i, mx) + ox AS x, least(2 * hy + j, my) + oy AS y FROM o, (SELECT unnest(range(40)) AS hx), (SELECT unnest(range(40)) AS hy), (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j) WHERE 2 * hx <= mx AND 2 * hy <= my),
+s AS (SELECT q.img, hx, hy, sum(coalesce(v, 0)) / 4 AS low FROM q LEFT JOIN grid g ON g.img = q.img AND g.x = q.x AND g.y = q.y GROUP BY 1, 2, 3)
+SELECT g.img, g.x, g.y, low, v - low AS high FROM grid g JOIN o ON o.img = g.img JOIN s ON s.img = g.img AND s.hx = (g.x - ox) // 2 AND s.hy = (g.y - oy) // 2""")
+def pyramid_two_levels(spark: SparkSession, d: str) -> DataFrame:
+    return raster.pyramid_levels(image_grid(spark, d), 2).select("img", "x", "y", "low", "high")
+
+
+@query(_G + """, b AS (SELECT img, 20 AS x1, 3 AS y1, 22 AS x2, 5 AS y2 FROM (SELECT DISTINCT img FROM grid)), ok AS (SELECT img, x, y FROM grid WHERE v > 5),
+l AS (SELECT b.* REPLACE (coalesce((SELECT max(x) + 1 FROM (SELECT unnest(range(-1, 20)) AS x) c WHERE (SELECT count(*) FROM ok WHERE ok.img = b.img AND ok.x = c.x AND ok.y >= b.y1 AND ok.y < b.y2) < b.y2 - b.y1), 0) AS x1) FROM b),
+r AS (SELECT l.* REPLACE (coalesce((SELECT min(x) FROM (SELECT unnest(range(22, 60)) AS x) c WHERE (SELECT count(*) FROM ok WHERE ok.img = l.img AND ok.x = c.x AND ok.y >= l.y1 AND ok.y < l.y2) < l.y2 - l.y1), 60) AS x2) FROM l),
+u AS (SELECT r.* REPLACE (coalesce((SELECT max(y) + 1 FROM (SELECT unnest(range(-1, 3)) AS y) c WHERE (SELECT count(*) FROM ok WHERE ok.img = r.img AND ok.y = c.y AND ok.x >= r.x1 AND ok.x < r.x2) < r.x2 - r.x1), 0) AS y1) FROM r),
+d AS (SELECT u.* REPLACE (coalesce((SELECT min(y) FROM (SELECT unnest(range(5, 12)) AS y) c WHERE (SELECT count(*) FROM ok WHERE ok.img = u.img AND ok.y = c.y AND ok.x >= u.x1 AND ok.x < u.x2) < u.x2 - u.x1), 12) AS y2) FROM u)
+SELECT img, CAST(x1 AS BIGINT) AS x1, CAST(y1 AS BIGINT) AS y1, CAST(x2 AS BIGINT) AS x2, CAST(y2 AS BIGINT) AS y2 FROM d""")
+def box_growth(spark: SparkSession, d: str) -> DataFrame:
+    """One pass of growth from the middle: left, right, up, down, each seeing the edges before it."""
+    return raster.grown_boxes(image_grid(spark, d), (20, 3, 22, 5), F.col("v") > 5, 1)
+
+
+@query("""
+WITH e AS (SELECT vec_id // 100 AS pair, vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+s AS (SELECT a.pair, a.id AS i, b.id AS j, round(list_inner_product(a.v, b.v), 6) AS score FROM e a JOIN e b ON a.pair = b.pair AND a.id % 2 = 0 AND b.id % 2 = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY pair, i ORDER BY score DESC, j) AS ri, row_number() OVER (PARTITION BY pair, j ORDER BY score DESC, i) AS rj FROM s)
+SELECT pair, i, j, j % 640 AS x, j % 480 AS y, i % 640 AS u, i % 480 AS v FROM r WHERE ri = 1 AND rj = 1
+""")
+def matched_keypoint_places(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 100).alias("pair"), F.col("vec_id").alias("id"), F.col("embedding").alias("descriptor"), (F.col("vec_id") % 640).alias("x"), (F.col("vec_id") % 480).alias("y"))
+    prev, curr = rows.where("id % 2 = 0"), rows.where("id % 2 = 1")
+    return keypoints.matched_points(joins.matches(prev, curr, "pair"), prev, curr, "pair").select("pair", "i", "j", "x", "y", "u", "v")
+
+
+@query("SELECT page_id, url FROM pages ORDER BY url, page_id LIMIT 20")
+def sorted_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The first paths in order, as a numbered run over files takes them."""
+    return table(spark, d, "pages").select("page_id", "url").orderBy("url", "page_id").limit(20)
+
+
+@query("""
+WITH p AS (SELECT doc_id, doc_id % 5 AS fold FROM documents), t AS (SELECT DISTINCT doc_id FROM labels)
+SELECT fold, count(*) FILTER (t.doc_id IS NOT NULL) AS copied, count(*) FILTER (t.doc_id IS NULL) AS missing FROM p LEFT JOIN t ON t.doc_id = p.doc_id GROUP BY 1
+""")
+def truth_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Of each fold's documents, as predictions, how many have a label, as their truth."""
+    path = lambda c, kind: F.concat(F.lit("x/video01/frame_"), F.col(c).cast("string"), F.lit(f"_{kind}_idx.png"))
+    pred = table(spark, d, "documents").select(path("doc_id", "pred").alias("path"))
+    truth = table(spark, d, "labels").select(path("doc_id", "gt").alias("path")).distinct()
+    return files.copy_counts(files.matched_files(pred, truth).withColumn("fold", F.col("frame_id") % 5), "fold")

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,11 +102,29 @@ def mask_boxes(spark: SparkSession, d: str) -> DataFrame:
     return found.select("img", F.col("component.x").alias("fx"), F.col("component.y").alias("fy"), "x1", "y1", "x2", "y2", "n", r6(F.col("cx")).alias("cx"), r6(F.col("cy")).alias("cy"))
 
 
-@query(_G + """, c AS (SELECT img, avg(x) AS cx, avg(y) AS cy, sqrt(count(*) / pi()) - 2 AS r FROM grid WHERE v > 15 GROUP BY img)
-SELECT g.img, x, y, (x - cx) * (x - cx) + (y - cy) * (y - cy) > r * r AS masked FROM grid g JOIN c ON g.img = c.img""")
+_SQUARE = "{n} AS (SELECT c.img, c.x, c.y, {test} AS v FROM cells c LEFT JOIN {t} n ON n.img = c.img AND abs(n.x - c.x) <= 1 AND abs(n.y - c.y) <= 1 GROUP BY 1, 2, 3)"
+_SMALLER, _LARGER = "bool_and(n.v)", "bool_or(n.v)"
+
+
+@query(_G.replace("WITH", "WITH RECURSIVE") + """, o AS (SELECT img, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM grid GROUP BY 1),
+cells AS (SELECT img, x, y FROM o, (SELECT CAST(unnest(range(60)) AS INTEGER) AS x), (SELECT CAST(unnest(range(12)) AS INTEGER) AS y) WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1),
+lit AS (SELECT c.img, c.x, c.y, coalesce(g.v > 15, false) AS v FROM cells c LEFT JOIN grid g ON g.img = c.img AND g.x = c.x AND g.y = c.y),
+""" + ", ".join(_SQUARE.format(n=n, t=t, test=test) for n, t, test in (("e1", "lit", _SMALLER), ("e2", "e1", _LARGER), ("e3", "e2", _LARGER), ("e4", "e3", _SMALLER))) + """,
+p AS (SELECT img, x, y FROM e4 WHERE v),
+r AS (SELECT img, x, y, y * 1000 + x AS first FROM p UNION SELECT p.img, p.x, p.y, r.first FROM r JOIN p ON p.img = r.img AND abs(p.x - r.x) <= 1 AND abs(p.y - r.y) <= 1),
+k AS (SELECT img, x, y, min(first) AS first FROM r GROUP BY 1, 2, 3), s AS (SELECT img, first, count(*) AS n FROM k GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY img ORDER BY n DESC, first) = 1),
+rim AS (SELECT k.img, unnest([min(x), max(x)])::DOUBLE AS x, y::DOUBLE AS y FROM k JOIN s ON s.img = k.img AND s.first = k.first GROUP BY k.img, y),
+two AS (SELECT a.img, (a.x + b.x) / 2 AS cx, (a.y + b.y) / 2 AS cy, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 2 AS r FROM rim a JOIN rim b ON a.img = b.img AND (a.x, a.y) <= (b.x, b.y)),
+three AS (SELECT a.img, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS bz, c.x AS qx, c.y AS qy, 2 * (a.x * (b.y - c.y) + b.x * (c.y - a.y) + c.x * (a.y - b.y)) AS d FROM rim a JOIN rim b ON a.img = b.img AND (a.x, a.y) < (b.x, b.y) JOIN rim c ON c.img = a.img AND (b.x, b.y) < (c.x, c.y)),
+mid AS (SELECT *, ((ax * ax + ay * ay) * (bz - qy) + (bx * bx + bz * bz) * (qy - ay) + (qx * qx + qy * qy) * (ay - bz)) / d AS cx, ((ax * ax + ay * ay) * (qx - bx) + (bx * bx + bz * bz) * (ax - qx) + (qx * qx + qy * qy) * (bx - ax)) / d AS cy FROM three WHERE abs(d) > 1e-9),
+every AS (SELECT * FROM two UNION ALL SELECT img, cx, cy, sqrt((ax - cx) * (ax - cx) + (ay - cy) * (ay - cy)) FROM mid),
+best AS (SELECT e.img, e.cx, e.cy, e.r FROM every e JOIN rim q ON q.img = e.img GROUP BY 1, 2, 3, 4 HAVING max(sqrt((q.x - e.cx) * (q.x - e.cx) + (q.y - e.cy) * (q.y - e.cy))) <= e.r + 1e-7 QUALIFY row_number() OVER (PARTITION BY e.img ORDER BY e.r) = 1)
+SELECT g.img, g.x, g.y, round((g.x - cx) * (g.x - cx) + (g.y - cy) * (g.y - cy), 4) > round((b.r - 2) * (b.r - 2), 4) AS masked, round(b.r - 2, 4) AS r FROM grid g JOIN best b ON b.img = g.img""")
 def scope_mask(spark: SparkSession, d: str) -> DataFrame:
+    """What lies outside the circle around the largest lit set, opened and closed by a square of radius 1."""
     cells = image_grid(spark, d)
-    return raster.outside_circle(cells, raster.scope_circle(cells, 15, 2)).select("img", "x", "y", "masked")
+    circle = raster.scope_circle(cells, 15, 2, 1)
+    return raster.outside_circle(cells, circle).join(circle.select("img", F.round("r", 4).alias("r")), "img").select("img", "x", "y", "masked", "r")
 
 
 @query("""
@@ -180,34 +194,17 @@ def dice_12_to_3_rollup(spark: SparkSession, d: str) -> DataFrame:
     return metrics.rolled_up(_ground_bins(spark, d)).withColumn("mean_dice", r6(F.col("mean_dice")))
 
 
-@query()
+@query("""
+WITH m AS (SELECT event_type, user_id FROM events GROUP BY 1, 2), k AS (SELECT event_type, count(*) AS n FROM m GROUP BY 1), p AS (SELECT CAST(unnest([0, 6, 12]) AS DOUBLE) AS x), q AS (SELECT CAST(unnest([0, 5]) AS DOUBLE) AS y)
+SELECT event_type, x, y, CASE WHEN n >= 10 THEN round(1.1 * x + 2, 2) END AS u, CASE WHEN n >= 10 THEN round(0.9 * y - 1, 2) END AS v FROM k, p, q
+""")
 def spline_fit(spark: SparkSession, d: str) -> DataFrame:
-    """Thin-plate splines by event type over its users' mean places, evaluated on a coarse grid."""
-    e = table(spark, d, "events").groupBy("event_type", "user_id").agg(F.avg("value").alias("m"))
-    m = e.select("event_type", (F.col("user_id") % 13).cast("double").alias("x"), F.floor(F.col("user_id") / 13).cast("double").alias("y"), "m")
+    """Thin-plate splines by event type over its users' places, which a straight map moves: they must give it back."""
+    m = table(spark, d, "events").select("event_type", "user_id").distinct()
+    m = m.select("event_type", (F.col("user_id") % 13).cast("double").alias("x"), F.floor(F.col("user_id") / 13).cast("double").alias("y"))
     m = m.select("event_type", "x", "y", (F.col("x") * 1.1 + 2).alias("u"), (F.col("y") * 0.9 - 1).alias("v"))
     places = [(float(x), float(y)) for x in (0, 6, 12) for y in (0, 5)]
-    return geometry.splines(m, "event_type", places).select("event_type", "x", "y", F.round("u", 3).alias("u"), F.round("v", 3).alias("v"))
-
-
-@query()
-def membrane_paste(spark: SparkSession, d: str) -> DataFrame:
-    """Packed images: a patch pasted by Jacobi steps, its pyramid, and the valid box grown from its middle."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                image = np.frombuffer(r.pixels, "u1").reshape(r.h, r.w).astype(float)
-                mask = np.zeros(image.shape)
-                mask[1:-1, 10:40] = 1
-                pasted = raster.membrane(image, 255 - image, mask)
-                levels = raster.pyramid(pasted, 3)
-                box = raster.grown_box(image > 5, (20, 3, 22, 5))
-                out.append((r.img, float(np.round(pasted.mean(), 6)), float(np.round(np.abs(raster.collapse(levels) - pasted).max(), 6)), "{},{},{},{}".format(*box)))
-            yield pd.DataFrame(out, columns=["img", "mean", "loss", "box"])
-
-    return raster.pack(image_grid(spark, d), WIDTH, HEIGHT).mapInPandas(run, "img int, mean double, loss double, box string")
+    return geometry.splines(m, "event_type", places).select("event_type", "x", "y", F.round("u", 2).alias("u"), F.round("v", 2).alias("v"))
 
 
 @query("""

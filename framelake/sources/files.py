@@ -14,6 +14,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from framelake.functions import parsing
 
+#: Shares of red, green and blue in the luma.
+LUMA = (0.299, 0.587, 0.114)
 SEGMENTS = "video string, start_frame long, end_frame long, startpoint long"
 PROFILE = "cat string, name string, ts long, dur long, args struct<op_name:string,provider:string,output_size:string>"
 
@@ -23,44 +25,6 @@ def image_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(root).select("path", "content")
 
 
-def decode_gray(content: bytes) -> np.ndarray | None:
-    """Pixels of an 8-bit gray PNG without interlacing; None for anything else."""
-    if not content or content[:8] != b"\x89PNG\r\n\x1a\n":
-        return None
-    at, data, head = 8, b"", None
-    try:
-        while at + 8 <= len(content):
-            n, kind = struct.unpack_from(">I4s", content, at)
-            body = content[at + 8 : at + 8 + n]
-            if kind == b"IHDR":
-                head = struct.unpack(">IIBBBBB", body)
-            elif kind == b"IDAT":
-                data += body
-            at += 12 + n
-        w, h, depth, colour, _, _, lace = head
-        if (depth, colour, lace) != (8, 0, 0):
-            return None
-        raw = np.frombuffer(zlib.decompress(data), "u1").reshape(h, w + 1)
-    except (struct.error, zlib.error, ValueError, TypeError):
-        return None
-    out = np.zeros((h, w), "int64")
-    zero = np.zeros(w, "int64")
-    for y in range(h):
-        kind, line, up = raw[y, 0], raw[y, 1:].astype("int64"), out[y - 1] if y else zero
-        if kind == 0:
-            out[y] = line
-        elif kind == 1:
-            out[y] = np.cumsum(line) & 255
-        elif kind == 2:
-            out[y] = (line + up) & 255
-        else:
-            for x in range(w):
-                left, above, corner = (out[y, x - 1] if x else 0), up[x], (up[x - 1] if x else 0)
-                guess = (left + above) // 2 if kind == 3 else min((abs(above - corner), 0, left), (abs(left - corner), 1, above), (abs(left + above - 2 * corner), 2, corner))[2]
-                out[y, x] = (line[x] + guess) & 255
-    return out.astype("u1")
-
-
 def encode_gray(image: np.ndarray) -> bytes:
     """An 8-bit gray PNG."""
     chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
@@ -69,15 +33,29 @@ def encode_gray(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
-def decoded(files: DataFrame) -> DataFrame:
-    """(path, h, w, pixels, status): decoded gray images; status unreadable, with nulls, for the others."""
+def images(spark: SparkSession, root: str, glob: str, mode: str = "gray") -> DataFrame:
+    """(path, h, w, pixels, status) of the images below root whose name fits glob, as Spark's image source decodes them.
+
+    mode gray: a byte a pixel, of colours the luma rounded half to even; rgb: three. status is unreadable, with nulls, for
+    what is no image.
+    """
+    read = spark.read.format("image").option("pathGlobFilter", glob).option("recursiveFileLookup", True).option("dropInvalid", False).load(root)
+    rows = read.select(F.col("image.origin").alias("path"), F.col("image.height").alias("h"), F.col("image.width").alias("w"), F.col("image.nChannels").alias("n"), F.col("image.data").alias("data"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            images = [decode_gray(c) for c in pdf["content"]]
-            yield pd.DataFrame({"path": pdf["path"], "h": pd.array([None if i is None else i.shape[0] for i in images], "Int32"), "w": pd.array([None if i is None else i.shape[1] for i in images], "Int32"), "pixels": [None if i is None else i.tobytes() for i in images], "status": ["unreadable" if i is None else "ok" for i in images]})
+            out = []
+            for h, w, n, data in zip(pdf["h"], pdf["w"], pdf["n"], pdf["data"]):
+                a = np.frombuffer(data, "u1").reshape(h, w, n)[:, :, :3][:, :, ::-1] if h > 0 and w > 0 else None  # stored as blue, green, red
+                if a is not None and mode == "rgb":
+                    a = np.broadcast_to(a, (h, w, 3))
+                elif a is not None:
+                    a = np.rint(a @ np.array(LUMA)) if a.shape[2] == 3 else a[:, :, 0]
+                out.append(None if a is None else a.astype("u1").tobytes())
+            sides = {c: pd.array([None if x is None else int(v) for x, v in zip(out, pdf[c])], "Int32") for c in ("h", "w")}
+            yield pd.DataFrame({"path": pdf["path"], **sides, "pixels": out, "status": ["unreadable" if x is None else "ok" for x in out]})
 
-    return files.select("path", "content").mapInPandas(run, "path string, h int, w int, pixels binary, status string")
+    return rows.mapInPandas(run, "path string, h int, w int, pixels binary, status string")
 
 
 def segments(spark: SparkSession, path: str) -> DataFrame:
@@ -97,6 +75,11 @@ def matched_files(predictions: DataFrame, truths: DataFrame) -> DataFrame:
     return both.withColumn("status", F.when(F.col("gt_path").isNull(), "missing_gt").otherwise("ok"))
 
 
+def copy_counts(matched: DataFrame, fold: str) -> DataFrame:
+    """(fold, copied, missing) of matched_files() rows with a column fold: how many have a truth to be copied."""
+    return matched.groupBy(fold).agg(F.count_if(F.col("status") == "ok").alias("copied"), F.count_if(F.col("status") != "ok").alias("missing"))
+
+
 def write_metrics(metrics: DataFrame, path: str, value: str = "dice") -> None:
     """A metric table as CSV with header, without rows that have no value."""
     metrics.where(F.col(value).isNotNull()).write.mode("overwrite").option("header", True).csv(path)

@@ -242,18 +242,36 @@ def test_event_kinds_and_folds(spark):
     assert split.in_fold(g, folds, "g").select("g", "fold").distinct().count() == 20
 
 
-def test_png_files(spark, tmp_path):
+def png(image):
+    """A colour PNG without filters."""
+    import struct
+    import zlib
+
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    raw = b"".join(b"\0" + line.tobytes() for line in image)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", image.shape[1], image.shape[0], 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_image_files(spark, tmp_path):
     image = np.arange(30, dtype="u1").reshape(5, 6)
+    colours = np.random.default_rng(3).integers(0, 256, (4, 7, 3), "u1")
     folder = tmp_path / "video01"
     folder.mkdir()
     (folder / "frame_000003_pred_idx.png").write_bytes(files.encode_gray(image))
     (folder / "frame_000004_pred_idx.png").write_bytes(b"broken")
-    got = {r["path"][-23:-4]: r for r in files.decoded(files.image_files(spark, str(tmp_path), "frame_*_pred_idx.png")).collect()}
+    (folder / "frame_000005_rgb.png").write_bytes(png(colours))
+    got = {r["path"][-23:-4]: r for r in files.images(spark, str(tmp_path), "frame_*_pred_idx.png").collect()}
     ok = [r for r in got.values() if r["status"] == "ok"]
     assert len(got) == 2 and len(ok) == 1 and bytes(ok[0]["pixels"]) == image.tobytes()
+    rgb = files.images(spark, str(tmp_path), "*_rgb.png", "rgb").first()
+    assert (rgb["h"], rgb["w"]) == (4, 7) and bytes(rgb["pixels"]) == colours.tobytes()
+    gray = files.images(spark, str(tmp_path), "*_rgb.png").first()
+    assert np.abs(np.frombuffer(gray["pixels"], "u1").reshape(4, 7) - colours @ np.array([0.299, 0.587, 0.114])).max() <= 0.5
     paths = files.image_files(spark, str(tmp_path), "frame_*_pred_idx.png").select("path")
     truths = spark.createDataFrame([("/gt/video01/frame_000003_gt_idx.png",)], "path string")
-    assert {r["frame_id"]: r["status"] for r in files.matched_files(paths, truths).collect()} == {3: "ok", 4: "missing_gt"}
+    found = files.matched_files(paths, truths)
+    assert {r["frame_id"]: r["status"] for r in found.collect()} == {3: "ok", 4: "missing_gt"}
+    assert values(files.copy_counts(found, "video")) == [("video01", 1, 1)]
 
 
 def test_frame_source_and_models(spark):
@@ -263,6 +281,13 @@ def test_frame_source_and_models(spark):
     images = f.select(F.concat("video", F.col("frame_id").cast("string")).alias("img"), "h", "w", "pixels")
     assert models.segment(images).count() == 6
     assert models.keypoints(images, 3).count() == 18
+    first = images.limit(1)
+    assert models.segment_resized(first).select("h", "w", F.length("classes")).first() == (8, 8, 64)
+    assert models.segment_resized(first, side=16).first()["classes"] == models.segment(first).first()["classes"]
+    a = np.random.default_rng(1).integers(0, 255, (12, 20), "u1")
+    pair = spark.createDataFrame([(0, 12, 20, bytearray(a.tobytes()), bytearray(np.roll(a, (1, -1), (0, 1)).tobytes()))], "img int, h int, w int, pixels binary, before binary")
+    moved = models.flow(pair).first()
+    assert set(np.frombuffer(moved["dx"], "<f4")) == {-1.0} and set(np.frombuffer(moved["dy"], "<f4")) == {1.0}
 
 
 def test_sinks(spark, tmp_path):
@@ -421,6 +446,24 @@ def test_windows_equal_brute_force(radius):
     assert (np.nan_to_num(d, nan=99) == np.where(want <= radius, want, 99)).all()
 
 
+def test_scope_of_a_disc_with_specks(spark):
+    y, x = np.mgrid[:60, :70]
+    v = np.where(np.hypot(x - 33, y - 30) <= 20, 100, 0)
+    v[2, 2:5] = 200
+    v[30, 30] = 0
+    cells = spark.createDataFrame([(i, int(a), int(b), int(v[b, a]) if i == 0 else 0) for i in range(2) for b in range(60) for a in range(70)], "img int, x int, y int, v int")
+    got = {r["img"]: r for r in raster.scope_circle(cells).collect()}
+    assert list(got) == [0] and got[0]["cx"] == pytest.approx(33, abs=0.3) and got[0]["cy"] == pytest.approx(30, abs=0.3) and got[0]["r"] == pytest.approx(16, abs=0.8)
+
+
+def test_padding_there_and_back(spark):
+    cells = spark.createDataFrame([(i, x, y, 10 * i + x + y) for i in range(2) for x in range(5 + i) for y in range(3)], "img int, x int, y int, v long")
+    sizes = spark.createDataFrame([(0, 5, 3), (1, 6, 3)], "img int, w int, h int")
+    out = raster.padded_image(cells, sizes, 4)
+    assert out.groupBy("img").agg(F.max("x"), F.max("y"), F.count("*")).count() == 2 and out.count() == 2 * 8 * 4
+    assert sorted(values(raster.unpadded_image(out, sizes, 4).select("img", "x", "y", "v"))) == sorted(values(cells))
+
+
 def test_small_pieces(spark):
     one = spark.range(1)
     got = one.select(keypoints.fixed_length(F.array(F.lit(1.0), F.lit(2.0)), 4, -2.0), keypoints.fixed_length(F.array(F.lit(1.0), F.lit(2.0)), 1, -2.0), keypoints.pruned(F.lit(0.5), F.lit(0.0), 0, 9), keypoints.pruned(F.lit(0.99), F.lit(0.0), 0, 9), keypoints.pruned(F.lit(None).cast("double"), F.lit(0.9), 0, 9)).first()
