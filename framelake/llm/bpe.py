@@ -3,8 +3,8 @@
 1. A task splits its whole texts into pre-tokens. The texts of about BLOCK_CHARS form a block: its distinct words, in the
    order in which they come, and for each document the places of its words among these. Both are written once, in
    buckets of the block.
-2. The blocks' words are dealt by the word and sorted, so each distinct word of the corpus meets in one task, in a row,
-   and is encoded once.
+2. The blocks' words are dealt by their hash, a list for each block and bucket, so each distinct word of the corpus meets
+   in one bucket, whose task holds its distinct words and encodes each once.
 3. The ids go back to the blocks and are joined to the documents' word places, which the buckets keep from being moved;
    this gives each document's ids in order.
 4. Decoding joins the table of token bytes (at most its vocabulary's size) to the ids.
@@ -27,7 +27,6 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -36,8 +35,8 @@ from pyspark.sql import functions as F
 from framelake.llm.common import bounded_batches, bucketed, release, strings, trimmed, whole
 
 BLOCK_CHARS = 32 << 20
-#: Documents whose word places are one row, and words that are one row.
-RUN, WORDS = 256, 10_000
+#: Documents whose word places are one row, and lists of words that Arrow moves at once.
+RUN, LISTS = 256, 64
 
 
 @lru_cache(maxsize=2)  # a worker keeps them over its tasks
@@ -56,11 +55,11 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
 
 
-_BLOCKS = "block long, start int, words array<string>, doc_ids array<{id}>, n_words array<int>, places binary"
+_BLOCKS = "block long, bucket int, words array<string>, numbers binary, doc_ids array<{id}>, n_words array<int>, places binary"
 
 
-def split_into_blocks(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: a block's distinct words, numbered from start, and runs of documents with their words' numbers."""
+def split_into_blocks(docs: DataFrame, buckets: int) -> DataFrame:
+    """Rows of two kinds: a block's distinct words by bucket, with their numbers, and runs of documents with their words' numbers."""
     rows = docs.select("doc_id", whole().alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
@@ -68,6 +67,7 @@ def split_into_blocks(docs: DataFrame) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
         import regex
+        import xxhash
 
         find, part, block = regex.compile(public_tokenizers.PATTERN).findall, TaskContext.get().partitionId(), 0
         held, ids, places, known, schema = 0, [], [], {}, None
@@ -78,12 +78,19 @@ def split_into_blocks(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_pylist([row], schema)
 
         def words_of() -> Iterator[pa.RecordBatch]:
-            words = list(known)
-            for at in range(0, len(words), WORDS):
-                yield pa.RecordBatch.from_pylist([{"block": (part << 24) | block, "start": at, "words": words[at : at + WORDS]}], schema)
+            at = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in known), "int64", len(known))
+            words, order = pa.array(known, pa.string()), np.argsort(at, kind="stable")
+            own, starts = np.unique(at[order], return_index=True)
+            ends = [*starts[1:].tolist(), len(order)]
+            for i in range(0, len(own), LISTS):
+                lists = [order[a:b] for a, b in zip(starts[i : i + LISTS].tolist(), ends[i : i + LISTS])]
+                texts = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), words.take(pa.array(np.concatenate(lists))))
+                n = len(lists)
+                columns = [pa.array([(part << 24) | block] * n, pa.int64()), pa.array(own[i : i + n], pa.int32()), texts, pa.array([_pack(x) for x in lists], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(n, schema.field(c).type) for c in schema.names[4:])], schema=schema)
 
         for batch in batches:
-            schema = schema or pa.schema([("block", pa.int64()), ("start", pa.int32()), ("words", pa.list_(pa.string())), ("doc_ids", pa.list_(batch.schema.field("doc_id").type)), ("n_words", pa.list_(pa.int32())), ("places", pa.binary())])
+            schema = schema or pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("words", pa.list_(pa.string())), ("numbers", pa.binary()), ("doc_ids", pa.list_(batch.schema.field("doc_id").type)), ("n_words", pa.list_(pa.int32())), ("places", pa.binary())])
             for doc, text in zip(batch.column("doc_id").to_pylist(), strings(batch.column("text"))):
                 found = pa.array(find(text), pa.string()).dictionary_encode()
                 own = np.fromiter((known.setdefault(w, len(known)) for w in found.dictionary.to_pylist()), "int32", len(found.dictionary))
@@ -104,26 +111,31 @@ def split_into_blocks(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(split, _BLOCKS.format(id=id_type))
 
 
-def encode_words(words: DataFrame, ranks_path: str) -> DataFrame:
-    """(block, number, ids) of words (block, number, word), which come sorted by word; ids as little-endian integers."""
+def encode_words(lists: DataFrame, ranks_path: str) -> DataFrame:
+    """(block, bucket, ids, lengths): the ids of each list's words one after the other, and how many each word has.
+
+    Lists come sorted by bucket: a bucket's words are remembered until it ends.
+    """
 
     @trimmed
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        coder, last = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=read_ranks(ranks_path), special_tokens={}), (None, b"")
+        coder, known, last = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=read_ranks(ranks_path), special_tokens={}), {}, None
         for batch in batches:
-            runs = pc.run_end_encode(batch.column("word"))
-            ids = []
-            for word in runs.values.to_pylist():
-                if word != last[0]:  # the first may go on from the batch before
-                    last = (word, np.array(coder.encode_ordinary(word), "<u4").tobytes())
-                ids.append(last[1])
-            lengths = np.diff(runs.run_ends.to_numpy(), prepend=0)
-            column = pa.array(ids, pa.binary()).take(pa.array(np.repeat(np.arange(len(ids)), lengths)))
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("number"), column], ["block", "number", "ids"])
+            packed: list[list[bytes]] = [[], []]
+            for bucket, words in zip(batch.column("bucket").to_pylist(), strings(batch.column("words"), 1)):
+                if bucket != last:
+                    last, known = bucket, {}
+                for w in words:
+                    if w not in known:
+                        known[w] = np.array(coder.encode_ordinary(w), "<u4").tobytes()
+                each = [known[w] for w in words]
+                packed[0].append(_pack(np.frombuffer(b"".join(each), "<u4")))
+                packed[1].append(_pack(np.fromiter(map(len, each), "<u4", len(each)) // 4))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), *(pa.array(x, pa.binary()) for x in packed)], ["block", "bucket", "ids", "lengths"])
 
-    return words.mapInArrow(encode, "block long, number int, ids binary")
+    return lists.mapInArrow(encode, "block long, bucket int, ids binary, lengths binary")
 
 
 def _gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -137,18 +149,19 @@ def _assemble(kind: pa.DataType, ranks_path: str, with_ids: bool):
     """Joins a block's ids to its documents' word places; digests of ids and of decoded bytes, or the ids themselves."""
 
     def assemble(words: pa.Table, runs: pa.Table) -> pa.Table:
-        number, column = words["number"].to_numpy(), words["ids"].combine_chunks()
-        own = pc.binary_length(column).to_numpy().astype("int64") // 4
-        ids = np.frombuffer(b"".join(column.to_pylist()), "<u4")
-        lens, starts = np.zeros(len(number), "int64"), np.zeros(len(number), "int64")
-        lens[number], starts[number] = own, np.cumsum(own) - own
+        found = dict(zip(words["bucket"].to_pylist(), zip(*(words[c].to_pylist() for c in ("ids", "lengths")))))
+        lists = [(_unpack(n), *map(_unpack, found[b])) for b, n in zip(*(runs[c].to_pylist() for c in ("bucket", "numbers"))) if n is not None]
+        order, ids, own = (np.concatenate([x[i] for x in lists]) if lists else np.zeros(0, "<u4") for i in range(3))
+        own = own.astype("int64")
+        lens, starts = np.zeros(len(order), "int64"), np.zeros(len(order), "int64")
+        lens[order], starts[order] = own, np.cumsum(own) - own
         table = sorted(read_ranks(ranks_path).items(), key=lambda x: x[1])
         tokens = np.frombuffer(b"".join(t for t, _ in table), "u1")
         token_lens = np.zeros(table[-1][1] + 1, "int64")
         token_lens[[i for _, i in table]] = [len(t) for t, _ in table]
         token_starts = np.cumsum(token_lens) - token_lens
         out: list[list] = [[] for _ in range(4)]
-        for at in range(runs.num_rows):
+        for at in np.flatnonzero(np.asarray(runs["places"].is_valid())).tolist():
             docs, counts, places = (runs[c][at].as_py() for c in ("doc_ids", "n_words", "places"))
             place = _unpack(places)
             all_lens = lens[place]
@@ -174,14 +187,14 @@ def _assemble(kind: pa.DataType, ranks_path: str, with_ids: bool):
 def encode(docs: DataFrame, ranks_path: str, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row; with_ids: (doc_id, n_tokens, ids) instead."""
     bounded_batches(docs)
-    blocks = bucketed(split_into_blocks(docs), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block")
-    words = blocks.where("words is not null").select("block", "start", F.posexplode("words").alias("at", "word"))
-    words = words.select("block", (F.col("start") + F.col("at")).alias("number"), "word").repartition("word").sortWithinPartitions("word")
-    runs = blocks.where("doc_ids is not null").select("block", "doc_ids", "n_words", "places")
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = bucketed(split_into_blocks(docs, buckets), buckets, "block")
+    lists = blocks.where("words is not null").select("block", "bucket", "words").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    runs = blocks.select("block", "bucket", "numbers", "doc_ids", "n_words", "places")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     kind = blocks.select("doc_ids").limit(0).toArrow().schema.field("doc_ids").type.value_type
     out = f"doc_id {id_type}, n_tokens long, " + ("ids array<int>" if with_ids else "ids_sha256 string, decoded_sha256 string")
-    return encode_words(words, ranks_path).groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(_assemble(kind, ranks_path, with_ids), out)
+    return encode_words(lists, ranks_path).groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(_assemble(kind, ranks_path, with_ids), out)
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:

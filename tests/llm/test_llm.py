@@ -447,7 +447,7 @@ def coder():
 
 def test_bpe_equals_the_library_and_decodes(spark, docs_of, coder, monkeypatch):
     monkeypatch.setattr(bpe, "BLOCK_CHARS", 20_000)
-    monkeypatch.setattr(bpe, "WORDS", 100)
+    monkeypatch.setattr(bpe, "LISTS", 2)
     docs = docs_of([*EDGES, *[(100 + i, r["text"]) for i, r in enumerate(table(spark, "documents").limit(60).collect())], *[(500 + i, "copy of it ") for i in range(300)]])
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     want = []
