@@ -32,7 +32,7 @@ from framelake.llm.common import bounded_batches, fold, labelled, materialise, r
 
 FEATURES, SAMPLE, CUT = 1024, 4000, 0.7
 #: Words whose features a task remembers before it starts anew.
-KNOWN = 100_000
+KNOWN = 400_000
 #: Toxic texts that must hold a feature.
 LEAST = 3
 #: Standard errors that a feature's share in toxic texts exceeds that in others by.
