@@ -152,7 +152,7 @@ def percentiles(df: DataFrame, value: str, shares: Sequence[float], *keys: str,
     def q(p: float) -> Column:
         exact = F.lit(p) * (F.col("n") - 1)
         low, high = value_at(F.floor(exact)), value_at(F.ceil(exact))
-        return low + (high - low) * (exact - F.floor(exact))
+        return F.when(F.floor(exact) == F.ceil(exact), low).otherwise(low * (F.ceil(exact) - exact) + high * (exact - F.floor(exact)))
 
     return by.select(*keys, F.array(*[q(p) for p in shares]).alias("q"))
 

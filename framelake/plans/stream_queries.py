@@ -13,7 +13,8 @@ from framelake.streaming import steps
 def frames_of(events: DataFrame) -> DataFrame:
     """events as frames: a video for each user, with a turn, a shear, a growth and a move from each frame to the one before."""
     e, f = F.col("event_id"), lambda n: (F.col("event_id") % n).cast("double")
-    h = (1 + (f(7) - 2) / 100, (f(11) - 4) / 60, F.col("value") - 5, (f(5) - 2) / 40, 1 + (f(3) - 1) / 50, f(9) - 4, (f(19) - 9) / 1e6, (f(23) - 11) / 1e6, F.lit(1.0))
+    # divisors that give no short decimals, so that no rounded value lies half way
+    h = (1 + (f(7) - 2) / 97.3, (f(11) - 4) / 61.7, (F.col("value") - 5) * 1.0137, (f(5) - 2) / 41.3, 1 + (f(3) - 1) / 53.9, (f(9) - 4) * 0.9871, (f(19) - 9) / 1.03e6, (f(23) - 11) / 1.07e6, F.lit(1.0))
     found = e % 13 >= 2
     return events.select(F.col("user_id").alias("video"), e.alias("frame_id"), F.lit(480).alias("h"), F.when(e % 101 == 0, 640).otherwise(854).alias("w"), (F.col("value") * 4).alias("blur"), *[F.when(found, c).alias(n) for c, n in zip(h, steps.NAMES)])
 
@@ -21,7 +22,7 @@ def frames_of(events: DataFrame) -> DataFrame:
 _NINE = [f"{i}{j}" for i in range(3) for j in range(3)]
 _FRAMES = """
 e AS (SELECT user_id AS video, event_id AS frame_id, CASE WHEN event_id % 101 = 0 THEN 640 ELSE 854 END AS w, value * 4 >= 30 AS sharp, event_id % 13 < 2 AS failed, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn,
-    1 + (event_id % 7 - 2) / 100 AS s00, (event_id % 11 - 4) / 60 AS s01, value - 5 AS s02, (event_id % 5 - 2) / 40 AS s10, 1 + (event_id % 3 - 1) / 50 AS s11, CAST(event_id % 9 - 4 AS DOUBLE) AS s12, (event_id % 19 - 9) / 1e6 AS s20, (event_id % 23 - 11) / 1e6 AS s21, 1.0::DOUBLE AS s22 FROM events)"""
+    1 + (event_id % 7 - 2) / 97.3 AS s00, (event_id % 11 - 4) / 61.7 AS s01, (value - 5) * 1.0137 AS s02, (event_id % 5 - 2) / 41.3 AS s10, 1 + (event_id % 3 - 1) / 53.9 AS s11, CAST(event_id % 9 - 4 AS DOUBLE) * 0.9871 AS s12, (event_id % 19 - 9) / 1.03e6 AS s20, (event_id % 23 - 11) / 1.07e6 AS s21, 1.0::DOUBLE AS s22 FROM events)"""
 
 
 def _folded(failure: str, reorient: str) -> str:
