@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import bpe, chat_format, langid, media, mixing, quality_lm, simhash, token_counts, toxicity, vector_search
+from framelake.llm import bpe, chat_format, langid, media, mixing, quality_lm, simhash, substring_dedup, token_counts, toxicity, vector_search
 from framelake.llm.common import materialise
 
 CONTROL = "</s>[INST] ok [/INST]"
@@ -63,6 +63,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(_table(spark, sf_dir, "documents"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.without_repeats(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,7 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_mix_sources, op2_token_counts, op3_chat_format, op4_quality, op5_media_columns, op6_language_id, op7_top_k, op8_byte_bpe, op9_toxicity, op10_simhash, pipeline)
+    own = (op1_mix_sources, op2_token_counts, op3_chat_format, op4_quality, op5_media_columns, op6_language_id, op7_top_k, op8_byte_bpe, op9_toxicity, op10_simhash, op12_substring_dedup, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -104,6 +109,24 @@ SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FRO
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
 """
 
+OP12_SQL = r"""
+WITH words AS (
+    SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+    SELECT row_id, doc_id, i AS start, array_to_string(w[i:i + 19], ' ') AS seq FROM (SELECT *, unnest(range(1, len(w) - 18)) AS i FROM words)
+), firsts AS (
+    SELECT *, row_number() OVER (PARTITION BY seq ORDER BY doc_id NULLS LAST, start) AS place, rank() OVER (PARTITION BY seq ORDER BY doc_id NULLS LAST, start) AS r FROM windows
+), covered AS (
+    SELECT DISTINCT row_id, unnest(range(start, start + 20)) AS i FROM firsts WHERE r > 1
+), each AS (
+    SELECT row_id, doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words
+), kept AS (
+    SELECT e.row_id, string_agg(e.w[e.i], ' ' ORDER BY e.i) AS kept, count(*) AS n FROM each e LEFT JOIN covered c ON c.row_id = e.row_id AND c.i = e.i WHERE c.i IS NULL GROUP BY e.row_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (row_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": OP3_SQL, "op7_top_k": OP7_SQL}
+    return {"op3_chat_format": OP3_SQL, "op7_top_k": OP7_SQL, "op12_substring_dedup": OP12_SQL}
