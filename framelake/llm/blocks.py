@@ -13,7 +13,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-BLOCK_CHARS = 32 << 20
+BLOCK_CHARS = 8 << 20
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 

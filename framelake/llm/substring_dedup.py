@@ -268,6 +268,7 @@ def rewritten(s: Symbols, block: int, buckets: int, round_: int) -> pa.Table:
     seq = np.empty(len(left), "int32")
     seq[~fresh], seq[fresh] = old, len(carried) + back[codes]
     rows = [{"block": block, "bucket": k, "left": pack(a[i:j]), "right": pack(b[i:j]), "many": pack(many[i:j])} for k, i, j in slices(at)]
+    release()
     rows.append({"block": block, "carried": pack(carried), "seq": pack(seq), "gaps": pack(np.diff(s.start, prepend=0).astype("int32")), "shape": _shape(s), "dead": _dead(s)})
     return pa.Table.from_pylist(rows, _KEYS)
 
