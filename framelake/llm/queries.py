@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import bpe, chat_format, langid, media, mixing, quality_lm, simhash, substring_dedup, token_counts, toxicity, vector_search
+from framelake.llm import bpe, chat_format, collocations, langid, media, mixing, quality_lm, simhash, substring_dedup, token_counts, toxicity, vector_search
 from framelake.llm.common import materialise
 
 CONTROL = "</s>[INST] ok [/INST]"
@@ -68,6 +68,10 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,7 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_mix_sources, op2_token_counts, op3_chat_format, op4_quality, op5_media_columns, op6_language_id, op7_top_k, op8_byte_bpe, op9_toxicity, op10_simhash, op12_substring_dedup, pipeline)
+    own = (op1_mix_sources, op2_token_counts, op3_chat_format, op4_quality, op5_media_columns, op6_language_id, op7_top_k, op8_byte_bpe, op9_toxicity, op10_simhash, op12_substring_dedup, op13_collocations, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -127,6 +131,36 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM words LEFT JOIN kept USING (row_id)
 """
 
+OP13_SQL = r"""
+WITH pieces AS (
+    SELECT row_number() OVER () AS piece_id, coalesce(lang, 'und') AS lang,
+           regexp_extract_all(unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+    FROM documents
+), sizes AS (
+    SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang
+), grams AS (
+    SELECT lang, p, CAST(count(*) AS BIGINT) AS f
+    FROM (SELECT lang, unnest(flatten(list_transform(range(1, 5), lambda k: list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])))) AS p FROM pieces)
+    GROUP BY lang, p HAVING count(*) >= 30
+), cuts AS (
+    SELECT lang, p, f AS a, unnest(range(1, len(p))) AS k FROM grams WHERE len(p) > 1
+), scored AS (
+    SELECT c.*, l.f AS l, r.f AS r, CAST((2000000::HUGEINT * c.a) // (l.f::HUGEINT + r.f) AS BIGINT) AS score
+    FROM cuts c JOIN grams l ON l.lang = c.lang AND l.p = c.p[1:c.k] JOIN grams r ON r.lang = c.lang AND r.p = c.p[c.k + 1:]
+), best AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
+), held AS (
+    SELECT lang, p, max(f) AS longer
+    FROM (SELECT lang, f, unnest(flatten(list_transform(range(2, len(p)), lambda n: list_transform(range(1, len(p) - n + 2), lambda i: p[i:i + n - 1])))) AS p FROM grams WHERE len(p) > 2)
+    GROUP BY lang, p
+), kept AS (
+    SELECT b.lang, array_to_string(b.p, ' ') AS phrase, b.a, b.l, b.r, b.score FROM best b LEFT JOIN held h ON h.lang = b.lang AND h.p = b.p
+    WHERE h.longer IS NULL OR 100::HUGEINT * h.longer < 80::HUGEINT * b.a
+)
+SELECT k.lang, CAST(row_number() OVER w AS BIGINT) AS rank, phrase, a, l, r, n, score FROM kept k JOIN sizes USING (lang)
+WINDOW w AS (PARTITION BY k.lang ORDER BY score DESC, a DESC, encode(phrase)) QUALIFY row_number() OVER w <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": OP3_SQL, "op7_top_k": OP7_SQL, "op12_substring_dedup": OP12_SQL}
+    return {"op3_chat_format": OP3_SQL, "op7_top_k": OP7_SQL, "op12_substring_dedup": OP12_SQL, "op13_collocations": OP13_SQL}
