@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import bpe, chat_format, collocations, langid, media, mixing, quality_lm, simhash, substring_dedup, token_counts, toxicity, vector_search
+from framelake.llm import bpe, chat_format, collocations, langid, media, mixing, quality_lm, simhash, substring_dedup, token_counts, toxicity, vector_codes, vector_search
 from framelake.llm.common import materialise
 
 CONTROL = "</s>[INST] ok [/INST]"
@@ -63,6 +63,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.coded_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring_dedup.without_repeats(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -79,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_mix_sources, op2_token_counts, op3_chat_format, op4_quality, op5_media_columns, op6_language_id, op7_top_k, op8_byte_bpe, op9_toxicity, op10_simhash, op12_substring_dedup, op13_collocations, pipeline)
+    own = (op1_mix_sources, op2_token_counts, op3_chat_format, op4_quality, op5_media_columns, op6_language_id, op7_top_k, op8_byte_bpe, op9_toxicity, op10_simhash, op11_vector_codes, op12_substring_dedup, op13_collocations, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -113,6 +117,37 @@ SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FRO
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
 """
 
+_ASSIGNED = """
+a{i} AS (
+    SELECT p.vec_id, p.label, p.part, p.x, min(struct_pack(d := CAST(list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), entry := c.entry)) AS best
+    FROM parts p JOIN c{i} c ON c.part = p.part GROUP BY ALL
+)"""
+_MOVED = """
+m{i} AS (
+    SELECT part, best.entry AS entry, list(CAST(floor_sum AS BIGINT) ORDER BY pos) AS x
+    FROM (SELECT part, best, pos, (sum(v) - ((sum(v) % count(*)) + count(*)) % count(*)) // count(*) AS floor_sum
+          FROM (SELECT part, struct_pack(entry := best.entry) AS best, unnest(range(1, len(x) + 1)) AS pos, unnest(x) AS v FROM a{i}) GROUP BY ALL)
+    GROUP BY ALL
+), c{j} AS (
+    SELECT c.part, c.entry, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN m{i} m ON m.part = c.part AND m.entry = c.entry
+)"""
+OP11_SQL = """
+WITH v AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (
+    SELECT vec_id, label, part, v[part * (len(v) // 16) + 1:(part + 1) * (len(v) // 16)] AS x FROM (SELECT *, unnest(range(16)) AS part FROM v)
+), c0 AS (
+    SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x FROM parts
+    WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 64)
+),""" + ",".join(_ASSIGNED.format(i=i) + "," + _MOVED.format(i=i, j=i + 1) for i in range(2)) + "," + _ASSIGNED.format(i=2) + """, coded AS (
+    SELECT vec_id, label, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a2 GROUP BY ALL
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM c2) AS codebooks_sha256
+FROM coded
+"""
+
 OP12_SQL = r"""
 WITH words AS (
     SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -163,4 +198,4 @@ WINDOW w AS (PARTITION BY k.lang ORDER BY score DESC, a DESC, encode(phrase)) QU
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": OP3_SQL, "op7_top_k": OP7_SQL, "op12_substring_dedup": OP12_SQL, "op13_collocations": OP13_SQL}
+    return {"op3_chat_format": OP3_SQL, "op7_top_k": OP7_SQL, "op11_vector_codes": OP11_SQL, "op12_substring_dedup": OP12_SQL, "op13_collocations": OP13_SQL}
