@@ -6,13 +6,16 @@ lists, one for each block and bucket, in an order that the block can make again,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from framelake.llm.common import release
+
 BLOCK_CHARS = 8 << 20
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -69,10 +72,43 @@ def dealt_words(words: list[bytes], buckets: int, salts: list[bytes] | None = No
     return order, at[order]
 
 
-def by_bucket(rows: DataFrame, buckets: int, answer, out: str) -> DataFrame:
-    """answer, a function of a table with all lists of a bucket, for each bucket of rows."""
-    return rows.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer, out)
+#: A blob's rows have at most so many bytes: the JVM keeps larger arrays apart and frees them late.
+PIECE = 256 << 10
+#: Lists carry their bucket, a block's own state the number of each of its pieces.
+ROWS = "block long, bucket int, piece int, data binary"
+_ROWS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("piece", pa.int32()), ("data", pa.binary())])
+
+
+def table_of(block: int, lists: Iterator[tuple[int, dict]], state: dict | None = None) -> pa.Table:
+    """A block's lists, (bucket, content), and its state as rows."""
+    buckets, data = [], []
+    for bucket, content in lists:
+        buckets.append(bucket), data.append(pickle.dumps(content))
+    whole = pickle.dumps(state) if state is not None else b""
+    pieces = [whole[i : i + PIECE] for i in range(0, len(whole), PIECE)]
+    number = [None] * len(data) + list(range(len(pieces)))
+    return pa.Table.from_arrays([pa.array([block] * len(number), pa.int64()), pa.array(buckets + [None] * len(pieces), pa.int32()), pa.array(number, pa.int32()), pa.array(data + pieces, pa.binary())], schema=_ROWS)
+
+
+def state_of(table: pa.Table) -> dict:
+    """A block's state from its rows, whatever else is among them."""
+    pieces = {i: x for i, x in zip(table["piece"].to_pylist(), table["data"].to_pylist()) if i is not None}
+    return pickle.loads(b"".join(pieces[i] for i in sorted(pieces))) if pieces else {}
+
+
+def lists_of(table: pa.Table) -> dict[int, dict]:
+    """A block's lists by bucket, in order."""
+    lists = {b: x for b, x in zip(table["bucket"].to_pylist(), table["data"].to_pylist()) if b is not None}
+    return {b: pickle.loads(lists[b]) for b in sorted(lists)}
+
+
+def by_bucket(rows: DataFrame, buckets: int, answer: Callable[[int, list[dict]], list[dict]]) -> DataFrame:
+    """For all lists of a bucket, in blocks' rows, what answer(bucket, lists) gives each."""
 
+    def run(table: pa.Table) -> pa.Table:
+        out = answer(table["bucket"][0].as_py(), [pickle.loads(x) for x in table["data"].to_pylist()])
+        release()
+        return table.set_column(3, "data", pa.array(list(map(pickle.dumps, out)), pa.binary()))
 
-def of(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, schema)
+    lists = rows.where("bucket is not null").select("block", "bucket", "piece", "data")
+    return lists.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, ROWS)

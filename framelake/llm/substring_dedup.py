@@ -22,6 +22,7 @@ ignored. A text of any length is one document of one block, whose task holds its
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -33,24 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.blocks import BLOCK_CHARS, by_bucket, dealt_words, mixed, of, pack, ranges, slices, squeeze, unpack, unsqueeze
-from framelake.llm.common import WORD, bounded_batches, bucketed, release, strings, trimmed, whole
+from framelake.llm.blocks import BLOCK_CHARS, ROWS, by_bucket, dealt_words, lists_of, mixed, pack, ranges, slices, squeeze, state_of, table_of, unpack, unsqueeze
+from framelake.llm.common import WORD, bounded_batches, bucketed, materialise, release, strings, trimmed, whole
 
 WINDOW, ROUNDS = 20, 2
 #: Words of the corpus for each bucket of names; words that are Python objects at a time, in texts of over LONG bytes.
 PER_BUCKET, CHUNK, LONG = 2 << 20, 1 << 16, 1 << 20
 _WORDS = re.compile(WORD.encode())
 _MULTIPLY = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
-_LIST = {"block": pa.int64(), "bucket": pa.int32(), "many": pa.binary()}
-_TEXTS = pa.schema([*_LIST.items(), ("words", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.binary()), ("places", pa.binary())])
-_STATE = ("carried", "seq", "gaps", "shape", "dead")
-_KEYS = pa.schema([*_LIST.items(), *((c, pa.binary()) for c in ("left", "right", *_STATE))])
-_SEEN = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("left", "right", "doc", "place", "dead", "seq", "here"))])
-
-
-def _sql(schema: pa.Schema) -> str:
-    kinds = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>"}
-    return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
 
 
 def word_chunks(text: str) -> Iterator[list[bytes]]:
@@ -81,8 +72,8 @@ def split_into_blocks(docs: DataFrame, buckets: int) -> DataFrame:
             back = np.empty(len(order), "int32")
             back[order] = np.arange(len(order), dtype="int32")
             words, many = [words[i] for i in order.tolist()], many[order]
-            yield of([{"block": name, "bucket": b, "words": squeeze(b" ".join(words[i:j])), "many": pack(many[i:j])} for b, i, j in slices(at)], _TEXTS)
-            yield of([{"block": name, "doc_ids": ids, "n_words": pack(np.array(counts, "int64")), "places": pack(back[seq]), "words": squeeze(b" ".join(words))}], _TEXTS)
+            lists = ((b, {"words": squeeze(b" ".join(words[i:j])), "many": pack(many[i:j])}) for b, i, j in slices(at))
+            yield from table_of(name, lists, {"doc_ids": ids, "n_words": pack(np.array(counts, "int64")), "places": pack(back[seq])}).to_batches()
 
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), strings(batch.column("text"))):
@@ -99,7 +90,7 @@ def split_into_blocks(docs: DataFrame, buckets: int) -> DataFrame:
         if ids:
             yield from flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")).mapInArrow(split, _sql(_TEXTS))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")).mapInArrow(split, ROWS)
 
 
 def _named(groups: np.ndarray, many: np.ndarray, buckets: int, bucket: int, round_: int) -> np.ndarray:
@@ -110,19 +101,18 @@ def _named(groups: np.ndarray, many: np.ndarray, buckets: int, bucket: int, roun
     return names[groups]
 
 
-def _answers(table: pa.Table, lengths: list[int], names: np.ndarray) -> pa.Table:
+def _answers(lengths: list[int], names: np.ndarray) -> list[dict]:
     edges = np.cumsum([0, *lengths]).tolist()
-    release()
-    return pa.table({"block": table["block"], "bucket": table["bucket"], "names": pa.array([pack(names[a:b]) for a, b in zip(edges, edges[1:])], pa.binary())})
+    return [{"names": pack(names[a:b])} for a, b in zip(edges, edges[1:])]
 
 
-def name_words(buckets: int) -> Callable[[pa.Table], pa.Table]:
-    def name(table: pa.Table) -> pa.Table:
+def name_words(buckets: int) -> Callable[[int, list[dict]], list[dict]]:
+    def name(bucket: int, lists: list[dict]) -> list[dict]:
         known = defaultdict()
         known.default_factory = known.__len__
-        groups = [np.fromiter(map(known.__getitem__, w := unsqueeze(x).split(b" ")), "int64", len(w)) for x in table["words"].to_pylist()]
-        many = np.concatenate([unpack(x, "u1") for x in table["many"].to_pylist()])
-        return _answers(table, list(map(len, groups)), _named(np.concatenate(groups), many, buckets, table["bucket"][0].as_py(), 0))
+        groups = [np.fromiter(map(known.__getitem__, w := unsqueeze(x["words"]).split(b" ")), "int64", len(w)) for x in lists]
+        many = np.concatenate([unpack(x["many"], "u1") for x in lists])
+        return _answers(list(map(len, groups)), _named(np.concatenate(groups), many, buckets, bucket, 0))
 
     return name
 
@@ -138,26 +128,25 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, groups
 
 
-def name_pairs(buckets: int, round_: int) -> Callable[[pa.Table], pa.Table]:
-    def name(table: pa.Table) -> pa.Table:
-        left, right = ([unpack(x, "int64") for x in table[c].to_pylist()] for c in ("left", "right"))
-        many = np.concatenate([unpack(x, "u1") for x in table["many"].to_pylist()])
+def name_pairs(buckets: int, round_: int) -> Callable[[int, list[dict]], list[dict]]:
+    def name(bucket: int, lists: list[dict]) -> list[dict]:
+        left, right = ([unpack(x[c], "int64") for x in lists] for c in ("left", "right"))
+        many = np.concatenate([unpack(x["many"], "u1") for x in lists])
         _, groups = _groups(np.concatenate(left), np.concatenate(right))
-        return _answers(table, list(map(len, left)), _named(groups, many, buckets, table["bucket"][0].as_py(), round_))
+        return _answers(list(map(len, left)), _named(groups, many, buckets, bucket, round_))
 
     return name
 
 
-def _pending(names: pa.Table) -> np.ndarray:
+def _pending(answers: pa.Table) -> np.ndarray:
     """The names of a block's keys, in the order in which it dealt them."""
-    lists = dict(zip(names["bucket"].to_pylist(), names["names"].to_pylist()))
-    return np.concatenate([unpack(lists[b], "int64") for b in sorted(lists)]) if lists else np.zeros(0, "int64")
+    return np.concatenate([unpack(x["names"], "int64") for x in lists_of(answers).values()] or [np.zeros(0, "int64")])
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The number of words of each block."""
+    """The number of each list's words."""
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([int(unpack(x, "int64").sum()) for x in batch.column("n_words").to_pylist()], pa.int64())], ["n"])
+        yield pa.RecordBatch.from_arrays([pa.array([len(unpack(pickle.loads(x)["many"], "u1")) for x in batch.column("data").to_pylist()], pa.int64())], ["n"])
 
 
 class Symbols:
@@ -248,7 +237,7 @@ def _dead_of(data: bytes) -> np.ndarray:
     return np.unpackbits(np.frombuffer(unsqueeze(data[8:]), "u1"))[: int.from_bytes(data[:8], "little")].astype(bool)
 
 
-def rewritten(s: Symbols, block: int, buckets: int, round_: int) -> pa.Table:
+def rewritten(s: Symbols, buckets: int, round_: int) -> tuple[Iterator[tuple[int, dict]], dict]:
     """A block's next symbols: its distinct runs and pairs by bucket, and what it goes on from when they have names."""
     import pandas as pd
 
@@ -267,10 +256,13 @@ def rewritten(s: Symbols, block: int, buckets: int, round_: int) -> pa.Table:
     old, carried = pd.factorize(s.names[~fresh])
     seq = np.empty(len(left), "int32")
     seq[~fresh], seq[fresh] = old, len(carried) + back[codes]
-    rows = [{"block": block, "bucket": k, "left": pack(a[i:j]), "right": pack(b[i:j]), "many": pack(many[i:j])} for k, i, j in slices(at)]
-    release()
-    rows.append({"block": block, "carried": pack(carried), "seq": pack(seq), "gaps": pack(np.diff(s.start, prepend=0).astype("int32")), "shape": _shape(s), "dead": _dead(s)})
-    return pa.Table.from_pylist(rows, _KEYS)
+    lists = ((k, {"left": pack(a[i:j]), "right": pack(b[i:j]), "many": pack(many[i:j])}) for k, i, j in slices(at))
+    return lists, {"carried": pack(carried), "seq": pack(seq), "gaps": pack(np.diff(s.start, prepend=0).astype("int32")), "shape": _shape(s), "dead": _dead(s)}
+
+
+def _words(rows: pa.Table) -> list[bytes]:
+    """A block's distinct words in the order of their places."""
+    return [w for x in lists_of(rows).values() for w in unsqueeze(x["words"]).split(b" ")]
 
 
 def _lead(place: np.ndarray, doc: np.ndarray, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,7 +271,7 @@ def _lead(place: np.ndarray, doc: np.ndarray, high: np.ndarray, low: np.ndarray)
     return groups, order[np.flatnonzero(np.diff(groups[order], prepend=-1))]
 
 
-def windows(s: Symbols, texts: dict, buckets: int) -> pa.Table:
+def windows(s: Symbols, texts: dict, words: list[bytes], buckets: int) -> tuple[Iterator[tuple[int, dict]], dict]:
     """A block's windows that may repeat, each once with its first place, by bucket of their digests."""
     import xxhash
 
@@ -289,7 +281,6 @@ def windows(s: Symbols, texts: dict, buckets: int) -> pa.Table:
     owner = np.searchsorted(begins, at, side="right") - 1
     doc = np.array([i or 0 for i in texts["doc_ids"]], "int64")[owner]
     place = ((at - begins[owner]) << 1) | np.array([i is None for i in texts["doc_ids"]], "int64")[owner]
-    words = unsqueeze(texts["words"]).split(b" ") if len(places) else []
     hashed = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), "<u8").reshape(-1, 2)
     flat, digests = at - owner, []  # there is a hole after each document
     for half, by in enumerate(_MULTIPLY):
@@ -305,42 +296,39 @@ def windows(s: Symbols, texts: dict, buckets: int) -> pa.Table:
     back[order] = np.arange(len(order), dtype="int32")
     here = (doc == doc_of[groups]) & (place == place_of[groups])
     columns = {"left": high, "right": low, "doc": doc_of, "place": place_of}
-    rows = [{"block": texts["block"], "bucket": k} | {c: pack(x[order[i:j]]) for c, x in columns.items()} for k, i, j in slices(own[order])]
-    rows.append({"block": texts["block"], "dead": _dead(s), "seq": pack(back[groups]), "here": squeeze(np.packbits(here).tobytes())})
-    release()
-    return pa.Table.from_pylist(rows, _SEEN)
+    lists = ((k, {c: pack(x[order[i:j]]) for c, x in columns.items()}) for k, i, j in slices(own[order]))
+    return lists, {"dead": _dead(s), "seq": pack(back[groups]), "here": squeeze(np.packbits(here).tobytes())}
 
 
-def first_places(table: pa.Table) -> pa.Table:
+def first_places(bucket: int, lists: list[dict]) -> list[dict]:
     """For each list of a bucket, which of its windows have their first place of all in the list's own."""
-    left, right, doc, place = ([unpack(x, k) for x in table[c].to_pylist()] for c, k in (("left", "uint64"), ("right", "uint64"), ("doc", "int64"), ("place", "int64")))
-    lengths = list(map(len, left))
-    left, right, doc, place = map(np.concatenate, (left, right, doc, place))
+    columns = [[unpack(x[c], k) for x in lists] for c, k in (("left", "uint64"), ("right", "uint64"), ("doc", "int64"), ("place", "int64"))]
+    left, right, doc, place = map(np.concatenate, columns)
     groups, lead = _lead(place, doc, left, right)
     same = (doc == doc[lead][groups]) & (place == place[lead][groups])
-    return _answers(table, lengths, same.astype("int64"))
+    return _answers(list(map(len, columns[0])), same.astype("int64"))
 
 
-def removed_words(texts: dict, firsts: np.ndarray, window: int) -> pa.Table:
+def removed_words(texts: dict, words: list[bytes], seen: dict, firsts: np.ndarray, window: int) -> pa.Table:
     """A block's documents without the words that stand in windows that came before."""
-    dead = _dead_of(texts["dead"])
+    dead = _dead_of(seen["dead"])
     at = np.flatnonzero(~dead)
-    here = np.unpackbits(np.frombuffer(unsqueeze(texts["here"]), "u1"))[: len(at)] > 0
-    gone = at[~(here & (firsts[unpack(texts["seq"], "int32")] > 0))] if len(at) else at
+    here = np.unpackbits(np.frombuffer(unsqueeze(seen["here"]), "u1"))[: len(at)] > 0
+    gone = at[~(here & (firsts[unpack(seen["seq"], "int32")] > 0))] if len(at) else at
     counts, places = unpack(texts["n_words"], "int64"), unpack(texts["places"], "int32")
     change = np.zeros(len(dead) + window + 1, "int32")
     change[gone] += 1
     change[gone + window] -= 1
     covered = np.cumsum(change)[: len(dead)] > 0
     begins = np.cumsum(counts + 1) - (counts + 1)
-    words = np.array(unsqueeze(texts["words"]).split(b" ") if len(places) else [], dtype=object)
+    spelt = np.array(words, dtype=object)
     removed, spans, kept, word = [], [], [], 0
     for b, n in zip(begins.tolist(), counts.tolist()):
         out = covered[b : b + n]
         edges = np.flatnonzero(np.diff(out.astype("i1"), prepend=0, append=0)).reshape(-1, 2).tolist()
         removed.append(int(out.sum()))
         spans.append([{"start": x, "end": y} for x, y in edges])
-        kept.append(b" ".join(words[places[word : word + n][~out]].tolist()))
+        kept.append(b" ".join(spelt[places[word : word + n][~out]].tolist()))
         word += n
     release()
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -355,38 +343,41 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     bounded_batches(docs)
     few = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = bucketed(split_into_blocks(docs, few), few, "block")
-    whole_blocks = texts.where("places is not null").select("block", "doc_ids", "n_words", "places", "words")
-    total = whole_blocks.select("n_words").mapInArrow(_sums, "n long").agg(F.sum("n")).first()[0]
+    total = texts.where("bucket is not null").select("data").mapInArrow(_sums, "n long").agg(F.sum("n")).first()[0]
     buckets = max(few, -(-(total or 0) // PER_BUCKET))
-    answer = "block long, bucket int, names binary"
 
-    def made(names: DataFrame, held: DataFrame, make: Callable[[dict, np.ndarray], pa.Table], schema: str) -> DataFrame:
-        def run(answers: pa.Table, rows: pa.Table) -> pa.Table:
-            return make(rows.to_pylist()[0], _pending(answers))
+    def made(answers: DataFrame, state: DataFrame | None, rows: DataFrame, make: Callable, schema: str = ROWS) -> DataFrame:
+        """make(block, names, state, rows) for each block; its state goes to its rows, with the answers."""
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            return make(right["block"][0].as_py(), _pending(left), state_of(left), right)
 
-        return names.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(run, schema)
+        left = answers if state is None else answers.unionByName(state)
+        return left.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(run, schema)
 
-    names = by_bucket(texts.where("places is null").select("block", "bucket", "words", "many"), few, name_words(few), answer)
-    held, resume = whole_blocks, _begin
+    own = "bucket is null"
+    answers, state = by_bucket(texts, few, name_words(few)), None
     for round_ in range(1, rounds + 1):
 
-        def rewrite(row: dict, pending: np.ndarray, resume=resume, round_=round_) -> pa.Table:
-            s = resume(row, pending, window)
+        def rewrite(block: int, names: np.ndarray, _: dict, rows: pa.Table, resume=_resume if state is not None else _begin, round_=round_) -> pa.Table:
+            s = resume(state_of(rows), names, window)
             s.prune()
-            return rewritten(s, row["block"], buckets, round_)
+            out = table_of(block, *rewritten(s, buckets, round_))
+            release()
+            return out
 
-        state = bucketed(made(names, held, rewrite, _sql(_KEYS)), few, "block")
-        names = by_bucket(state.where("bucket is not null").select("block", "bucket", "many", "left", "right"), buckets, name_pairs(buckets, round_), answer)
-        held, resume = state.where("bucket is null").select("block", *_STATE), _resume
+        state = bucketed(made(answers, None, (texts if state is None else state).where(own), rewrite), few, "block")
+        answers = by_bucket(state, buckets, name_pairs(buckets, round_))
 
-    def verify(row: dict, pending: np.ndarray) -> pa.Table:
-        s = resume(row, pending, window)
+    def verify(block: int, names: np.ndarray, before: dict, rows: pa.Table) -> pa.Table:
+        texts = state_of(rows)
+        s = _resume(before, names, window) if before else _begin(texts, names, window)
         s.prune()
-        return windows(s, row, buckets)
+        out = table_of(block, *windows(s, texts, _words(rows), buckets))
+        release()
+        return out
 
-    left = held if resume is _begin else whole_blocks.join(held.hint("merge"), "block")
-    seen = bucketed(made(names, left, verify, _sql(_SEEN)), few, "block")
-    firsts = by_bucket(seen.where("bucket is not null").select("block", "bucket", "left", "right", "doc", "place"), buckets, first_places, answer)
-    last = whole_blocks.join(seen.where("bucket is null").select("block", "dead", "seq", "here").hint("merge"), "block")
+    seen = materialise(made(answers, None if state is None else state.where(own), texts, verify), "windows")
+    firsts = by_bucket(seen, buckets, first_places)
     out = "doc_id long, n_words long, n_removed long, removed array<struct<start: long, end: long>>, kept string"
-    return made(firsts, last, lambda row, pending: removed_words(row, pending, window), out)
+    return made(firsts, seen.where(own), texts, lambda _, names, before, rows: removed_words(state_of(rows), _words(rows), before, names, window), out)
