@@ -103,12 +103,14 @@ def lists_of(table: pa.Table) -> dict[int, dict]:
 
 
 def by_bucket(rows: DataFrame, buckets: int, answer: Callable[[int, list[dict]], list[dict]]) -> DataFrame:
-    """For all lists of a bucket, in blocks' rows, what answer(bucket, lists) gives each."""
+    """For all lists of a bucket, in blocks' rows, what answer(bucket, lists) gives each; what it gives beyond is of no block."""
 
     def run(table: pa.Table) -> pa.Table:
         out = answer(table["bucket"][0].as_py(), [pickle.loads(x) for x in table["data"].to_pylist()])
         release()
-        return table.set_column(3, "data", pa.array(list(map(pickle.dumps, out)), pa.binary()))
+        beyond = [None] * (len(out) - table.num_rows)
+        columns = [table["block"].to_pylist() + beyond, table["bucket"].to_pylist() + beyond, [None] * len(out), list(map(pickle.dumps, out))]
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, _ROWS.types)], schema=_ROWS)
 
     lists = rows.where("bucket is not null").select("block", "bucket", "piece", "data")
     return lists.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, ROWS)

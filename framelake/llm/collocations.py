@@ -16,6 +16,7 @@ ignored. A text of any length is one document of one block, whose task holds its
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -27,17 +28,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.blocks import BLOCK_CHARS, mixed, pack, slices, squeeze, unpack, unsqueeze
+from framelake.llm.blocks import BLOCK_CHARS, ROWS, by_bucket, lists_of, mixed, pack, slices, squeeze, state_of, table_of, unpack, unsqueeze
 from framelake.llm.common import bounded_batches, bucketed, materialise, release, small, strings, trimmed, whole
 
 MAX_N, LEAST, INSIDE, TOP = 4, 30, (80, 100), 2000
 #: Suffixes of the corpus for each bucket; one of so many words is very common; words that are Python objects at a time, in texts of over LONG bytes.
 PER_BUCKET, COMMON, CHUNK, LONG = 1 << 20, 64, 1 << 16, 1 << 20
+#: Named words that are one row.
+NAMED = 4096
 #: A-Z lower-cased, what ends a piece as a line feed.
 _PLAIN = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\x0b\x0c\x0d", bytes(range(97, 123)) + b"\n" * 9)
 _TOKENS = re.compile(rb"[^\n \t]+|\n+")
-_TEXTS = "block long, list int, bucket int, lang string, words binary, counts binary, n long, langs array<string>, lang_of binary, places binary"
-_NAMES = "block long, list int, names binary, lang string, word string, id long, f long"
 
 
 def pieces(text: str) -> Iterator[list[bytes | None]]:
@@ -65,9 +66,9 @@ def split_into_blocks(docs: DataFrame, buckets: int) -> DataFrame:
         import xxhash
 
         part, block = TaskContext.get().partitionId(), 0
-        held, places, known, number, schema = 0, [], {}, count(1), pa.schema([("block", pa.int64()), ("list", pa.int32()), ("bucket", pa.int32()), ("lang", pa.string()), ("words", pa.binary()), ("counts", pa.binary()), ("n", pa.int64()), ("langs", pa.list_(pa.string())), ("lang_of", pa.binary()), ("places", pa.binary())])
+        held, places, known, number = 0, [], {}, count(1)
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> list[pa.RecordBatch]:
             name, langs = (part << 24) | block, list(known)
             seq = np.concatenate(places)
             pairs = [(i, w) for i, x in enumerate(langs) for w, at in known[x].items() if at]
@@ -78,11 +79,9 @@ def split_into_blocks(docs: DataFrame, buckets: int) -> DataFrame:
             back = np.zeros(len(order) + 1, "int32")
             back[at[order]] = np.arange(1, len(order) + 1, dtype="int32")
             counts = np.bincount(seq, minlength=len(order) + 1)[at[order]]
-            words, out = [pairs[i][1] for i in order.tolist()], []
-            for k, (_, i, j) in enumerate(slices(bucket[order].astype("int64") * len(langs) + owner[order])):
-                out.append({"block": name, "list": k, "bucket": int(bucket[order[i]]), "lang": langs[owner[order[i]]], "words": squeeze(b" ".join(words[i:j])), "counts": pack(counts[i:j]), "n": int(counts[i:j].sum())})
-            out.append({"block": name, "langs": langs, "lang_of": pack(owner[order]), "places": pack(back[seq])})
-            return pa.RecordBatch.from_pylist(out, schema)
+            words, own, at = [pairs[i][1] for i in order.tolist()], owner[order], bucket[order]
+            lists = ((b, [{"lang": langs[k], "words": squeeze(b" ".join(words[x:y])), "counts": pack(counts[x:y])} for k, x, y in ((k, x + i, y + i) for k, x, y in slices(own[i:j]))]) for b, i, j in slices(at))
+            return table_of(name, lists, {"langs": langs, "lang_of": pack(own), "places": pack(back[seq])}).to_batches()
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), strings(batch.column("text"))):
@@ -93,39 +92,56 @@ def split_into_blocks(docs: DataFrame, buckets: int) -> DataFrame:
                     places.append(np.fromiter(map(own.__getitem__, words), "int32", len(words)))
                 held += len(text)
                 if held > BLOCK_CHARS:
-                    yield flush()
+                    yield from flush()
                     held, places, known, number, block = 0, [], {}, count(1), block + 1
         if places:
-            yield flush()
+            yield from flush()
 
-    return rows.mapInArrow(split, _TEXTS)
+    return rows.mapInArrow(split, ROWS)
 
 
-def name_words(buckets: int, least: int, often: int, common: int) -> Callable[[pa.Table], pa.Table]:
-    """Names of a bucket's words that come at least least times; their last two bits tell how common they are."""
+def sums_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, n) of each list."""
+    for batch in batches:
+        rows = [(x["lang"], int(unpack(x["counts"], "int64").sum())) for data in batch.column("data").to_pylist() for x in pickle.loads(data)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["lang", "n"])
 
-    def name(table: pa.Table) -> pa.Table:
+
+def name_words(buckets: int, least: int, often: int, common: int) -> Callable[[int, list], list[dict]]:
+    """Names of a bucket's words that come at least least times; their last two bits tell how common they are.
+
+    Beyond the lists it gives the words that are named.
+    """
+
+    def name(bucket: int, lists: list) -> list[dict]:
         known: dict[str, defaultdict] = {}
-        number = count()
-        rows = table.select(["block", "list", "lang", "words", "counts"]).to_pylist()
-        places = []
-        for row in rows:
-            own = known.setdefault(row["lang"], defaultdict(number.__next__))
-            words = unsqueeze(row["words"]).split(b" ")
-            places.append(np.fromiter(map(own.__getitem__, words), "int64", len(words)))
-        counts = np.bincount(np.concatenate(places), np.concatenate([unpack(x["counts"], "int64") for x in rows])).astype("int64")
-        frequent = counts >= least
-        ids = (np.cumsum(frequent) - 1) * buckets + table["bucket"][0].as_py() + 1
-        ids = np.where(frequent, (ids << 2) | (counts > often).astype("int64") + (counts > max(often, common)), 0)
-        out = [{"block": r["block"], "list": r["list"], "names": pack(ids[p])} for r, p in zip(rows, places)]
-        out += [{"lang": lang, "word": w.decode("utf-8", "surrogatepass"), "id": int(ids[i]), "f": int(counts[i])} for lang, own in known.items() for w, i in own.items() if frequent[i]]
-        release()
-        schema = pa.schema([("block", pa.int64()), ("list", pa.int32()), ("names", pa.binary()), ("lang", pa.string()), ("word", pa.string()), ("id", pa.int64()), ("f", pa.int64())])
-        return pa.Table.from_pylist(out, schema)
+        number, places, counts = count(), [], []
+        for parts in lists:
+            each = []
+            for part in parts:
+                own = known.setdefault(part["lang"], defaultdict(number.__next__))
+                words = unsqueeze(part["words"]).split(b" ")
+                each.append(np.fromiter(map(own.__getitem__, words), "int64", len(words)))
+                counts.append(unpack(part["counts"], "int64"))
+            places.append(np.concatenate(each))
+        sums = np.bincount(np.concatenate(places), np.concatenate(counts)).astype("int64")
+        frequent = sums >= least
+        ids = (np.cumsum(frequent) - 1) * buckets + bucket + 1
+        ids = np.where(frequent, (ids << 2) | (sums > often).astype("int64") + (sums > max(often, common)), 0)
+        out = [{"names": pack(ids[p])} for p in places]
+        named = [(lang, w.decode("utf-8", "surrogatepass"), int(ids[i]), int(sums[i])) for lang, own in known.items() for w, i in own.items() if frequent[i]]
+        return out + [named[i : i + NAMED] for i in range(0, len(named), NAMED)]
 
     return name
 
 
+def named_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, word, id, f) of the words that are named."""
+    for batch in batches:
+        rows = [x for data in batch.column("data").to_pylist() for x in pickle.loads(data)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], ["lang", "word", "id", "f"])
+
+
 def suffixes(max_n: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """A block's distinct suffixes of max_n words, with counts, by language and bucket."""
     import pandas as pd
@@ -133,9 +149,8 @@ def suffixes(max_n: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Tabl
     schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
 
     def cut(names: pa.Table, texts: pa.Table) -> pa.Table:
-        lists = dict(zip(names["list"].to_pylist(), names["names"].to_pylist()))
-        ids = np.concatenate([np.zeros(1, "int64"), *(unpack(lists[k], "int64") for k in sorted(lists))])
-        row = texts.to_pylist()[0]
+        ids = np.concatenate([np.zeros(1, "int64"), *(unpack(x["names"], "int64") for x in lists_of(names).values())])
+        row = state_of(texts)
         seq = unpack(row["places"], "int32")
         seq[ids[seq] == 0] = 0
         seq = np.concatenate((seq, np.zeros(max_n, "int32")))
@@ -244,14 +259,13 @@ def phrase_counts(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST) -> tu
     bounded_batches(docs)
     few = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = bucketed(split_into_blocks(docs, few), few, "block")
-    sizes = materialise(texts.where("bucket is not null").groupBy("lang").agg(F.sum("n").alias("n")), "sizes")
+    words = texts.where("bucket is not null")
+    sizes = materialise(words.select("data").mapInArrow(sums_of, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n")), "sizes")
     total = sizes.agg(F.sum("n")).first()[0] or 0
     buckets = max(few, -(-total // PER_BUCKET))
-    lists = texts.where("bucket is not null").select("block", "list", "bucket", "lang", "words", "counts").repartition(few, "bucket")
-    named = materialise(lists.groupBy("bucket").applyInArrow(name_words(few, least, total // (4 * buckets), total // COMMON), _NAMES), "names")
-    vocabulary = named.where("word is not null").select("lang", "id", "word", "f")
-    blocks = texts.where("places is not null").select("block", "langs", "lang_of", "places")
-    cut = named.where("block is not null").select("block", "list", "names").groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(suffixes(max_n, buckets), "lang string, bucket int, words binary, counts binary")
+    named = materialise(by_bucket(texts, few, name_words(few, least, total // (4 * buckets), total // COMMON)), "names")
+    vocabulary = materialise(named.where("block is null").select("data").mapInArrow(named_words, "lang string, word string, id long, f long"), "vocabulary")
+    cut = named.where("block is not null").groupBy("block").cogroup(texts.where("bucket is null").groupBy("block")).applyInArrow(suffixes(max_n, buckets), "lang string, bucket int, words binary, counts binary")
     counted = cut.repartition(buckets, "lang", "bucket").groupBy("lang", "bucket").applyInArrow(count_prefixes(max_n, least), "lang string, p array<long>, f long, part boolean")
     counted = materialise(counted, "counted")
     added = counted.where("part").groupBy("lang", "p").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
