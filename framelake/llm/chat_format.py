@@ -9,7 +9,7 @@ and the tokens it stands for are recorded.
 The output is a row per turn with its place in the conversation's string, so a conversation of any length needs no more
 memory than a turn. Turns are ordered by turn (null first), then role, then text; null roles and texts are empty;
 repeated rows are turns of their own; an empty table gives an empty result; extra columns are ignored. Ids may be of any
-type. read_back() needs no order or place of its rows, so they may have been stored in between.
+type; turns whose id is null are one conversation, and so are those whose id is NaN. read_back() needs no order or place of its rows, so they may have been stored in between.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.llm.common import bounded_batches, strings, trimmed
+
 #: What follows the first character of each control string.
 _TAILS = r"(s>|/s>|INST\]|/INST\]|ROLE\]|/ROLE\]|(?:IMAGE|AUDIO|DOCUMENT):)"
 _ESCAPE, _UNESCAPE = r"([<\[])(\\*)" + _TAILS, r"([<\[])(\\*)\\" + _TAILS
@@ -98,6 +100,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
     ordered = formatted.select("conv_id", "formatted", "loss_start", "loss_chars", at.alias("at"))
     id_type = ordered.schema["conv_id"].dataType.simpleString()
 
+    bounded_batches(formatted)
+
+    @trimmed
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state, out, kind = object(), None, [], None
 
@@ -112,8 +117,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
         for batch in batches:
             kind = batch.schema.field("conv_id").type
-            for conv, text, start, chars in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_start", "loss_chars"))):
-                if conv != last:
+            turns = zip(strings(batch.column("formatted"), 64), *(batch.column(c).to_pylist() for c in ("conv_id", "loss_start", "loss_chars")))
+            for text, conv, start, chars in turns:
+                if not (conv == last or (conv != conv and last != last)):
                     close()
                     last, state = conv, {"n": 0, "chars": 0, "loss_chars": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256()}
                 role, body = (unescape(x) for x in _TURN.fullmatch(text).groups())

@@ -2,9 +2,11 @@
 
 Defined results: bytes that aren't such a file, are cut off, have no track or tables that contradict each other, that
 nest deeper than DEPTH, or that are fragmented (their samples aren't in these tables) give null features and an error
-string; null bytes give null; a track without an stss box has keyframes only (each sample is one). Repeated rows get
-equal results, an empty table an empty one. A table's counts are held against its box before anything is built of them,
-so a file costs no more memory than a few times its own size.
+string; null bytes give null; a track without an stss box has keyframes only: each sample is one, but samples that all
+have one size, as those of raw audio, are given by stretches. Repeated rows get equal results, an empty table an empty
+one. A table's counts are held against its box before anything is built of them, and nothing is built for each of
+samples of one size, so a file costs no more memory than a few times its own size. Texts too long for a file of 32-bit
+offsets, of 4 GiB, are an error; a row of Spark's can't hold them.
 """
 
 from __future__ import annotations
@@ -62,50 +64,73 @@ def _table(data: memoryview, at: int, end: int, kind: str, columns: int = 1) ->
     return np.frombuffer(data, kind, n * columns, at + 8).astype("int64").reshape(n, columns)
 
 
-def _sizes(data: memoryview, at: int, end: int) -> np.ndarray:
+def _sizes(data: memoryview, at: int, end: int) -> tuple[int, int, np.ndarray | None]:
+    """The size that all samples have (0: none), how many there are, and otherwise each one's."""
     same, n = struct.unpack_from(">II", data, at + 4)
     if not same:
         if at + 12 + 4 * n > end:
             raise ValueError("table leaves its box")
-        return np.frombuffer(data, ">u4", n, at + 12).astype("int64")
+        return 0, n, np.frombuffer(data, ">u4", n, at + 12)
     if n * same > len(data):
         raise ValueError("samples lie beyond the file")
-    return np.full(n, same, "int64")
+    return same, n, None
 
 
 def _place(t: dict, length: int) -> None:
-    """Adds the samples' offsets, from the chunks' places and how many samples each holds; checks what is there."""
-    n, chunks, runs = len(t["sizes"]), t["chunks"], t["runs"]
+    """Adds the chunks' ends in samples and bytes; checks what is there. Nothing is built for each sample of one size."""
+    n, chunks, runs = t["n"], t["chunks"], t["runs"]
     first = np.append(runs[:, 0] - 1, len(chunks))
     if len(runs) and (first[0] != 0 or (np.diff(first) < 0).any() or (runs[:, 1] < 1).any()):
         raise ValueError("chunk runs are out of order")
     per = np.minimum(np.repeat(runs[:, 1], np.diff(first)), n) if len(runs) else np.zeros(0, "int64")
-    ends = np.minimum(np.cumsum(per), n)
-    if n and (not len(ends) or ends[-1] < n):
+    t["ends"] = np.minimum(np.cumsum(per), n)
+    if n and (not len(t["ends"]) or t["ends"][-1] < n):
         raise ValueError("chunks hold fewer samples than there are sizes")
-    chunk = np.searchsorted(ends, np.arange(n), "right")
-    before = np.cumsum(t["sizes"]) - t["sizes"]
-    starts = np.flatnonzero(np.diff(chunk, prepend=-1))
-    t["offsets"] = chunks[chunk] + before - np.repeat(before[starts], np.diff(np.append(starts, n))) if n else before
-    if n and (t["offsets"].min() < 0 or (t["offsets"] + t["sizes"]).max() > length):
+    t["upto"] = None if t["sizes"] is None else np.concatenate((np.zeros(1, "int64"), np.cumsum(t["sizes"], dtype="int64")))
+    starts = np.concatenate((np.zeros(1, "int64"), t["ends"][:-1]))[: len(t["ends"])]
+    t["starts"], used = starts, t["ends"] > starts
+    t["spans"] = np.stack((chunks[: len(used)][used], (_bytes_before(t, t["ends"]) - _bytes_before(t, starts))[used]), axis=1) if n else np.zeros((0, 2), "int64")
+    if n and (t["spans"][:, 0].min() < 0 or t["spans"].sum(axis=1).max() > length):
         raise ValueError("samples lie beyond the file")
-    if t["keys"] is None:
-        t["keys"] = np.arange(n)
-    elif len(t["keys"]) and (t["keys"].min() < 0 or t["keys"].max() >= n):
+    if t["keys"] is not None and len(t["keys"]) and (t["keys"].min() < 0 or t["keys"].max() >= n):
         raise ValueError("a keyframe is none of the samples")
     if t["times"] is not None and (n_times := int(t["times"][:, 0].sum())) != n:
         raise ValueError(f"{n_times} sample times for {n} samples")
 
 
+def _bytes_before(t: dict, samples: np.ndarray) -> np.ndarray:
+    return samples * t["size"] if t["upto"] is None else t["upto"][samples]
+
+
+def ranges(t: dict, samples: np.ndarray) -> np.ndarray:
+    """(offset, bytes) of a track's samples."""
+    chunk = np.searchsorted(t["ends"], samples, "right")
+    before = _bytes_before(t, samples)
+    return np.stack((t["chunks"][chunk] + before - _bytes_before(t, t["starts"][chunk]), _bytes_before(t, samples + 1) - before), axis=1)
+
+
+def joined(spans: np.ndarray) -> np.ndarray:
+    """(offset, bytes) with those in one that follow each other."""
+    first = np.flatnonzero(np.concatenate(([True], spans[1:, 0] != spans[:-1].sum(axis=1)))) if len(spans) else np.zeros(0, "int64")
+    return np.stack((spans[first, 0], np.add.reduceat(spans[:, 1], first)), axis=1) if len(first) else spans
+
+
+def keyframes(t: dict) -> np.ndarray:
+    """(offset, bytes) of the keyframes; where all samples are and have one size, of each stretch of them."""
+    if t["keys"] is not None:
+        return ranges(t, t["keys"])
+    return joined(t["spans"]) if t["upto"] is None else ranges(t, np.arange(t["n"]))
+
+
 def tracks(data: bytes) -> list[dict]:
-    """codec, timescale, duration, sizes, offsets and keyframes (from 0) of each track."""
+    """codec, timescale, duration, samples and their chunks, and keyframes (from 0; None: all samples) of each track."""
     view, out = memoryview(data), []
     for path, at, end in boxes(view):
         kind = path[-1]
         if kind in FRAGMENTS:
             raise ValueError("fragmented file")
         if kind == b"trak":
-            out.append({"codec": None, "timescale": 0, "duration": 0, "sizes": np.zeros(0, "int64"), "keys": None, "times": None, "chunks": np.zeros(0, "int64"), "runs": np.zeros((0, 3), "int64")})
+            out.append({"codec": None, "timescale": 0, "duration": 0, "size": 0, "n": 0, "sizes": np.zeros(0, "int64"), "keys": None, "times": None, "chunks": np.zeros(0, "int64"), "runs": np.zeros((0, 3), "int64")})
         elif not out or b"trak" not in path:
             continue
         t = out[-1]
@@ -114,7 +139,7 @@ def tracks(data: bytes) -> list[dict]:
         elif kind == b"stsd" and end - at >= 16:
             t["codec"] = bytes(view[at + 12 : at + 16]).decode("latin-1")
         elif kind == b"stsz":
-            t["sizes"] = _sizes(view, at, end)
+            t["size"], t["n"], t["sizes"] = _sizes(view, at, end)
         elif kind == b"stsc":
             t["runs"] = _table(view, at, end, ">u4", 3)
         elif kind in (b"stco", b"co64"):
@@ -136,6 +161,8 @@ def _box(kind: bytes, *parts: bytes) -> bytes:
 def container(payload: bytes) -> bytes:
     """A one-track file with payload, a positive multiple of SAMPLE bytes, as samples of 8-bit values."""
     n = len(payload) // SAMPLE
+    if len(payload) > 0xF0000000:
+        raise ValueError("a payload of 4 GiB needs 64-bit offsets")
     chunks, rest = divmod(n, CHUNK)
     runs = [(1, CHUNK, 1)] * bool(chunks) + [(chunks + 1, rest, 1)] * bool(rest)
     full = lambda kind, *parts: _box(kind, b"\0\0\0\0", *parts)
@@ -167,19 +194,28 @@ _FIELDS = [("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.in
 _SCHEMA = pa.schema([*_FIELDS, ("tracks", pa.list_(pa.struct(_FIELDS))), ("error", pa.string())])
 
 
-def features(data: bytes | None) -> dict:
-    """The first track's features and all tracks', or what is wrong with the file."""
-    none = dict.fromkeys(_SCHEMA.names)
+def features(data: bytes | None) -> tuple[list[dict] | None, str | None]:
+    """All tracks' features, or what is wrong with the file."""
     if data is None:
-        return none
+        return None, None
     try:
-        found = [
-            {"codec": t["codec"], "timescale": t["timescale"], "duration": t["duration"], "n_samples": len(t["sizes"]), "sample_bytes": int(t["sizes"].sum()), "keyframes": [{"offset": int(o), "bytes": int(b)} for o, b in zip(t["offsets"][t["keys"]], t["sizes"][t["keys"]])]}
-            for t in tracks(data)
-        ]
-        return {**found[0], "tracks": found, "error": None}
+        found = [{k: t[k] for k in ("codec", "timescale", "duration", "n")} | {"bytes": int(t["spans"][:, 1].sum()), "keyframes": keyframes(t)} for t in tracks(data)]
     except (ValueError, IndexError, OverflowError, struct.error) as e:
-        return none | {"error": "no track" if isinstance(e, IndexError) else str(e)}
+        return None, str(e)
+    return (found, None) if found else (None, "no track")
+
+
+def _columns(files: list[tuple[list[dict] | None, str | None]]) -> list[pa.Array]:
+    """The columns of _SCHEMA; keyframes are never Python objects."""
+    flat = [t for found, _ in files for t in found or ()]
+    spans = np.concatenate([t["keyframes"] for t in flat] or [np.zeros((0, 2), "int64")])
+    each = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(t["keyframes"]) for t in flat)]), pa.int32()), pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(spans[:, i])) for i in (0, 1)], ["offset", "bytes"]))
+    plain = [pa.array([t[k] for t in flat], f[1]) for k, f in zip(("codec", "timescale", "duration", "n", "bytes"), _FIELDS)]
+    all_tracks = pa.StructArray.from_arrays([*plain, each], fields=[pa.field(*f) for f in _FIELDS])
+    edges = np.cumsum([0, *(len(found or ()) for found, _ in files)]).tolist()
+    whole_files = pa.ListArray.from_arrays(pa.array([None if found is None else a for (found, _), a in zip(files, edges)] + edges[-1:], pa.int32()), all_tracks)
+    first = all_tracks.take(pa.array([None if found is None else a for (found, _), a in zip(files, edges)], pa.int64()))
+    return [*first.flatten(), whole_files, pa.array([e for _, e in files], pa.string())]
 
 
 def media_columns(files: DataFrame, content: str = "content") -> DataFrame:
@@ -193,8 +229,9 @@ def media_columns(files: DataFrame, content: str = "content") -> DataFrame:
     @trimmed
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = pa.Table.from_pylist([features(x) for x in strings(batch.column("content"), 16)], _SCHEMA)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *(made[n].combine_chunks() for n in _SCHEMA.names)], ["row", *_SCHEMA.names])
+            for at in range(0, batch.num_rows, 16):
+                part = batch.slice(at, 16)
+                yield pa.RecordBatch.from_arrays([part.column("row"), *_columns([features(x) for x in strings(part.column("content"), 1)])], ["row", *_SCHEMA.names])
 
     bounded_batches(files)
     kind = rows.schema["row"].dataType.simpleString()
@@ -220,11 +257,9 @@ def stored_texts(docs: DataFrame) -> DataFrame:
                 data = text.encode()
                 media = container(data.ljust(max(1, -(-len(data) // SAMPLE)) * SAMPLE, b"\0"))
                 t = tracks(media)[0]
-                ends = np.flatnonzero(t["offsets"][1:] != t["offsets"][:-1] + t["sizes"][:-1]) + 1
-                spans = [(t["offsets"][i], t["offsets"][j - 1] + t["sizes"][j - 1]) for i, j in zip((0, *ends), (*ends, len(t["sizes"])))]
-                back = b"".join(media[a:b] for a, b in spans)
-                keys = t["offsets"][t["keys"]]
-                feature = f"{t['codec']}|{t['duration']}/{t['timescale']}|samples={len(t['sizes'])}|keys={len(keys)}|first={keys[0]}+{t['sizes'][t['keys'][0]]}|last={keys[-1]}+{t['sizes'][t['keys'][-1]]}"
+                back = b"".join(media[a : a + b] for a, b in joined(t["spans"]).tolist())
+                keys = keyframes(t)
+                feature = f"{t['codec']}|{t['duration']}/{t['timescale']}|samples={t['n']}|keys={len(keys)}|first={keys[0, 0]}+{keys[0, 1]}|last={keys[-1, 0]}+{keys[-1, 1]}"
                 for col, v in zip(cols, (len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-SAMPLE:]), len(media), hashlib.sha256(media).hexdigest(), feature)):
                     col.append(v)
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())

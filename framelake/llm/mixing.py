@@ -135,14 +135,20 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     even = units.where("more = 0 or more = rows")
     taken = rows.join(even, same).select("doc", (F.col("each") + (F.col("more") > 0).cast("long")).alias("copies"))
     torn = units.where("more > 0 and more < rows")
-    if torn.head(1):  # some of a unit's rows get one copy more: they are numbered by hash and by the part they lie in
+    if torn.head(1):  # some of a unit's rows get one copy more: those of the smallest hashes, equal rows together
         key = ["doc_id", "source", "size"]
-        part = materialise(rows.join(torn, same).select(*key, "each", "more", "doc", F.pmod(F.xxhash64("doc"), F.lit(64)).alias("lot"), F.spark_partition_id().alias("part")), "torn")
-        counts = part.groupBy(*key, "lot", "part").agg(F.count("*").alias("n"))
-        upto = Window.partitionBy(*key).orderBy("lot", "part").rowsBetween(Window.unboundedPreceding, -1)
-        counts = counts.select(*[F.col(c).alias(f"of_{c}") for c in (*key, "lot", "part")], F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
-        at = part.withColumn("place", F.row_number().over(Window.partitionBy(*key, "lot", "part").orderBy("lot")))
-        on = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in (*key, "lot", "part")]
-        more = (F.col("before") + F.col("place") <= F.col("more")).cast("long")
-        taken = taken.unionByName(at.join(counts, on[0] & on[1] & on[2] & on[3] & on[4]).select("doc", (F.col("each") + more).alias("copies")))
+        alike = rows.join(torn, same).groupBy(*key, "each", "more", "rows", F.xxhash64("doc").alias("toss"), F.xxhash64(F.lit(SEED), "doc").alias("tie")).agg(F.first("doc").alias("doc"), F.count("*").alias("n"))
+        lots = F.ceil(F.col("rows") / BLOCK)
+        alike = materialise(alike.withColumn("lot", F.floor((F.col("toss") / F.lit(2.0**64) + 0.5) * lots)), "torn")
+        counts = alike.groupBy(*key, "lot").agg(F.sum("n").alias("n"))
+        upto = Window.partitionBy(*key).orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.select(*[F.col(c).alias(f"of_{c}") for c in (*key, "lot")], F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+        on = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in (*key, "lot")]
+        within = Window.partitionBy(*key, "lot").orderBy("toss", "tie").rowsBetween(Window.unboundedPreceding, -1)
+        at = alike.withColumn("place", F.coalesce(F.sum("n").over(within), F.lit(0))).join(counts, on[0] & on[1] & on[2] & on[3])
+        more = F.least(F.greatest(F.col("more") - F.col("before") - F.col("place"), F.lit(0)), F.col("n"))
+        parts = at.select("doc", (F.col("each") * F.col("n") + more).alias("copies")).where("copies > 0")
+        parts = parts.select("doc", "copies", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / BLOCK))).alias("piece"))
+        piece = F.least(F.col("copies") - F.col("piece") * BLOCK, F.lit(BLOCK).cast("long"))
+        taken = taken.unionByName(parts.select("doc", piece.alias("copies")).hint("rebalance"))
     return taken.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc.*")

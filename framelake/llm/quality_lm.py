@@ -11,15 +11,15 @@ probabilities. A document's perplexity is that of all its characters, and comes
    backed off to its bigram and to its last character.
 3. The blocks' trigrams are joined to what comes out, and meet the block's rows, which the buckets keep in place.
 
-One trusted text of HOLD_OUT is kept out of training. Limits come from these: since a short text says little, a text is
-judged with PRIOR more characters of the trained text's mean, and kept if the perplexity so drawn to the mean is at most
-its language's QUANTILE over the held-out texts, found exactly by counting in bins. A language with fewer than LEAST of
-them, whose quantile would be one chance text's, has the quantile over all its trusted texts. Some texts that repeat
-well-formed words lie below the limit and pass.
+The model that judges documents is trained on all trusted texts, the limits are cross-fitted: trusted texts are dealt to
+FOLDS folds by a hash of the text, so copies lie in one, and each fold is judged by a model of the others' counts. Since a
+short text says little, a text is judged with PRIOR more characters of the trained text's mean, and kept if the perplexity
+so drawn to the mean is at most its language's QUANTILE over that language's trusted texts, found exactly by counting in
+bins. Some texts that repeat well-formed words lie below the limit and pass.
 
 Defined results: null and empty texts have no perplexity and aren't kept; a language without trusted texts, or a null
-one, has the quantile over all texts that set a limit; where the hash holds out all trusted texts, they train the model
-too; without any trusted text, all but empty texts are kept. A text of any length is read in slices. Equal texts get equal results; extra columns, whatever their names, are ignored by score() and kept by
+one, has the quantile over all trusted texts; where one fold holds all trusted texts, they judge themselves;
+without any trusted text, all but empty texts are kept. A text of any length is read in slices. Equal texts get equal results; extra columns, whatever their names, are ignored by score() and kept by
 kept_documents().
 """
 
@@ -28,6 +28,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +42,8 @@ from framelake.llm.common import bounded_batches, bucketed, labelled, materialis
 
 #: Share of a language's held-out trusted texts that the limit must keep; the rest, 1 %, is what it may reject of them.
 QUANTILE = 0.99
-#: One trusted text of so many is held out from training.
-HOLD_OUT = 5
-#: Held-out texts of a language, below which its other trusted texts help to set its limit.
-LEAST = 100
+#: Parts of the trusted texts, each judged by a model of the others.
+FOLDS = 5
 #: Characters of a block of texts that share a list of trigrams, and of a slice of a text.
 BLOCK_CHARS, SLICE = 4 << 20, 1 << 20
 #: Rows (key, logp) of the corpus' trigrams that may be broadcast (8 MB); more are joined by a shuffle.
@@ -136,8 +136,13 @@ class Model:
 
 def train(trusted: DataFrame) -> Model | None:
     """Probabilities from trusted's column text; None without text."""
+    return model_of(count_trigrams(trusted))
+
+
+def model_of(trigram_counts: DataFrame) -> Model | None:
+    """Probabilities from (key, n) of each trigram; None without any."""
     low, low2 = F.lit(_LOW), F.lit(_LOW2)
-    c3 = materialise(count_trigrams(trusted), "c3")
+    c3 = materialise(trigram_counts, "c3")
     c2 = materialise(c3.groupBy(F.col("key").bitwiseAND(low2).alias("key")).agg(F.count("*").alias("n")), "c2")
     c1 = materialise(c2.groupBy(F.col("key").bitwiseAND(low).alias("key")).agg(F.count("*").alias("n")), "c1")
     letters = c1.count()
@@ -279,15 +284,23 @@ def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> tuple
     """The model and the limits from docs that are labelled quality 1; None without their text."""
     bounded_batches(docs)
     trusted = labelled(docs, labels, "quality", learn_fold=False).where("label = 1 and text != ''")
-    held = F.pmod(F.xxhash64("doc_id"), F.lit(HOLD_OUT)) == 0
-    counts = trusted.groupBy("lang").agg(F.count_if(held).alias("held"), F.count("*").alias("n")).collect()
-    if not counts:
+    trusted = materialise(trusted.select("doc_id", "lang", "text", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).alias("fold")), "trusted")
+    folds = sorted(r[0] for r in trusted.select("fold").distinct().collect())
+    if not folds:
         return None
-    trained, few = sum(r["n"] - r["held"] for r in counts), [r["lang"] for r in counts if r["lang"] is not None and r["held"] < LEAST]
-    model = train(trusted.where(~held) if trained else trusted)
-    judges = trusted if sum(r["held"] for r in counts) < LEAST else trusted.where(held | F.coalesce(F.col("lang").isin(few), F.lit(False)))
-    scored = with_perplexity(judges, model).select("row.lang", judged(model, F.col("perplexity"), F.length("row.text")).alias("judged"))
-    return model, thresholds(scored, quantile)
+    counts = {f: materialise(count_trigrams(trusted.where(F.col("fold") == f)), f"counts{f}") for f in folds}
+
+    def model_without(left_out: int | None) -> Model:
+        rows = [c for f, c in counts.items() if f != left_out] or list(counts.values())
+        return model_of(reduce(DataFrame.unionByName, rows).groupBy("key").agg(F.sum("n").alias("n")))
+
+    def seen(fold: int) -> DataFrame:
+        return with_perplexity(trusted.where(F.col("fold") == fold), model_without(fold))
+
+    with ThreadPool(FOLDS + 1) as pool:  # tables of counts are small beside the texts: their jobs may share the machines
+        model, *each = pool.map(lambda f: model_without(None) if f is None else seen(f), [None, *folds])
+    values = judged(model, F.col("perplexity"), F.length("row.text")).alias("judged")
+    return model, thresholds(reduce(DataFrame.unionByName, each).select("row.lang", values), quantile)
 
 
 def score(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A text's features are its distinct lower-cased words, their beginnings and their ends. How many toxic and other texts
 hold a feature is counted over all labelled training texts, and for all features; those that are clearly more frequent
-in toxic ones are kept, FEATURES at most, the clearest first. A logistic regression on them is fitted on a bounded sample, about SAMPLE
+in toxic ones are kept, all of them. A logistic regression on them is fitted on a bounded sample, about SAMPLE
 texts of each label, those with the smallest hashes, the same in each run. Its loss has, besides a ridge, the squared
 change of a text's logit when each identity term in it is swapped for another of its group, so that the mere mention of
 a group can't carry weight.
@@ -11,7 +11,8 @@ The distinct words of labelled texts are written once; counts and sample are rea
 one set of words.
 
 Defined results: null texts are empty and have the score of a text without features; with no toxic or no other
-training text every score is the toxic share. Repeated rows get equal results; extra columns, whatever their names, are ignored by score()
+training text every score is the toxic share; an id that labels repeat has its smallest label; an empty table gives an
+empty result. Repeated rows get equal results; extra columns, whatever their names, are ignored by score()
 and kept by clean_documents().
 """
 
@@ -20,17 +21,16 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm.common import bounded_batches, fold, labelled, materialise, release, strings, trimmed, whole
 
-FEATURES, SAMPLE, CUT = 1024, 4000, 0.7
+SAMPLE, CUT = 4000, 0.7
 #: Words whose features a task remembers before it starts anew.
 KNOWN = 400_000
 #: Toxic texts that must hold a feature.
@@ -115,30 +115,88 @@ def _counts(rows: DataFrame) -> DataFrame:
 
 
 def clearest(train: DataFrame, n1: int, n0: int) -> list[str]:
-    """The FEATURES clearest of all features of train's n1 toxic and n0 other rows (label, words)."""
+    """All features of train's n1 toxic and n0 other rows (label, words) that are clearly more frequent in toxic ones."""
     rows = _counts(train).where(F.col("n1") >= min(LEAST, n1))
     p1, p0, p = F.col("n1") / n1, F.col("n0") / n0, (F.col("n1") + F.col("n0") + 0.5) / (n1 + n0 + 1)
     rows = rows.withColumn("z", (p1 - p0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)))
-    best = rows.where((F.col("z") >= CLEAR) & (p1 >= 2 * p0)).orderBy(F.desc("z"), "feature").limit(FEATURES)
-    return [r["feature"] for r in best.select("feature", "z").collect()]
+    return sorted(r["feature"] for r in rows.where((F.col("z") >= CLEAR) & (p1 >= 2 * p0)).select("feature").collect())
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, change: np.ndarray, ridge: float = RIDGE, counterfactual: float = COUNTERFACTUAL, rounds: int = 25) -> tuple[np.ndarray, float]:
-    """Newton's method for the logistic loss with a ridge and the mean squared change of logits."""
+class Sparse:
+    """A matrix by its entries (row, column, value)."""
+
+    def __init__(self, rows: np.ndarray, columns: np.ndarray, values: np.ndarray, shape: tuple[int, int]) -> None:
+        self.rows, self.columns, self.values, self.shape = rows, columns, values, shape
+
+    @classmethod
+    def of(cls, lists: Sequence[Sequence[int]], width: int) -> Sparse:
+        """Ones at each row's columns."""
+        lengths = [len(x) for x in lists]
+        columns = np.concatenate([np.asarray(x, "int64") for x in lists]) if lengths else np.zeros(0, "int64")
+        return cls(np.repeat(np.arange(len(lengths)), lengths), columns.astype("int64"), np.ones(len(columns)), (len(lengths), width))
+
+    @classmethod
+    def from_dense(cls, x: np.ndarray | Sparse) -> Sparse:
+        return x if isinstance(x, Sparse) else cls(*np.nonzero(x), x[np.nonzero(x)], x.shape)
+
+    def minus(self, other: Sparse) -> Sparse:
+        both = (np.concatenate((a, b)) for a, b in ((self.rows, other.rows), (self.columns, other.columns), (self.values, -other.values)))
+        return Sparse(*both, self.shape)
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, self.values * v[self.columns], self.shape[0])
+
+    def down(self, v: np.ndarray) -> np.ndarray:
+        """The transposed matrix times v."""
+        return np.bincount(self.columns, self.values * v[self.rows], self.shape[1])
+
+
+def _solved(curve, b: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """The solution of curve(x) = b by conjugate gradients, scale being curve's diagonal."""
+    x, r = np.zeros_like(b), b.copy()
+    z = r / scale
+    d, old = z.copy(), r @ z
+    for _ in range(10 * len(b)):
+        if np.abs(r).max() <= 1e-12 + 1e-9 * np.abs(b).max():
+            break
+        q = curve(d)
+        step = old / (d @ q)
+        x, r = x + step * d, r - step * q
+        z = r / scale
+        new = r @ z
+        d, old = z + (new / old) * d, new
+    return x
+
+
+def fit_weights(x: Sparse | np.ndarray, y: np.ndarray, change: Sparse | np.ndarray, ridge: float = RIDGE, counterfactual: float = COUNTERFACTUAL, rounds: int = 25) -> tuple[np.ndarray, float]:
+    """Newton's method for the logistic loss with a ridge and the mean squared change of logits.
+
+    Steps are solved by conjugate gradients, so memory grows with the entries and not with the square of the features.
+    """
+    x, change = Sparse.from_dense(x), Sparse.from_dense(change)
     n, m = x.shape
-    x1 = np.hstack((x, np.ones((n, 1))))
-    fixed = np.zeros((m + 1, m + 1))
-    fixed[:m, :m] = ridge * np.eye(m) + (2 * counterfactual / max(1, len(change))) * (change.T @ change)
-    w = np.zeros(m + 1)
+    pull, small = 2 * counterfactual / max(1, change.shape[0]), 1e-8
+    squares = np.bincount(change.columns, change.values**2, m)
+    # an entry that is swapped into itself stands twice, with both signs: its square is that of the sum
+    if len(change.rows):
+        cells, at = np.unique(change.rows * m + change.columns, return_inverse=True)
+        squares = np.bincount(cells % m, np.bincount(at, change.values) ** 2, m)
+    w, b = np.zeros(m), 0.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        slope = x1.T @ (p - y) / n + fixed @ w
-        curve = (x1.T * (p * (1 - p) / n)) @ x1 + fixed
-        step = np.linalg.solve(curve + 1e-8 * np.eye(m + 1), slope)
-        w -= step * min(1.0, 5 / max(1e-12, np.abs(step).max()))
+        p = 1 / (1 + np.exp(-np.clip(x.times(w) + b, -30, 30)))
+        slope = np.append(x.down(p - y) / n + ridge * w + pull * change.down(change.times(w)), (p - y).mean())
+        weight = p * (1 - p) / n
+
+        def curve(v: np.ndarray, weight=weight) -> np.ndarray:
+            moved = weight * (x.times(v[:m]) + v[m])
+            return np.append(x.down(moved) + ridge * v[:m] + pull * change.down(change.times(v[:m])), moved.sum()) + small * v
+
+        step = _solved(curve, slope, np.append(x.down(weight) + ridge + pull * squares, weight.sum()) + small)
+        move = step * min(1.0, 5 / max(1e-12, np.abs(step).max()))
+        w, b = w - move[:m], b - move[m]
         if np.abs(step).max() < 1e-4:
             break
-    return w[:m], float(w[m])
+    return w, float(b)
 
 
 def fit(train: DataFrame) -> dict:
@@ -168,25 +226,19 @@ def fit(train: DataFrame) -> dict:
 
     kind = train.schema["doc_id"].dataType.simpleString()
     rows = picked.select("doc_id", "label", "words").mapInArrow(featurise, f"doc_id {kind}, label int, own array<int>, swapped array<int>").orderBy("label", "doc_id").toPandas()
-
-    def matrix(lists: pd.Series) -> np.ndarray:
-        x = np.zeros((len(lists), len(features)))
-        for row, own in zip(x, lists):
-            row[own] = 1
-        return x
-
     changed = rows[rows["swapped"].notna()]
     y = rows["label"].to_numpy("float64")
     if not 0 < y.sum() < len(y):
         return plain
-    weights, intercept = fit_weights(matrix(rows["own"]), y, matrix(changed["own"]) - matrix(changed["swapped"]))
+    of = lambda lists: Sparse.of(list(lists), len(features))
+    weights, intercept = fit_weights(of(rows["own"]), y, of(changed["own"]).minus(of(changed["swapped"])))
     # the sample holds more toxic texts than the corpus
     intercept += math.log(n1 / n0) - math.log(y.sum() / (len(y) - y.sum()))
     return {"features": features, "weights": weights, "intercept": intercept}
 
 
 def score_udf(model: dict):
-    """A column function text -> score from 0 to 1; the model, FEATURES words and weights at most, goes along with it."""
+    """A column function text -> score from 0 to 1; the model, its features and weights, goes along with it."""
 
     @F.arrow_udf("double")
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
