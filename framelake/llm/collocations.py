@@ -152,7 +152,7 @@ def suffixes(max_n: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Tabl
         ids = np.concatenate([np.zeros(1, "int64"), *(unpack(x["names"], "int64") for x in lists_of(names).values())])
         row = state_of(texts)
         seq = unpack(row["places"], "int32")
-        seq[ids[seq] == 0] = 0
+        seq = np.where(ids[seq] == 0, np.int32(0), seq)
         seq = np.concatenate((seq, np.zeros(max_n, "int32")))
         at = np.flatnonzero((seq[: len(seq) - 1] > 0) & (seq[1:] > 0))
         codes, kinds = np.zeros(len(at), "int64"), []

@@ -154,9 +154,9 @@ WITH words AS (
 ), windows AS (
     SELECT row_id, doc_id, i AS start, array_to_string(w[i:i + 19], ' ') AS seq FROM (SELECT *, unnest(range(1, len(w) - 18)) AS i FROM words)
 ), firsts AS (
-    SELECT *, row_number() OVER (PARTITION BY seq ORDER BY doc_id NULLS LAST, start) AS place, rank() OVER (PARTITION BY seq ORDER BY doc_id NULLS LAST, start) AS r FROM windows
+    SELECT *, rank() OVER (PARTITION BY seq ORDER BY doc_id NULLS LAST) AS r, row_number() OVER (PARTITION BY seq, row_id ORDER BY start) AS own FROM windows
 ), covered AS (
-    SELECT DISTINCT row_id, unnest(range(start, start + 20)) AS i FROM firsts WHERE r > 1
+    SELECT DISTINCT row_id, unnest(range(start, start + 20)) AS i FROM firsts WHERE r > 1 OR own > 1
 ), each AS (
     SELECT row_id, doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words
 ), kept AS (

@@ -8,15 +8,14 @@ the corpus and give nothing to what occurs once. Round zero names words.
 How a place is rewritten depends on some neighbours only. Each symbol carries the span of words that decided it; equal
 passages that hold the span hold the same symbol. So a window over the span of a symbol that occurs once occurs once
 itself, and is out. What no living window can hold is a gap, and rounds go on in what is left: the symbols shared by
-repeats. After ROUNDS rounds the windows left are the repeats and a few others; they are verified by 128-bit digests of
-their words, whose first place (smallest doc_id, then smallest start) Spark finds for all blocks at once.
+repeats. After ROUNDS rounds the windows left are the repeats and a few others; they are verified by 96-bit digests of
+their words, whose first document Spark finds for all blocks at once; within a text the first start stays.
 
 Names are exact and no symbol is followed beyond a window's length: a run or a passage of a period that is longer than the
 window has no symbol to name it, and its windows go to the verification.
 
-Defined results: null texts have no words; rows that repeat a doc_id count as one document whose words start anew, so
-equal rows get equal results and don't remove each other's words; null ids come after all others, as one document; texts of
-fewer words than a window keep all; an empty table gives an empty result; extra columns, whatever their names, are
+Defined results: null texts have no words; rows that repeat a doc_id don't remove each other's words, so equal rows get
+equal results; null ids come after all others and are one id; texts of fewer words than a window keep all; an empty table gives an empty result; extra columns, whatever their names, are
 ignored. A text of any length is one document of one block, whose task holds its words once.
 """
 
@@ -38,6 +37,8 @@ from framelake.llm.blocks import BLOCK_CHARS, ROWS, by_bucket, dealt_words, list
 from framelake.llm.common import WORD, bounded_batches, bucketed, materialise, release, strings, trimmed, whole
 
 WINDOW, ROUNDS = 20, 2
+#: Null ids come after all others.
+LAST = (1 << 63) - 1
 #: Words of the corpus for each bucket of names; words that are Python objects at a time, in texts of over LONG bytes.
 PER_BUCKET, CHUNK, LONG = 2 << 20, 1 << 16, 1 << 20
 _WORDS = re.compile(WORD.encode())
@@ -265,22 +266,21 @@ def _words(rows: pa.Table) -> list[bytes]:
     return [w for x in lists_of(rows).values() for w in unsqueeze(x["words"]).split(b" ")]
 
 
-def _lead(place: np.ndarray, doc: np.ndarray, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each window's group of equal digests, and each group's first place; place is start << 1 | (the id is null)."""
-    order, groups = _groups(place >> 1, doc, place & 1, low.view("int64"), high.view("int64"))
+def _lead(doc: np.ndarray, high: np.ndarray, low: np.ndarray, *before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each window's group of equal digests, and each group's row of the smallest document (and before, from the last on)."""
+    order, groups = _groups(*before, doc, low.view("int64"), high.view("int64"))
     return groups, order[np.flatnonzero(np.diff(groups[order], prepend=-1))]
 
 
 def windows(s: Symbols, texts: dict, words: list[bytes], buckets: int) -> tuple[Iterator[tuple[int, dict]], dict]:
-    """A block's windows that may repeat, each once with its first place, by bucket of their digests."""
+    """A block's windows that may repeat, each once with its first document, by bucket of their digests."""
     import xxhash
 
     at = np.flatnonzero(~s.dead)
     counts, places = unpack(texts["n_words"], "int64"), unpack(texts["places"], "int32")
     begins = np.cumsum(counts + 1) - (counts + 1)
     owner = np.searchsorted(begins, at, side="right") - 1
-    doc = np.array([i or 0 for i in texts["doc_ids"]], "int64")[owner]
-    place = ((at - begins[owner]) << 1) | np.array([i is None for i in texts["doc_ids"]], "int64")[owner]
+    doc = np.array([LAST if i is None else i for i in texts["doc_ids"]], "int64")[owner]
     hashed = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), "<u8").reshape(-1, 2)
     flat, digests = at - owner, []  # there is a hole after each document
     for half, by in enumerate(_MULTIPLY):
@@ -288,25 +288,29 @@ def windows(s: Symbols, texts: dict, words: list[bytes], buckets: int) -> tuple[
         for j in range(s.window if len(at) else 0):
             key = key * by + each[flat + j]
         digests.append(mixed(key))
-    groups, lead = _lead(place, doc, *digests)
-    high, low, doc_of, place_of = digests[0][lead], digests[1][lead], doc[lead], place[lead]
+    high, low = digests[0], digests[1] >> np.uint64(32)
+    groups, lead = _lead(doc, high, low)
+    # of a row's equal windows the first stays; rows of one id don't remove each other's
+    order = np.lexsort((at, owner, groups))
+    first = np.zeros(len(at), bool)
+    first[order] = np.concatenate(([True], (np.diff(groups[order]) != 0) | (np.diff(owner[order]) != 0)))[: len(at)]
+    here = first & (doc == doc[lead][groups])
+    high, low, doc = high[lead], low[lead], doc[lead]
     own = (high % np.uint64(buckets)).astype("int32")
     order = np.lexsort((low, high, own))
     back = np.empty(len(order), "int32")
     back[order] = np.arange(len(order), dtype="int32")
-    here = (doc == doc_of[groups]) & (place == place_of[groups])
-    columns = {"left": high, "right": low, "doc": doc_of, "place": place_of}
-    lists = ((k, {c: pack(x[order[i:j]]) for c, x in columns.items()}) for k, i, j in slices(own[order]))
+    high, low, doc = high[order], low[order].astype("u4"), doc[order]
+    lists = ((k, {"steps": pack(np.diff(high[i:j], prepend=np.uint64(0))), "low": pack(low[i:j]), "doc": pack(doc[i:j])}) for k, i, j in slices(own[order]))
     return lists, {"dead": _dead(s), "seq": pack(back[groups]), "here": squeeze(np.packbits(here).tobytes())}
 
 
-def first_places(bucket: int, lists: list[dict]) -> list[dict]:
-    """For each list of a bucket, which of its windows have their first place of all in the list's own."""
-    columns = [[unpack(x[c], k) for x in lists] for c, k in (("left", "uint64"), ("right", "uint64"), ("doc", "int64"), ("place", "int64"))]
-    left, right, doc, place = map(np.concatenate, columns)
-    groups, lead = _lead(place, doc, left, right)
-    same = (doc == doc[lead][groups]) & (place == place[lead][groups])
-    return _answers(list(map(len, columns[0])), same.astype("int64"))
+def first_documents(bucket: int, lists: list[dict]) -> list[dict]:
+    """For each list of a bucket, which of its windows have their first document of all in the list's own."""
+    high = [np.cumsum(unpack(x["steps"], "uint64"), dtype="uint64") for x in lists]
+    low, doc = (np.concatenate([unpack(x[c], k) for x in lists]) for c, k in (("low", "u4"), ("doc", "int64")))
+    groups, lead = _lead(doc, np.concatenate(high), low.astype("uint64"))
+    return _answers(list(map(len, high)), (doc == doc[lead][groups]).astype("int64"))
 
 
 def removed_words(texts: dict, words: list[bytes], seen: dict, firsts: np.ndarray, window: int) -> pa.Table:
@@ -378,6 +382,6 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
         return out
 
     seen = materialise(made(answers, None if state is None else state.where(own), texts, verify), "windows")
-    firsts = by_bucket(seen, buckets, first_places)
+    firsts = by_bucket(seen, buckets, first_documents)
     out = "doc_id long, n_words long, n_removed long, removed array<struct<start: long, end: long>>, kept string"
     return made(firsts, seen.where(own), texts, lambda _, names, before, rows: removed_words(state_of(rows), _words(rows), before, names, window), out)

@@ -65,10 +65,15 @@ def _blocks(width: int):
 
 
 def nearest_two(parts: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The nearest entry of each part (the first of several), its squared distance, and that of the next one."""
+    """The nearest entry of each part (the first of several), its squared distance, and that of the next one.
+
+    Floats hold whole numbers that stay below 2^53 in all that is done here, so their distances are exact too.
+    """
     code, least, second = (np.zeros(len(parts), t) for t in ("int64", parts.dtype, parts.dtype))
+    size = (entries**2).sum(axis=1)
     for i in range(0, len(parts), CHUNK):
-        away = ((parts[i : i + CHUNK, None, :] - entries[None]) ** 2).sum(axis=2)
+        part = parts[i : i + CHUNK]
+        away = (part**2).sum(axis=1)[:, None] - 2 * (part @ entries.T) + size
         own, rows = away.argmin(axis=1), np.arange(len(away))
         code[i : i + CHUNK], least[i : i + CHUNK] = own, away[rows, own]
         away[rows, own] = away.max(axis=1) + 1
@@ -76,6 +81,16 @@ def nearest_two(parts: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.
     return code, least, second
 
 
+def _sums(code: np.ndarray, parts: np.ndarray, entries: int) -> np.ndarray:
+    """For each entry the sums of its parts' components, and how many they are."""
+    each = np.concatenate((parts, np.ones((len(parts), 1), parts.dtype)), axis=1)
+    if parts.dtype == np.float64:
+        return np.stack([np.bincount(code, c, entries) for c in each.T], axis=1).astype("int64")
+    out = np.zeros((entries, each.shape[1]), parts.dtype)
+    np.add.at(out, code, each)
+    return out
+
+
 def _roots(squares: np.ndarray) -> np.ndarray:
     return np.sqrt(squares.astype("float64"))
 
@@ -110,8 +125,15 @@ class Heaps:
     def push(self, rows: list[int], code: np.ndarray, least: np.ndarray, second: np.ndarray, drift: list[float]) -> None:
         near, far = _roots(least), _roots(second)
         slack = (far - near - 1e-12 * (far + near)).tolist()
+        fresh = not any(self.heaps)
         for row, entry, key in zip(rows, code.tolist(), slack):
-            heapq.heappush(self.heaps[entry], (key + drift[entry], row))
+            if fresh:
+                self.heaps[entry].append((key + drift[entry], row))
+            else:
+                heapq.heappush(self.heaps[entry], (key + drift[entry], row))
+        if fresh:
+            for heap in self.heaps:
+                heapq.heapify(heap)
 
 
 def _assigned(books: list[np.ndarray], drift: list[list[float]], width: int, kind: str, last: bool):
@@ -135,9 +157,9 @@ def _assigned(books: list[np.ndarray], drift: list[list[float]], width: int, kin
                     heap.push(rows, code, least, second, drift[p])
                     moved = np.array(rows, "int64") if first else np.array(rows, "int64")[code != codes[rows, p]]
                     if not first:
-                        np.subtract.at(sums[p], codes[moved, p], np.concatenate((here[moved], np.ones((len(moved), 1), kind)), axis=1))
+                        sums[p] -= _sums(codes[moved, p], here[moved], entries)
                     codes[rows, p] = code
-                    np.add.at(sums[p], codes[moved, p], np.concatenate((here[moved], np.ones((len(moved), 1), kind)), axis=1))
+                    sums[p] += _sums(codes[moved, p], here[moved], entries)
                     if last:
                         errors += ((here - books[p][codes[:, p]]) ** 2).sum(axis=1)
                     else:
@@ -145,7 +167,7 @@ def _assigned(books: list[np.ndarray], drift: list[list[float]], width: int, kin
                 flat = sums.ravel()
                 at = np.flatnonzero(flat != 0)
                 out = {c: row[c] for c in ("block", "n", "vec_ids", "labels")} | {"codes": codes.tobytes()}
-                out |= {"errors": errors.tolist()} if last else {"vectors": row["vectors"], "heaps": heaps, "sums": [{"at": int(i), "value": str(flat[i])} for i in at]}
+                out |= {"errors": [int(x) for x in errors.tolist()]} if last else {"vectors": row["vectors"], "heaps": heaps, "sums": [{"at": int(i), "value": str(flat[i])} for i in at]}
                 yield pa.RecordBatch.from_pylist([out], schema)
 
     return run
@@ -163,7 +185,8 @@ def encode(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, round
     first = rows.orderBy(F.asc_nulls_last("vec_id"), "v").limit(entries).select("v").collect()
     width = max(-(-(longest or 0) // parts) * parts, parts)
     wide = width // parts
-    kind = "int64" if (most or 0) <= SAFE and wide * (2 * SAFE) ** 2 < 2**62 else "object"
+    reach = (2 * (most or 0)) ** 2 * wide
+    kind = "object" if (most or 0) > SAFE or reach >= 2**62 else "float64" if reach * max(parts, BLOCK) < 2**53 else "int64"
     start = np.array([list(r.v) + [0] * (width - len(r.v)) for r in first], kind).reshape(len(first), width)
     books = [start[:, p * wide : (p + 1) * wide] for p in range(parts)]
     drift, total = [[0.0] * len(first) for _ in range(parts)], np.zeros((parts, len(first), wide + 1), object)
@@ -199,7 +222,7 @@ def encode(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, round
 
 def codebook_digest(books: list[np.ndarray]) -> str:
     """The digest of all entries' components by part, entry and place."""
-    return hashlib.sha256(",".join(str(x) for b in books for x in b.ravel().tolist()).encode()).hexdigest()
+    return hashlib.sha256(",".join(str(int(x)) for b in books for x in b.ravel().tolist()).encode()).hexdigest()
 
 
 def coded_embeddings(embeddings: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS) -> DataFrame:
