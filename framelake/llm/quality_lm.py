@@ -29,7 +29,6 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
@@ -294,13 +293,13 @@ def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> tuple
         rows = [c for f, c in counts.items() if f != left_out] or list(counts.values())
         return model_of(reduce(DataFrame.unionByName, rows).groupBy("key").agg(F.sum("n").alias("n")))
 
+    model = model_without(None)
+
     def seen(fold: int) -> DataFrame:
-        return with_perplexity(trusted.where(F.col("fold") == fold), model_without(fold))
+        scored = with_perplexity(trusted.where(F.col("fold") == fold), model_without(fold))
+        return materialise(scored.select("row.lang", judged(model, F.col("perplexity"), F.length("row.text")).alias("judged")), f"judged{fold}")
 
-    with ThreadPool(FOLDS + 1) as pool:  # tables of counts are small beside the texts: their jobs may share the machines
-        model, *each = pool.map(lambda f: model_without(None) if f is None else seen(f), [None, *folds])
-    values = judged(model, F.col("perplexity"), F.length("row.text")).alias("judged")
-    return model, thresholds(reduce(DataFrame.unionByName, each).select("row.lang", values), quantile)
+    return model, thresholds(reduce(DataFrame.unionByName, [seen(f) for f in folds]), quantile)
 
 
 def score(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
