@@ -12,6 +12,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
+#: Bytes of a fold's results that leave a task together.
+SENT = 16 << 20
+
+
 def _upto(key: str, order: Sequence[str]) -> Window:
     return Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
 
@@ -56,8 +60,8 @@ def best_so_far(df: DataFrame, key: str, order: Sequence[str], value: str) -> Da
 def fold(df: DataFrame, key: str, order: Sequence[str], step: Callable[[object, pd.Series], tuple[object, tuple]], names: Sequence[str], schema: str) -> DataFrame:
     """A sequential fold per key: step(state, row) -> (state, values of names); state is None at a key's first row.
 
-    Keys are dealt to tasks and rows sorted by Spark; a task streams through its rows and holds one state, so a key of
-    any length needs no more memory than a short one.
+    Keys are dealt to tasks and rows sorted by Spark; a task streams through its rows, holds one state and sends on SENT
+    bytes of results, so a key of any length needs no more memory than a short one.
     """
 
     # the window deals and sorts the rows, and says where a key, null or not, begins
@@ -68,12 +72,22 @@ def fold(df: DataFrame, key: str, order: Sequence[str], step: Callable[[object,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = None
         for batch in batches:
-            out = []
-            for row in batch.to_pandas(integer_object_nulls=True).itertuples(index=False):
+            out, held, begun = [], 0, 0
+
+            def made_of(end: int, batch=batch) -> pa.RecordBatch:
+                rows = batch.slice(begun, end - begun)
+                columns = [pa.array([v[i] for v in out], k.type) for i, k in enumerate(kinds)]
+                return pa.RecordBatch.from_arrays([*rows.columns[:-1], *columns], [*batch.schema.names[:-1], *names])
+
+            for at, row in enumerate(batch.to_pandas(integer_object_nulls=True).itertuples(index=False)):
                 state, values = step(None if row[-1] else state, row)
                 out.append(values)
-            columns = [pa.array([v[i] for v in out], k.type) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], *names])
+                held += sum(len(v) for v in values if isinstance(v, bytes))
+                if held > SENT:
+                    yield made_of(at + 1)
+                    out, held, begun = [], 0, at + 1
+            if out:
+                yield made_of(batch.num_rows)
 
     return df.select(*df.columns, first.alias("_first")).mapInArrow(run, StructType([*df.schema.fields, *made.fields]))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.operators import geometry, tiles
+from framelake.operators import geometry, paste, tiles
 from framelake.plans.registry import query, r6, table
 
 WIDE, TALL, SIDE = 40, 24, 16
@@ -138,3 +138,36 @@ SELECT k.img, id, "left", top, string_agg(printf('%02X', CAST(coalesce(v, 0) AS
 def tile_patches(spark: SparkSession, d: str) -> DataFrame:
     """5 x 5 places around keypoints, moved inside the image."""
     return tiles.patches(photos(spark, d), _points(spark, d), 5, SIDE).select("img", "id", "left", "top", F.hex("patch").alias("patch"))
+
+
+def _grid(spark: SparkSession, d: str) -> DataFrame:
+    """photo_cells() with all places of each image, 0 where it has none."""
+    sizes = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("img")).distinct()
+    places = sizes.select("img", F.explode(F.sequence(F.lit(0), F.lit(WIDE - 1))).alias("x")).select("*", F.explode(F.sequence(F.lit(0), F.lit(TALL - 1))).alias("y"))
+    cells = places.join(photo_cells(spark, d), ["img", "x", "y"], "left")
+    return cells.select("img", "x", "y", *[F.coalesce(c, F.lit(0)).alias(c) for c in "rgb"])
+
+
+_ALL = f"""every AS (SELECT s.img, x, y FROM sizes s, (SELECT unnest(range({WIDE})) AS x), (SELECT unnest(range({TALL})) AS y)),
+whole AS (SELECT e.img, e.x, e.y, coalesce(r, 0) AS r, coalesce((r * 3 + c.x) % 256, 0) AS g, coalesce(255 - r, 0) AS b FROM every e LEFT JOIN cells c ON c.img = e.img AND c.x = e.x AND c.y = e.y)"""
+_BY, _STEPS = 3, 4
+
+
+@query(f"""WITH {PHOTOS}, {_ALL},
+canvas AS (SELECT img, x, y, r, g, x < 22 + img % 5 AS painted, x BETWEEN 6 + img % 4 AND 36 AND y BETWEEN 3 AND 20 + img % 3 AND NOT (x BETWEEN 15 AND 19 AND y BETWEEN 8 AND 12) AS region FROM whole),
+block AS (SELECT img, x // {_BY} AS bx, y // {_BY} AS cy, avg(CASE WHEN region THEN 0 ELSE 1 END) > 0.3 AS set FROM canvas WHERE x < {WIDE // _BY * _BY} AND y < {TALL // _BY * _BY} GROUP BY 1, 2, 3),
+near AS (SELECT a.img, a.bx, a.cy, min(greatest(abs(a.bx - s.bx), abs(a.cy - s.cy))) AS d FROM block a LEFT JOIN block s ON s.img = a.img AND s.set GROUP BY 1, 2, 3),
+small AS (SELECT img, bx, cy, least(1.0::DOUBLE, greatest(0.0::DOUBLE, ({_STEPS} - greatest(d, 1) + 1) / {_STEPS}.0::DOUBLE)) AS ramp FROM near),
+spot AS (SELECT *, greatest(0, least((x + 0.5) * {WIDE // _BY} / {WIDE}.0::DOUBLE - 0.5, {WIDE // _BY - 1})) AS u, greatest(0, least((y + 0.5) * {TALL // _BY} / {TALL}.0::DOUBLE - 0.5, {TALL // _BY - 1})) AS w FROM canvas),
+corner AS (SELECT *, floor(u) + i AS sx, floor(w) + j AS sy, abs(1 - i - (u - floor(u))) * abs(1 - j - (w - floor(w))) AS weight FROM spot, {_CORNERS}),
+ramped AS (SELECT c.img, c.x, c.y, any_value(r) AS r, any_value(g) AS g, any_value(painted) AS painted, any_value(region) AS region, sum(weight * coalesce(s.ramp, 0)) AS ramp FROM corner c LEFT JOIN small s ON s.img = c.img AND s.bx = c.sx AND s.cy = c.sy GROUP BY 1, 2, 3),
+alpha AS (SELECT *, CASE WHEN region THEN least(1, greatest(0, 1 - ramp)) ELSE 0 END AS alpha, CASE WHEN region AND NOT painted THEN g ELSE r END AS base FROM ramped)
+SELECT img, x, y, round(alpha, 6) AS alpha, round(base * (1 - alpha) + g * alpha, 5) AS v FROM alpha WHERE region
+""")
+def feathered_paste(spark: SparkSession, d: str) -> DataFrame:
+    """One channel pasted over another where a mask says so, weighted by the ramp that the mask's edge makes."""
+    x, y, k = F.col("x"), F.col("y"), F.col("img")
+    region = x.between(6 + k % 4, 36) & y.between(3, 20 + k % 3) & ~(x.between(15, 19) & y.between(8, 12))
+    cells = _grid(spark, d).select("img", "x", "y", F.col("r").alias("canvas"), (x < 22 + k % 5).alias("painted"), F.col("g").alias("new"), region.alias("region"))
+    done = paste.feathered_cells(cells, _BY * _STEPS, _BY).where("region")
+    return done.select("img", "x", "y", r6(F.col("alpha")).alias("alpha"), F.round("v", 5).alias("v"))

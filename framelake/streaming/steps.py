@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from framelake.functions.models import Model, stub_segmenter
-from framelake.operators import geometry, joins, keypoints
+from framelake.operators import geometry, joins, keypoints, paste
 from framelake.operators.raster import warped
 from framelake.operators.sequence import fold
 
@@ -39,7 +39,11 @@ UNITY = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)
 
 @dataclass(frozen=True)
 class StepConfig:
-    """Defaults of the step: blur below which a frame stays out of the base canvas, bounds of the transform, policies."""
+    """Defaults of the step: blur below which a frame stays out of the base canvas, bounds of the transform, policies.
+
+    feather is the length of the pasted frame's ramp in pixels, None for a constant alpha; trim the rim that the base canvas
+    doesn't take.
+    """
 
     blur: float = 30.0
     most_shear: float = 15.0
@@ -49,10 +53,14 @@ class StepConfig:
     reorient: str = "drift"
     canvas_scale: int = 3
     alpha: float = 0.5
+    feather: int | None = None
+    trim: int = 0
 
 
-#: The whole-canvas step, its tracking form, its exported form, and the one over class maps.
-STITCHER, TRACKER, EXPORTED = StepConfig(on_failure="restart"), StepConfig(on_failure="keep", reorient="always"), StepConfig()
+#: The whole-canvas step, its tracking form, its exported form, and the one over class maps, which doesn't blend.
+STITCHER = StepConfig(on_failure="restart", feather=paste.RADIUS, trim=paste.TRIM)
+TRACKER = StepConfig(on_failure="keep", reorient="always", feather=paste.RADIUS, trim=paste.TRIM)
+EXPORTED = StepConfig(feather=paste.RADIUS, trim=paste.TRIM)
 PREDICTIONS = StepConfig(on_failure="restart", reorient="never", alpha=1.0)
 
 
@@ -134,19 +142,24 @@ class Canvas:
     def copy(self) -> Canvas:
         return Canvas(self.h, self.w, self.scale, (self.values.copy(), self.painted.copy()))
 
-    def paste(self, image: np.ndarray, h: np.ndarray, alpha: float, *, only_new: bool, mode: str = "nearest") -> None:
-        """The frame under h: alpha of it where something is painted already (nothing with only_new), all of it elsewhere."""
+    def pasted(self, image: np.ndarray, h: np.ndarray, occluded: np.ndarray, blurred: bool, config: StepConfig) -> Canvas:
+        """Pastes the frame under h, and returns the canvas with all of the frame in it, rim included, as its model sees it."""
         m, (ch, cw) = self.place @ h, self.values.shape
-        there = warped(np.ones(image.shape), m, cw, ch)
-        if there is None:
-            return
-        there, new = there > 0, warped(image.astype(float), m, cw, ch, mode)
-        over = there & self.painted
-        if not only_new:
-            self.values[over] = (1 - alpha) * self.values[over] + alpha * new[over]
-        fresh = there & ~self.painted
-        self.values[fresh] = new[fresh]
-        self.painted |= there
+        covered = paste.regions(occluded, m, cw, ch, config.trim)
+        if covered is None:
+            return self.copy()
+        new = warped(np.where(occluded, 0, image).astype(float), m, cw, ch)
+        alpha = config.alpha if config.feather is None else paste.weight(covered[0], config.feather)
+        if config.feather is None:  # the frame's own canvas blends as well
+            known = self.painted
+            mixed = np.where(covered[1], paste.feathered(self.values, known, new, covered[1] if not blurred else covered[1] & ~known, alpha), self.values)
+            own = Canvas(self.h, self.w, self.scale, (mixed, known | covered[1]))
+            if not blurred:
+                self.values, self.painted = paste.feathered(self.values, known, new, covered[0], alpha), known | covered[0]
+            return own
+        base, known, shown, seen = paste.pasted(self.values, self.painted, new, *covered, blurred, alpha, not self.painted.any())
+        self.values, self.painted = base, known
+        return Canvas(self.h, self.w, self.scale, (shown.copy(), seen.copy()))
 
     def turn(self, h: np.ndarray) -> None:
         """Moves what is painted so that a frame that lay under h lies in the middle, straight."""
@@ -157,13 +170,21 @@ class Canvas:
             self.values, self.painted = warped(self.values, m, cw, ch), warped(self.painted.astype(float), m, cw, ch) > 0
 
 
+def occlusion(row, h: int, w: int) -> np.ndarray:
+    """A row's column occluded, h x w bytes, as a mask; nothing is occluded without it."""
+    data = getattr(row, "occluded", None)
+    return np.zeros((h, w), bool) if data is None else np.frombuffer(data, "u1").reshape(h, w) > 0
+
+
 def canvases(frames: DataFrame, config: StepConfig = StepConfig()) -> DataFrame:
-    """frames (INPUT and pixels, h x w bytes) with OUTPUT, canvas_h, canvas_w, canvas and painted, a byte a place each.
+    """frames (INPUT, pixels and maybe occluded, h x w bytes) with OUTPUT, canvas_h, canvas_w, canvas and painted, a byte a place each.
 
-    The canvas of a row has its frame in it, and the coordinates that its transform leads to.
+    The canvas of a row has its frame in it, and the coordinates that its transform leads to; occluded places of a frame are
+    never pasted.
     """
     names = [*_OUT, "canvas_h", "canvas_w", "canvas", "painted"]
-    rows = frames.select("video", "frame_id", "h", "w", "blur", *[F.col(n).alias(f"_{n}") for n in NAMES], "pixels")
+    masked = ["occluded"] if "occluded" in frames.columns else []
+    rows = frames.select("video", "frame_id", "h", "w", "blur", *[F.col(n).alias(f"_{n}") for n in NAMES], "pixels", *masked)
 
     def run(state: tuple | None, row) -> tuple[tuple, tuple]:
         held, base = state or (None, None)
@@ -172,11 +193,8 @@ def canvases(frames: DataFrame, config: StepConfig = StepConfig()) -> DataFrame:
         if base is None or new[1] != held[1]:
             base = Canvas(int(row.h), int(row.w), config.canvas_scale)
         image = np.frombuffer(row.pixels, "u1").reshape(int(row.h), int(row.w))
-        own = base.copy()
-        own.paste(image, h, config.alpha, only_new=not sharp)
+        own = base.pasted(image, h, occlusion(row, *image.shape), not sharp, config)
         packed = (*own.values.shape, np.rint(own.values).clip(0, 255).astype("u1").tobytes(), (own.painted * np.uint8(255)).tobytes())
-        if sharp:
-            base = own
         if turned:
             base.turn(h)
         return (new, base), (*out, *packed)
