@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelake.operators.selection import lower_median
+
 NAMES = tuple(f"h{i}{j}" for i in range(3) for j in range(3))
 
 
@@ -252,7 +254,9 @@ def unit_transform(m: Sequence[Sequence[Column]], src_w: int, src_h: int, dst_w:
 
 def camera_shift(flow: DataFrame, key: str, least_share: float = 0.3) -> DataFrame:
     """(key, sx, sy): lower medians of the valid flow (dx, dy, valid); 0 where too few vectors are valid."""
-    med = lambda c: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c}) FILTER (WHERE valid)")
-    by = flow.groupBy(key).agg(F.avg(F.col("valid").cast("int")).alias("share"), med("dx").alias("sx"), med("dy").alias("sy"))
+    valid = flow.where("valid")
+    by = flow.groupBy(key).agg(F.avg(F.col("valid").cast("int")).alias("share"))
+    for c, name in (("dx", "sx"), ("dy", "sy")):
+        by = by.join(lower_median(valid, c, key, name=name), key, "left")
     ok = F.col("share") >= least_share
     return by.select(key, F.when(ok, F.col("sx")).otherwise(0.0).alias("sx"), F.when(ok, F.col("sy")).otherwise(0.0).alias("sy"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.operators.raster import ground_distance, warp_labels
+from framelake.operators.selection import lower_median, percentiles
 
 EPS = 1e-6
 
@@ -122,45 +123,16 @@ def robust_flags(df: DataFrame, key: str, value: str, factor: float = 3.0) -> Da
 
     motion: |v - median| > avg(|v - median|) + factor * stddev_samp of it; mad: value > median + 50 (MAD + 1e-6).
     """
-    med = df.groupBy(key).agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value})").alias("med"))
-    away = df.join(med, key).withColumn("away", F.abs(F.col(value) - F.col("med")))
-    stats = away.groupBy(key).agg(F.avg("away").alias("mean"), F.stddev_samp("away").alias("sd"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY away)").alias("mad"))
+    away = df.join(lower_median(df, value, key), key).withColumn("away", F.abs(F.col(value) - F.col("med")))
+    stats = away.groupBy(key).agg(F.avg("away").alias("mean"), F.stddev_samp("away").alias("sd")).join(lower_median(away, "away", key, name="mad"), key)
     rows = away.join(stats, key)
     return rows.withColumn("motion", F.coalesce(F.col("away") > F.col("mean") + factor * F.col("sd"), F.lit(False))).withColumn("outlier", F.col(value) > F.col("med") + 50 * (F.col("mad") + 1e-6))
 
 
-def percentiles(df: DataFrame, value: str, shares: Sequence[float], *keys: str, bins: int = 1024) -> DataFrame:
-    """(keys, q): the interpolated percentiles of value, exact, as an array.
-
-    Values are counted in bins between a key's extremes; only the bins that hold a wanted rank are ranked one by one, so
-    no task holds a key's values. Nulls don't count.
-    """
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
-    sides = rows.groupBy(*keys).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
-    at = F.least(F.floor(F.coalesce(F.try_divide(F.col("v") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0)) * bins), F.lit(bins - 1))
-    binned = rows.join(sides, list(keys)).withColumn("bin", at)
-    counts = binned.groupBy(*keys, "bin", "n").agg(F.count("*").alias("own"))
-    upto = F.sum("own").over(Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
-    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(F.lit(p) * (F.col("n") - 1)), F.ceil(F.lit(p) * (F.col("n") - 1))) for p in shares])))
-    counts = counts.withColumn("upto", upto).withColumn("wanted", F.filter(ranks, lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("own")))).where(F.size("wanted") > 0)
-    inside = binned.join(counts.select(*keys, "bin", (F.col("upto") - F.col("own")).alias("before"), "wanted"), [*keys, "bin"])
-    place = F.col("before") + F.row_number().over(Window.partitionBy(*keys, "bin").orderBy("v")) - 1
-    picked = inside.withColumn("place", place).where(F.array_contains("wanted", F.col("place")))
-    by = picked.groupBy(*keys).agg(F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("place", "v"))).alias("m"))
-    value_at = lambda c: F.try_element_at(F.col("m"), c.cast("bigint"))
-
-    def q(p: float) -> Column:
-        exact = F.lit(p) * (F.col("n") - 1)
-        low, high = value_at(F.floor(exact)), value_at(F.ceil(exact))
-        return F.when(F.floor(exact) == F.ceil(exact), low).otherwise(low * (F.ceil(exact) - exact) + high * (exact - F.floor(exact)))
-
-    return by.select(*keys, F.array(*[q(p) for p in shares]).alias("q"))
-
-
 def latency_summary(df: DataFrame, ms: str, *keys: str) -> DataFrame:
     """Mean, population deviation, extremes, interpolated percentiles, and frames a second of mean and p95."""
     by = df.groupBy(*keys).agg(F.count(ms).alias("n"), F.round(F.avg(ms), 3).alias("mean"), F.round(F.stddev_pop(ms), 3).alias("std"), F.min(ms).alias("least"), F.max(ms).alias("most"), F.avg(ms).alias("exact"))
-    out = by.join(percentiles(df, ms, (0.5, 0.9, 0.95, 0.99), *keys), list(keys), "left")
+    out = by.join(percentiles(df, ms, (0.5, 0.9, 0.95, 0.99), *keys).drop("n"), list(keys), "left")
     named = [F.round(F.col("q")[i], 3).alias(f"p{p}") for i, p in enumerate((50, 90, 95, 99))]
     fps = lambda x: F.round(F.coalesce(F.try_divide(F.lit(1000.0), x), F.lit(0.0)), 3)
     return out.select(*keys, "n", "mean", "std", "least", "most", *named, fps(F.col("exact")).alias("fps_mean"), fps(F.col("q")[2]).alias("fps_p95"))

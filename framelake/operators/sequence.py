@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+
+from framelake.sources.scratch import materialise
 
 
 #: Bytes of a fold's results that leave a task together.
@@ -92,6 +96,55 @@ def fold(df: DataFrame, key: str, order: Sequence[str], step: Callable[[object,
     return df.select(*df.columns, first.alias("_first")).mapInArrow(run, StructType([*df.schema.fields, *made.fields]))
 
 
+def scan(df: DataFrame, key: str, order: Sequence[str], step: Callable[[tuple | None, object], tuple], combine: Callable[[tuple, tuple], tuple], names: Sequence[str], schema: str) -> DataFrame:
+    """Prefixes of an associative operation per key, df with the columns names: a long key is spread over many tasks.
+
+    step(state, row) adds a row to what is so far, None at first; combine(a, b) adds what b was added up to, from None on,
+    to a. A state may carry a flag of its own for what starts anew, which combine heeds. Rows are dealt by ranges of key and
+    order, so that a task has a stretch of them; each task makes the prefixes of its stretches, a fold over the few last
+    ones of each key says what came before each stretch, and those are combined with its rows. order is unique in a key.
+    """
+    made, own_columns = StructType.fromDDL(schema), list(df.columns)
+    kinds = to_arrow_schema(made)
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, last, place, part = None, object(), 0, TaskContext.get().partitionId()
+        for batch in batches:
+            keys, out = batch.column(key).to_pylist(), []
+            for k, row in zip(keys, batch.to_pandas(integer_object_nulls=True).itertuples(index=False)):
+                if not (k == last or (k != k and last != last)):
+                    state, last = None, k
+                state = step(state, row)
+                out.append(state)
+            columns = [pa.array([v[i] for v in out], k.type) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns, pa.array([part] * len(out), pa.int32()), pa.array(np.arange(place, place + len(out)))], [*batch.schema.names, *names, "_part", "_place"])
+            place += len(out)
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, key, *order).sortWithinPartitions(key, *order)
+    rows = materialise(dealt.mapInArrow(local, StructType([*df.schema.fields, *made.fields, StructField("_part", IntegerType()), StructField("_place", LongType())])), "stretches")
+    ends = rows.groupBy(key, "_part").agg(F.max_by(F.struct(*names), "_place").alias("_end"), F.count("*").alias("_n"))
+    several = F.count("*").over(Window.partitionBy(key)) > 1
+    ends = ends.withColumn("_several", several).where("_several").select(F.col(key).alias("_key"), F.col("_part").alias("_of"), *[F.col(f"_end.{n}").alias(n) for n in names])
+    before = [f"_{n}" for n in names]
+
+    def carry(state: tuple | None, row) -> tuple[tuple, tuple]:
+        own = tuple(row[2 : 2 + len(names)])
+        return (own if state is None else combine(state, own)), (tuple([None] * len(names)) if state is None else state) + (state is not None,)
+
+    # a row for each stretch of a key that several tasks share: as many as tasks, and as many again at most
+    carried = fold(ends, "_key", ["_of"], carry, [*before, "_carried"], ", ".join(f"_{f.name} {f.dataType.simpleString()}" for f in made) + ", _carried boolean").where("_carried").drop(*names, "_carried")
+    both = rows.join(F.broadcast(carried), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_of")), "left").select(*df.columns, *names, *before, F.col("_of").isNotNull().alias("_carried"))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, held = (list(zip(*(batch.column(c).to_pylist() for c in cs))) for cs in (names, before))
+            out = [combine(h, o) if c else o for o, h, c in zip(own, held, batch.column("_carried").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own_columns), *(pa.array([v[i] for v in out], k.type) for i, k in enumerate(kinds))], [*own_columns, *names])
+
+    return both.mapInArrow(add, StructType([*df.schema.fields, *made.fields]))
+
+
 def smooth_box(last: tuple | None, new: tuple, most: int = 20, share: float = 0.3, least_area: float = 0.6) -> tuple:
     """A box (x1, y1, x2, y2) after the last one: clamped to it by most, blended, and refused if it shrinks too far."""
     if last is None:

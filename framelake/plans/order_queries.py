@@ -195,15 +195,13 @@ WITH RECURSIVE e AS (SELECT user_id, event_id, ((event_id % 11) - 5) / 50 AS a,
     UNION ALL SELECT e.user_id, e.event_id, e.rn, f.c - f.s * e.a, f.c * e.a + f.s, f.c * e.t + f.x, f.s * e.t + f.y FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1
 ) SELECT event_id, round(c, 6) + 0.0 AS c, round(s, 6) + 0.0 AS s, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM f""".replace("1 AS c", "1.0::DOUBLE AS c").replace("f.c - f.s * e.a, f.c * e.a + f.s", "f.c - f.s * e.a, f.s + f.c * e.a"))
 def prefix_matrix_product(spark: SparkSession, d: str) -> DataFrame:
-    """Accumulated transforms H <- H S with S = [[1, -a, t], [a, 1, 0], [0, 0, 1]], one state a key."""
+    """Accumulated transforms H <- H S with S = [[1, -a, t], [a, 1, 0], [0, 0, 1]], by stretches of each user's events."""
     rows = table(spark, d, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), (((F.col("event_id") % 11) - 5) / 50).alias("a"), (F.col("value") / 10).alias("t"))
 
-    def step(h, r):
-        c, s, x, y = h or (1.0, 0.0, 0.0, 0.0)
-        h = (c - s * r.a, s + c * r.a, c * r.t + x, s * r.t + y)
-        return h, h
+    def combine(h, s):
+        return (h[0] * s[0] - h[1] * s[1], h[1] * s[0] + h[0] * s[1], h[0] * s[2] - h[1] * s[3] + h[2], h[1] * s[2] + h[0] * s[3] + h[3])
 
-    out = sequence.fold(rows, "user_id", ["us", "event_id"], step, ["c", "s", "x", "y"], "c double, s double, x double, y double")
+    out = sequence.scan(rows, "user_id", ["us", "event_id"], lambda h, r: combine(h or (1.0, 0.0, 0.0, 0.0), (1.0, r.a, r.t, 0.0)), combine, ["c", "s", "x", "y"], "c double, s double, x double, y double")
     return out.select("event_id", *[(r6(F.col(n)) + 0.0).alias(n) for n in ("c", "s", "x", "y")])
 
 
