@@ -113,14 +113,38 @@ def square_distance(seeds: np.ndarray, most: int) -> np.ndarray:
 
 
 def plain_distance(ground: np.ndarray) -> np.ndarray:
-    """Exact Euclidean distance to the nearest place of ground, infinite if there is none: by columns, then by rows."""
+    """Exact Euclidean distance to the nearest place of ground, infinite if there is none.
+
+    First along the columns, then each row as the lower envelope of the parabolas that its places stand for: the time is in
+    proportion to the places. All rows go over their columns together.
+    """
     h, w = ground.shape
     rows = np.arange(h)[:, None]
     above = np.maximum.accumulate(np.where(ground, rows, -np.inf), axis=0)
     below = np.minimum.accumulate(np.where(ground, rows, np.inf)[::-1], axis=0)[::-1]
     tall = np.minimum(rows - above, below - rows) ** 2
-    across = (np.arange(w)[:, None] - np.arange(w)) ** 2
-    return np.sqrt(np.stack([(across + line).min(axis=1) for line in tall]))
+    apex, begin, top = np.zeros((h, w), "int64"), np.full((h, w + 1), np.inf), np.full(h, -1)
+    for q in range(w):
+        left, start = np.flatnonzero(np.isfinite(tall[:, q])), np.full(h, -np.inf)
+        added = left
+        while len(left := left[top[left] >= 0]):  # parabolas that the new one hides come off
+            p = apex[left, top[left]]
+            cross = ((tall[left, q] + q * q) - (tall[left, p] + p * p)) / (2.0 * (q - p))
+            hidden = cross <= begin[left, top[left]]
+            start[left[~hidden]] = cross[~hidden]
+            left = left[hidden]
+            top[left] -= 1
+        top[added] += 1
+        apex[added, top[added]], begin[added, top[added]] = q, start[added]
+        begin[added, top[added] + 1] = np.inf
+    out, at, some = np.full((h, w), np.inf), np.zeros(h, "int64"), np.flatnonzero(top >= 0)
+    for q in range(w):
+        left = some
+        while len(left := left[begin[left, at[left] + 1] < q]):
+            at[left] += 1
+        p = apex[some, at[some]]
+        out[some, q] = (q - p) ** 2 + tall[some, p]
+    return np.sqrt(out)
 
 
 def first_cells(there: np.ndarray) -> np.ndarray:
@@ -196,11 +220,69 @@ def scope(v: np.ndarray, there: np.ndarray, least: int, radius: int) -> tuple[fl
     return enclosing_circle(label == numbers[sizes.argmax()])
 
 
+#: The five taps of the pyramids' Gaussian.
+TAPS = (1 / 16, 4 / 16, 6 / 16, 4 / 16, 1 / 16)
+
+
+def _blurred(image: np.ndarray) -> np.ndarray:
+    """The five taps along rows and columns, the image mirrored at its edges without them twice."""
+    for axis in (0, 1):
+        n = image.shape[axis]
+        at = np.arange(-2, n + 2)
+        at = np.abs(at) if n > 1 else np.zeros_like(at)
+        at = np.where(at >= n, 2 * (n - 1) - at, at).clip(0, n - 1)
+        padded = np.take(image, at, axis)
+        image = sum(t * np.take(padded, np.arange(k, k + n), axis) for k, t in enumerate(TAPS))
+    return image
+
+
+def resampled(image: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """image on shape places by bilinear weights between the middles of its places; its edge goes on outside."""
+    for axis, n in enumerate(shape):
+        old = image.shape[axis]
+        at = np.clip((np.arange(n) + 0.5) * old / n - 0.5, 0, old - 1)
+        low = np.floor(at).astype(int)
+        share = (at - low).reshape([-1 if a == axis else 1 for a in (0, 1)])
+        image = np.take(image, low, axis) * (1 - share) + np.take(image, np.minimum(low + 1, old - 1), axis) * share
+    return image
+
+
 def halved(image: np.ndarray) -> np.ndarray:
-    """Means of 2 x 2 places, an odd side's last ones repeated."""
-    padded = np.pad(image, [(0, n % 2) for n in image.shape], mode="edge")
-    return padded.reshape(padded.shape[0] // 2, 2, padded.shape[1] // 2, 2).mean(axis=(1, 3))
+    """An image blurred, on half as many places along each side."""
+    return resampled(_blurred(image.astype(float)), tuple(max(1, n // 2) for n in image.shape))
 
 
 def doubled(image: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
-    return np.repeat(np.repeat(image, 2, 0), 2, 1)[: shape[0], : shape[1]]
+    """An image on twice as many places along each side, blurred, and brought to shape by nearest places where that differs."""
+    out = _blurred(resampled(image, tuple(2 * n for n in image.shape)))
+    for axis, n in enumerate(shape):
+        if out.shape[axis] != n:
+            out = np.take(out, np.arange(n) * out.shape[axis] // n, axis)
+    return out
+
+
+def gaussian_pyramid(image: np.ndarray, levels: int) -> list[np.ndarray]:
+    out = [image.astype(float)]
+    for _ in range(levels - 1):
+        out.append(halved(out[-1]))
+    return out
+
+
+def laplacian_pyramid(image: np.ndarray, levels: int) -> list[np.ndarray]:
+    """What each level of the Gaussian pyramid lacks of the one before, and its coarsest level."""
+    levels_ = gaussian_pyramid(image, levels)
+    return [fine - doubled(coarse, fine.shape) for fine, coarse in zip(levels_, levels_[1:])] + levels_[-1:]
+
+
+def collapsed(bands: list[np.ndarray]) -> np.ndarray:
+    """The image of a Laplacian pyramid."""
+    out = bands[-1]
+    for band in reversed(bands[:-1]):
+        out = band + doubled(out, band.shape)
+    return out
+
+
+def multiband(canvas: np.ndarray, patch: np.ndarray, mask: np.ndarray, levels: int) -> np.ndarray:
+    """patch in canvas where mask, from 0 to 1, says so, each band of both blended under the mask of its level."""
+    bands = zip(laplacian_pyramid(canvas, levels), laplacian_pyramid(patch, levels), gaussian_pyramid(mask, levels))
+    return collapsed([c * (1 - m) + p * m for c, p, m in bands])

@@ -253,7 +253,7 @@ def membrane_pasted(cells: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def pyramid_levels(cells: DataFrame, levels: int = 3) -> DataFrame:
-    """cells (img, x, y, v) with low, the coarsest of levels ever coarser means, and high, what it lacks of v."""
+    """cells (img, x, y, v) with low, the coarsest level of the Gaussian pyramid brought back to full size, and high, what it lacks of v."""
 
     def run(p, there):
         low, shapes = p["v"].astype(float), []
@@ -267,6 +267,12 @@ def pyramid_levels(cells: DataFrame, levels: int = 3) -> DataFrame:
     return images.by_image(cells, ["v"], run, "low double, high double")
 
 
+def multiband_pasted(cells: DataFrame, levels: int = 3) -> DataFrame:
+    """cells (img, x, y, canvas, patch, mask) with v: patch pasted by bands, each of them blended under the mask of its level."""
+    f = lambda p, there: {"v": images.multiband(p["canvas"].astype(float), p["patch"].astype(float), p["mask"].astype(float), levels)}  # noqa: E731, ARG005
+    return images.by_image(cells, ["canvas", "patch", "mask"], f, "v double")
+
+
 def grown_boxes(cells: DataFrame, box: tuple[int, int, int, int], valid: Column, passes: int = 10) -> DataFrame:
     """(img, x1, y1, x2, y2): each image's box grown over rows and columns that are valid all along; places as cells give them."""
 

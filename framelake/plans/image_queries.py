@@ -380,14 +380,6 @@ def membrane_paste(spark: SparkSession, d: str) -> DataFrame:
     return raster.membrane_pasted(_patched(spark, d), 3).select("img", "x", "y", r6(F.col("v")).alias("v"))
 
 
-@query(_G + """, o AS (SELECT img, min(x) AS ox, min(y) AS oy, max(x) - min(x) AS mx, max(y) - min(y) AS my FROM grid GROUP BY 1),
-q AS (SELECT o.img, hx, hy, least(2 * hx + i, mx) + ox AS x, least(2 * hy + j, my) + oy AS y FROM o, (SELECT unnest(range(40)) AS hx), (SELECT unnest(range(40)) AS hy), (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j) WHERE 2 * hx <= mx AND 2 * hy <= my),
-s AS (SELECT q.img, hx, hy, sum(coalesce(v, 0)) / 4 AS low FROM q LEFT JOIN grid g ON g.img = q.img AND g.x = q.x AND g.y = q.y GROUP BY 1, 2, 3)
-SELECT g.img, g.x, g.y, low, v - low AS high FROM grid g JOIN o ON o.img = g.img JOIN s ON s.img = g.img AND s.hx = (g.x - ox) // 2 AND s.hy = (g.y - oy) // 2""")
-def pyramid_two_levels(spark: SparkSession, d: str) -> DataFrame:
-    return raster.pyramid_levels(image_grid(spark, d), 2).select("img", "x", "y", "low", "high")
-
-
 @query(_G + """, b AS (SELECT img, 20 AS x1, 3 AS y1, 22 AS x2, 5 AS y2 FROM (SELECT DISTINCT img FROM grid)), ok AS (SELECT img, x, y FROM grid WHERE v > 5),
 l AS (SELECT b.* REPLACE (coalesce((SELECT max(x) + 1 FROM (SELECT unnest(range(-1, 20)) AS x) c WHERE (SELECT count(*) FROM ok WHERE ok.img = b.img AND ok.x = c.x AND ok.y >= b.y1 AND ok.y < b.y2) < b.y2 - b.y1), 0) AS x1) FROM b),
 r AS (SELECT l.* REPLACE (coalesce((SELECT min(x) FROM (SELECT unnest(range(22, 60)) AS x) c WHERE (SELECT count(*) FROM ok WHERE ok.img = l.img AND ok.x = c.x AND ok.y >= l.y1 AND ok.y < l.y2) < l.y2 - l.y1), 60) AS x2) FROM l),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.operators import geometry, paste, tiles
+from framelake.operators import geometry, paste, raster, tiles
 from framelake.plans.registry import query, r6, table
 
 WIDE, TALL, SIDE = 40, 24, 16
@@ -171,3 +171,49 @@ def feathered_paste(spark: SparkSession, d: str) -> DataFrame:
     cells = _grid(spark, d).select("img", "x", "y", F.col("r").alias("canvas"), (x < 22 + k % 5).alias("painted"), F.col("g").alias("new"), region.alias("region"))
     done = paste.feathered_cells(cells, _BY * _STEPS, _BY).where("region")
     return done.select("img", "x", "y", r6(F.col("alpha")).alias("alpha"), F.round("v", 5).alias("v"))
+
+
+def _sql_blur(out: str, source: str, w: int, h: int) -> str:
+    """out (img, ch, x, y, v): source under five taps along both sides, mirrored at the edges."""
+    mirrored = lambda c, n: f"CASE WHEN abs({c}) >= {n} THEN 2 * ({n} - 1) - abs({c}) ELSE abs({c}) END"
+    taps = "(SELECT unnest([-2, -1, 0, 1, 2]) AS {0}, unnest([1, 4, 6, 4, 1]) AS t{0})"
+    return f"""{out} AS (SELECT a.img, a.ch, a.x, a.y, sum(b.v * ti * tj) / 256.0::DOUBLE AS v FROM (SELECT *, {mirrored("x + i", w)} AS sx, {mirrored("y + j", h)} AS sy FROM {source}, {taps.format("i")}, {taps.format("j")}) a
+    JOIN {source} b ON b.img = a.img AND b.ch = a.ch AND b.x = a.sx AND b.y = a.sy GROUP BY 1, 2, 3, 4)"""
+
+
+def _sql_down(out: str, source: str, w: int, h: int) -> str:
+    return f"{_sql_blur(out + '_b', source, w, h)}, {out} AS (SELECT img, ch, x // 2 AS x, y // 2 AS y, avg(v) AS v FROM {out}_b GROUP BY 1, 2, 3, 4)"
+
+
+def _sql_up(out: str, source: str, w: int, h: int) -> str:
+    """out, of w x h places, from source on half of them along each side."""
+    at = lambda c, n: f"greatest(0, least(({c} + 0.5) / 2.0::DOUBLE - 0.5, {n // 2 - 1}))"
+    return f"""{out}_c AS (SELECT img, ch, x, y, floor(u) + i AS sx, floor(w) + j AS sy, abs(1 - i - (u - floor(u))) * abs(1 - j - (w - floor(w))) AS weight
+        FROM (SELECT k.img, k.ch, x, y, {at("x", w)} AS u, {at("y", h)} AS w FROM (SELECT DISTINCT img, ch FROM {source}) k, (SELECT unnest(range({w})) AS x), (SELECT unnest(range({h})) AS y)), {_CORNERS}),
+    {out}_r AS (SELECT c.img, c.ch, c.x, c.y, sum(weight * s.v) AS v FROM {out}_c c JOIN {source} s ON s.img = c.img AND s.ch = c.ch AND s.x = c.sx AND s.y = c.sy GROUP BY 1, 2, 3, 4), {_sql_blur(out, out + "_r", w, h)}"""
+
+
+@query(f"""WITH {PHOTOS}, {_ALL}, source AS (SELECT img, 0 AS ch, x, y, r::DOUBLE AS v FROM whole),
+{_sql_down("half", "source", WIDE, TALL)}, {_sql_up("low", "half", WIDE, TALL)}
+SELECT s.img, s.x, s.y, round(l.v, 6) AS low, round(s.v - l.v, 6) + 0.0 AS high FROM source s JOIN low l ON l.img = s.img AND l.x = s.x AND l.y = s.y""")
+def pyramid_two_levels(spark: SparkSession, d: str) -> DataFrame:
+    """A Gaussian pyramid's second level brought back, and what it lacks."""
+    levels = raster.pyramid_levels(_grid(spark, d).select("img", "x", "y", F.col("r").alias("v")), 2)
+    return levels.select("img", "x", "y", r6(F.col("low")).alias("low"), (r6(F.col("high")) + 0.0).alias("high"))
+
+
+_MASK = "CASE WHEN x BETWEEN 8 + img % 6 AND 27 AND y BETWEEN 5 AND 18 THEN 1 ELSE 0 END"
+
+
+@query(f"""WITH {PHOTOS}, {_ALL}, source AS (SELECT img, ch, x, y, CASE ch WHEN 0 THEN r WHEN 1 THEN g ELSE {_MASK} END::DOUBLE AS v FROM whole, (SELECT unnest([0, 1, 2]) AS ch)),
+{_sql_down("half", "source", WIDE, TALL)}, {_sql_up("low", "half", WIDE, TALL)},
+mixed AS (SELECT c.img, 0 AS ch, c.x, c.y, c.v * (1 - m.v) + p.v * m.v AS v FROM half c JOIN half p ON p.img = c.img AND p.x = c.x AND p.y = c.y AND p.ch = 1 JOIN half m ON m.img = c.img AND m.x = c.x AND m.y = c.y AND m.ch = 2 WHERE c.ch = 0),
+{_sql_up("base", "mixed", WIDE, TALL)},
+high AS (SELECT s.img, s.ch, s.x, s.y, s.v - l.v AS v FROM source s JOIN low l ON l.img = s.img AND l.x = s.x AND l.y = s.y AND l.ch = s.ch)
+SELECT c.img, c.x, c.y, round(c.v * (1 - m.v) + p.v * m.v + b.v, 5) AS v FROM high c JOIN high p ON p.img = c.img AND p.x = c.x AND p.y = c.y AND p.ch = 1
+JOIN source m ON m.img = c.img AND m.x = c.x AND m.y = c.y AND m.ch = 2 JOIN base b ON b.img = c.img AND b.x = c.x AND b.y = c.y WHERE c.ch = 0""")
+def multiband_paste(spark: SparkSession, d: str) -> DataFrame:
+    """One channel pasted over another by two bands."""
+    mask = F.col("x").between(8 + F.col("img") % 6, 27) & F.col("y").between(5, 18)
+    cells = _grid(spark, d).select("img", "x", "y", F.col("r").alias("canvas"), F.col("g").alias("patch"), mask.cast("int").alias("mask"))
+    return raster.multiband_pasted(cells, 2).select("img", "x", "y", F.round("v", 5).alias("v"))
