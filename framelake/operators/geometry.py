@@ -224,6 +224,13 @@ def canvas_of(width: Column, height: Column, scale_x: int = 3, scale_y: int = 3)
     return F.struct(cw.cast("bigint").alias("cw"), ch.cast("bigint").alias("ch"), half(cw, width).alias("ox"), half(ch, height).alias("oy"))
 
 
+def to_canvas(m: Sequence[Sequence[Column]], offset_x: Column, offset_y: Column, scale: Column, scale_first: bool = True) -> list[list[Column]]:
+    """A frame's transform m into its canvas: scaled and then moved by the offset, or moved first, so that the offset grows too."""
+    one, no = F.lit(1.0), F.lit(0.0)
+    grow, move = [[scale, no, no], [no, scale, no], [no, no, one]], [[one, no, offset_x], [no, one, offset_y], [no, no, one]]
+    return product(move, product(grow, m)) if scale_first else product(grow, product(move, m))
+
+
 def crop_box(mode: Column, valid: Column, original: Column, canvas_w: Column, canvas_h: Column) -> Column:
     """The crop of a mode: external the valid region, original the projected frame, entire the canvas; else internal = valid."""
     whole = F.struct(F.lit(0).cast("bigint").alias("x1"), F.lit(0).cast("bigint").alias("y1"), canvas_w.cast("bigint").alias("x2"), canvas_h.cast("bigint").alias("y2"))

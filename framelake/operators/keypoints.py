@@ -111,6 +111,25 @@ def normalised_points(x: Column, y: Column, width: Column, height: Column) -> tu
     return (x - width / 2) / half, (y - height / 2) / half
 
 
+def normalised(points: DataFrame, key: str, sizes: DataFrame | None = None) -> DataFrame:
+    """points (key, x, y, ...) with nx, ny: normalised_points() by their image's size (key, w, h), or where it lacks by their range.
+
+    The size that a range stands for is one more than the range.
+    """
+    side = lambda c: (1 + F.max(c) - F.min(c)).cast("double")
+    own = points.groupBy(key).agg(side("x").alias("_w"), side("y").alias("_h"))
+    if sizes is not None:
+        given = sizes.select(key, F.col("w").cast("double").alias("_gw"), F.col("h").cast("double").alias("_gh"))
+        own = own.join(given, key, "left").select(key, F.coalesce("_gw", "_w").alias("_w"), F.coalesce("_gh", "_h").alias("_h"))
+    nx, ny = normalised_points(F.col("x"), F.col("y"), F.col("_w"), F.col("_h"))
+    return points.join(own, key).withColumn("nx", nx).withColumn("ny", ny).drop("_w", "_h")
+
+
+def scaled_back(place: Column, scale: Column) -> Column:
+    """A place in a resized image, in the image that was resized by scale: middles of pixels stay middles."""
+    return (place + 0.5) / scale - 0.5
+
+
 def stop_threshold(layer: Column, layers: int) -> Column:
     """Confidence that a layer asks for: 0.8 + 0.1 exp(-4 layer / layers), within 0 and 1."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.8 + 0.1 * F.exp(-4.0 * layer / F.lit(layers))))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,13 +155,22 @@ def complement(mask: Column) -> Column:
 
 
 def vignette(x: Column, y: Column, v: Column, width: int, height: int, sigma: float = 0.95) -> Column:
-    """v plus what an image's dark rim lacks: clamp((1 - g)^2 64, 0, 128), within 0 to 255."""
+    """v plus what an image's dark rim lacks: clamp((1 - g)^2 64, 0, 128), within 0 to 255; g is 1 where it is largest."""
     u, w = 2.0 * x / F.lit(width - 1) - 1.0, 2.0 * y / F.lit(height - 1) - 1.0
-    g = F.exp(-(u * u + w * w) / F.lit(2 * sigma * sigma))
+    middle = sum((1 - n % 2) / (n - 1) ** 2 for n in (width, height))  # an even side has no place in its middle
+    g = F.exp((F.lit(middle) - u * u - w * w) / F.lit(2 * sigma * sigma))
     add = F.greatest(F.lit(0.0), F.least(F.lit(128.0), (1 - g) * (1 - g) * 64.0))
     return F.greatest(F.lit(0.0), F.least(F.lit(255.0), v + add))
 
 
+def joined_masks(*shares: Column, least: float = 0.5) -> Column:
+    """Whether any of several masks' values is over least; those that lack don't count."""
+    out = F.lit(False)
+    for share in shares:
+        out = out | F.coalesce(share.cast("double") > least, F.lit(False))
+    return out
+
+
 def palette(cls: Column) -> tuple[Column, Column, Column]:
     """Colours of a class. 41, 73; 17, 131; 89, 29."""
     return tuple(F.pmod(a * cls + b, F.lit(256)) for a, b in ((41, 73), (17, 131), (89, 29)))
@@ -352,3 +362,41 @@ def outside_circle(cells: DataFrame, circle: DataFrame) -> DataFrame:
     """cells with masked: whether they lie outside their image's circle."""
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
     return cells.join(circle, "img").withColumn("masked", F.round(dx * dx + dy * dy, 4) > F.round(F.col("r") * F.col("r"), 4)).drop("cx", "cy", "r")
+
+
+def cropped_boxes(masks: DataFrame) -> DataFrame:
+    """masks (img, h, w, mask, mode, x1, y1, x2, y2 and maybe fx1..fy2) with cx1, cy1, cx2, cy2, the crop of each canvas.
+
+    mask holds h x w bytes, where the canvas is painted; x1..y2 are the projected frame's sides, fx1..fy2 those of a video's
+    first frame. internal: the projected box, grown while it is painted, if all of it is; external: the box around all that
+    is painted, or the projected one if nothing is; entire: the canvas; first: the first frame's box; else the projected one.
+    Boxes are cut to the canvas; an empty one gives the whole canvas, sides that lack give none.
+    """
+    names, columns = ("cx1", "cy1", "cx2", "cy2"), masks.columns
+
+    def box(r: dict) -> tuple[int, int, int, int] | None:
+        w, h, mode = r["w"], r["h"], r["mode"]
+        sides = [r.get(c) for c in ("fx1", "fy1", "fx2", "fy2")] if mode == "first" else [None]
+        sides = [r[c] for c in ("x1", "y1", "x2", "y2")] if None in sides else sides
+        known = None not in sides and all(np.isfinite(s) for s in sides)
+        x1, y1, x2, y2 = (max(0, int(np.floor(sides[0]))), max(0, int(np.floor(sides[1]))), min(w, int(np.ceil(sides[2]))), min(h, int(np.ceil(sides[3])))) if known else (0, 0, 0, 0)
+        painted = None if r["mask"] is None else np.frombuffer(r["mask"], "u1").reshape(h, w) > 0
+        if mode == "entire":
+            return 0, 0, w, h
+        if mode == "external" and painted is not None and painted.any():
+            ys, xs = np.flatnonzero(painted.any(axis=1)), np.flatnonzero(painted.any(axis=0))
+            return int(xs[0]), int(ys[0]), int(xs[-1]) + 1, int(ys[-1]) + 1
+        if not known:
+            return None
+        if x2 <= x1 or y2 <= y1:
+            return 0, 0, w, h
+        if mode == "internal" and painted is not None and painted[y1:y2, x1:x2].all():
+            return grown_box(painted, (x1, y1, x2, y2))
+        return x1, y1, x2, y2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [box(r) or (None,) * 4 for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([f[i] for f in found], pa.int32()) for i in range(4))], [*columns, *names])
+
+    return masks.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in masks.schema) + ", cx1 int, cy1 int, cx2 int, cy2 int")

@@ -55,6 +55,11 @@ def carry(df: DataFrame, key: str, order: Sequence[str], value: Column, gate: Co
     return df.withColumn(name, F.last(F.when(gate, value), ignorenulls=True).over(_upto(key, order)))
 
 
+def first_carried(df: DataFrame, key: str, order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """The value of a key's first row that has one, on it and all rows after it."""
+    return df.withColumn(name, F.first(value, ignorenulls=True).over(_upto(key, order)))
+
+
 def best_so_far(df: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame:
     """df with best (running maximum) and improved (this row raised it)."""
     before = F.max(value).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))

@@ -346,3 +346,69 @@ def patches(tiles: DataFrame, points: DataFrame, size: int, side: int = SIDE, ki
         start = F.greatest(F.lit(0), F.least(F.floor(F.col(f"p{c}")) - size // 2, F.col(most) - size)).cast("int")
         rows = rows.withColumn(f"{c}0", start).withColumn(f"{c}1", F.least(F.col(f"{c}0") + size, F.col(most)).cast("int"))
     return gathered(tiles, rows, cut, f"img {_sql(tiles)}, id {_sql(points, 'id')}, left int, top int, patch binary", side, kind)
+
+
+def crop(tiles: DataFrame, boxes: DataFrame, side: int = SIDE, kind: str = "u1") -> DataFrame:
+    """Tiles of the part of each image in its box (img, x0, y0, x1, y1), cut to the image; an empty box gives nothing."""
+    low = lambda c, most: F.greatest(F.lit(0), F.least(F.col(c), F.col(most))).cast("int")
+    rows = sizes_of(tiles).join(boxes.select("img", *[F.col(c).alias(f"_{c}") for c in _BOX]), "img")
+    rows = rows.select("img", "n", *[low(f"_{c}", "iw" if c[0] == "x" else "ih").alias(f"_{c}") for c in _BOX]).where("_x1 > _x0 and _y1 > _y0")
+    steps = lambda a, b: F.sequence(F.lit(0), F.floor((F.col(b) - F.col(a) - 1) / side).cast("int"))
+    rows = rows.select("*", F.explode(steps("_x0", "_x1")).alias("gx")).select("*", F.explode(steps("_y0", "_y1")).alias("gy"))
+    ends = [(F.col(f"_{a}0") + F.col(f"g{a}") * side).alias(f"{a}0") for a in "xy"] + [F.least(F.col(f"_{a}0") + (F.col(f"g{a}") + 1) * side, F.col(f"_{a}1")).alias(f"{a}1") for a in "xy"]
+    requests = rows.select("img", "gx", "gy", "n", (F.col("_x1") - F.col("_x0")).alias("w"), (F.col("_y1") - F.col("_y0")).alias("h"), *ends)
+
+    def cut(rows: pa.Table, patch: np.ndarray, x0: int, y0: int) -> pa.Table:  # noqa: ARG001
+        row = rows.slice(0, 1).to_pylist()[0]
+        columns = (row["gx"], row["gy"], row["w"], row["h"], row["n"], np.ascontiguousarray(patch).tobytes())
+        return pa.table([rows["img"].slice(0, 1), *(pa.array([v], t) for v, (_, t) in zip(columns, _TILE))], ["img", *(c for c, _ in _TILE)])
+
+    return gathered(tiles, requests, cut, _tile_schema(tiles), side, kind)
+
+
+def spline_at(row: dict, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a thin-plate spline (cx, cy, wx, wy, ax, ay: centres, weights, affine parts of 1, x and y) takes places."""
+    cx, cy = np.array(row["cx"], float), np.array(row["cy"], float)
+    r2 = (x[..., None] - cx) ** 2 + (y[..., None] - cy) ** 2
+    pull = r2 * np.log(np.where(r2 > 0, r2, 1)) / 2
+    return tuple(a[0] + a[1] * x + a[2] * y + pull @ np.array(w, float) for a, w in ((row["ax"], row["wx"]), (row["ay"], row["wy"])))
+
+
+def spline_warp(tiles: DataFrame, splines: DataFrame, width: int, height: int, mode: str = "bilinear", step: int = 8, side: int = SIDE, kind: str = "u1", out: str | None = None) -> DataFrame:
+    """Tiles of each image under its spline (img, cx, cy, wx, wy, ax, ay), on width x height places, in the type out (kind).
+
+    The spline says where a place takes its value from. It is computed on every step-th place of a tile and one beyond, and
+    what lies between is interpolated; step divides side. The box that a tile needs is that of its grid.
+    """
+    if side % step:
+        raise ValueError("step divides a tile's side")
+    grid_side = side // step + 1
+
+    def grid(row: dict) -> tuple[np.ndarray, np.ndarray]:
+        y, x = np.mgrid[:grid_side, :grid_side].astype(float) * step
+        return spline_at(row, x + row["gx"] * side, y + row["gy"] * side)
+
+    names = ("cx", "cy", "wx", "wy", "ax", "ay")
+    last = lambda n: (n - 1) // side
+    rows = sizes_of(tiles).join(splines.select("img", *[F.col(c).cast("array<double>").alias(c) for c in names]), "img")
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(last(height)))).alias("gy")).select("*", F.explode(F.sequence(F.lit(0), F.lit(last(width)))).alias("gx"))
+
+    def boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends: list[list[int]] = [[] for _ in _BOX]
+            for row in batch.drop_columns(["img"]).to_pylist():
+                found = [(np.floor(p.min()) - 1, np.ceil(p.max()) + 2, most) for p, most in zip(grid(row), (row["iw"], row["ih"]))]
+                for column, end in zip(ends, (*(max(0, min(f[0], f[2])) for f in found), *(max(0, min(f[1], f[2])) for f in found))):
+                    column.append(int(end))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(e, pa.int32()) for e in ends)], [*batch.schema.names, *_BOX])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+    def places(row: dict, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        u, v = ((p - p.flat[0]) / step for p in (x, y))
+        bu, bv = (np.minimum(np.floor(p), grid_side - 2).astype("int64") for p in (u, v))
+        weigh = lambda a: sum(np.abs(1 - i - (u - bu)) * np.abs(1 - j - (v - bv)) * a[bv + j, bu + i] for i in (0, 1) for j in (0, 1))
+        return tuple(map(weigh, grid(row)))
+
+    requests = rows.mapInArrow(boxes, f"{kinds}, x0 int, y0 int, x1 int, y1 int")
+    return _resampled(tiles, requests, places, width, height, mode, False, side, kind, out or kind)

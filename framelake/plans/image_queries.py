@@ -69,7 +69,7 @@ SELECT event_id, round((px - 427) / 427, 6) AS nx, round((py - 240) / 427, 6) AS
 def normalise_keypoints(spark: SparkSession, d: str) -> DataFrame:
     x, y = (F.col("event_id") % 854).cast("double"), (F.col("user_id") % 480).cast("double")
     nx, ny = keypoints.normalised_points(x, y, F.lit(854.0), F.lit(480.0))
-    return table(spark, d, "events").select("event_id", r6(nx).alias("nx"), r6(ny).alias("ny"), r6((x + 0.5) / 2 - 0.5).alias("bx"), keypoints.inside(x, y, 854, 480, 4).alias("inside"))
+    return table(spark, d, "events").select("event_id", r6(nx).alias("nx"), r6(ny).alias("ny"), r6(keypoints.scaled_back(x, F.lit(2.0))).alias("bx"), keypoints.inside(x, y, 854, 480, 4).alias("inside"))
 
 
 @query("""
@@ -255,8 +255,9 @@ def distance_ramp(spark: SparkSession, d: str) -> DataFrame:
     return raster.chebyshev(image_grid(spark, d), F.col("v") > 240, 5).select("img", "x", "y", "d", r6(raster.ramp(F.col("d"), 5)).alias("ramp"))
 
 
-@query(_G + f""", g AS (SELECT *, exp(-(pow(2.0 * x / {WIDTH - 1} - 1, 2) + pow(2.0 * y / {HEIGHT - 1} - 1, 2)) / (2 * 0.95 * 0.95)) AS g FROM grid)
-SELECT img, x, y, round(greatest(0, least(255, v + greatest(0, least(128, (1 - g) * (1 - g) * 64)))), 6) AS v FROM g""")
+@query(_G + f""", g AS (SELECT *, exp(-(pow(2.0 * x / {WIDTH - 1} - 1, 2) + pow(2.0 * y / {HEIGHT - 1} - 1, 2)) / (2 * 0.95 * 0.95)) AS g FROM grid),
+m AS (SELECT max(exp(-(pow(2.0 * x / {WIDTH - 1} - 1, 2) + pow(2.0 * y / {HEIGHT - 1} - 1, 2)) / (2 * 0.95 * 0.95))) AS most FROM (SELECT unnest(range({WIDTH})) AS x), (SELECT unnest(range({HEIGHT})) AS y))
+SELECT img, x, y, round(greatest(0, least(255, v + greatest(0, least(128, (1 - g / most) * (1 - g / most) * 64)))), 6) AS v FROM g, m""")
 def vignette_correct(spark: SparkSession, d: str) -> DataFrame:
     v = raster.vignette(F.col("x"), F.col("y"), F.col("v"), WIDTH, HEIGHT)
     return image_grid(spark, d).select("img", "x", "y", r6(v).alias("v"))
