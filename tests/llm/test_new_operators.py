@@ -249,3 +249,46 @@ def test_one_stack_counts_all_prefixes(suffixes, chunk):
             assert tuple(prefix) not in got
             got[tuple(prefix)] = n
     assert got == Counter(tuple(s[:k]) for s in suffixes for k in range(1, len(s) + 1))
+
+
+# top-k shards
+
+
+def test_trees_are_built_once_and_far_shards_stay_shut(spark):
+    from framelake.llm import vector_search
+
+    rng = np.random.default_rng(5)
+    centres = rng.integers(-3000, 3000, (12, 8))
+    v = np.concatenate([c + rng.integers(-40, 41, (400, 8)) for c in centres])
+    rows_ = [(i, x.tolist(), i % 50 == 0) for i, x in enumerate(v)] + [(10_000 + i, v[0].tolist(), False) for i in range(900)]
+    df = spark.createDataFrame(rows_, "id long, v array<long>, query boolean")
+    shards = vector_search.dealt(df, 300, 8)
+    sizes = {r["shard"]: r["count"] for r in shards.groupBy("shard").count().collect()}
+    assert sum(sizes.values()) == len(rows_) and len(sizes) >= 12 and max(sizes.values()) < 500  # the repeated vector's leaf is cut
+    trees = vector_search.built_trees(shards, 8, "float64")
+    boxes = [(r["block"], vector_search.pickle.loads(r["data"])) for r in trees.where("bucket is not null").collect()]
+    assert sorted(b for b, _ in boxes) == sorted(sizes)
+    asked = shards.where("query").select("shard", "id", "v", F.lit(int((centres**2).sum(axis=1).min() * 0.8)).cast("long").alias("kth_score"), F.lit(0).cast("long").alias("kth_id"))
+    opened = vector_search.routed(asked, boxes, 8, "float64").count()
+    assert 0 < opened < 0.6 * asked.count() * (len(boxes) - 1)
+    plan = vector_search.top_k(df.select(F.col("id").alias("vec_id"), "v"), F.col("vec_id") % 50 == 0, 5, 300)
+    got = {}
+    for r in plan.collect():
+        got.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
+    ids = np.array([r[0] for r in rows_])
+    m = np.array([r[1] for r in rows_])
+    for q in [i for i in ids if i % 50 == 0]:
+        scores = m @ m[np.flatnonzero(ids == q)[0]]
+        want = sorted((-int(s), int(i)) for s, i in zip(scores, ids) if i != q)[:5]
+        assert sorted(got[q]) == want
+
+
+def test_top_tree_keeps_equal_vectors_together():
+    from framelake.llm import vector_search
+
+    same = vector_search.TopTree(np.full((50, 3), 7), 8)
+    assert same.leaves == 1 and (same.leaf_of(np.zeros((4, 3))) == 0).all()
+    half = vector_search.TopTree(np.array([[0, 0]] * 30 + [[1, 5]] * 2 + [[2, 9]] * 3), 4)
+    leaf = half.leaf_of(np.array([[0, 0], [1, 5], [2, 9], [-5, -5], [9, 99]]))
+    assert half.leaves >= 2 and leaf[0] == leaf[3] and leaf[0] != leaf[2] and set(leaf.tolist()) <= set(range(half.leaves))
+    assert vector_search.TopTree(np.zeros((0, 4)), 4).leaves == 1
