@@ -86,13 +86,18 @@ def kept_maxima(s: np.ndarray, there: np.ndarray, radius: int, recoveries: int)
 def centres_of_mass(s: np.ndarray, there: np.ndarray, radius: int, temperature: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Offsets of the softmax's centre within radius, and its mean squared distance from there."""
     top = spread(np.where(there, s.astype(float), -np.inf), radius)
-    steps = [(dx, dy) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)]
+    total, ox, oy, far = (np.zeros(s.shape) for _ in range(4))
+    for dy in range(-radius, radius + 1):
+        for dx in range(-radius, radius + 1):
+            with np.errstate(invalid="ignore", over="ignore"):
+                w = np.where(shifted(there, dx, dy), np.exp((shifted(s.astype(float), dx, dy) - top) / temperature), 0.0)
+            total += w
+            ox += w * dx
+            oy += w * dy
+            far += w * (dx * dx + dy * dy)
     with np.errstate(invalid="ignore", over="ignore"):
-        w = [np.where(shifted(there, dx, dy), np.exp((shifted(s.astype(float), dx, dy) - top) / temperature), 0.0) for dx, dy in steps]
-        total = sum(w)
-        ox, oy = sum(a * dx for a, (dx, _) in zip(w, steps)) / total, sum(a * dy for a, (_, dy) in zip(w, steps)) / total
-        spreads = sum(a * ((dx - ox) ** 2 + (dy - oy) ** 2) for a, (dx, dy) in zip(w, steps)) / total
-    return ox, oy, spreads
+        ox, oy = ox / total, oy / total
+        return ox, oy, np.maximum(far / total - ox * ox - oy * oy, 0.0)
 
 
 def laplacian(v: np.ndarray) -> np.ndarray:

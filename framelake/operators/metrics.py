@@ -64,12 +64,13 @@ def centre_distance(x: Column, y: Column, width: int, height: int) -> Column:
     return F.hypot(x - cx, y - cy) / (F.hypot(F.lit(cx), F.lit(cy)) + F.lit(1e-12))
 
 
-def size_bins(pixels: DataFrame, image: Sequence[str], small: float, medium: float) -> DataFrame:
+def size_bins(pixels: DataFrame, image: Sequence[str], small: float, medium: float, classes: Sequence[int] = range(256)) -> DataFrame:
     """(cls, bin, inter, pred_sum, gt_sum): a class's counts by its area within each image (0 small, 1 medium, 2 large).
 
-    pixels has pred and gt. Classes that an image's gt lacks don't count there, even where predicted.
+    pixels has pred and gt. Classes that an image's gt lacks don't count there, even where predicted, nor do others than
+    classes.
     """
-    per_image = class_counts(pairs(pixels, F.col("pred"), F.col("gt"), *image), range(256), *image).where("gt_sum > 0")
+    per_image = class_counts(pairs(pixels, F.col("pred"), F.col("gt"), *image), classes, *image).where("gt_sum > 0")
     size = F.when(F.col("gt_sum") < small, 0).when(F.col("gt_sum") < medium, 1).otherwise(2)
     return per_image.groupBy("cls", size.alias("bin")).agg(*[F.sum(c).alias(c) for c in ("inter", "pred_sum", "gt_sum")])
 
@@ -85,7 +86,8 @@ def counts_in_bins(pixels: DataFrame, image: Sequence[str], classes: Sequence[in
 def ground_bins(pixels: DataFrame, classes: Sequence[int] = range(256), bins: int = 12) -> DataFrame:
     """(cls, bin, inter, pred_sum, gt_sum) of pixels (img, x, y, pred, gt) off the background, class 0 of gt.
 
-    bin is by the distance to the background over the image's largest. Images without background take no part.
+    bin is by the distance to the background over the image's largest. Images without background take no part, nor do
+    classes but those named.
     """
     far = ground_distance(pixels, F.col("gt") == 0).where("gt != 0 and d is not null")
     rows = far.withColumn("bin", F.least(F.floor(F.col("d") / (1.01 / bins)), F.lit(bins - 1)).cast("int"))

@@ -35,6 +35,8 @@ def balanced_folds(rows: DataFrame, group: str, stratum: Column, folds: int = 5,
     """
     per = rows.groupBy(group, stratum.alias("_s")).agg(F.count("*").alias("_n")).where("_s is not null")
     totals = {r["_s"]: r["t"] for r in per.groupBy("_s").agg(F.sum("_n").alias("t")).orderBy("_s").collect()}  # a row for each stratum
+    if not totals:
+        return rows.select(group, F.lit(0).cast("long").alias("n"), F.lit(0).alias("fold")).limit(0)
     count_of = lambda s: F.coalesce(F.sum(F.when(F.col("_s") == s, F.col("_n"))), F.lit(0))
     by = per.groupBy(group).agg(F.sum("_n").alias("n"), F.array(*[count_of(s) for s in totals]).alias("_counts"))
     shares = [F.col("_counts")[i] / F.lit(float(t)) for i, t in enumerate(totals.values())]

@@ -16,6 +16,7 @@ that has this frame in it. reprojected() and model_on_canvas() lead back to the
 from __future__ import annotations
 
 import math
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -258,38 +259,76 @@ def points_in_frame(points: DataFrame, done: DataFrame, offset_x: Column, offset
     return rows.withColumn("fx", fx).withColumn("fy", fy).drop(*NAMES)
 
 
+#: Rows of a video's micro-batch that are sorted in memory, and rows of results that leave together.
+HELD = 50_000
+_ONE = namedtuple("_ONE", INPUT[1:])
+
+
 class StepProcessor(StatefulProcessor):
-    """step() per video in a stream; a micro-batch's rows of a video are sorted, those up to the last frame seen are late."""
+    """step() per video in a stream; a micro-batch's rows of a video are sorted, those up to the last frame seen are late.
+
+    More than HELD rows wait in a map state, by frame, instead of memory.
+    """
 
-    def __init__(self, config: StepConfig = StepConfig()) -> None:
-        self.config = config
+    def __init__(self, config: StepConfig = StepConfig(), held: int = HELD) -> None:
+        self.config, self.held = config, held
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("step", ", ".join(f"{n} double" for n in NAMES) + ", epoch long, h int, w int, frame_id long")
+        self.waiting = handle.getMapState("waiting", "frame_id long, place long", "h int, w int, blur double, " + ", ".join(f"{n} double" for n in NAMES))
+
+    def _in_order(self, rows: Iterator[pd.DataFrame]) -> Iterator:
+        held, n, place, spilled = [], 0, 0, False
+
+        def spill() -> None:
+            nonlocal place
+            for pdf in held:
+                for row in pdf.itertuples(index=False):
+                    values = [None if pd.isna(getattr(row, c)) else getattr(row, c) for c in INPUT[2:]]
+                    self.waiting.updateValue((int(row.frame_id), place), (int(values[0]), int(values[1]), *values[2:]))
+                    place += 1
+            held.clear()
+
+        for pdf in rows:
+            held.append(pdf)
+            n += len(pdf)
+            if n > self.held:
+                spill()
+                n, spilled = 0, True
+        if not spilled:
+            yield from pd.concat(held).sort_values("frame_id", kind="stable").itertuples(index=False)
+            return
+        spill()
+        for key in sorted(tuple(map(int, k)) for k in self.waiting.keys()):  # noqa: SIM118
+            yield _ONE(key[0], *(math.nan if v is None else v for v in self.waiting.getValue(key)))
+            self.waiting.removeKey(key)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: ARG002, N802
         held = self.state.get() if self.state.exists() else None
         state, last = ((tuple(held[:9]), *held[9:12]), held[12]) if held else (None, None)
-        out = []
-        for row in pd.concat(list(rows)).sort_values("frame_id", kind="stable").itertuples(index=False):
+        out, columns = [], ["video", "frame_id", *_OUT, "late"]
+        for row in self._in_order(rows):
             late = last is not None and row.frame_id <= last
             values: tuple = (None,) * len(_OUT)
             if not late:
                 state, values = step(state, row, self.config)
                 last = row.frame_id
-            out.append((row.video, row.frame_id, *values, late))
+            out.append((key[0], row.frame_id, *values, late))
+            if len(out) >= HELD:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
         if state is not None:
             self.state.update((*state[0], *state[1:], int(last)))
-        yield pd.DataFrame(out, columns=["video", "frame_id", *_OUT, "late"])
+        yield pd.DataFrame(out, columns=columns)
 
     def close(self) -> None:
         pass
 
 
-def stream_steps(frames: DataFrame, config: StepConfig = StepConfig()) -> DataFrame:
+def stream_steps(frames: DataFrame, config: StepConfig = StepConfig(), held: int = HELD) -> DataFrame:
     """The stream's steps, and late: rows that came after a later frame, or again, which have no step. Needs the RocksDB state store.
 
-    A micro-batch's rows of one video are sorted in memory; maxFilesPerTrigger bounds them.
+    streaming.canvas has the step for rows that come out of order by event time.
     """
     kind = frames.schema["video"].dataType.simpleString()
-    return frames.select(*INPUT).groupBy("video").transformWithStateInPandas(StepProcessor(config), f"video {kind}, frame_id long, {OUTPUT}, late boolean", "Append", "None")
+    return frames.select(*INPUT).groupBy("video").transformWithStateInPandas(StepProcessor(config, held), f"video {kind}, frame_id long, {OUTPUT}, late boolean", "Append", "None")
