@@ -75,12 +75,21 @@ def size_bins(pixels: DataFrame, image: Sequence[str], small: float, medium: flo
     return per_image.groupBy("cls", size.alias("bin")).agg(*[F.sum(c).alias(c) for c in ("inter", "pred_sum", "gt_sum")])
 
 
-def counts_in_bins(pixels: DataFrame, image: Sequence[str], classes: Sequence[int]) -> DataFrame:
-    """(cls, bin, inter, pred_sum, gt_sum) of pixels (image, pred, gt, bin), as size_bins() counts."""
-    per_image = class_counts(pairs(pixels, F.col("pred"), F.col("gt"), *image, "bin"), classes, *image, "bin")
-    whole = Window.partitionBy(*image, "cls")
-    rows = per_image.withColumn("_has", F.sum("gt_sum").over(whole)).where("_has > 0")
-    return rows.groupBy("cls", "bin").agg(*[F.sum(c).alias(c) for c in ("inter", "pred_sum", "gt_sum")])
+def counts_in_bins(pixels: DataFrame, image: Sequence[str], classes: Sequence[int], bins: int) -> DataFrame:
+    """(cls, bin, inter, pred_sum, gt_sum) of pixels (image, pred, gt, bin from 0 to bins - 1), as size_bins() counts.
+
+    One row for each image and class is dealt, with its counts of all bins.
+    """
+    hit = F.col("pred") == F.col("gt")
+    truth = F.struct(F.col("gt").alias("cls"), F.when(hit, 1).otherwise(0).alias("kind"))
+    wrong = F.struct(F.when(~F.coalesce(hit, F.lit(False)), F.col("pred")).alias("cls"), F.lit(2).alias("kind"))
+    sides = pixels.select(*image, "bin", F.explode(F.array(truth, wrong)).alias("s")).where(F.col("s.cls").isin(*classes))
+    kinds = {"g": F.col("s.kind") < 2, "i": F.col("s.kind") == 1, "w": F.col("s.kind") == 2}
+    counts = [F.count_if(cond & (F.col("bin") == b)).alias(f"{k}{b}") for k, cond in kinds.items() for b in range(bins)]
+    per_image = sides.groupBy(*image, F.col("s.cls").alias("cls")).agg(*counts).where(sum((F.col(f"g{b}") for b in range(bins)), F.lit(0)) > 0)
+    whole = per_image.groupBy("cls").agg(*[F.sum(f"{k}{b}").alias(f"{k}{b}") for k in kinds for b in range(bins)])
+    each = F.array(*[F.struct(F.lit(b).alias("bin"), F.col(f"i{b}").alias("inter"), (F.col(f"i{b}") + F.col(f"w{b}")).alias("pred_sum"), F.col(f"g{b}").alias("gt_sum")) for b in range(bins)])
+    return whole.select("cls", F.explode(each).alias("e")).select("cls", "e.*").where("pred_sum + gt_sum > 0")
 
 
 def ground_bins(pixels: DataFrame, classes: Sequence[int] = range(256), bins: int = 12) -> DataFrame:
@@ -91,7 +100,7 @@ def ground_bins(pixels: DataFrame, classes: Sequence[int] = range(256), bins: in
     """
     far = ground_distance(pixels, F.col("gt") == 0).where("gt != 0 and d is not null")
     rows = far.withColumn("bin", F.least(F.floor(F.col("d") / (1.01 / bins)), F.lit(bins - 1)).cast("int"))
-    return counts_in_bins(rows, ["img"], [c for c in classes if c != 0])
+    return counts_in_bins(rows, ["img"], [c for c in classes if c != 0], bins)
 
 
 def rolled_up(counts: DataFrame, group: int = 4) -> DataFrame:

@@ -82,7 +82,7 @@ SELECT cls, bin, inter, pred_sum, gt_sum, round({_DICE}, 6) AS dice FROM c
 def dice_distance_bins(spark: SparkSession, d: str) -> DataFrame:
     """Classes that an image's truth lacks don't count there, even where predicted."""
     far = m.centre_distance(F.col("x"), F.col("y"), 51, 11)
-    c = m.counts_in_bins(labelled_lines(spark, d).withColumn("bin", m.bin_of(far, (0, 0.33, 0.66, 1.01))), ["image"], _CLASSES)
+    c = m.counts_in_bins(labelled_lines(spark, d).withColumn("bin", m.bin_of(far, (0, 0.33, 0.66, 1.01))), ["image"], _CLASSES, 3)
     return c.select("cls", "bin", "inter", "pred_sum", "gt_sum", r6(m.dice(F.col("inter"), F.col("pred_sum"), F.col("gt_sum"))).alias("dice"))
 
 
