@@ -60,24 +60,21 @@ def root_normalised(x: Column, eps: float = 1e-6) -> Column:
     return F.transform(root, lambda v: v / F.greatest(F.sqrt(add(root, lambda u: u * u)), F.lit(1e-12)))
 
 
-def assignments(prev: DataFrame, curr: DataFrame, pair: str, *, dustbin: bool = True) -> DataFrame:
+def assignments(prev: DataFrame, curr: DataFrame, pair: str, *, dustbin: bool = True, least: float | None = None) -> DataFrame:
     """(pair, i, j, log_p) of keypoints (pair, id, descriptor, z): log-softmax over i and over j plus both sides' gates.
 
     Similarities are inner products over the square root of the descriptors' length, gates the log-sigmoid of z. With
     dustbin there are rows with i or j null: the log-probability that a keypoint matches none, from its gate alone. A
-    pair's sides are two frames' keypoints: one product of matrices in a task.
+    pair's sides are two frames' keypoints: one product of matrices in a task. With least only rows of at least that
+    log-probability leave it.
     """
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         found = []
         if a.num_rows and b.num_rows:
-            x, y = matrix(a["descriptor"]), matrix(b["descriptor"])
-            s = x @ y.T / np.sqrt(x.shape[1])
-            norm = lambda axis: s.max(axis, keepdims=True) + np.log(np.exp(s - s.max(axis, keepdims=True)).sum(axis, keepdims=True))
-            z0, z1 = a["z"].to_numpy(), b["z"].to_numpy()
-            log_p = 2 * s - norm(1) - norm(0) - np.logaddexp(0, -z0)[:, None] - np.logaddexp(0, -z1)
-            i, j = np.repeat(a["id"].to_numpy(), len(y)), np.tile(b["id"].to_numpy(), len(x))
-            found = [(pa.array(i), pa.array(j), pa.array(log_p.ravel()))]
+            log_p = _log_assignment(a, b)
+            i, j = np.nonzero(log_p >= least) if least is not None else (np.repeat(np.arange(len(log_p)), log_p.shape[1]), np.tile(np.arange(log_p.shape[1]), len(log_p)))
+            found = [(pa.array(a["id"].to_numpy()[i]), pa.array(b["id"].to_numpy()[j]), pa.array(log_p[i, j]))]
         if dustbin:
             none = lambda t: pa.nulls(t.num_rows, pa.int64())
             found += [(a["id"].combine_chunks().cast(pa.int64()), none(a), pa.array(-np.logaddexp(0, a["z"].to_numpy()))), (none(b), b["id"].combine_chunks().cast(pa.int64()), pa.array(-np.logaddexp(0, b["z"].to_numpy())))]
@@ -85,8 +82,43 @@ def assignments(prev: DataFrame, curr: DataFrame, pair: str, *, dustbin: bool =
         tables = [pa.table([pa.array([key.as_py()] * len(p), key.type), i, j, p], [pair, "i", "j", "log_p"]) for i, j, p in found]
         return pa.concat_tables(tables) if tables else pa.table([pa.array([], key.type), *(pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64()))], [pair, "i", "j", "log_p"])
 
-    sides = (side.select(F.col(pair).alias(pair), F.col("id").cast("long").alias("id"), F.col("descriptor").alias("descriptor"), F.col("z").cast("double").alias("z")).groupBy(pair) for side in (prev, curr))
-    return next(sides).cogroup(next(sides)).applyInArrow(run, f"{pair} {prev.schema[pair].dataType.simpleString()}, i long, j long, log_p double")
+    a, b = _sides(prev, curr, pair)
+    return a.cogroup(b).applyInArrow(run, f"{pair} {prev.schema[pair].dataType.simpleString()}, i long, j long, log_p double")
+
+
+def best_assignments(prev: DataFrame, curr: DataFrame, pair: str) -> DataFrame:
+    """(pair, i, j, best, mass, unmatched): of each keypoint of prev what assignments() says, a row each leaving the task.
+
+    j is its best partner, the one of the smaller id of several, best that log-probability, mass the sum of all
+    probabilities, unmatched the log-probability of having no partner. Keypoints of pairs without another side are left out.
+    """
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+        names = [pair, "i", "j", "best", "mass", "unmatched"]
+        if not (a.num_rows and b.num_rows):
+            return pa.table([(a if a.num_rows else b)[pair].slice(0, 0), *(pa.array([], t) for t in kinds)], names)
+        b = b.sort_by("id")
+        log_p = _log_assignment(a, b)
+        at = log_p.argmax(axis=1)
+        columns = (a["id"].to_numpy(), b["id"].to_numpy()[at], log_p.max(axis=1), np.exp(log_p).sum(axis=1), -np.logaddexp(0, a["z"].to_numpy()))
+        return pa.table([a[pair], *(pa.array(c, t) for c, t in zip(columns, kinds))], names)
+
+    a, b = _sides(prev, curr, pair)
+    return a.cogroup(b).applyInArrow(run, f"{pair} {prev.schema[pair].dataType.simpleString()}, i long, j long, best double, mass double, unmatched double")
+
+
+def _sides(prev: DataFrame, curr: DataFrame, pair: str) -> list:
+    return [side.select(F.col(pair).alias(pair), F.col("id").cast("long").alias("id"), F.col("descriptor").alias("descriptor"), F.col("z").cast("double").alias("z")).groupBy(pair) for side in (prev, curr)]
+
+
+def _log_assignment(a: pa.Table, b: pa.Table) -> np.ndarray:
+    """Log-softmax over both sides plus both gates, of all keypoints of two frames."""
+    x, y = matrix(a["descriptor"]), matrix(b["descriptor"])
+    s = x @ y.T / np.sqrt(x.shape[1])
+    norm = lambda axis: s.max(axis, keepdims=True) + np.log(np.exp(s - s.max(axis, keepdims=True)).sum(axis, keepdims=True))
+    z0, z1 = a["z"].to_numpy(), b["z"].to_numpy()
+    return 2 * s - norm(1) - norm(0) - np.logaddexp(0, -z0)[:, None] - np.logaddexp(0, -z1)
 
 
 def matrix(lists: pa.ChunkedArray) -> np.ndarray:

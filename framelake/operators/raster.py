@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions.parsing import padded
-from framelake.operators import geometry, images
+from framelake.operators import geometry, images, tiles
 from framelake.operators.joins import gather
 
 
@@ -48,18 +48,24 @@ def sampled(places: DataFrame, source: DataFrame, u: Column, v: Column, mode: st
     return hit.groupBy(*places.columns).agg(F.sum(F.col("_weight") * F.col("_value")).alias("v"))
 
 
+def _as_tiles(source: DataFrame, sizes: DataFrame) -> DataFrame:
+    return tiles.from_cells(source.select("img", "x", "y", "v"), sizes, kind="f8")
+
+
+def _as_cells(made: DataFrame, source: DataFrame, mode: str) -> DataFrame:
+    kind = source.schema["v"].dataType if mode == "nearest" else "double"
+    return tiles.to_cells(made, kind="f8").select("img", "x", "y", F.col("v").cast(kind).alias("v"))
+
+
 def warp(source: DataFrame, transforms: DataFrame, width: int, height: int, mode: str = "nearest") -> DataFrame:
     """(img, x, y, v): each image of source (img, x, y, v) under its transform (img, h00..h22), on width x height places.
 
-    Each place takes the value from where the inverse sends it; a singular transform gives an image of zeros. Only a row
-    an image is copied to the places, which are made where they are used.
+    Each place takes the value from where the inverse sends it; a singular transform gives an image of zeros. Cells are
+    dealt once, as tiles, and what is moved for the warp are their bytes.
     """
-    inv = geometry.inverse(geometry.entries())
-    rows = transforms.select("img", *[inv[i][j].alias(geometry.NAMES[3 * i + j]) for i in range(3) for j in range(3)])
-    places = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
-    u, v = geometry.apply(geometry.entries(), F.col("x"), F.col("y"))
-    beyond = lambda c: F.coalesce(c, F.lit(-10.0))
-    return sampled(places.select("img", "x", "y", beyond(u).alias("u"), beyond(v).alias("w")), source, F.col("u"), F.col("w"), mode).select("img", "x", "y", "v")
+    spans = source.groupBy("img").agg((F.max("x") + 1).cast("int").alias("iw"), (F.max("y") + 1).cast("int").alias("ih"))
+    known = transforms.select("img").distinct().join(spans, "img", "left").select("img", *[F.greatest(F.coalesce(c, F.lit(1)), F.lit(1)).alias(c) for c in ("iw", "ih")])
+    return _as_cells(tiles.warp(_as_tiles(source, known), transforms, width, height, mode, kind="f8"), source, mode)
 
 
 def resize(source: DataFrame, sizes: DataFrame, width: int, height: int, mode: str = "nearest", align_corners: bool = False) -> DataFrame:
@@ -68,16 +74,8 @@ def resize(source: DataFrame, sizes: DataFrame, width: int, height: int, mode: s
     nearest takes the place whose share of the side is as large, cut to whole numbers; bilinear maps the pixels' middles,
     or with align_corners the outermost pixels, onto each other, and the edge goes on outside.
     """
-    places = sizes.select("img", "w", "h", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
-
-    def at(c: str, old: str, new: int) -> Column:
-        if mode == "nearest":
-            return F.floor(F.col(c) * F.col(old) / F.lit(new))
-        if align_corners:
-            return F.col(c) * (F.col(old) - 1) / F.lit(max(1, new - 1))
-        return (F.col(c) + 0.5) * F.col(old) / F.lit(new) - 0.5
-
-    return sampled(places, source, at("x", "w", width), at("y", "h", height), mode, sizes).select("img", "x", "y", "v")
+    own = sizes.select("img", F.col("w").cast("int").alias("iw"), F.col("h").cast("int").alias("ih"))
+    return _as_cells(tiles.resize(_as_tiles(source, own), width, height, mode, align_corners, kind="f8"), source, mode)
 
 
 def warp_labels(labels: DataFrame, flow: DataFrame) -> DataFrame:

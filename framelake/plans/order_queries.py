@@ -119,9 +119,8 @@ def double_softmax_assignment(spark: SparkSession, d: str) -> DataFrame:
     """Of each previous keypoint the best assignment, their mass, and the log-probability of having none."""
     prev, curr = _descriptors(spark, d)
     gate = lambda side, by: side.withColumn("z", by * (F.col("id") % 50))
-    rows = keypoints.assignments(gate(prev, 0.01), gate(curr, 0.02), "pair").where("i is not null")
-    both = rows.groupBy("pair", "i").agg(F.max(F.when(F.col("j").isNotNull(), F.col("log_p"))).alias("best"), F.sum(F.when(F.col("j").isNotNull(), F.exp("log_p"))).alias("mass"), F.max(F.when(F.col("j").isNull(), F.col("log_p"))).alias("unmatched"))
-    return both.where("best is not null").select("pair", "i", *[r6(F.col(c)).alias(c) for c in ("best", "mass", "unmatched")])
+    rows = keypoints.best_assignments(gate(prev, 0.01), gate(curr, 0.02), "pair")
+    return rows.select("pair", "i", *[r6(F.col(c)).alias(c) for c in ("best", "mass", "unmatched")])
 
 
 @query("SELECT user_id, event_id, value, CAST(row_number() OVER w AS INTEGER) AS rank FROM events WINDOW w AS (PARTITION BY user_id ORDER BY value DESC, event_id) QUALIFY row_number() OVER w <= 3")
