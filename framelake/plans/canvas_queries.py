@@ -7,11 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framelake.functions import parsing
 from framelake.operators import geometry, joins, keypoints, raster, sequence, split, tiles
 from framelake.plans.image_queries import _H, _transforms
 from framelake.plans.registry import query, r6, table
-from framelake.plans.tile_queries import _ALL, _CORNERS, _INVERSE, _SUMS, PHOTOS, SIDE, TALL, WIDE, _grid, _sql_bilinear, _sql_places, _sums, photos
+from framelake.plans.tile_queries import _ALL, _CORNERS, _INVERSE, _SUMS, PHOTOS, SIDE, TALL, WIDE, _grid, _sql_bilinear, _sql_places, _sums, photo_cells, photos
 from framelake.plans.tile_queries import _transforms as _photo_transforms
+from framelake.sources import files, frames
+from framelake.sources.scratch import scratch_dir
 
 _NINE = [(i, j) for i in range(3) for j in range(3)]
 
@@ -221,3 +224,67 @@ def balanced_group_folds(spark: SparkSession, d: str) -> DataFrame:
     """Customers' orders dealt to five folds by group, so that their strata spread least."""
     rows = table(spark, d, "orders").select((F.col("o_custkey") % 97).alias("grp"), (F.col("o_orderkey") % 3).alias("s"))
     return split.balanced_folds(rows, "grp", F.col("s")).select("grp", "n", "fold")
+
+
+@query(f"WITH {PHOTOS}, {_ALL} SELECT 'video' || img || '/frame_0.png' AS file, CAST(sum(r) AS BIGINT) AS total, CAST(sum(r * (x + 1)) AS BIGINT) AS by_x, CAST(sum(r * (y + 1)) AS BIGINT) AS by_y FROM whole GROUP BY img")
+def image_files_there_and_back(spark: SparkSession, d: str) -> DataFrame:
+    """A channel of each image written as a file, and what the image source reads from it."""
+    frames.register(spark)
+    root = f"{scratch_dir(spark)}/images"
+    plain = tiles.untiled(tiles.from_cells(photo_cells(spark, d).select("img", "x", "y", "r"), _photo_sizes(spark, d), ("r",), SIDE), SIDE)
+    rows = plain.select(F.concat(F.lit("video"), F.col("img").cast("string")).alias("video"), F.lit(0).alias("frame_id"), "h", "w", F.col("pixels").alias("classes"))
+    frames.class_files(rows).write.format("frame_files").mode("append").save(root)
+    read = files.images(spark, root, "*.png").where("status = 'ok'").withColumnRenamed("path", "img")
+    cells = tiles.to_cells(tiles.tiled(read, side=SIDE), SIDE)
+    whole = lambda c: F.sum(c).cast("bigint")
+    name = F.concat_ws("/", F.element_at(F.split("img", "/"), -2), F.element_at(F.split("img", "/"), -1))
+    return cells.groupBy(name.alias("file")).agg(whole(F.col("v")).alias("total"), whole(F.col("v") * (F.col("x") + 1)).alias("by_x"), whole(F.col("v") * (F.col("y") + 1)).alias("by_y"))
+
+
+def _photo_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("img")).distinct().select("img", F.lit(WIDE).alias("iw"), F.lit(TALL).alias("ih"))
+
+
+@query("SELECT l_suppkey AS video, l_partkey % 5 AS cls, CAST(round(avg(l_quantity), 6) AS DOUBLE) AS dice FROM lineitem WHERE l_quantity > 10 GROUP BY 1, 2")
+def metrics_as_csv(spark: SparkSession, d: str) -> DataFrame:
+    """A metric table written as CSV, without rows that have no value, and read back."""
+    out = f"{scratch_dir(spark)}/metrics"
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("video"), (F.col("l_partkey") % 5).alias("cls")).agg(r6(F.avg(F.when(F.col("l_quantity") > 10, F.col("l_quantity")))).alias("dice"))
+    files.write_metrics(rows, out)
+    return spark.read.schema("video long, cls long, dice double").option("header", True).csv(out)
+
+
+@query("SELECT CAST(o_custkey % 5 AS INTEGER) AS fold, CASE WHEN o_orderstatus = 'F' THEN 'test' ELSE 'train' END AS part, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1, 2")
+def folds_as_folders(spark: SparkSession, d: str) -> DataFrame:
+    """A split written with a folder for each fold and part, and read back."""
+    out = f"{scratch_dir(spark)}/folds"
+    rows = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 5).alias("fold"), F.when(F.col("o_orderstatus") == "F", "test").otherwise("train").alias("part"))
+    files.write_folds(rows, out)
+    back = spark.read.schema("o_orderkey long, fold int, part string").option("header", True).csv(out)
+    return back.groupBy("fold", "part").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+@query("SELECT event_type, count(*) AS n, CAST(max(user_id) AS BIGINT) AS most FROM events GROUP BY 1")
+def report_as_json(spark: SparkSession, d: str) -> DataFrame:
+    """A report written as JSON lines and read back."""
+    out = f"{scratch_dir(spark)}/report"
+    files.write_report(table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.max("user_id").alias("most")), out)
+    return spark.read.schema("event_type string, n long, most long").json(out)
+
+
+@query(f"""WITH {PHOTOS}, small AS (SELECT img, x, y, r FROM cells WHERE x < 20 AND y < 12 AND img % 3 <> 0 UNION ALL SELECT img, x, y, r FROM cells WHERE img % 3 = 0),
+sizes2 AS (SELECT img, max(x) + 1 AS gw, max(y) + 1 AS gh FROM cells GROUP BY 1), sizes1 AS (SELECT img, max(x) + 1 AS pw, max(y) + 1 AS ph FROM small GROUP BY 1)
+SELECT c.img, c.x, c.y, coalesce(s.r % 7, 0) AS pred, c.r % 5 AS gt FROM cells c JOIN sizes2 g ON g.img = c.img JOIN sizes1 p ON p.img = c.img LEFT JOIN small s ON s.img = c.img AND s.x = c.x * pw // gw AND s.y = c.y * ph // gh""")
+def aligned_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions joined to truths place by place, brought to their size where that differs."""
+    cells = photo_cells(spark, d)
+    gt = cells.select("img", "x", "y", (F.col("r") % 5).alias("v"))
+    pred = cells.where("img % 3 = 0 or (x < 20 and y < 12)").select("img", "x", "y", (F.col("r") % 7).alias("v"))
+    return joins.aligned(pred, gt).select("img", "x", "y", F.col("pred").cast("int").alias("pred"), F.col("gt").cast("int").alias("gt"))
+
+
+@query(f"WITH {PHOTOS}, {_ALL} SELECT img, CAST(sum(CASE WHEN r > 128 THEN 255 ELSE 0 END) AS BIGINT) AS mask, CAST(sum(CASE WHEN r > 128 THEN 0 ELSE 255 END) AS BIGINT) AS rest FROM whole GROUP BY 1")
+def mask_complement(spark: SparkSession, d: str) -> DataFrame:
+    """Masks and what they leave."""
+    mask = F.when(parsing.mask_set(F.col("r") / 256.0), 255).otherwise(0)
+    return _grid(spark, d).select("img", mask.alias("m")).groupBy("img").agg(F.sum("m").alias("mask"), F.sum(raster.complement(F.col("m"))).cast("bigint").alias("rest"))
