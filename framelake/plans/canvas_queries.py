@@ -83,12 +83,12 @@ def crop_modes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH p AS (SELECT event_id, event_type AS img, value AS x, CAST(user_id AS DOUBLE) AS y FROM events), s AS (SELECT img, 1 + max(x) - min(x) AS w, 1 + max(y) - min(y) AS h FROM p GROUP BY 1),
 z AS (SELECT img, CASE WHEN img = 'view' THEN 640.0::DOUBLE ELSE w END AS w, CASE WHEN img = 'view' THEN 480.0::DOUBLE ELSE h END AS h FROM s)
-SELECT event_id, round((x - w / 2) / (greatest(w, h) / 2), 6) + 0.0 AS nx, round((y - h / 2) / (greatest(w, h) / 2), 6) + 0.0 AS ny FROM p JOIN z USING (img)""")
+SELECT event_id, round((x - w / 2) / (greatest(w, h) / 2), 10) + 0.0 AS nx, round((y - h / 2) / (greatest(w, h) / 2), 10) + 0.0 AS ny FROM p JOIN z USING (img)""")
 def keypoints_by_range(spark: SparkSession, d: str) -> DataFrame:
     """Keypoints normalised by their image's size, or where that lacks by the range that they span."""
     p = table(spark, d, "events").select("event_id", F.col("event_type").alias("img"), F.col("value").alias("x"), F.col("user_id").cast("double").alias("y"))
     sizes = p.select("img").distinct().where("img = 'view'").select("img", F.lit(640.0).alias("w"), F.lit(480.0).alias("h"))
-    return keypoints.normalised(p, "img", sizes).select("event_id", (r6(F.col("nx")) + 0.0).alias("nx"), (r6(F.col("ny")) + 0.0).alias("ny"))
+    return keypoints.normalised(p, "img", sizes).select("event_id", (F.round("nx", 10) + 0.0).alias("nx"), (F.round("ny", 10) + 0.0).alias("ny"))
 
 
 @query(f"""WITH {PHOTOS}, {_ALL} SELECT img, count(*) FILTER (WHERE r / 255.0::DOUBLE > 0.5 OR g / 255.0::DOUBLE > 0.5 OR (x - 20) * (x - 20) + (y - 12) * (y - 12) > 150) AS occluded, CAST(coalesce(sum(x * 31 + y) FILTER (WHERE r / 255.0::DOUBLE > 0.5 OR g / 255.0::DOUBLE > 0.5 OR (x - 20) * (x - 20) + (y - 12) * (y - 12) > 150), 0) AS BIGINT) AS places FROM whole GROUP BY 1""")
@@ -274,7 +274,7 @@ def report_as_json(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {PHOTOS}, small AS (SELECT img, x, y, r FROM cells WHERE x < 20 AND y < 12 AND img % 3 <> 0 UNION ALL SELECT img, x, y, r FROM cells WHERE img % 3 = 0),
 sizes2 AS (SELECT img, max(x) + 1 AS gw, max(y) + 1 AS gh FROM cells GROUP BY 1), sizes1 AS (SELECT img, max(x) + 1 AS pw, max(y) + 1 AS ph FROM small GROUP BY 1)
-SELECT c.img, c.x, c.y, coalesce(s.r % 7, 0) AS pred, c.r % 5 AS gt FROM cells c JOIN sizes2 g ON g.img = c.img JOIN sizes1 p ON p.img = c.img LEFT JOIN small s ON s.img = c.img AND s.x = c.x * pw // gw AND s.y = c.y * ph // gh""")
+SELECT c.img, CAST(c.x AS INTEGER) AS x, CAST(c.y AS INTEGER) AS y, coalesce(s.r % 7, 0) AS pred, c.r % 5 AS gt FROM cells c JOIN sizes2 g ON g.img = c.img JOIN sizes1 p ON p.img = c.img LEFT JOIN small s ON s.img = c.img AND s.x = c.x * pw // gw AND s.y = c.y * ph // gh""")
 def aligned_labels(spark: SparkSession, d: str) -> DataFrame:
     """Predictions joined to truths place by place, brought to their size where that differs."""
     cells = photo_cells(spark, d)

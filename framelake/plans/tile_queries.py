@@ -44,7 +44,7 @@ def _sql_bilinear(edge: bool) -> str:
     hit AS (SELECT a.img, a.x, a.y, a.c, coalesce(sum(a.weight * coalesce(p.v, 0)), 0) AS v FROM corner a LEFT JOIN photo p ON p.img = a.img AND p.x = a.sx AND p.y = a.sy AND p.c = a.c GROUP BY 1, 2, 3, 4)"""
 
 
-_SUMS = "SELECT img, c, round(sum(v), 3) AS total, round(sum(v * (x + 1)), 3) AS by_x, round(sum(v * (y + 1)), 3) AS by_y FROM hit GROUP BY 1, 2"
+_SUMS = "SELECT img, CAST(c AS INTEGER) AS c, CAST(round(sum(v), 3) AS DOUBLE) AS total, CAST(round(sum(v * (x + 1)), 3) AS DOUBLE) AS by_x, CAST(round(sum(v * (y + 1)), 3) AS DOUBLE) AS by_y FROM hit GROUP BY 1, 2"
 
 
 def _sums(out: DataFrame, kind: str) -> DataFrame:
@@ -162,7 +162,7 @@ spot AS (SELECT *, greatest(0, least((x + 0.5) * {WIDE // _BY} / {WIDE}.0::DOUBL
 corner AS (SELECT *, floor(u) + i AS sx, floor(w) + j AS sy, abs(1 - i - (u - floor(u))) * abs(1 - j - (w - floor(w))) AS weight FROM spot, {_CORNERS}),
 ramped AS (SELECT c.img, c.x, c.y, any_value(r) AS r, any_value(g) AS g, any_value(painted) AS painted, any_value(region) AS region, sum(weight * coalesce(s.ramp, 0)) AS ramp FROM corner c LEFT JOIN small s ON s.img = c.img AND s.bx = c.sx AND s.cy = c.sy GROUP BY 1, 2, 3),
 alpha AS (SELECT *, CASE WHEN region THEN least(1, greatest(0, 1 - ramp)) ELSE 0 END AS alpha, CASE WHEN region AND NOT painted THEN g ELSE r END AS base FROM ramped)
-SELECT img, x, y, round(alpha, 6) AS alpha, round(base * (1 - alpha) + g * alpha, 5) AS v FROM alpha WHERE region
+SELECT img, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, round(alpha, 10) AS alpha, round(base * (1 - alpha) + g * alpha, 10) AS v FROM alpha WHERE region
 """)
 def feathered_paste(spark: SparkSession, d: str) -> DataFrame:
     """One channel pasted over another where a mask says so, weighted by the ramp that the mask's edge makes."""
@@ -170,7 +170,7 @@ def feathered_paste(spark: SparkSession, d: str) -> DataFrame:
     region = x.between(6 + k % 4, 36) & y.between(3, 20 + k % 3) & ~(x.between(15, 19) & y.between(8, 12))
     cells = _grid(spark, d).select("img", "x", "y", F.col("r").alias("canvas"), (x < 22 + k % 5).alias("painted"), F.col("g").alias("new"), region.alias("region"))
     done = paste.feathered_cells(cells, _BY * _STEPS, _BY).where("region")
-    return done.select("img", "x", "y", r6(F.col("alpha")).alias("alpha"), F.round("v", 5).alias("v"))
+    return done.select("img", "x", "y", F.round("alpha", 10).alias("alpha"), F.round("v", 10).alias("v"))
 
 
 def _sql_blur(out: str, source: str, w: int, h: int) -> str:
@@ -195,7 +195,7 @@ def _sql_up(out: str, source: str, w: int, h: int) -> str:
 
 @query(f"""WITH {PHOTOS}, {_ALL}, source AS (SELECT img, 0 AS ch, x, y, r::DOUBLE AS v FROM whole),
 {_sql_down("half", "source", WIDE, TALL)}, {_sql_up("low", "half", WIDE, TALL)}
-SELECT s.img, s.x, s.y, round(l.v, 6) AS low, round(s.v - l.v, 6) + 0.0 AS high FROM source s JOIN low l ON l.img = s.img AND l.x = s.x AND l.y = s.y""")
+SELECT s.img, CAST(s.x AS INTEGER) AS x, CAST(s.y AS INTEGER) AS y, round(l.v, 6) AS low, round(s.v - l.v, 6) + 0.0 AS high FROM source s JOIN low l ON l.img = s.img AND l.x = s.x AND l.y = s.y""")
 def pyramid_two_levels(spark: SparkSession, d: str) -> DataFrame:
     """A Gaussian pyramid's second level brought back, and what it lacks."""
     levels = raster.pyramid_levels(_grid(spark, d).select("img", "x", "y", F.col("r").alias("v")), 2)
@@ -210,10 +210,10 @@ _MASK = "CASE WHEN x BETWEEN 8 + img % 6 AND 27 AND y BETWEEN 5 AND 18 THEN 1 EL
 mixed AS (SELECT c.img, 0 AS ch, c.x, c.y, c.v * (1 - m.v) + p.v * m.v AS v FROM half c JOIN half p ON p.img = c.img AND p.x = c.x AND p.y = c.y AND p.ch = 1 JOIN half m ON m.img = c.img AND m.x = c.x AND m.y = c.y AND m.ch = 2 WHERE c.ch = 0),
 {_sql_up("base", "mixed", WIDE, TALL)},
 high AS (SELECT s.img, s.ch, s.x, s.y, s.v - l.v AS v FROM source s JOIN low l ON l.img = s.img AND l.x = s.x AND l.y = s.y AND l.ch = s.ch)
-SELECT c.img, c.x, c.y, round(c.v * (1 - m.v) + p.v * m.v + b.v, 5) AS v FROM high c JOIN high p ON p.img = c.img AND p.x = c.x AND p.y = c.y AND p.ch = 1
+SELECT c.img, CAST(c.x AS INTEGER) AS x, CAST(c.y AS INTEGER) AS y, round((c.v * (1 - m.v) + p.v * m.v + b.v) / 1.37::DOUBLE, 6) + 0.0 AS scaled FROM high c JOIN high p ON p.img = c.img AND p.x = c.x AND p.y = c.y AND p.ch = 1
 JOIN source m ON m.img = c.img AND m.x = c.x AND m.y = c.y AND m.ch = 2 JOIN base b ON b.img = c.img AND b.x = c.x AND b.y = c.y WHERE c.ch = 0""")
 def multiband_paste(spark: SparkSession, d: str) -> DataFrame:
-    """One channel pasted over another by two bands."""
+    """One channel pasted over another by two bands; over 1.37, so that no rounded value lies half way."""
     mask = F.col("x").between(8 + F.col("img") % 6, 27) & F.col("y").between(5, 18)
     cells = _grid(spark, d).select("img", "x", "y", F.col("r").alias("canvas"), F.col("g").alias("patch"), mask.cast("int").alias("mask"))
-    return raster.multiband_pasted(cells, 2).select("img", "x", "y", F.round("v", 5).alias("v"))
+    return raster.multiband_pasted(cells, 2).select("img", "x", "y", (r6(F.col("v") / 1.37) + 0.0).alias("scaled"))
