@@ -11,8 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.operators.raster import ground_distance, warp_labels
+from framelake.operators import tiles
+from framelake.operators.raster import ground_distance
 from framelake.operators.selection import lower_median, percentiles
+from framelake.sources.scratch import materialise
 
 EPS = 1e-6
 
@@ -116,14 +118,21 @@ def temporal_consistency(labels: DataFrame, flow: DataFrame, classes: Sequence[i
     """(video, n_pairs, consistency): mean over consecutive frames of the classes' mean IoU with the frame before, warped.
 
     labels (video, frame_id, x, y, v); flow (video, frame_id, x, y, dx, dy) leads from a frame to the one before. Class 0
-    and ignored classes don't count, nor pairs of frames without any other.
+    and ignored classes don't count, nor pairs of frames without any other. Cells are dealt once, as tiles; the warp moves
+    their bytes, and counts leave it.
     """
     img = F.struct("video", "frame_id").alias("img")
-    before = labels.select(F.struct("video", (F.col("frame_id") + 1).alias("frame_id")).alias("img"), "x", "y", "v")
-    known = before.select("img").distinct()
-    warped = warp_labels(before, flow.select(img, "x", "y", "dx", "dy").join(known, "img", "left_semi"))
-    both = labels.select(img, "x", "y", F.col("v").alias("now")).join(warped, ["img", "x", "y"])
-    counts = class_counts(pairs(both, F.col("label"), F.col("now"), "img"), [c for c in classes if c not in (0, *ignore)], "img")
+    now, led = labels.select(img, "x", "y", "v"), flow.select(img, "x", "y", "dx", "dy", F.lit(1).alias("there"))
+    side = lambda df: df.groupBy("img").agg(F.max("x").alias("x"), F.max("y").alias("y"))
+    own = side(now).unionByName(side(led)).select("img", F.col("img.video").alias("video"), "x", "y")
+    whole = own.groupBy("video").agg(*[(F.max(c) + 1).cast("int").alias(n) for c, n in (("x", "iw"), ("y", "ih"))])
+    sides = materialise(own.select("img", "video").distinct().join(whole, "video").select("img", "iw", "ih"), "sides")  # a row for each frame
+    held = materialise(tiles.from_cells(now, sides, kind="i4", empty=-1), "labels")
+    seen = held.withColumn("img", F.struct("img.video", (F.col("img.frame_id") + 1).alias("frame_id")))
+    after = sides.select(F.struct("img.video", (F.col("img.frame_id") + 1).alias("frame_id")).alias("img"))
+    known = tiles.from_cells(led, sides.join(after, "img", "left_semi"), ("dx", "dy", "there"), kind="f8")
+    counted = tiles.confusion(tiles.warp_labels(seen, known, kind="i4", flow_kind="f8"), held)
+    counts = class_counts(counted, [c for c in classes if c not in (0, *ignore)], "img")
     union = F.col("pred_sum") + F.col("gt_sum") - F.col("inter")
     per_pair = counts.where(union > 0).groupBy("img").agg(F.avg(F.col("inter") / union).alias("iou"))
     return per_pair.groupBy(F.col("img.video").alias("video")).agg(F.count("*").alias("n_pairs"), F.avg("iou").alias("consistency"))

@@ -70,8 +70,8 @@ def untiled(tiles: DataFrame, side: int = SIDE, kind: str = "u1") -> DataFrame:
     return tiles.groupBy("img").applyInArrow(join, f"img {_sql(tiles)}, h int, w int, n int, pixels binary")
 
 
-def from_cells(cells: DataFrame, sizes: DataFrame, values: tuple[str, ...] = ("v",), side: int = SIDE, kind: str = "u1") -> DataFrame:
-    """Tiles of cells (img, x, y, a column for each channel), of images of the sizes (img, iw, ih); other places are 0."""
+def from_cells(cells: DataFrame, sizes: DataFrame, values: tuple[str, ...] = ("v",), side: int = SIDE, kind: str = "u1", empty: float = 0) -> DataFrame:
+    """Tiles of cells (img, x, y, a column for each channel), of images of the sizes (img, iw, ih); other places are empty."""
     tx, ty = (F.floor(F.col(c) / side).cast("int") for c in ("x", "y"))
     inside = cells.join(sizes, "img").where("x >= 0 and x < iw and y >= 0 and y < ih").select(F.col("img").alias("img"), tx.alias("tx"), ty.alias("ty"), "x", "y", *[F.col(c).alias(f"v{i}") for i, c in enumerate(values)])
     every = sizes.where("iw > 0 and ih > 0").select("img", "iw", "ih", F.explode(F.sequence(F.lit(0), F.floor((F.col("iw") - 1) / side).cast("int"))).alias("tx"))
@@ -81,7 +81,7 @@ def from_cells(cells: DataFrame, sizes: DataFrame, values: tuple[str, ...] = ("v
         if not tile.num_rows:
             return tile.select(["img", "tx", "ty", "iw", "ih"]).append_column("n", pa.array([], pa.int32())).append_column("data", pa.array([], pa.binary()))
         tx, ty, iw, ih = (tile[c][0].as_py() for c in ("tx", "ty", "iw", "ih"))
-        out = np.zeros((min(side, ih - ty * side), min(side, iw - tx * side), len(values)), kind)
+        out = np.full((min(side, ih - ty * side), min(side, iw - tx * side), len(values)), empty, kind)
         if own.num_rows:
             x, y = own["x"].to_numpy() - tx * side, own["y"].to_numpy() - ty * side
             for i in range(len(values)):
@@ -258,51 +258,76 @@ def resize(tiles: DataFrame, width: int, height: int, mode: str = "bilinear", al
     return _resampled(tiles, rows.select("img", "gx", "gy", "iw", "ih", "n", *ends), places, width, height, mode, True, side, kind, out or kind)
 
 
-def warp_labels(labels: DataFrame, flow: DataFrame, side: int = SIDE, kind: str = "u1") -> DataFrame:
-    """Tiles of the labels before at the places to which flow leads: tiles of two f4 channels (dx, dy), of the same images.
+def warp_labels(labels: DataFrame, flow: DataFrame, side: int = SIDE, kind: str = "u1", flow_kind: str = "f4") -> DataFrame:
+    """Tiles of the labels before at the places to which flow leads: tiles of channels dx and dy, of the same images.
 
-    Of the classes of the four places around, the one of the largest bilinear weight wins, ties to the smallest; places
-    outside the image are class 0.
+    Of the classes (the labels' first channel) of the four places around, the one of the largest bilinear weight wins, ties
+    to the smallest; negative labels and places outside the image are class 0. A third channel of flow says where there is any; elsewhere the
+    result is -1, which kind must hold.
     """
 
+    def places(tx: int, ty: int, ih: int, n: int, data: pa.Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        a = np.frombuffer(data, flow_kind).reshape(min(side, ih - ty * side), -1, n).astype("float64")
+        y, x = np.mgrid[: a.shape[0], : a.shape[1]]
+        return x + tx * side + a[:, :, 0], y + ty * side + a[:, :, 1], a[:, :, 2] > 0 if n > 2 else None
+
     def boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ends: list[list[int]] = [[] for _ in _BOX]
             for i in range(batch.num_rows):
-                tx, ty, iw, ih = (batch.column(c)[i].as_py() for c in ("gx", "gy", "iw", "ih"))
-                a = np.frombuffer(batch.column("flow")[i].as_buffer(), "f4").reshape(min(side, ih - ty * side), -1, 2).astype("float64")
-                y, x = np.mgrid[: a.shape[0], : a.shape[1]]
-                u, v = x + tx * side + a[:, :, 0], y + ty * side + a[:, :, 1]
+                tx, ty, iw, ih, n = (batch.column(c)[i].as_py() for c in ("gx", "gy", "iw", "ih", "n"))
+                u, v, _ = places(tx, ty, ih, n, batch.column("flow")[i].as_buffer())
                 low = [int(np.clip(np.floor(p.min()), 0, size)) for p, size in ((u, iw), (v, ih))]
                 high = [int(np.clip(np.floor(p.max()) + 2, 0, size)) for p, size in ((u, iw), (v, ih))]
                 for column, end in zip(ends, (*low, *high)):
                     column.append(end)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(e, pa.int32()) for e in ends)], [*batch.schema.names, *_BOX])
 
-    rows = flow.select("img", F.col("tx").alias("gx"), F.col("ty").alias("gy"), "iw", "ih", F.col("data").alias("flow"))
-    requests = rows.mapInArrow(boxes, f"img {_sql(flow)}, gx int, gy int, iw int, ih int, flow binary, x0 int, y0 int, x1 int, y1 int")
+    rows = flow.select("img", F.col("tx").alias("gx"), F.col("ty").alias("gy"), "iw", "ih", "n", F.col("data").alias("flow"))
+    requests = rows.mapInArrow(boxes, f"img {_sql(flow)}, gx int, gy int, iw int, ih int, n int, flow binary, x0 int, y0 int, x1 int, y1 int")
 
     def vote(rows: pa.Table, patch: np.ndarray, x0: int, y0: int) -> pa.Table:
-        tx, ty, iw, ih = (rows[c][0].as_py() for c in ("gx", "gy", "iw", "ih"))
-        a = np.frombuffer(rows["flow"][0].as_buffer(), "f4").reshape(min(side, ih - ty * side), -1, 2).astype("float64")
-        y, x = np.mgrid[: a.shape[0], : a.shape[1]]
-        u, v = x + tx * side + a[:, :, 0], y + ty * side + a[:, :, 1]
+        tx, ty, iw, ih, n = (rows[c][0].as_py() for c in ("gx", "gy", "iw", "ih", "n"))
+        u, v, there = places(tx, ty, ih, n, rows["flow"][0].as_buffer())
         bu, bv = np.floor(u), np.floor(v)
-        patch = patch if patch.size else np.zeros((0, 0, 1), kind)
+        patch = patch[:, :, :1] if patch.size else np.zeros((0, 0, 1), kind)
         cls, weight = [], []
         for i in (0, 1):
             for j in (0, 1):
-                cls.append(values_at(patch, x0, y0, iw, ih, bu + i, bv + j, "nearest")[..., 0])
+                cls.append(np.maximum(values_at(patch, x0, y0, iw, ih, bu + i, bv + j, "nearest")[..., 0], 0))
                 weight.append(np.abs(1 - i - (u - bu)) * np.abs(1 - j - (v - bv)))
         cls, weight = np.array(cls), np.array(weight)
         total = np.round((weight[None] * (cls[:, None] == cls[None])).sum(axis=1), 9)
         best = np.where(total == total.max(axis=0), cls, np.inf).min(axis=0)
+        best = best if there is None else np.where(there, best, -1)
         columns = (tx, ty, iw, ih, 1, best.astype(kind).tobytes())
         return pa.table([rows["img"].slice(0, 1), *(pa.array([c], t) for c, (_, t) in zip(columns, _TILE))], ["img", *(c for c, _ in _TILE)])
 
     return gathered(labels, requests, vote, _tile_schema(labels), side, kind)
 
 
+def confusion(a: DataFrame, b: DataFrame, side: int = SIDE, kind: str = "i4") -> DataFrame:
+    """(img, pred, gt, n): how often a class of a meets a class of b in one place of an image; negative ones don't count.
+
+    a and b are tiles of one channel; counts leave the tasks, not places. Tiles of one image are of one size in both.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, out = [], [[], [], []]
+            for i in range(batch.num_rows):
+                p, g = (np.frombuffer(batch.column(c)[i].as_buffer(), kind).astype("int64") for c in ("data", "_data"))
+                ok = (p >= 0) & (g >= 0)
+                pairs, n = np.unique(np.stack((p[ok], g[ok])), axis=1, return_counts=True)
+                at += [i] * len(n)
+                for column, values in zip(out, (pairs[0], pairs[1], n)):
+                    column += values.tolist()
+            yield pa.RecordBatch.from_arrays([batch.column("img").take(pa.array(at, pa.int64())), *(pa.array(c, pa.int64()) for c in out)], ["img", "pred", "gt", "n"])
+
+    both = a.select("img", "tx", "ty", "data").join(b.select(F.col("img").alias("img"), "tx", "ty", F.col("data").alias("_data")), ["img", "tx", "ty"])
+    return both.select("img", "data", "_data").mapInArrow(count, f"img {_sql(a)}, pred long, gt long, n long").groupBy("img", "pred", "gt").agg(F.sum("n").alias("n"))
+
+
 def _point_requests(points: DataFrame, tiles: DataFrame, before: int, after: int, side: int) -> DataFrame:
     """points (img, id, px, py) with their image's sides, their tile, and the box from before to after around the place."""
     rows = points.select("img", "id", F.col("px").cast("double").alias("px"), F.col("py").cast("double").alias("py")).join(sizes_of(tiles), "img")
