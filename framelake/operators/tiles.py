@@ -391,6 +391,17 @@ def crop(tiles: DataFrame, boxes: DataFrame, side: int = SIDE, kind: str = "u1")
     return gathered(tiles, requests, cut, _tile_schema(tiles), side, kind)
 
 
+def place(tiles: DataFrame, corners: DataFrame, width: int, height: int, side: int = SIDE, kind: str = "u1") -> DataFrame:
+    """Tiles of width x height images that hold each image from its corner (img, x0, y0) on, 0 elsewhere."""
+    last = lambda n: (n - 1) // side
+    rows = sizes_of(tiles).join(corners.select("img", F.col("x0").alias("ox"), F.col("y0").alias("oy")), "img")
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(last(height)))).alias("gy")).select("*", F.explode(F.sequence(F.lit(0), F.lit(last(width)))).alias("gx"))
+    within = lambda e, most: F.greatest(F.lit(0), F.least(e, F.col(most))).cast("int")
+    ends = [within((F.col(f"g{c}") + k) * side - F.col(f"o{c}"), f"i{n}").alias(f"{c}{k}") for c, n in (("x", "w"), ("y", "h")) for k in (0, 1)]
+    requests = rows.select("img", "gx", "gy", "iw", "ih", "n", "ox", "oy", *ends)
+    return _resampled(tiles, requests, lambda row, x, y: (x - row["ox"], y - row["oy"]), width, height, "nearest", False, side, kind, kind)
+
+
 def spline_at(row: dict, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where a thin-plate spline (cx, cy, wx, wy, ax, ay: centres, weights, affine parts of 1, x and y) takes places."""
     cx, cy = np.array(row["cx"], float), np.array(row["cy"], float)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.functions import parsing
+from framelake.functions import models, parsing
 from framelake.operators import geometry, joins, keypoints, raster, sequence, split, tiles
 from framelake.plans.image_queries import _H, _transforms
 from framelake.plans.registry import query, r6, table
@@ -288,3 +288,21 @@ def mask_complement(spark: SparkSession, d: str) -> DataFrame:
     """Masks and what they leave."""
     mask = F.when(parsing.mask_set(F.col("r") / 256.0), 255).otherwise(0)
     return _grid(spark, d).select("img", mask.alias("m")).groupBy("img").agg(F.sum("m").alias("mask"), F.sum(raster.complement(F.col("m"))).cast("bigint").alias("rest"))
+
+
+@query(f"""WITH {PHOTOS}, {_sql_places(30, 20)}, {_INVERSE}, box AS (SELECT img, img % 9 + 2 AS x0, img % 7 + 1 AS y0, img % 9 + 14 + img % 15 AS x1, img % 7 + 9 + img % 8 AS y1 FROM sizes),
+led AS (SELECT p.img, p.x, p.y, ({_product(_P, _PH)[0][0]} * p.x + {_product(_P, _PH)[0][1]} * p.y + {_product(_P, _PH)[0][2]}) / greatest({_product(_P, _PH)[2][0]} * p.x + {_product(_P, _PH)[2][1]} * p.y + {_product(_P, _PH)[2][2]}, 1e-8) AS u,
+    ({_product(_P, _PH)[1][0]} * p.x + {_product(_P, _PH)[1][1]} * p.y + {_product(_P, _PH)[1][2]}) / greatest({_product(_P, _PH)[2][0]} * p.x + {_product(_P, _PH)[2][1]} * p.y + {_product(_P, _PH)[2][2]}, 1e-8) AS w FROM places p JOIN det ON det.img = p.img WHERE det IS NOT NULL AND p.c = 0)
+SELECT l.img, CAST(coalesce(c.r, 0) // 64 AS INTEGER) AS cls, count(*) AS n, CAST(sum(l.x * 31 + l.y) AS BIGINT) AS places FROM led l JOIN box b ON b.img = l.img
+LEFT JOIN cells c ON c.img = l.img AND c.x = round_even(l.u, 0) AND c.y = round_even(l.w, 0) AND c.x >= b.x0 AND c.x < b.x1 AND c.y >= b.y0 AND c.y < b.y1 GROUP BY 1, 2""")
+def model_on_crops(spark: SparkSession, d: str) -> DataFrame:
+    """Crops of canvases given to a model, its classes placed in the canvas and led back to the frame."""
+    k = F.col("l_suppkey")
+    boxes = table(spark, d, "lineitem").select(k).distinct().select(k.alias("img"), (k % 9 + 2).alias("x0"), (k % 7 + 1).alias("y0"), (k % 9 + 14 + k % 15).alias("x1"), (k % 7 + 9 + k % 8).alias("y1"))
+    canvas = tiles.from_cells(photo_cells(spark, d).select("img", "x", "y", "r"), _photo_sizes(spark, d), ("r",), SIDE)
+    classes = models.segment(tiles.untiled(tiles.crop(canvas, boxes, SIDE), SIDE).select("img", "h", "w", "pixels")).withColumnRenamed("classes", "pixels")
+    placed = tiles.place(tiles.tiled(classes, side=SIDE), boxes, WIDE, TALL, SIDE)
+    h, to, _ = _canvas_matrices(spark, d)
+    inv = geometry.inverse(to)
+    seen = tiles.to_cells(tiles.warp(placed, h.select("img", *[inv[i][j].alias(f"h{i}{j}") for i, j in _NINE]), 30, 20, "nearest", SIDE), SIDE)
+    return seen.groupBy("img", F.col("v").cast("int").alias("cls")).agg(F.count("*").alias("n"), F.sum((F.col("x") * 31 + F.col("y")).cast("bigint")).alias("places"))

@@ -251,6 +251,18 @@ def model_on_canvas(rows: DataFrame, crop: str = "original", loader: Callable[[]
     return _per_row(rows, "classes", run)
 
 
+def tracked(done: DataFrame, track: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(video, frame_id, px, py, ...): a tracker's points of the canvas, made of batch_steps() or canvases() rows.
+
+    track may be any plan over these rows; its points go on to points_in_frame(). Points of frames that done lacks, or without
+    a place, are left out.
+    """
+    points = track(done)
+    if lacking := {"video", "frame_id", "px", "py"} - set(points.columns):
+        raise ValueError(f"a tracker's points lack {sorted(lacking)}")
+    return points.where("px is not null and py is not null").join(done.select("video", "frame_id").distinct(), ["video", "frame_id"], "left_semi")
+
+
 def points_in_frame(points: DataFrame, done: DataFrame, offset_x: Column, offset_y: Column) -> DataFrame:
     """points (video, frame_id, px, py, ...) of the canvas with fx, fy, their places in the frame that done (OUTPUT) leads there."""
     inv = geometry.inverse(geometry.entries())

@@ -44,7 +44,7 @@ def whole_canvas(rows, config):
     return out
 
 
-@pytest.mark.parametrize(("config", "generations"), [(steps.StepConfig(feather=40, trim=3), 8), (steps.StepConfig(feather=40, trim=3, reorient="always"), 2), (steps.STITCHER, 8)])
+@pytest.mark.parametrize(("config", "generations"), [(steps.StepConfig(feather=40, trim=3), 8), (steps.StepConfig(feather=40, trim=3, reorient="always"), 2), (steps.STITCHER, 8), (steps.PREDICTIONS, 8)])
 def test_tiles_equal_the_whole_canvas(spark, monkeypatch, config, generations):
     monkeypatch.setattr(canvas, "GENERATIONS", generations)
     monkeypatch.setattr(canvas, "SIDE", 32)
@@ -149,3 +149,16 @@ def test_first_frame_blur_and_occlusion():
     occluded[5:10] = True
     whole, framed = paste.regions(occluded, np.eye(3), 30, 30, 2)
     assert not whole[5:10].any() and not whole[:2].any() and framed[0].all() and not framed[5:10].any()
+
+
+def test_a_tracker_between_steps_and_frames(spark):
+    from pyspark.sql import functions as F
+
+    frames = spark.createDataFrame([(r[0], r[1], *r[3:6], *r[6:15]) for r in video("a", 5, 1)], "video string, frame_id long, h int, w int, blur double, " + ", ".join(f"{n} double" for n in geometry.NAMES))
+    done = steps.batch_steps(frames)
+    middle = lambda rows: rows.select("video", "frame_id", (F.col("h02") / F.col("h22") + 90).alias("px"), F.when(F.col("frame_id") != 3, F.col("h12") / F.col("h22") + 70).alias("py")).unionByName(spark.createDataFrame([("b", 1, 1.0, 1.0)], "video string, frame_id long, px double, py double"))
+    back = steps.points_in_frame(steps.tracked(done, middle), done, F.lit(90), F.lit(70)).collect()
+    assert sorted(r["frame_id"] for r in back) == [0, 1, 2, 4]
+    assert all(abs(r["fx"]) < 1e-6 and abs(r["fy"]) < 1e-6 for r in back)
+    with pytest.raises(ValueError, match="lack"):
+        steps.tracked(done, lambda rows: rows.select("video"))
