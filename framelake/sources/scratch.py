@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -43,6 +44,17 @@ def scratch_removed(spark: SparkSession) -> Iterator[None]:
         del _made[before:]
 
 
+def forget(table: DataFrame) -> None:
+    """Deletes the scratch folder of a table that materialise() or bucketed() gave, when nothing reads it any more."""
+    folders = {m[0] for f in table.inputFiles() if (m := re.match(r".*/framelake/[0-9a-f]{32}(?=/)", f))}
+    spark = table.sparkSession
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        name = folder.rsplit("/", 1)[1]
+        _made[:] = [f for f in _made if not f.endswith(name)]
+
+
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df as Parquet into the shared scratch folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

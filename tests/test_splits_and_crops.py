@@ -92,3 +92,19 @@ def test_steps_of_a_large_micro_batch_wait_in_the_state(spark, tmp_path):
     key = lambda r: (r["video"], r["frame_id"])
     got, want = ({key(r): tuple(r[c] for c in steps._OUT) for r in d.collect()} for d in (seen, steps.batch_steps(df)))
     assert got == want and len(got) == 120
+
+
+def test_scratch_tables_are_forgotten(spark):
+    from framelake.sources import scratch
+
+    kept, gone = (scratch.materialise(spark.range(10)) for _ in range(2))
+    dealt = scratch.bucketed(spark.range(20), 3, "id")
+    for table in (gone, dealt):
+        scratch.forget(table)
+    assert kept.count() == 10
+    for table in (gone, dealt):
+        with pytest.raises(Exception, match="exist|NOT_FOUND|not found"):
+            table.count()
+    before = list(scratch._made)
+    scratch.forget(spark.range(3))
+    assert scratch._made == before
