@@ -33,10 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.blocks import BLOCK_CHARS, ROWS, by_bucket, dealt_words, lists_of, mixed, pack, ranges, slices, squeeze, state_of, table_of, unpack, unsqueeze
+from framelake.llm.blocks import ROWS, by_bucket, dealt_words, lists_of, mixed, pack, ranges, slices, squeeze, state_of, table_of, unpack, unsqueeze
 from framelake.llm.common import WORD, bounded_batches, bucketed, materialise, release, strings, trimmed, whole
+from framelake.sources.scratch import forget
 
 WINDOW, ROUNDS = 20, 2
+BLOCK_CHARS = 4 << 20
 #: Null ids come after all others.
 LAST = (1 << 63) - 1
 #: Words of the corpus for each bucket of names; words that are Python objects at a time, in texts of over LONG bytes.
@@ -370,7 +372,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
             release()
             return out
 
-        state = bucketed(made(answers, None, (texts if state is None else state).where(own), rewrite), few, "block")
+        before, state = state, bucketed(made(answers, None, (texts if state is None else state).where(own), rewrite), few, "block")
+        if before is not None:
+            forget(before)
         answers = by_bucket(state, buckets, name_pairs(buckets, round_))
 
     def verify(block: int, names: np.ndarray, before: dict, rows: pa.Table) -> pa.Table:
@@ -382,6 +386,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
         return out
 
     seen = materialise(made(answers, None if state is None else state.where(own), texts, verify), "windows")
+    if state is not None:
+        forget(state)
     firsts = by_bucket(seen, buckets, first_documents)
     out = "doc_id long, n_words long, n_removed long, removed array<struct<start: long, end: long>>, kept string"
     return made(firsts, seen.where(own), texts, lambda _, names, before, rows: removed_words(state_of(rows), _words(rows), before, names, window), out)
