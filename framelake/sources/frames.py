@@ -11,6 +11,7 @@ Paths may be local or of any store that Arrow's file systems know by its URI.
 from __future__ import annotations
 
 import posixpath
+import re
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
@@ -54,7 +55,7 @@ def opened(path: str, size: int, head: bytes) -> Video:
     tags = {t[:1]: t[1:].decode("ascii", "replace") for t in line.split(b" ")[1:] if t}
     width, height, space = int(tags.get(b"W", "0")), int(tags.get(b"H", "0")), tags.get(b"C", "420")
     share = next((v for k, v in PLANES.items() if space.startswith(k)), None)
-    if width < 1 or height < 1 or share is None or any(c.isdigit() for c in space[3:].lstrip("p")) and "p1" in space:
+    if width < 1 or height < 1 or share is None or re.search(r"(p|mono)\d+$", space):  # these have more than 8 bits
         raise ValueError(f"{path}: sides {width} x {height} in {space} aren't read")
     chroma = {1.0: 0, 3.0: 2 * width * height}.get(share)
     if chroma is None:
