@@ -40,6 +40,72 @@ def _batch(imgs: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["img", *(c for c, _ in _TILE)])
 
 
+#: Groups, and bytes of results, that leave a task together.
+_GROUPS, _BYTES = 256, 8 << 20
+
+
+def _changes(column: pa.Array) -> np.ndarray:
+    """Which rows but the first differ from the row before."""
+    if pa.types.is_struct(column.type):
+        return np.logical_or.reduce([_changes(c) for c in column.flatten()])
+    values = column.to_numpy(zero_copy_only=False)
+    return values[1:] != values[:-1]
+
+
+def in_groups(left: DataFrame, right: DataFrame, keys: tuple[str, ...], run: Callable[[pa.Table, pa.Table], pa.Table], made: str) -> DataFrame:
+    """run(left's rows, right's rows) for each key, which isn't null, of either side.
+
+    A partition's groups go to Python in one stream, sorted, since a stream for each of many small groups costs more than
+    their work.
+    """
+    none = lambda df: F.lit(None).cast(df.select(F.struct(*df.columns).alias("s")).schema["s"].dataType)
+    a = left.select(*keys, F.lit(0).alias("_side"), F.struct(*left.columns).alias("_l"), none(right).alias("_r"))
+    b = right.select(*keys, F.lit(1).alias("_side"), none(left).alias("_l"), F.struct(*right.columns).alias("_r"))
+    rows = a.union(b).repartition(*keys).sortWithinPartitions(*keys, "_side")
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, schemas, done, size = None, ([], []), None, [], 0
+
+        def close() -> None:
+            nonlocal size
+            if last is not None:
+                out = run(*(pa.Table.from_batches(h, s) for h, s in zip(held, schemas)))
+                held[0].clear(), held[1].clear()
+                if out.num_rows:
+                    done.append(out)
+                    size += out.nbytes
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            if done:
+                yield from pa.concat_tables(done).combine_chunks().to_batches()
+            done.clear()
+            size = 0
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            schemas = schemas or [pa.schema(list(batch.schema.field(c).type)) for c in ("_l", "_r")]
+            sides = batch.column("_side").to_numpy()
+            change = np.logical_or.reduce([_changes(batch.column(c)) for c in keys])
+            starts = [0, *(np.flatnonzero(change) + 1).tolist()]
+            for start, end in zip(starts, [*starts[1:], batch.num_rows]):
+                key = tuple(batch.column(c)[start].as_py() for c in keys) if start == 0 or end == batch.num_rows else True
+                if start or key != last:
+                    close()
+                    if len(done) >= _GROUPS or size >= _BYTES:
+                        yield from sent()
+                last = key
+                middle = start + int(np.searchsorted(sides[start:end], 1))
+                for own, column, schema, x, y in ((held[0], "_l", schemas[0], start, middle), (held[1], "_r", schemas[1], middle, end)):
+                    if y > x:
+                        own.append(pa.RecordBatch.from_arrays(batch.column(column).slice(x, y - x).flatten(), schema=schema))
+        close()
+        yield from sent()
+
+    return rows.mapInArrow(stream, made)
+
+
 def tiled(images: DataFrame, channels: int = 1, side: int = SIDE, kind: str = "u1") -> DataFrame:
     """Tiles of packed images (img, h, w, pixels): h x w x channels values, row by row."""
 
@@ -74,7 +140,7 @@ def from_cells(cells: DataFrame, sizes: DataFrame, values: tuple[str, ...] = ("v
     """Tiles of cells (img, x, y, a column for each channel), of images of the sizes (img, iw, ih); other places are empty."""
     tx, ty = (F.floor(F.col(c) / side).cast("int") for c in ("x", "y"))
     inside = cells.join(sizes, "img").where("x >= 0 and x < iw and y >= 0 and y < ih").select(F.col("img").alias("img"), tx.alias("tx"), ty.alias("ty"), "x", "y", *[F.col(c).alias(f"v{i}") for i, c in enumerate(values)])
-    every = sizes.where("iw > 0 and ih > 0").select("img", "iw", "ih", F.explode(F.sequence(F.lit(0), F.floor((F.col("iw") - 1) / side).cast("int"))).alias("tx"))
+    every = sizes.where("img is not null and iw > 0 and ih > 0").select("img", "iw", "ih", F.explode(F.sequence(F.lit(0), F.floor((F.col("iw") - 1) / side).cast("int"))).alias("tx"))
     every = every.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("ih") - 1) / side).cast("int"))).alias("ty"))
 
     def fill(tile: pa.Table, own: pa.Table) -> pa.Table:
@@ -88,8 +154,7 @@ def from_cells(cells: DataFrame, sizes: DataFrame, values: tuple[str, ...] = ("v
                 out[y, x, i] = own[f"v{i}"].to_numpy()
         return pa.table([tile["img"].slice(0, 1), *(pa.array([v], t) for v, (_, t) in zip((tx, ty, iw, ih, len(values), out.tobytes()), _TILE))], ["img", *(c for c, _ in _TILE)])
 
-    key = ("img", "tx", "ty")
-    return every.groupBy(*key).cogroup(inside.groupBy(*key)).applyInArrow(fill, _tile_schema(sizes))
+    return in_groups(every, inside, ("img", "tx", "ty"), fill, _tile_schema(sizes))
 
 
 def to_cells(tiles: DataFrame, side: int = SIDE, kind: str = "u1") -> DataFrame:
@@ -153,7 +218,7 @@ def gathered(tiles: DataFrame, requests: DataFrame, f: Callable[[pa.Table, np.nd
             patch[top - y0 : top - y0 + len(a), left - x0 : left - x0 + wide] = a
         return f(rows, patch, x0, y0)
 
-    return requests.groupBy(*_KEY).cogroup(pieces.groupBy(*_KEY)).applyInArrow(run, made)
+    return in_groups(requests, pieces, _KEY, run, made)
 
 
 def values_at(patch: np.ndarray, x0: int, y0: int, iw: int, ih: int, u: np.ndarray, v: np.ndarray, mode: str = "bilinear", edge: bool = False) -> np.ndarray:
