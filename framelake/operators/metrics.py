@@ -17,6 +17,8 @@ from framelake.operators.selection import lower_median, percentiles
 from framelake.sources.scratch import materialise
 
 EPS = 1e-6
+#: Bins whose counts are columns of one row.
+FEW = 4
 
 
 def pairs(df: DataFrame, pred: Column, gt: Column, *keys: str, ignore: Sequence[int] = ()) -> DataFrame:
@@ -80,8 +82,13 @@ def size_bins(pixels: DataFrame, image: Sequence[str], small: float, medium: flo
 def counts_in_bins(pixels: DataFrame, image: Sequence[str], classes: Sequence[int], bins: int) -> DataFrame:
     """(cls, bin, inter, pred_sum, gt_sum) of pixels (image, pred, gt, bin from 0 to bins - 1), as size_bins() counts.
 
-    One row for each image and class is dealt, with its counts of all bins.
+    With up to FEW bins one row for each image and class is dealt, with its counts of all bins; with more, a row for each of
+    these bins, and once again by image and class.
     """
+    if bins > FEW:
+        per_bin = class_counts(pairs(pixels, F.col("pred"), F.col("gt"), *image, "bin"), classes, *image, "bin")
+        rows = per_bin.withColumn("_has", F.sum("gt_sum").over(Window.partitionBy(*image, "cls"))).where("_has > 0")
+        return rows.groupBy("cls", "bin").agg(*[F.sum(c).alias(c) for c in ("inter", "pred_sum", "gt_sum")])
     hit = F.col("pred") == F.col("gt")
     truth = F.struct(F.col("gt").alias("cls"), F.when(hit, 1).otherwise(0).alias("kind"))
     wrong = F.struct(F.when(~F.coalesce(hit, F.lit(False)), F.col("pred")).alias("cls"), F.lit(2).alias("kind"))
@@ -107,6 +114,7 @@ def ground_bins(pixels: DataFrame, classes: Sequence[int] = range(256), bins: in
 
 def rolled_up(counts: DataFrame, group: int = 4) -> DataFrame:
     """(bins, bin, mean_dice): the classes' mean Dice of each bin of counts, without an epsilon, and of bins joined by group."""
+    counts = materialise(counts, "counts")  # a row for each class and bin
     sums = [F.sum(c).alias(c) for c in ("inter", "pred_sum", "gt_sum")]
     coarse = counts.groupBy("cls", F.floor(F.col("bin") / group).cast("int").alias("bin")).agg(*sums)
     plain = counts.groupBy("bin").agg(F.avg(F.try_divide(2 * F.col("inter"), F.col("pred_sum") + F.col("gt_sum"))).alias("mean_dice"))
