@@ -177,9 +177,13 @@ def patches(points: DataFrame, cells: DataFrame, size: int, width: int, height:
 
 
 def one_per_cell(points: DataFrame, img: str = "img") -> DataFrame:
-    """Of the points (img, x, y, score, ori, ...) that round to one cell, that with the highest score, then least |ori|."""
+    """Of the points (img, x, y, score, ori, ...) that round to one cell, that with the highest score, then least |ori|.
+
+    Points equal in all that are told apart by x, y and then their other columns, the smallest first, so that reruns agree.
+    """
     cell = [F.rint("x").cast("int"), F.rint("y").cast("int")]
-    w = Window.partitionBy(img, *cell).orderBy(F.desc("score"), F.abs("ori"), "x", "y")
+    rest = [f"`{c}`" for c in points.columns if c not in (img, "x", "y", "score")]
+    w = Window.partitionBy(img, *cell).orderBy(F.desc("score"), F.abs("ori"), "x", "y", *rest)
     return points.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 

@@ -489,3 +489,10 @@ def test_spline_of_bent_and_collinear_matches(spark):
     want = geometry.apply_spline(geometry.fit_spline(src, dst), src, np.array([(40.0, 60.0)]))[0]
     assert got["bent"] == pytest.approx(tuple(want), abs=1e-9)
     assert len(geometry.splines(rows, "k", [(40.0, 60.0)]).collect()) == 2
+
+
+def test_points_equal_in_a_cell_leave_no_tie_open(spark):
+    rows = [(i, "a", 1.25, 2.0, 5, 7 if i % 2 else -7) for i in (9, 4, 8, 3, 6)]
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        points = spark.createDataFrame(order, "id long, img string, x double, y double, score int, ori int").coalesce(1)
+        assert [r["id"] for r in keypoints.one_per_cell(points).collect()] == [3]
