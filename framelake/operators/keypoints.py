@@ -53,11 +53,16 @@ def bilinear(points: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def root_normalised(x: Column, eps: float = 1e-6) -> Column:
-    """L1-normalised, clipped below at eps, square roots, L2-normalised."""
+    """L1-normalised, clipped below at eps, square roots, L2-normalised.
+
+    Sums and arrays are bound to names, so that they are made once for a row and not once for each of its components.
+    """
+    bound = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
     add = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, v: s + f(v))
-    one = F.transform(x, lambda v: v.cast("double") / F.greatest(add(x, lambda u: F.abs(u.cast("double"))), F.lit(1e-12)))
+    least = lambda c: F.greatest(c, F.lit(1e-12))
+    one = bound(least(add(x, lambda u: F.abs(u.cast("double")))), lambda n: F.transform(x, lambda v: v.cast("double") / n))
     root = F.transform(one, lambda v: F.sqrt(F.greatest(v, F.lit(eps))))
-    return F.transform(root, lambda v: v / F.greatest(F.sqrt(add(root, lambda u: u * u)), F.lit(1e-12)))
+    return bound(root, lambda r: bound(least(F.sqrt(add(r, lambda u: u * u))), lambda n: F.transform(r, lambda v: v / n)))
 
 
 def assignments(prev: DataFrame, curr: DataFrame, pair: str, *, dustbin: bool = True, least: float | None = None) -> DataFrame:

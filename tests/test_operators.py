@@ -1,5 +1,6 @@
 """Closed forms, traps and properties of the operators."""
 
+import time
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -496,3 +497,10 @@ def test_points_equal_in_a_cell_leave_no_tie_open(spark):
     for order in (rows, rows[::-1], rows[2:] + rows[:2]):
         points = spark.createDataFrame(order, "id long, img string, x double, y double, score int, ori int").coalesce(1)
         assert [r["id"] for r in keypoints.one_per_cell(points).collect()] == [3]
+
+
+def test_root_normalised_sums_once_for_a_row(spark):
+    began = time.time()
+    rows = spark.range(2000).select(F.transform(F.sequence(F.lit(1), F.lit(256)), lambda i: (i + F.col("id")).cast("double")).alias("d"))
+    got = rows.select(keypoints.root_normalised(F.col("d")).alias("r")).select(F.aggregate("r", F.lit(0.0), lambda s, v: s + v * v).alias("n")).agg(F.min("n"), F.max("n")).first()
+    assert got[0] == pytest.approx(1) and got[1] == pytest.approx(1) and time.time() - began < 30
