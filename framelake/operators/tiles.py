@@ -40,8 +40,13 @@ def _batch(imgs: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["img", *(c for c, _ in _TILE)])
 
 
-#: Groups, and bytes of results, that leave a task together.
-_GROUPS, _BYTES = 256, 8 << 20
+#: Groups, and bytes of results, that leave a task together; tiles that are filled together.
+_GROUPS, _BYTES, _FILLED = 256, 8 << 20, 256
+_PLACE = ("img", "tx", "ty")
+
+
+def _together(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
 
 def _changes(column: pa.Array) -> np.ndarray:
@@ -136,25 +141,86 @@ def untiled(tiles: DataFrame, side: int = SIDE, kind: str = "u1") -> DataFrame:
     return tiles.groupBy("img").applyInArrow(join, f"img {_sql(tiles)}, h int, w int, n int, pixels binary")
 
 
+def _every_tile(sizes: DataFrame, side: int) -> DataFrame:
+    """(img, tx, ty, iw, ih) of all tiles of images of the sizes (img, iw, ih)."""
+    last = lambda c: F.sequence(F.lit(0), F.floor((F.col(c) - 1) / side).cast("int"))
+    every = sizes.where("img is not null and iw > 0 and ih > 0").select("img", F.col("iw").cast("int").alias("iw"), F.col("ih").cast("int").alias("ih"), F.explode(last("iw")).alias("tx"))
+    return every.select("img", "tx", F.explode(last("ih")).alias("ty"), "iw", "ih")
+
+
 def from_cells(cells: DataFrame, sizes: DataFrame, values: tuple[str, ...] = ("v",), side: int = SIDE, kind: str = "u1", empty: float = 0) -> DataFrame:
-    """Tiles of cells (img, x, y, a column for each channel), of images of the sizes (img, iw, ih); other places are empty."""
-    tx, ty = (F.floor(F.col(c) / side).cast("int") for c in ("x", "y"))
-    inside = cells.join(sizes, "img").where("x >= 0 and x < iw and y >= 0 and y < ih").select(F.col("img").alias("img"), tx.alias("tx"), ty.alias("ty"), "x", "y", *[F.col(c).alias(f"v{i}") for i, c in enumerate(values)])
-    every = sizes.where("img is not null and iw > 0 and ih > 0").select("img", "iw", "ih", F.explode(F.sequence(F.lit(0), F.floor((F.col("iw") - 1) / side).cast("int"))).alias("tx"))
-    every = every.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("ih") - 1) / side).cast("int"))).alias("ty"))
-
-    def fill(tile: pa.Table, own: pa.Table) -> pa.Table:
-        if not tile.num_rows:
-            return tile.select(["img", "tx", "ty", "iw", "ih"]).append_column("n", pa.array([], pa.int32())).append_column("data", pa.array([], pa.binary()))
-        tx, ty, iw, ih = (tile[c][0].as_py() for c in ("tx", "ty", "iw", "ih"))
-        out = np.full((min(side, ih - ty * side), min(side, iw - tx * side), len(values)), empty, kind)
-        if own.num_rows:
-            x, y = own["x"].to_numpy() - tx * side, own["y"].to_numpy() - ty * side
-            for i in range(len(values)):
-                out[y, x, i] = own[f"v{i}"].to_numpy()
-        return pa.table([tile["img"].slice(0, 1), *(pa.array([v], t) for v, (_, t) in zip((tx, ty, iw, ih, len(values), out.tobytes()), _TILE))], ["img", *(c for c, _ in _TILE)])
-
-    return in_groups(every, inside, ("img", "tx", "ty"), fill, _tile_schema(sizes))
+    """Tiles of cells (img, x, y, a column for each channel), of images of the sizes (img, iw, ih); other places are empty.
+
+    Cells and tiles are dealt once, by tile, a tile's own row before its cells; the tiles of a batch are filled together.
+    """
+    names = [f"v{i}" for i in range(len(values))]
+    kinds = {n: _sql(cells, c) for n, c in zip(names, values)} | {c: _sql(cells, c) for c in ("x", "y")}
+    null = lambda c: F.lit(None).cast(kinds[c]).alias(c)
+    every = _every_tile(sizes, side).select("img", "tx", "ty", F.lit(0).alias("_side"), "iw", "ih", null("x"), null("y"), *map(null, names))
+    own = [F.floor(F.col(c) / side).cast("int").alias(t) for c, t in (("x", "tx"), ("y", "ty"))]
+    none = [F.lit(None).cast("int").alias(c) for c in ("iw", "ih")]
+    inside = cells.where("x >= 0 and y >= 0").select(F.col("img").alias("img"), *own, F.lit(1).alias("_side"), *none, "x", "y", *[F.col(c).alias(n) for c, n in zip(values, names)])
+    rows = every.union(inside).repartition("img", "tx", "ty").sortWithinPartitions("img", "tx", "ty", "_side")
+
+    def fill(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """The tiles of complete groups of rows; groups without a tile's row are cells outside their image."""
+        starts = np.flatnonzero(np.concatenate(([True], np.logical_or.reduce([_changes(rows.column(c)) for c in _PLACE]))))
+        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, rows.num_rows)))
+        sides = rows.column("_side").to_numpy()
+        real = sides[starts] == 0
+        heads = rows.take(pa.array(starts[real]))
+        number = np.where(real, np.cumsum(real) - 1, -1)[group]
+        tx, ty, iw, ih = (heads.column(c).to_numpy() for c in ("tx", "ty", "iw", "ih"))
+        for first in range(0, len(tx), _FILLED):
+            last = min(len(tx), first + _FILLED)
+            out = np.full((last - first, side, side, len(values)), empty, kind)
+            on = np.flatnonzero((sides == 1) & (number >= first) & (number < last))
+            on = rows.take(pa.array(on)), number[on]
+            x, y = (on[0].column(c).to_numpy().astype("int64") for c in "xy")
+            there = (x < iw[on[1]]) & (y < ih[on[1]])
+            at = (on[1] - first)[there], (y - ty[on[1]] * side)[there], (x - tx[on[1]] * side)[there]
+            for i, name in enumerate(names):
+                out[(*at, i)] = on[0].column(name).to_numpy(zero_copy_only=False)[there]
+            wide, high = np.minimum(side, iw - tx * side), np.minimum(side, ih - ty * side)
+            made = [out[i - first, : high[i], : wide[i]].tobytes() for i in range(first, last)]
+            part = heads.slice(first, last - first)
+            columns = [part.column(c) for c in ("img", "tx", "ty", "iw", "ih")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(last - first, len(values), "int32")), pa.array(made, pa.binary())], ["img", *(c for c, _ in _TILE)])
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # rows from the last change of tile on wait for the next batch, and a batch without one joins those that wait
+            joined = _together([held[-1].slice(held[-1].num_rows - 1), batch]) if held else batch
+            changes = np.flatnonzero(np.logical_or.reduce([_changes(joined.column(c)) for c in _PLACE])) + 1 - bool(held)
+            if len(changes):
+                cut = int(changes[-1])
+                if held or cut:
+                    yield from fill(_together([*held, batch.slice(0, cut)]))
+                held = []
+                batch = batch.slice(cut)
+            held.append(batch)
+        if held:
+            yield from fill(_together(held))
+
+    return rows.mapInArrow(stream, _tile_schema(sizes))
+
+
+def computed(sizes: DataFrame, f: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], channels: int, side: int = SIDE, kind: str = "u1") -> DataFrame:
+    """Tiles of images of the sizes (img, iw, ih) whose values are f(img, x, y), height x width x channels, made in the tasks."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, (img, tx, ty, iw, ih) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("img", "tx", "ty", "iw", "ih")))):
+                y, x = np.mgrid[ty * side : min(ih, (ty + 1) * side), tx * side : min(iw, (tx + 1) * side)]
+                rows.append((i, tx, ty, iw, ih, channels, np.ascontiguousarray(f(img, x, y), kind).tobytes()))
+            if rows:
+                yield _batch(batch.column("img"), rows)
+
+    return _every_tile(sizes, side).mapInArrow(make, _tile_schema(sizes))
 
 
 def to_cells(tiles: DataFrame, side: int = SIDE, kind: str = "u1") -> DataFrame:
@@ -173,6 +239,47 @@ def to_cells(tiles: DataFrame, side: int = SIDE, kind: str = "u1") -> DataFrame:
     return tiles.mapInArrow(spread, f"img {_sql(tiles)}, x int, y int, c int, v double")
 
 
+def moments(tiles: DataFrame, side: int = SIDE, kind: str = "u1") -> DataFrame:
+    """(img, c, total, by_x, by_y): each channel's sums of its values, plain and times x + 1 and y + 1; sums leave the tasks."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, out = [], []
+            for i, (tx, ty, ih, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("tx", "ty", "ih", "n")))):
+                a = np.frombuffer(batch.column("data")[i].as_buffer(), kind).reshape(min(side, ih - ty * side), -1, n).astype("float64")
+                rows, columns = a.sum(axis=1), a.sum(axis=0)
+                y, x = (np.arange(len(v)) + t * side + 1.0 for v, t in ((rows, ty), (columns, tx)))
+                at += [i] * n
+                out.append(np.stack((np.arange(n), rows.sum(axis=0), x @ columns, y @ rows)))
+            made = np.concatenate(out, axis=1) if out else np.zeros((4, 0))
+            yield pa.RecordBatch.from_arrays([batch.column("img").take(pa.array(at, pa.int64())), pa.array(made[0].astype("int32")), *map(pa.array, made[1:])], ["img", "c", "total", "by_x", "by_y"])
+
+    found = tiles.mapInArrow(add, f"img {_sql(tiles)}, c int, total double, by_x double, by_y double")
+    return found.groupBy("img", "c").agg(*[F.sum(c).alias(c) for c in ("total", "by_x", "by_y")])
+
+
+def class_places(tiles: DataFrame, side: int = SIDE, kind: str = "u1") -> DataFrame:
+    """(img, cls, n, sum_x, sum_y): how many places of one-channel tiles hold a class, and the sums of their x and y."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, out = [], [[] for _ in range(4)]
+            for i, (tx, ty, ih) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("tx", "ty", "ih")))):
+                a = np.frombuffer(batch.column("data")[i].as_buffer(), kind).reshape(min(side, ih - ty * side), -1)
+                found, place = np.unique(a, return_inverse=True)
+                place, n = place.reshape(a.shape), len(found)
+                hits = np.bincount(place.ravel(), minlength=n)
+                y, x = (a_.ravel() for a_ in np.indices(a.shape))
+                sums = [np.bincount(place.ravel(), weights=v, minlength=n).astype("int64") + hits * t * side for v, t in ((x, tx), (y, ty))]
+                at += [i] * n
+                for column, v in zip(out, (found.astype("int64"), hits, *sums)):
+                    column += v.tolist()
+            yield pa.RecordBatch.from_arrays([batch.column("img").take(pa.array(at, pa.int64())), *(pa.array(c, pa.int64()) for c in out)], ["img", "cls", "n", "sum_x", "sum_y"])
+
+    found = tiles.mapInArrow(count, f"img {_sql(tiles)}, cls long, n long, sum_x long, sum_y long")
+    return found.groupBy("img", "cls").agg(*[F.sum(c).alias(c) for c in ("n", "sum_x", "sum_y")])
+
+
 def sizes_of(tiles: DataFrame) -> DataFrame:
     """(img, iw, ih, n) of the images that tiles make up."""
     return tiles.where("tx = 0 and ty = 0").select("img", "iw", "ih", "n")
@@ -218,7 +325,7 @@ def gathered(tiles: DataFrame, requests: DataFrame, f: Callable[[pa.Table, np.nd
             patch[top - y0 : top - y0 + len(a), left - x0 : left - x0 + wide] = a
         return f(rows, patch, x0, y0)
 
-    return in_groups(requests, pieces, _KEY, run, made)
+    return in_groups(requests.drop(*_BOX), pieces, _KEY, run, made)
 
 
 def values_at(patch: np.ndarray, x0: int, y0: int, iw: int, ih: int, u: np.ndarray, v: np.ndarray, mode: str = "bilinear", edge: bool = False) -> np.ndarray:
@@ -424,12 +531,14 @@ def patches(tiles: DataFrame, points: DataFrame, size: int, side: int = SIDE, ki
     """
 
     def cut(rows: pa.Table, patch: np.ndarray, x0: int, y0: int) -> pa.Table:
-        lefts, tops, out = [], [], []
-        for px, py, iw, ih in zip(*(rows[c].to_pylist() for c in ("px", "py", "iw", "ih"))):
-            left, top = (int(max(0, min(np.floor(p) - size // 2, most - size))) for p, most in ((px, iw), (py, ih)))
-            lefts.append(left), tops.append(top)
-            out.append(np.ascontiguousarray(patch[top - y0 : top - y0 + size, left - x0 : left - x0 + size]).tobytes())
-        return pa.table([rows["img"], rows["id"], pa.array(lefts, pa.int32()), pa.array(tops, pa.int32()), pa.array(out, pa.binary())], ["img", "id", "left", "top", "patch"])
+        place = lambda p, most: np.maximum(0, np.minimum(np.floor(rows[p].to_numpy()) - size // 2, rows[most].to_numpy() - size)).astype("int32")
+        left, top = place("px", "iw"), place("py", "ih")
+        if min(patch.shape[:2]) >= size:
+            views = np.lib.stride_tricks.sliding_window_view(patch, (size, size), axis=(0, 1))  # channels come before the sides
+            out = [v.tobytes() for v in views[top - y0, left - x0].transpose(0, 2, 3, 1)]
+        else:  # the image is smaller than a patch
+            out = [np.ascontiguousarray(patch[t - y0 : t - y0 + size, x - x0 : x - x0 + size]).tobytes() for x, t in zip(left.tolist(), top.tolist())]
+        return pa.table([rows["img"], rows["id"], pa.array(left), pa.array(top), pa.array(out, pa.binary())], ["img", "id", "left", "top", "patch"])
 
     rows = _point_requests(points, tiles, 0, 0, side)
     for c, most in (("x", "iw"), ("y", "ih")):

@@ -11,10 +11,10 @@ from framelake.functions import models, parsing
 from framelake.operators import geometry, joins, keypoints, raster, sequence, split, tiles
 from framelake.plans.image_queries import _H, _transforms
 from framelake.plans.registry import query, r6, table
-from framelake.plans.tile_queries import _ALL, _CORNERS, _INVERSE, _SUMS, PHOTOS, SIDE, TALL, WIDE, _grid, _sql_bilinear, _sql_places, _sums, photo_cells, photos
+from framelake.plans.tile_queries import _ALL, _CORNERS, _INVERSE, _SUMS, PHOTOS, SIDE, TALL, WIDE, _class_sums, _grid, _sql_bilinear, _sql_places, _sums, photo_cells, photos
 from framelake.plans.tile_queries import _transforms as _photo_transforms
 from framelake.sources import files, frames
-from framelake.sources.scratch import scratch_dir
+from framelake.sources.scratch import materialise, scratch_dir
 
 _NINE = [(i, j) for i in range(3) for j in range(3)]
 
@@ -235,10 +235,9 @@ def image_files_there_and_back(spark: SparkSession, d: str) -> DataFrame:
     rows = plain.select(F.concat(F.lit("video"), F.col("img").cast("string")).alias("video"), F.lit(0).alias("frame_id"), "h", "w", F.col("pixels").alias("classes"))
     frames.class_files(rows).write.format("frame_files").mode("append").save(root)
     read = files.images(spark, root, "*.png").where("status = 'ok'").withColumnRenamed("path", "img")
-    cells = tiles.to_cells(tiles.tiled(read, side=SIDE), SIDE)
-    whole = lambda c: F.sum(c).cast("bigint")
+    sums = tiles.moments(tiles.tiled(read, side=SIDE), SIDE)
     name = F.concat_ws("/", F.element_at(F.split("img", "/"), -2), F.element_at(F.split("img", "/"), -1))
-    return cells.groupBy(name.alias("file")).agg(whole(F.col("v")).alias("total"), whole(F.col("v") * (F.col("x") + 1)).alias("by_x"), whole(F.col("v") * (F.col("y") + 1)).alias("by_y"))
+    return sums.select(name.alias("file"), *[F.col(c).cast("bigint").alias(c) for c in ("total", "by_x", "by_y")])
 
 
 def _photo_sizes(spark: SparkSession, d: str) -> DataFrame:
@@ -299,10 +298,9 @@ def model_on_crops(spark: SparkSession, d: str) -> DataFrame:
     """Crops of canvases given to a model, its classes placed in the canvas and led back to the frame."""
     k = F.col("l_suppkey")
     boxes = table(spark, d, "lineitem").select(k).distinct().select(k.alias("img"), (k % 9 + 2).alias("x0"), (k % 7 + 1).alias("y0"), (k % 9 + 14 + k % 15).alias("x1"), (k % 7 + 9 + k % 8).alias("y1"))
-    canvas = tiles.from_cells(photo_cells(spark, d).select("img", "x", "y", "r"), _photo_sizes(spark, d), ("r",), SIDE)
+    canvas = materialise(tiles.from_cells(photo_cells(spark, d).select("img", "x", "y", "r"), _photo_sizes(spark, d), ("r",), SIDE), "canvas")
     classes = models.segment(tiles.untiled(tiles.crop(canvas, boxes, SIDE), SIDE).select("img", "h", "w", "pixels")).withColumnRenamed("classes", "pixels")
-    placed = tiles.place(tiles.tiled(classes, side=SIDE), boxes, WIDE, TALL, SIDE)
+    placed = materialise(tiles.place(materialise(tiles.tiled(classes, side=SIDE), "classes"), boxes, WIDE, TALL, SIDE), "placed")
     h, to, _ = _canvas_matrices(spark, d)
     inv = geometry.inverse(to)
-    seen = tiles.to_cells(tiles.warp(placed, h.select("img", *[inv[i][j].alias(f"h{i}{j}") for i, j in _NINE]), 30, 20, "nearest", SIDE), SIDE)
-    return seen.groupBy("img", F.col("v").cast("int").alias("cls")).agg(F.count("*").alias("n"), F.sum((F.col("x") * 31 + F.col("y")).cast("bigint")).alias("places"))
+    return _class_sums(tiles.warp(placed, h.select("img", *[inv[i][j].alias(f"h{i}{j}") for i, j in _NINE]), 30, 20, "nearest", SIDE))

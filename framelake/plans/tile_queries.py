@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.operators import geometry, paste, raster, tiles
 from framelake.plans.registry import query, r6, table
+from framelake.sources.scratch import materialise
 
 WIDE, TALL, SIDE = 40, 24, 16
 
@@ -20,9 +22,9 @@ def photo_cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def photos(spark: SparkSession, d: str) -> DataFrame:
-    """photo_cells() as tiles."""
+    """photo_cells() as tiles, made once: operators read their sides and their bytes apart."""
     sizes = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("img")).distinct().select("img", F.lit(WIDE).alias("iw"), F.lit(TALL).alias("ih"))
-    return tiles.from_cells(photo_cells(spark, d), sizes, ("r", "g", "b"), SIDE)
+    return materialise(tiles.from_cells(photo_cells(spark, d), sizes, ("r", "g", "b"), SIDE), "photos")
 
 
 PHOTOS = f"""
@@ -49,9 +51,7 @@ _SUMS = "SELECT img, CAST(c AS INTEGER) AS c, CAST(round(sum(v), 3) AS DOUBLE) A
 
 def _sums(out: DataFrame, kind: str) -> DataFrame:
     """Moments of each image's channels, which any wrong place would change."""
-    cells = tiles.to_cells(out, SIDE, kind)
-    total = lambda c: F.round(F.sum(c), 3)
-    return cells.groupBy("img", "c").agg(total(F.col("v")).alias("total"), total(F.col("v") * (F.col("x") + 1)).alias("by_x"), total(F.col("v") * (F.col("y") + 1)).alias("by_y"))
+    return tiles.moments(out, SIDE, kind).select("img", "c", *[F.round(c, 3).alias(c) for c in ("total", "by_x", "by_y")])
 
 
 def _transforms(spark: SparkSession, d: str) -> DataFrame:
@@ -105,11 +105,13 @@ def tile_label_warp(spark: SparkSession, d: str) -> DataFrame:
     """Labels of the frame before led by a flow; the heaviest class of four places wins."""
     sizes = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("img")).distinct().select("img", F.lit(WIDE).alias("iw"), F.lit(TALL).alias("ih"))
     labels = tiles.from_cells(photo_cells(spark, d).withColumn("cls", F.col("r") % 5), sizes, ("cls",), SIDE)
-    grid = sizes.select("img", F.explode(F.sequence(F.lit(0), F.lit(WIDE - 1))).alias("x")).select("*", F.explode(F.sequence(F.lit(0), F.lit(TALL - 1))).alias("y"))
-    x, y = F.col("x"), F.col("y")
-    flow = grid.select("img", "x", "y", (((x * 7 + y * 3 + F.col("img")) % 13 - 6) / 4.0).alias("dx"), (((x * 5 + y * 11 + F.col("img")) % 9 - 4) / 4.0).alias("dy"))
-    led = tiles.to_cells(tiles.warp_labels(labels, tiles.from_cells(flow, sizes, ("dx", "dy"), SIDE, "f4"), SIDE), SIDE)
-    return led.groupBy("img", F.col("v").cast("int").alias("cls")).agg(F.count("*").alias("n"), F.sum((F.col("x") * 31 + F.col("y")).cast("bigint")).alias("places"))
+    flow = tiles.computed(sizes, lambda img, x, y: np.stack((((x * 7 + y * 3 + img) % 13 - 6) / 4.0, ((x * 5 + y * 11 + img) % 9 - 4) / 4.0), axis=2), 2, SIDE, "f4")
+    return _class_sums(tiles.warp_labels(labels, flow, SIDE))
+
+
+def _class_sums(out: DataFrame) -> DataFrame:
+    """How many places a class has in each image, and a sum that any wrong place would change."""
+    return tiles.class_places(out, SIDE).select("img", F.col("cls").cast("int").alias("cls"), "n", (F.col("sum_x") * 31 + F.col("sum_y")).alias("places"))
 
 
 def _points(spark: SparkSession, d: str) -> DataFrame:

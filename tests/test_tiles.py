@@ -110,3 +110,35 @@ def test_points_and_patches(spark):
         left, top = int(np.clip(np.floor(x) - 2, 0, 45)), int(np.clip(np.floor(y) - 2, 0, 35))
         assert (cut[i]["left"], cut[i]["top"]) == (left, top) and bytes(cut[i]["patch"]) == made[0][top : top + 5, left : left + 5].tobytes()
     assert json.dumps(sorted(got)) == json.dumps(list(range(8)))
+
+
+def test_cells_fill_tiles_over_batches_of_any_size(spark):
+    rng = np.random.default_rng(4)
+    cells = [(k, int(x), int(y), int(rng.integers(256)), int(rng.integers(256))) for k in (1, 2, None) for x in range(-2, 40) for y in range(-1, 21) if rng.random() < 0.8]
+    sizes = spark.createDataFrame([(1, 37, 18), (2, 5, 30), (3, 17, 17)], "img long, iw int, ih int")
+    df = spark.createDataFrame(cells, "img long, x int, y int, r int, g int")
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {k: np.full((h, w, 2), 9, "u1") for k, w, h in ((1, 37, 18), (2, 5, 30), (3, 17, 17))}
+    for k, x, y, *v in cells:
+        if k and 0 <= x < want[k].shape[1] and 0 <= y < want[k].shape[0]:
+            want[k][y, x] = v
+    try:
+        for rows in (7, 10000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            made = tiles.from_cells(df, sizes, ("r", "g"), 16, empty=9)
+            got = {r["img"]: np.frombuffer(r["pixels"], "u1").reshape(r["h"], r["w"], r["n"]) for r in tiles.untiled(made, 16).collect()}
+            assert got.keys() == want.keys() and all((got[k] == want[k]).all() for k in want)
+            sums = {(r["img"], r["c"]): (r["total"], r["by_x"], r["by_y"]) for r in tiles.moments(made, 16).collect()}
+            for k, a in want.items():
+                y, x = np.mgrid[: a.shape[0], : a.shape[1]]
+                assert all(sums[k, c] == (a[..., c].sum(), (a[..., c] * (x + 1.0)).sum(), (a[..., c] * (y + 1.0)).sum()) for c in (0, 1))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+
+
+def test_classes_of_tiles_are_counted_with_their_places(spark):
+    made = tiles.computed(spark.createDataFrame([(5, 35, 20)], "img long, iw int, ih int"), lambda img, x, y: ((x * 3 + y + img) % 4)[..., None], 1, 16)
+    y, x = np.mgrid[:20, :35]
+    a = (x * 3 + y + 5) % 4
+    got = {r["cls"]: (r["n"], r["sum_x"], r["sum_y"]) for r in tiles.class_places(made, 16).collect()}
+    assert got == {k: ((a == k).sum(), x[a == k].sum(), y[a == k].sum()) for k in range(4)}
