@@ -34,7 +34,10 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies: 5-word Jaccard similarity of 0.8 or more."""
+    """One document, that of the smallest id, of each group of near copies: 5-word Jaccard similarity of 0.8 or more.
+
+    Candidates come from SimHash fingerprints by BK-trees, and from min-hash bands those that lie too many bits apart.
+    """
     return simhash.representatives(docs)
 
 

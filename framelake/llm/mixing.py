@@ -132,7 +132,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     words = F.regexp_count(whole(), F.lit(WORD)).cast("long")
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), F.col("doc_id").alias("id"), F.col("source").cast("string").alias("of"), words.alias("words"))
     same = F.col("id").eqNullSafe(F.col("doc_id")) & F.col("of").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size"))
-    even = units.where("more = 0 or more = rows")
+    even = units.where("more = 0 or more = rows").hint("merge")  # documents are dealt by unit, at any size
     taken = rows.join(even, same).select("doc", (F.col("each") + (F.col("more") > 0).cast("long")).alias("copies"))
     torn = units.where("more > 0 and more < rows")
     if torn.head(1):  # some of a unit's rows get one copy more: those of the smallest hashes, equal rows together

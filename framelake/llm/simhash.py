@@ -11,10 +11,11 @@ what it found connected, not all pairs.
 
 Components come from repeated star contractions of the links, with a table in the shared folder between the rounds.
 
-representatives() joins near copies instead: texts whose sets of WIDTH-word shingles have a Jaccard similarity of NEAR
-or more, which lie too many bits apart for a BK-tree to leave out anything. Candidates are the sets that share one of
-BANDS bands of ROWS min-hashes; each link is checked on the sets themselves. A pair of similarity s shares a band with
-probability 1 - (1 - s^ROWS)^BANDS, 0.9998 at 0.8 and more above it; it must be linked directly or through others.
+representatives() joins near copies: texts whose sets of WIDTH-word shingles have a Jaccard similarity of NEAR or more.
+Candidates are the sets whose fingerprints, of these shingles, the BK-trees connect within RADIUS. Copies further apart
+(some 10 bits at 0.8, where a BK-tree leaves nothing out) come besides from BANDS bands of ROWS min-hashes. Each link is
+checked on the sets themselves. A pair of similarity s shares a band with probability 1 - (1 - s^ROWS)^BANDS, 0.9998 at 0.8
+and more above it; it must be linked directly or through others.
 
 Defined results: null texts are empty; a text without words has fingerprint zero and links like any other; repeated
 rows get equal results; a null id is never a component's name unless all its ids are null; an empty table gives an empty
@@ -224,6 +225,12 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, "uint64"), *(np.array(x, "uint64") for x in shingle_chunks(text, WIDTH, xxhash.xxh64_intdigest))]))
 
 
+def set_print(hashes: np.ndarray) -> int:
+    """A set's fingerprint, a signed long: each bit is set if it is set in over half of the hashes."""
+    total = np.unpackbits(hashes.astype(">u8").view("u1").reshape(-1, 8), axis=1).sum(axis=0, dtype="int64")
+    return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big", signed=True)
+
+
 def set_key(hashes: np.ndarray) -> int:
     """The name of a set of shingles, a signed long."""
     import xxhash
@@ -280,20 +287,22 @@ def _shingled(docs: DataFrame) -> DataFrame:
 def near_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): links that connect all of sets (key, n, bands) that share a band and have similarity NEAR or more.
 
+    Any value of bands names a shard of candidates: a component of fingerprints, or a band of min-hashes.
+
     First every set is compared with the smallest of each of its bands. Then, in the bands that hold more than one
     component, all pairs that aren't connected are compared, in pairs of pieces of at most about PART sets. A large
     group of near copies so needs few comparisons, and comparisons that fail have no rows.
     """
     shards = sets.select("key", "n", F.explode("bands").alias("shard"))
-    heads = shards.groupBy("shard").agg(F.min(F.struct("key", "n")).alias("head"), F.count("*").alias("size")).where("size > 1").select("shard", "head")
+    heads = shards.groupBy("shard").agg(F.min(F.struct("key", "n")).alias("head"), F.count("*").alias("size")).where("size > 1").select("shard", "head").hint("merge")
     shared = materialise(shards.join(heads, "shard").select("shard", "key", "n", "head"), "shared")
     keys = materialise(shared.select("key").distinct(), "shared_keys")
     held = _shingled(docs).join(small(keys, keys.count()), "key", "left_semi").groupBy("key").agg(F.first("hashes").alias("hashes"))
     held = materialise(held, "shingles")
 
     def compared(pairs: DataFrame) -> DataFrame:
-        rows = pairs.join(held.select(F.col("key").alias("a"), F.col("hashes").alias("first")), "a")
-        rows = rows.join(held.select(F.col("key").alias("b"), F.col("hashes").alias("second")), "b")
+        rows = pairs.hint("merge").join(held.select(F.col("key").alias("a"), F.col("hashes").alias("first")), "a")
+        rows = rows.hint("merge").join(held.select(F.col("key").alias("b"), F.col("hashes").alias("second")), "b")
         return materialise(rows.select("a", "b", near_udf("first", "second").alias("near")), "compared")
 
     #: sets whose sizes are too far apart can't be near
@@ -337,6 +346,15 @@ def _near_in_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
 
 
+def _with_components(sets: DataFrame) -> DataFrame:
+    """sets (key, n, fp, bands) with the component of their fingerprints as the first of their bands; sets without words have none."""
+    owners = materialise(sets.where("n > 0").select("fp").distinct(), "set_prints")
+    roots = materialise(connected(links(owners, owners.count())), "set_roots")
+    named = sets.join(roots, F.col("fp") == F.col("node"), "left")
+    own = F.array(F.xxhash64(F.lit("component"), F.coalesce("root", "fp")))
+    return named.select("key", "n", F.when(F.col("n") > 0, F.concat(own, "bands")).otherwise(F.col("bands")).alias("bands"))
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, key, rows, group) of docs: key names the set of shingles, group what links of near copies connect."""
     bounded_batches(docs)
@@ -348,12 +366,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
                 sets = [shingle_set(s) for s in part.column("text").to_pylist()]
-                made = pa.array([set_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array([bands(x) for x in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *made], ["doc_id", "key", "n", "bands"])
+                made = pa.array([set_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array([set_print(x) for x in sets], pa.int64()), pa.array([bands(x) for x in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *made], ["doc_id", "key", "n", "fp", "bands"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    prints = materialise(rows.mapInArrow(sketch, f"doc_id {kind}, key long, n int, bands array<long>"), "sketches")
-    sets = materialise(prints.groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands")), "sets")
+    prints = materialise(rows.mapInArrow(sketch, f"doc_id {kind}, key long, n int, fp long, bands array<long>"), "sketches")
+    sets = prints.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "fp", "bands")])
+    sets = materialise(_with_components(materialise(sets, "printed")), "sets")
     roots = materialise(connected(near_links(docs, sets)), "roots")
     keys = prints.groupBy("doc_id", "key").agg(F.count("*").alias("rows"))
     return keys.join(roots, F.col("key") == F.col("node"), "left").select("doc_id", "key", "rows", F.coalesce("root", "key").alias("group"))

@@ -704,6 +704,29 @@ def test_representatives_join_planted_near_copies(spark, docs_of, monkeypatch, p
     assert got == set(root)
 
 
+def test_representatives_come_through_fingerprints_and_trees(spark, docs_of, monkeypatch):
+    """Without any band the BK-trees' components alone find copies a few bits apart; unlike texts of one component stay."""
+    rng = random.Random(8)
+    texts = []
+    for _ in range(30):
+        words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        texts += [" ".join(words), " ".join([*words[:-1], "other"])]
+    sets = [simhash.shingle_set(t) for t in texts]
+    bits = [((simhash.set_print(a) ^ simhash.set_print(b)) & (1 << 64) - 1).bit_count() for a, b in zip(sets[::2], sets[1::2])]
+    near = {2 * i for i, n in enumerate(bits) if n <= simhash.RADIUS}
+    assert len(near) > 20
+    asked, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda prints, n: asked.append(n) or links(prints, n))
+    made = simhash._with_components
+
+    def alone(found):
+        return made(found).withColumn("bands", F.slice("bands", 1, 1))
+
+    monkeypatch.setattr(simhash, "_with_components", alone)
+    got = {r["doc_id"] for r in simhash.representatives(docs_of(list(enumerate(texts)))).collect()}
+    assert asked and got == set(range(60)) - {i + 1 for i in near}
+
+
 # SQL and the pipeline
 
 
