@@ -12,6 +12,7 @@ Images without tiles give nothing; null images' rows take no part.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,8 @@ def _batch(imgs: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["img", *(c for c, _ in _TILE)])
 
 
-#: Groups, and bytes of results, that leave a task together; tiles that are filled together.
-_GROUPS, _BYTES, _FILLED = 256, 8 << 20, 256
+#: Values that are computed or moved together.
+_VALUES = 1 << 18
 _PLACE = ("img", "tx", "ty")
 
 
@@ -49,6 +50,51 @@ def _together(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
 
+def _runs(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each run, length of them, one run after another."""
+    ends = np.cumsum(length)
+    return np.repeat(begin - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _blocks(begin: np.ndarray, high: np.ndarray, wide: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Where blocks' values lie: high rows of wide values each, from begin on and step from row to row."""
+    own = np.repeat(np.arange(len(high)), high)
+    return _runs(begin[own] + _runs(np.zeros(len(high), "int64"), high) * step[own], wide[own])
+
+
+def _values(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all rows of bytes, one after another, and each row's end among them, from 0 on."""
+    large = pa.types.is_large_binary(column.type)
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, "i8" if large else "i4")[column.offset : column.offset + len(column) + 1].astype("int64")
+    flat = np.frombuffer(b"" if data is None else data, "u1")[ends[0] : ends[-1]].view(kind)
+    return flat, (ends - ends[0]) // np.dtype(kind).itemsize
+
+
+def _bytes(values: np.ndarray, length: np.ndarray) -> pa.Array:
+    """Rows of bytes, length values each, of values one after another."""
+    ends = np.concatenate(([0], np.cumsum(length))).astype("int64") * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(ends.astype("i4")), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _parts(size: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches (from, to) of rows of some size, of some _VALUES each, or of one row."""
+    if not len(size):
+        return []
+    part = (np.cumsum(size) - size) // _VALUES
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(size)]
+    return list(zip(cuts, cuts[1:]))
+
+
+def _ints(rows: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [rows.column(c).to_numpy(zero_copy_only=False).astype("int64") for c in names]
+
+
+def _made_tiles(imgs: pa.Array, tx: np.ndarray, ty: np.ndarray, iw: np.ndarray, ih: np.ndarray, n: np.ndarray, data: pa.Array) -> pa.RecordBatch:
+    ints = [pa.array(np.broadcast_to(a, len(imgs)).astype("int32")) for a in (tx, ty, iw, ih, n)]
+    return pa.RecordBatch.from_arrays([imgs, *ints, data], ["img", *(c for c, _ in _TILE)])
+
+
 def _changes(column: pa.Array) -> np.ndarray:
     """Which rows but the first differ from the row before."""
     if pa.types.is_struct(column.type):
@@ -57,11 +103,36 @@ def _changes(column: pa.Array) -> np.ndarray:
     return values[1:] != values[:-1]
 
 
-def in_groups(left: DataFrame, right: DataFrame, keys: tuple[str, ...], run: Callable[[pa.Table, pa.Table], pa.Table], made: str) -> DataFrame:
-    """run(left's rows, right's rows) for each key, which isn't null, of either side.
-
-    A partition's groups go to Python in one stream, sorted, since a stream for each of many small groups costs more than
-    their work.
+def _starts(rows: pa.RecordBatch, keys: tuple[str, ...]) -> np.ndarray:
+    """The rows at which keys change, the first included."""
+    return np.flatnonzero(np.concatenate(([True], np.logical_or.reduce([_changes(rows.column(c)) for c in keys]))))
+
+
+def _whole(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Sorted batches' rows in batches that end where keys change."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        # rows from the last change of key on wait for the next batch, and a batch without one joins those that wait
+        joined = _together([held[-1].slice(held[-1].num_rows - 1), batch]) if held else batch
+        changes = _starts(joined, keys)[1:] - bool(held)
+        if len(changes):
+            cut = int(changes[-1])
+            if held or cut:
+                yield _together([*held, batch.slice(0, cut)])
+            held = []
+            batch = batch.slice(cut)
+        held.append(batch)
+    if held:
+        yield _together(held)
+
+
+def in_groups(left: DataFrame, right: DataFrame, keys: tuple[str, ...], run: Callable[[pa.RecordBatch, np.ndarray, pa.RecordBatch, np.ndarray], Iterator[pa.RecordBatch]], made: str) -> DataFrame:
+    """run(left's rows, their groups, right's rows, their groups): rows of many keys at once, each key's whole, groups ascending from 0.
+
+    Keys aren't null. A partition's rows go to Python in one stream, sorted, since a call for each of many small groups costs
+    more than their work.
     """
     none = lambda df: F.lit(None).cast(df.select(F.struct(*df.columns).alias("s")).schema["s"].dataType)
     a = left.select(*keys, F.lit(0).alias("_side"), F.struct(*left.columns).alias("_l"), none(right).alias("_r"))
@@ -69,44 +140,16 @@ def in_groups(left: DataFrame, right: DataFrame, keys: tuple[str, ...], run: Cal
     rows = a.union(b).repartition(*keys).sortWithinPartitions(*keys, "_side")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held, schemas, done, size = None, ([], []), None, [], 0
-
-        def close() -> None:
-            nonlocal size
-            if last is not None:
-                out = run(*(pa.Table.from_batches(h, s) for h, s in zip(held, schemas)))
-                held[0].clear(), held[1].clear()
-                if out.num_rows:
-                    done.append(out)
-                    size += out.nbytes
-
-        def sent() -> Iterator[pa.RecordBatch]:
-            nonlocal size
-            if done:
-                yield from pa.concat_tables(done).combine_chunks().to_batches()
-            done.clear()
-            size = 0
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            schemas = schemas or [pa.schema(list(batch.schema.field(c).type)) for c in ("_l", "_r")]
-            sides = batch.column("_side").to_numpy()
-            change = np.logical_or.reduce([_changes(batch.column(c)) for c in keys])
-            starts = [0, *(np.flatnonzero(change) + 1).tolist()]
-            for start, end in zip(starts, [*starts[1:], batch.num_rows]):
-                key = tuple(batch.column(c)[start].as_py() for c in keys) if start == 0 or end == batch.num_rows else True
-                if start or key != last:
-                    close()
-                    if len(done) >= _GROUPS or size >= _BYTES:
-                        yield from sent()
-                last = key
-                middle = start + int(np.searchsorted(sides[start:end], 1))
-                for own, column, schema, x, y in ((held[0], "_l", schemas[0], start, middle), (held[1], "_r", schemas[1], middle, end)):
-                    if y > x:
-                        own.append(pa.RecordBatch.from_arrays(batch.column(column).slice(x, y - x).flatten(), schema=schema))
-        close()
-        yield from sent()
+        for rows in _whole(batches, keys):
+            starts = _starts(rows, keys)
+            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, rows.num_rows)))
+            sides = rows.column("_side").to_numpy()
+            both = []
+            for side, column in enumerate(("_l", "_r")):
+                on = np.flatnonzero(sides == side)
+                own = rows.column(column).take(pa.array(on))
+                both += [pa.RecordBatch.from_arrays(own.flatten(), schema=pa.schema(list(own.type))), group[on]]
+            yield from run(*both)
 
     return rows.mapInArrow(stream, made)
 
@@ -130,15 +173,26 @@ def tiled(images: DataFrame, channels: int = 1, side: int = SIDE, kind: str = "u
 def untiled(tiles: DataFrame, side: int = SIDE, kind: str = "u1") -> DataFrame:
     """Packed images (img, h, w, n, pixels) of tiles; places without a tile are 0."""
 
-    def join(rows: pa.Table) -> pa.Table:
-        w, h, n = (rows[c][0].as_py() for c in ("iw", "ih", "n"))
-        out = np.zeros((h, w, n), kind)
-        for x, y, data in zip(*(rows[c].to_pylist() for c in ("tx", "ty", "data"))):
-            here = out[y * side : (y + 1) * side, x * side : (x + 1) * side]
-            here[...] = np.frombuffer(data, kind).reshape(here.shape)
-        return pa.table([rows["img"].slice(0, 1), pa.array([h], pa.int32()), pa.array([w], pa.int32()), pa.array([n], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["img", "h", "w", "n", "pixels"])
-
-    return tiles.groupBy("img").applyInArrow(join, f"img {_sql(tiles)}, h int, w int, n int, pixels binary")
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole(batches, ("img",)):
+            starts = _starts(rows, ("img",))
+            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, rows.num_rows)))
+            heads = rows.take(pa.array(starts))
+            iw, ih, n = _ints(heads, "iw", "ih", "n")
+            size = iw * ih * n
+            for first, last in _parts(size):
+                on = slice(starts[first], starts[last] if last < len(starts) else rows.num_rows)
+                part = rows.slice(on.start, on.stop - on.start)
+                g, (tx, ty) = group[on], _ints(part, "tx", "ty")
+                begin = (np.cumsum(size[first:last]) - size[first:last])[g - first]
+                out = np.zeros(int(size[first:last].sum()), kind)
+                high, wide = np.minimum(side, ih[g] - ty * side), np.minimum(side, iw[g] - tx * side)
+                out[_blocks(begin + (ty * side * iw[g] + tx * side) * n[g], high, wide * n[g], iw[g] * n[g])] = _values(part.column("data"), kind)[0]
+                some = heads.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("img", "ih", "iw", "n")), _bytes(out, size[first:last])], ["img", "h", "w", "n", "pixels"])
+
+    rows = tiles.where("img is not null").select("img", *(c for c, _ in _TILE)).repartition("img").sortWithinPartitions("img")
+    return rows.mapInArrow(join, f"img {_sql(tiles)}, h int, w int, n int, pixels binary")
 
 
 def _every_tile(sizes: DataFrame, side: int) -> DataFrame:
@@ -164,46 +218,34 @@ def from_cells(cells: DataFrame, sizes: DataFrame, values: tuple[str, ...] = ("v
 
     def fill(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         """The tiles of complete groups of rows; groups without a tile's row are cells outside their image."""
-        starts = np.flatnonzero(np.concatenate(([True], np.logical_or.reduce([_changes(rows.column(c)) for c in _PLACE]))))
+        starts = _starts(rows, _PLACE)
         group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, rows.num_rows)))
         sides = rows.column("_side").to_numpy()
         real = sides[starts] == 0
         heads = rows.take(pa.array(starts[real]))
         number = np.where(real, np.cumsum(real) - 1, -1)[group]
-        tx, ty, iw, ih = (heads.column(c).to_numpy() for c in ("tx", "ty", "iw", "ih"))
-        for first in range(0, len(tx), _FILLED):
-            last = min(len(tx), first + _FILLED)
-            out = np.full((last - first, side, side, len(values)), empty, kind)
-            on = np.flatnonzero((sides == 1) & (number >= first) & (number < last))
-            on = rows.take(pa.array(on)), number[on]
-            x, y = (on[0].column(c).to_numpy().astype("int64") for c in "xy")
-            there = (x < iw[on[1]]) & (y < ih[on[1]])
-            at = (on[1] - first)[there], (y - ty[on[1]] * side)[there], (x - tx[on[1]] * side)[there]
+        tx, ty, iw, ih = _ints(heads, "tx", "ty", "iw", "ih")
+        cell = np.flatnonzero((sides == 1) & (number >= 0))
+        own, (x, y) = number[cell], _ints(rows.take(pa.array(cell)), "x", "y")
+        there = (x < iw[own]) & (y < ih[own])
+        cell, own, x, y = (a[there] for a in (cell, own, x, y))
+        wide, high, n = np.minimum(side, iw - tx * side), np.minimum(side, ih - ty * side), len(values)
+        size = wide * high * n
+        for first, last in _parts(size):
+            begin = np.cumsum(size[first:last]) - size[first:last]
+            out = np.full(int(size[first:last].sum()), empty, kind)
+            on = slice(*np.searchsorted(own, (first, last)))
+            k = own[on]
+            at = begin[k - first] + ((y[on] - ty[k] * side) * wide[k] + x[on] - tx[k] * side) * n
+            found = rows.take(pa.array(cell[on]))
             for i, name in enumerate(names):
-                out[(*at, i)] = on[0].column(name).to_numpy(zero_copy_only=False)[there]
-            wide, high = np.minimum(side, iw - tx * side), np.minimum(side, ih - ty * side)
-            made = [out[i - first, : high[i], : wide[i]].tobytes() for i in range(first, last)]
+                out[at + i] = found.column(name).to_numpy(zero_copy_only=False)
             part = heads.slice(first, last - first)
-            columns = [part.column(c) for c in ("img", "tx", "ty", "iw", "ih")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(last - first, len(values), "int32")), pa.array(made, pa.binary())], ["img", *(c for c, _ in _TILE)])
+            yield _made_tiles(part.column("img"), *(a[first:last] for a in (tx, ty, iw, ih)), n, _bytes(out, size[first:last]))
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            # rows from the last change of tile on wait for the next batch, and a batch without one joins those that wait
-            joined = _together([held[-1].slice(held[-1].num_rows - 1), batch]) if held else batch
-            changes = np.flatnonzero(np.logical_or.reduce([_changes(joined.column(c)) for c in _PLACE])) + 1 - bool(held)
-            if len(changes):
-                cut = int(changes[-1])
-                if held or cut:
-                    yield from fill(_together([*held, batch.slice(0, cut)]))
-                held = []
-                batch = batch.slice(cut)
-            held.append(batch)
-        if held:
-            yield from fill(_together(held))
+        for rows in _whole(batches, _PLACE):
+            yield from fill(rows)
 
     return rows.mapInArrow(stream, _tile_schema(sizes))
 
@@ -244,15 +286,20 @@ def moments(tiles: DataFrame, side: int = SIDE, kind: str = "u1") -> DataFrame:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, out = [], []
-            for i, (tx, ty, ih, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("tx", "ty", "ih", "n")))):
-                a = np.frombuffer(batch.column("data")[i].as_buffer(), kind).reshape(min(side, ih - ty * side), -1, n).astype("float64")
-                rows, columns = a.sum(axis=1), a.sum(axis=0)
-                y, x = (np.arange(len(v)) + t * side + 1.0 for v, t in ((rows, ty), (columns, tx)))
-                at += [i] * n
-                out.append(np.stack((np.arange(n), rows.sum(axis=0), x @ columns, y @ rows)))
-            made = np.concatenate(out, axis=1) if out else np.zeros((4, 0))
-            yield pa.RecordBatch.from_arrays([batch.column("img").take(pa.array(at, pa.int64())), pa.array(made[0].astype("int32")), *map(pa.array, made[1:])], ["img", "c", "total", "by_x", "by_y"])
+            ty, tx, iw, ih, n = _ints(batch, "ty", "tx", "iw", "ih", "n")
+            wide, high = np.minimum(side, iw - tx * side), np.minimum(side, ih - ty * side)
+            for first, last in _parts(wide * high * n):
+                w, h, k, x0, y0 = (a[first:last] for a in (wide, high, n, tx, ty))
+                v = _values(batch.column("data").slice(first, last - first), kind)[0].astype("float64")
+                at = np.repeat(np.arange(last - first), w * h * k)
+                place = _runs(np.zeros(last - first, "int64"), w * h * k)
+                c, place = place % k[at], place // k[at]
+                most = int(k.max(initial=1))
+                add_up = lambda weights, to=at * most + c, n=(last - first) * most: np.bincount(to, weights=weights, minlength=n)
+                sums = [add_up(v), add_up(v * (place % w[at] + (x0 * side)[at] + 1)), add_up(v * (place // w[at] + (y0 * side)[at] + 1))]
+                there = _runs(np.arange(last - first) * most, k)
+                imgs = batch.column("img").slice(first, last - first).take(pa.array(there // most))
+                yield pa.RecordBatch.from_arrays([imgs, pa.array((there % most).astype("int32")), *(pa.array(a[there]) for a in sums)], ["img", "c", "total", "by_x", "by_y"])
 
     found = tiles.mapInArrow(add, f"img {_sql(tiles)}, c int, total double, by_x double, by_y double")
     return found.groupBy("img", "c").agg(*[F.sum(c).alias(c) for c in ("total", "by_x", "by_y")])
@@ -263,18 +310,21 @@ def class_places(tiles: DataFrame, side: int = SIDE, kind: str = "u1") -> DataFr
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, out = [], [[] for _ in range(4)]
-            for i, (tx, ty, ih) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("tx", "ty", "ih")))):
-                a = np.frombuffer(batch.column("data")[i].as_buffer(), kind).reshape(min(side, ih - ty * side), -1)
-                found, place = np.unique(a, return_inverse=True)
-                place, n = place.reshape(a.shape), len(found)
-                hits = np.bincount(place.ravel(), minlength=n)
-                y, x = (a_.ravel() for a_ in np.indices(a.shape))
-                sums = [np.bincount(place.ravel(), weights=v, minlength=n).astype("int64") + hits * t * side for v, t in ((x, tx), (y, ty))]
-                at += [i] * n
-                for column, v in zip(out, (found.astype("int64"), hits, *sums)):
-                    column += v.tolist()
-            yield pa.RecordBatch.from_arrays([batch.column("img").take(pa.array(at, pa.int64())), *(pa.array(c, pa.int64()) for c in out)], ["img", "cls", "n", "sum_x", "sum_y"])
+            ty, tx, iw, ih = _ints(batch, "ty", "tx", "iw", "ih")
+            wide, high = np.minimum(side, iw - tx * side), np.minimum(side, ih - ty * side)
+            for first, last in _parts(wide * high):
+                w, h, x0, y0 = (a[first:last] for a in (wide, high, tx, ty))
+                cls = _values(batch.column("data").slice(first, last - first), kind)[0].astype("int64")
+                at = np.repeat(np.arange(last - first), w * h)
+                place = _runs(np.zeros(last - first, "int64"), w * h)
+                x, y = place % w[at] + (x0 * side)[at], place // w[at] + (y0 * side)[at]
+                order = np.lexsort((cls, at))
+                at, cls, x, y = (a[order] for a in (at, cls, x, y))
+                starts = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (cls[1:] != cls[:-1]))))
+                hits = np.diff(np.append(starts, len(at)))
+                imgs = batch.column("img").slice(first, last - first).take(pa.array(at[starts]))
+                sums = [pa.array(np.add.reduceat(a, starts)) for a in (x, y)]
+                yield pa.RecordBatch.from_arrays([imgs, pa.array(cls[starts]), pa.array(hits), *sums], ["img", "cls", "n", "sum_x", "sum_y"])
 
     found = tiles.mapInArrow(count, f"img {_sql(tiles)}, cls long, n long, sum_x long, sum_y long")
     return found.groupBy("img", "cls").agg(*[F.sum(c).alias(c) for c in ("n", "sum_x", "sum_y")])
@@ -285,11 +335,24 @@ def sizes_of(tiles: DataFrame) -> DataFrame:
     return tiles.where("tx = 0 and ty = 0").select("img", "iw", "ih", "n")
 
 
-def gathered(tiles: DataFrame, requests: DataFrame, f: Callable[[pa.Table, np.ndarray, int, int], pa.Table], made: str, side: int = SIDE, kind: str = "u1") -> DataFrame:
-    """f(rows, patch, x0, y0) for each (img, gx, gy) of requests (img, gx, gy, x0, y0, x1, y1, ...).
+class Patches(NamedTuple):
+    """Parts of images, one after another in values: each of wide x high places of n channels, from (x0, y0) on."""
+
+    values: np.ndarray
+    n: int
+    begin: np.ndarray
+    x0: np.ndarray
+    y0: np.ndarray
+    wide: np.ndarray
+    high: np.ndarray
+
 
-    rows are the group's requests, patch the source's values (height x width x channels) over the smallest box that holds
-    all of theirs, from (x0, y0) on; boxes end before x1 and y1, lie in the image, and may be empty.
+def gathered(tiles: DataFrame, requests: DataFrame, f: Callable[[pa.RecordBatch, np.ndarray, Patches], pa.RecordBatch], made: str, side: int = SIDE, kind: str = "u1") -> DataFrame:
+    """f(rows, group, patches) for the (img, gx, gy) of requests (img, gx, gy, n, x0, y0, x1, y1, ...), many at once.
+
+    rows are the groups' requests, group says for each which of patches is its own: the source's values over the smallest box
+    that holds all of the group's boxes, which end before x1 and y1, lie in the image, and may be empty; patches that are
+    empty come in calls of their own. All requests of a call agree in n, and all patches in their channels.
     """
     boxes = requests.where("x1 > x0 and y1 > y0").groupBy(*_KEY).agg(*[(F.min if c.endswith("0") else F.max)(c).alias(c) for c in _BOX])
     tile = lambda c: F.floor(F.col(c) / side).cast("int")
@@ -299,31 +362,55 @@ def gathered(tiles: DataFrame, requests: DataFrame, f: Callable[[pa.Table, np.nd
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("tx", "ty", "iw", "ih", "n", "x0", "y0", "x1", "y1")]
-            out: list[list] = [[] for _ in range(4)]
-            for i, (tx, ty, iw, ih, n, x0, y0, x1, y1) in enumerate(zip(*columns)):
-                a = np.frombuffer(batch.column("data")[i].as_buffer(), kind).reshape(min(side, ih - ty * side), -1, n)
-                left, top = max(x0, tx * side), max(y0, ty * side)
-                piece = a[top - ty * side : y1 - ty * side, left - tx * side : x1 - tx * side]
-                for column, v in zip(out, (left, top, piece.shape[1], piece.tobytes())):
-                    column.append(v)
-            made = [pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int32(), pa.int32(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("img", *places, "n")), *made], ["img", *places, "n", "left", "top", "wide", "piece"])
+            tx, ty, iw, ih, n, x0, y0, x1, y1 = _ints(batch, "tx", "ty", "iw", "ih", "n", *_BOX)
+            w, h = np.minimum(side, iw - tx * side), np.minimum(side, ih - ty * side)
+            left, top = np.maximum(x0 - tx * side, 0), np.maximum(y0 - ty * side, 0)
+            wide, high = np.minimum(x1 - tx * side, w) - left, np.minimum(y1 - ty * side, h) - top
+            for first, last in _parts(w * h * n):
+                on = slice(first, last)
+                rows = batch.slice(first, last - first)
+                values, ends = _values(rows.column("data"), kind)
+                at = _blocks(ends[:-1] + (top[on] * w[on] + left[on]) * n[on], high[on], wide[on] * n[on], w[on] * n[on])
+                made = [pa.array(a.astype("int32")) for a in ((left + tx * side)[on], (top + ty * side)[on], wide[on])]
+                columns = [*(rows.column(c) for c in ("img", *places, "n")), *made, _bytes(values[at], (wide * high * n)[on])]
+                yield pa.RecordBatch.from_arrays(columns, ["img", *places, "n", "left", "top", "wide", "piece"])
 
     img = _sql(tiles)
     kinds = dict(requests.dtypes)
     cut_schema = f"img {img}, " + ", ".join(f"{c} {kinds[c]}" for c in places) + ", n int, left int, top int, wide int, piece binary"
     pieces = needs.join(tiles, ["img", "tx", "ty"]).select("img", *places, "tx", "ty", "iw", "ih", "n", "data").mapInArrow(cut, cut_schema)
 
-    def run(rows: pa.Table, own: pa.Table) -> pa.Table:
-        if not own.num_rows:
-            return f(rows, np.zeros((0, 0, 0), kind), 0, 0)
-        x0, y0, x1, y1, n = (own[c][0].as_py() for c in (*_BOX, "n"))
-        patch = np.zeros((y1 - y0, x1 - x0, n), kind)
-        for left, top, wide, piece in zip(*(own[c].to_pylist() for c in ("left", "top", "wide", "piece"))):
-            a = np.frombuffer(piece, kind).reshape(-1, wide, n)
-            patch[top - y0 : top - y0 + len(a), left - x0 : left - x0 + wide] = a
-        return f(rows, patch, x0, y0)
+    def run(rows: pa.RecordBatch, group: np.ndarray, own: pa.RecordBatch, owner: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not rows.num_rows:
+            return
+        groups = int(max(group[-1], owner[-1] if len(owner) else 0)) + 1
+        x0, y0, x1, y1, asked, cut_n = np.zeros((6, groups), "int64")
+        for a, c in zip((x0, y0, x1, y1, cut_n), (*_BOX, "n")):
+            (a[owner],) = (_ints(own, c),)
+        asked[group] = _ints(rows, "n")[0]
+        size = (x1 - x0) * (y1 - y0) * cut_n
+        # a group weighs what its patch and its requests' results may take
+        weight = size + np.bincount(group, minlength=groups) * side
+        number = np.unique(np.stack((asked, cut_n)), axis=1, return_inverse=True)[1].ravel()
+        for kind_of in range(number.max() + 1):
+            of = np.flatnonzero(number == kind_of)
+            for first, last in _parts(weight[of] + side * side):
+                part = of[first:last]
+                new = np.full(groups, -1)
+                new[part] = np.arange(len(part))
+                asking, held = np.flatnonzero(new[group] >= 0), np.flatnonzero(new[owner] >= 0)
+                if not len(asking):
+                    continue
+                n, begin = int(cut_n[part[0]]), np.cumsum(size[part]) - size[part]
+                patches = Patches(np.zeros(int(size[part].sum()), kind), n, begin, x0[part], y0[part], (x1 - x0)[part], (y1 - y0)[part])
+                if len(held):
+                    cut_out, g = own.take(pa.array(held)), new[owner[held]]
+                    left, top, wide = _ints(cut_out, "left", "top", "wide")
+                    values, ends = _values(cut_out.column("piece"), kind)
+                    high = np.diff(ends) // np.maximum(wide * n, 1)
+                    at = begin[g] + ((top - patches.y0[g]) * patches.wide[g] + left - patches.x0[g]) * n
+                    patches.values[_blocks(at, high, wide * n, patches.wide[g] * n)] = values
+                yield f(rows.take(pa.array(asking)), new[group[asking]], patches)
 
     return in_groups(requests.drop(*_BOX), pieces, _KEY, run, made)
 
@@ -334,50 +421,62 @@ def values_at(patch: np.ndarray, x0: int, y0: int, iw: int, ih: int, u: np.ndarr
     nearest rounds half to even; bilinear weighs the four places around, and those outside the image count as 0, so that
     the weight of a border place fades over the last step; with edge, places outside are moved to the edge first.
     """
-    n = patch.shape[2]
-    if not patch.size:
-        return np.zeros((*u.shape, n))
+    one = lambda v: np.array([v], "int64")
+    held = Patches(np.ravel(patch), patch.shape[2], one(0), one(x0), one(y0), one(patch.shape[1]), one(patch.shape[0]))
+    return values_in(held, np.zeros(u.size, "int64"), iw, ih, u.ravel(), v.ravel(), mode, edge).reshape(*u.shape, patch.shape[2])
+
+
+def values_in(patches: Patches, own: np.ndarray, iw: np.ndarray, ih: np.ndarray, u: np.ndarray, v: np.ndarray, mode: str = "bilinear", edge: bool = False) -> np.ndarray:
+    """values_at() (places x channels) of places in many patches, own being the place's patch and iw, ih its image's sides."""
+    if not patches.values.size:
+        return np.zeros((len(u), patches.n))
     if edge:
         u, v = np.clip(u, 0, iw - 1), np.clip(v, 0, ih - 1)
+    begin, x0, y0, wide, high = (a[own] for a in patches[2:])
+    channels = np.arange(patches.n)
 
     def at(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         there = (x >= 0) & (x < iw) & (y >= 0) & (y < ih)
-        x, y = (np.where(there, a - o, 0).astype("int64") for a, o in ((x, x0), (y, y0)))
-        return np.where(there[..., None], patch[np.clip(y, 0, patch.shape[0] - 1), np.clip(x, 0, patch.shape[1] - 1)], 0)
+        x, y = (np.clip(np.where(there, a, 0).astype("int64") - o, 0, n - 1) for a, o, n in ((x, x0, wide), (y, y0, high)))
+        return np.where(there[:, None], patches.values[(begin + (y * wide + x) * patches.n)[:, None] + channels], 0)
 
     if mode == "nearest":
         return at(np.rint(u), np.rint(v)).astype("float64")
     bu, bv = np.floor(u), np.floor(v)
-    weight = lambda i, j: (np.abs(1 - i - (u - bu)) * np.abs(1 - j - (v - bv)))[..., None]
+    weight = lambda i, j: (np.abs(1 - i - (u - bu)) * np.abs(1 - j - (v - bv)))[:, None]
     return sum(weight(i, j) * at(bu + i, bv + j) for i in (0, 1) for j in (0, 1))
 
 
-def _stored(values: np.ndarray, kind: str) -> bytes:
+def _stored(values: np.ndarray, kind: str) -> np.ndarray:
     """Values in kind: whole numbers are cut off and kept within their range."""
     if np.issubdtype(np.dtype(kind), np.integer):
         bounds = np.iinfo(kind)
         values = np.trunc(values).clip(bounds.min, bounds.max)
-    return np.ascontiguousarray(values.astype(kind)).tobytes()
+    return np.ascontiguousarray(values.astype(kind))
 
 
 def _resampled(tiles: DataFrame, requests: DataFrame, places: Callable, width: int, height: int, mode: str, edge: bool, side: int, kind: str, out: str) -> DataFrame:
-    """Tiles of width x height images; places(row, x, y) gives where in the source a request's places lie, or None."""
-
-    def sample(rows: pa.Table, patch: np.ndarray, x0: int, y0: int) -> pa.Table:
-        row = rows.slice(0, 1).to_pylist()[0]
-        gx, gy, n = row["gx"], row["gy"], row["n"]
-        y, x = np.mgrid[gy * side : min(height, (gy + 1) * side), gx * side : min(width, (gx + 1) * side)].astype("float64")
-        found = places(row, x, y) if patch.size else None
-        values = np.zeros((*x.shape, n)) if found is None else values_at(patch, x0, y0, row["iw"], row["ih"], *found, mode, edge)
-        columns = (gx, gy, width, height, n, _stored(values, out))
-        return pa.table([rows["img"].slice(0, 1), *(pa.array([v], t) for v, (_, t) in zip(columns, _TILE))], ["img", *(c for c, _ in _TILE)])
+    """Tiles of width x height images; places(rows, own, x, y) gives where in the source places lie, own being a place's request in rows."""
+
+    def sample(rows: pa.RecordBatch, group: np.ndarray, patches: Patches) -> pa.RecordBatch:
+        gx, gy, iw, ih, channels = _ints(rows, "gx", "gy", "iw", "ih", "n")
+        n = int(channels[0])
+        wide, high = np.minimum(side, width - gx * side), np.minimum(side, height - gy * side)
+        own = np.repeat(np.arange(len(gx)), wide * high)
+        if patches.values.size:
+            place = _runs(np.zeros(len(gx), "int64"), wide * high)
+            x, y = (place % wide[own] + (gx * side)[own]).astype("float64"), (place // wide[own] + (gy * side)[own]).astype("float64")
+            values = values_in(patches, group[own], iw[own], ih[own], *places(rows, own, x, y), mode, edge)
+        else:
+            values = np.zeros((len(own), n))
+        return _made_tiles(rows.column("img"), gx, gy, width, height, n, _bytes(_stored(values, out), wide * high * n))
 
     return gathered(tiles, requests, sample, _tile_schema(tiles), side, kind)
 
 
-def _inverse_places(row: dict, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _inverse_places(rows: pa.RecordBatch, own: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the inverse transform (i00..i22) sends places; the denominator is kept above 1e-8."""
-    i = [row[f"i{a}{b}"] for a in range(3) for b in range(3)]
+    i = [rows.column(f"i{a}{b}").to_numpy(zero_copy_only=False)[own] for a in range(3) for b in range(3)]
     w = np.maximum(i[6] * x + i[7] * y + i[8], 1e-8)
     return (i[0] * x + i[1] * y + i[2]) / w, (i[3] * x + i[4] * y + i[5]) / w
 
@@ -417,8 +516,9 @@ def resize(tiles: DataFrame, width: int, height: int, mode: str = "bilinear", al
             return np.floor(p * old / new)
         return p * (old - 1) / max(1, new - 1) if align_corners else (p + 0.5) * old / new - 0.5
 
-    def places(row: dict, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return at(x, row["iw"], width), at(y, row["ih"], height)
+    def places(rows: pa.RecordBatch, own: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        iw, ih = (a[own] for a in _ints(rows, "iw", "ih"))
+        return at(x, iw, width), at(y, ih, height)
 
     last = lambda n: (n - 1) // side
     rows = sizes_of(tiles).select("*", F.explode(F.sequence(F.lit(0), F.lit(last(height)))).alias("gy")).select("*", F.explode(F.sequence(F.lit(0), F.lit(last(width)))).alias("gx"))
@@ -438,42 +538,51 @@ def warp_labels(labels: DataFrame, flow: DataFrame, side: int = SIDE, kind: str
     result is -1, which kind must hold.
     """
 
-    def places(tx: int, ty: int, ih: int, n: int, data: pa.Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-        a = np.frombuffer(data, flow_kind).reshape(min(side, ih - ty * side), -1, n).astype("float64")
-        y, x = np.mgrid[: a.shape[0], : a.shape[1]]
-        return x + tx * side + a[:, :, 0], y + ty * side + a[:, :, 1], a[:, :, 2] > 0 if n > 2 else None
+    def places(rows: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """Of all places of rows of one number of channels: row, u, v and the third channel, if any, and each row's places."""
+        tx, ty, ih, n = _ints(rows, "gx", "gy", "ih", "n")
+        a = _values(rows.column("flow"), flow_kind)
+        size = np.diff(a[1]) // n
+        a, own = a[0].reshape(-1, n[0]).astype("float64"), np.repeat(np.arange(len(size)), size)
+        wide = size // np.maximum(np.minimum(side, ih - ty * side), 1)
+        place = _runs(np.zeros(len(size), "int64"), size)
+        return own, place % wide[own] + (tx * side)[own] + a[:, 0], place // wide[own] + (ty * side)[own] + a[:, 1], a[:, 2] > 0 if n[0] > 2 else None, size
 
     def boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ends: list[list[int]] = [[] for _ in _BOX]
-            for i in range(batch.num_rows):
-                tx, ty, iw, ih, n = (batch.column(c)[i].as_py() for c in ("gx", "gy", "iw", "ih", "n"))
-                u, v, _ = places(tx, ty, ih, n, batch.column("flow")[i].as_buffer())
-                low = [int(np.clip(np.floor(p.min()), 0, size)) for p, size in ((u, iw), (v, ih))]
-                high = [int(np.clip(np.floor(p.max()) + 2, 0, size)) for p, size in ((u, iw), (v, ih))]
-                for column, end in zip(ends, (*low, *high)):
-                    column.append(end)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(e, pa.int32()) for e in ends)], [*batch.schema.names, *_BOX])
+            if not batch.num_rows:
+                continue
+            n = _ints(batch, "n")[0]
+            for one in np.unique(n):
+                whole = batch.take(pa.array(np.flatnonzero(n == one)))
+                for first, last in _parts(np.diff(_values(whole.column("flow"), flow_kind)[1])):
+                    rows = whole.slice(first, last - first)
+                    _, u, v, _, size = places(rows)
+                    starts, ends = np.cumsum(size) - size, {}
+                    for c, p, most in zip("xy", (u, v), _ints(rows, "iw", "ih")):
+                        ends[f"{c}0"] = np.clip(np.floor(np.minimum.reduceat(p, starts)), 0, most)
+                        ends[f"{c}1"] = np.clip(np.floor(np.maximum.reduceat(p, starts) + 2), 0, most)
+                    yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(ends[c].astype("int32")) for c in _BOX)], [*rows.schema.names, *_BOX])
 
     rows = flow.select("img", F.col("tx").alias("gx"), F.col("ty").alias("gy"), "iw", "ih", "n", F.col("data").alias("flow"))
     requests = rows.mapInArrow(boxes, f"img {_sql(flow)}, gx int, gy int, iw int, ih int, n int, flow binary, x0 int, y0 int, x1 int, y1 int")
 
-    def vote(rows: pa.Table, patch: np.ndarray, x0: int, y0: int) -> pa.Table:
-        tx, ty, iw, ih, n = (rows[c][0].as_py() for c in ("gx", "gy", "iw", "ih", "n"))
-        u, v, there = places(tx, ty, ih, n, rows["flow"][0].as_buffer())
+    def vote(rows: pa.RecordBatch, group: np.ndarray, patches: Patches) -> pa.RecordBatch:
+        own, u, v, there, size = places(rows)
+        iw, ih = (a[own] for a in _ints(rows, "iw", "ih"))
         bu, bv = np.floor(u), np.floor(v)
-        patch = patch[:, :, :1] if patch.size else np.zeros((0, 0, 1), kind)
         cls, weight = [], []
         for i in (0, 1):
             for j in (0, 1):
-                cls.append(np.maximum(values_at(patch, x0, y0, iw, ih, bu + i, bv + j, "nearest")[..., 0], 0))
+                found = values_in(patches, group[own], iw, ih, bu + i, bv + j, "nearest")
+                cls.append(np.maximum(found[:, 0], 0) if found.shape[1] else np.zeros(len(own)))
                 weight.append(np.abs(1 - i - (u - bu)) * np.abs(1 - j - (v - bv)))
         cls, weight = np.array(cls), np.array(weight)
         total = np.round((weight[None] * (cls[:, None] == cls[None])).sum(axis=1), 9)
         best = np.where(total == total.max(axis=0), cls, np.inf).min(axis=0)
         best = best if there is None else np.where(there, best, -1)
-        columns = (tx, ty, iw, ih, 1, best.astype(kind).tobytes())
-        return pa.table([rows["img"].slice(0, 1), *(pa.array([c], t) for c, (_, t) in zip(columns, _TILE))], ["img", *(c for c, _ in _TILE)])
+        tx, ty, iw, ih = _ints(rows, "gx", "gy", "iw", "ih")
+        return _made_tiles(rows.column("img"), tx, ty, iw, ih, 1, _bytes(best.astype(kind), size))
 
     return gathered(labels, requests, vote, _tile_schema(labels), side, kind)
 
@@ -513,12 +622,13 @@ def _point_requests(points: DataFrame, tiles: DataFrame, before: int, after: int
 def at_points(tiles: DataFrame, points: DataFrame, side: int = SIDE, kind: str = "u1") -> DataFrame:
     """(img, id, values): an array of the channels' bilinear values at points (img, id, px, py)."""
 
-    def look(rows: pa.Table, patch: np.ndarray, x0: int, y0: int) -> pa.Table:
-        iw, ih, n = (rows[c][0].as_py() for c in ("iw", "ih", "n"))
-        patch = patch if patch.size else np.zeros((0, 0, n), kind)
-        values = values_at(patch, x0, y0, iw, ih, rows["px"].to_numpy(), rows["py"].to_numpy())
+    def look(rows: pa.RecordBatch, group: np.ndarray, patches: Patches) -> pa.RecordBatch:
+        iw, ih, channels = _ints(rows, "iw", "ih", "n")
+        n = int(channels[0])
+        px, py = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("px", "py"))
+        values = values_in(patches, group, iw, ih, px, py) if patches.values.size else np.zeros((len(px), n))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * n, pa.int32()), pa.array(values.ravel()))
-        return pa.table([rows["img"], rows["id"], lists], ["img", "id", "values"])
+        return pa.RecordBatch.from_arrays([rows.column("img"), rows.column("id"), lists], ["img", "id", "values"])
 
     requests = _point_requests(points, tiles, 0, 1, side)
     return gathered(tiles, requests, look, f"img {_sql(tiles)}, id {_sql(points, 'id')}, values array<double>", side, kind)
@@ -530,15 +640,18 @@ def patches(tiles: DataFrame, points: DataFrame, size: int, side: int = SIDE, ki
     The patch of a point begins size // 2 before the whole number it rounds down to, or further in at an edge.
     """
 
-    def cut(rows: pa.Table, patch: np.ndarray, x0: int, y0: int) -> pa.Table:
-        place = lambda p, most: np.maximum(0, np.minimum(np.floor(rows[p].to_numpy()) - size // 2, rows[most].to_numpy() - size)).astype("int32")
+    def cut(rows: pa.RecordBatch, group: np.ndarray, patches: Patches) -> pa.RecordBatch:
+        place = lambda p, most: np.maximum(0, np.minimum(np.floor(rows.column(p).to_numpy(zero_copy_only=False)) - size // 2, _ints(rows, most)[0] - size)).astype("int64")
         left, top = place("px", "iw"), place("py", "ih")
-        if min(patch.shape[:2]) >= size:
-            views = np.lib.stride_tricks.sliding_window_view(patch, (size, size), axis=(0, 1))  # channels come before the sides
-            out = [v.tobytes() for v in views[top - y0, left - x0].transpose(0, 2, 3, 1)]
-        else:  # the image is smaller than a patch
-            out = [np.ascontiguousarray(patch[t - y0 : t - y0 + size, x - x0 : x - x0 + size]).tobytes() for x, t in zip(left.tolist(), top.tolist())]
-        return pa.table([rows["img"], rows["id"], pa.array(left), pa.array(top), pa.array(out, pa.binary())], ["img", "id", "left", "top", "patch"])
+        begin, x0, y0, wide, high = (a[group] for a in patches[2:])
+        # an image smaller than a patch gives what it has
+        w, h = (np.clip(a, 0, size) for a in (x0 + wide - left, y0 + high - top))
+        made = []
+        for first, last in _parts(w * h * patches.n):
+            on = slice(first, last)
+            at = _blocks((begin + ((top - y0) * wide + left - x0) * patches.n)[on], h[on], w[on] * patches.n, wide[on] * patches.n)
+            made.append(_bytes(patches.values[at], (w * h * patches.n)[on]))
+        return pa.RecordBatch.from_arrays([rows.column("img"), rows.column("id"), *(pa.array(a.astype("int32")) for a in (left, top)), pa.concat_arrays(made)], ["img", "id", "left", "top", "patch"])
 
     rows = _point_requests(points, tiles, 0, 0, side)
     for c, most in (("x", "iw"), ("y", "ih")):
@@ -557,10 +670,10 @@ def crop(tiles: DataFrame, boxes: DataFrame, side: int = SIDE, kind: str = "u1")
     ends = [(F.col(f"_{a}0") + F.col(f"g{a}") * side).alias(f"{a}0") for a in "xy"] + [F.least(F.col(f"_{a}0") + (F.col(f"g{a}") + 1) * side, F.col(f"_{a}1")).alias(f"{a}1") for a in "xy"]
     requests = rows.select("img", "gx", "gy", "n", (F.col("_x1") - F.col("_x0")).alias("w"), (F.col("_y1") - F.col("_y0")).alias("h"), *ends)
 
-    def cut(rows: pa.Table, patch: np.ndarray, x0: int, y0: int) -> pa.Table:  # noqa: ARG001
-        row = rows.slice(0, 1).to_pylist()[0]
-        columns = (row["gx"], row["gy"], row["w"], row["h"], row["n"], np.ascontiguousarray(patch).tobytes())
-        return pa.table([rows["img"].slice(0, 1), *(pa.array([v], t) for v, (_, t) in zip(columns, _TILE))], ["img", *(c for c, _ in _TILE)])
+    def cut(rows: pa.RecordBatch, group: np.ndarray, patches: Patches) -> pa.RecordBatch:
+        size = patches.wide * patches.high * patches.n
+        at = _runs(patches.begin[group], size[group])
+        return _made_tiles(rows.column("img"), *_ints(rows, "gx", "gy", "w", "h", "n"), _bytes(patches.values[at], size[group]))
 
     return gathered(tiles, requests, cut, _tile_schema(tiles), side, kind)
 
@@ -573,15 +686,23 @@ def place(tiles: DataFrame, corners: DataFrame, width: int, height: int, side: i
     within = lambda e, most: F.greatest(F.lit(0), F.least(e, F.col(most))).cast("int")
     ends = [within((F.col(f"g{c}") + k) * side - F.col(f"o{c}"), f"i{n}").alias(f"{c}{k}") for c, n in (("x", "w"), ("y", "h")) for k in (0, 1)]
     requests = rows.select("img", "gx", "gy", "iw", "ih", "n", "ox", "oy", *ends)
-    return _resampled(tiles, requests, lambda row, x, y: (x - row["ox"], y - row["oy"]), width, height, "nearest", False, side, kind, kind)
+    return _resampled(tiles, requests, lambda rows, own, x, y: tuple(p - a[own] for p, a in zip((x, y), _ints(rows, "ox", "oy"))), width, height, "nearest", False, side, kind, kind)
 
 
-def spline_at(row: dict, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where a thin-plate spline (cx, cy, wx, wy, ax, ay: centres, weights, affine parts of 1, x and y) takes places."""
-    cx, cy = np.array(row["cx"], float), np.array(row["cy"], float)
-    r2 = (x[..., None] - cx) ** 2 + (y[..., None] - cy) ** 2
+def _padded(column: pa.Array) -> np.ndarray:
+    """Lists of numbers as rows as long as the longest, 0 after their end."""
+    lists = [column.value_lengths().to_numpy(zero_copy_only=False).astype("int64"), column.flatten().to_numpy(zero_copy_only=False)]
+    out = np.zeros((len(column), int(lists[0].max(initial=0))))
+    out[np.repeat(np.arange(len(column)), lists[0]), _runs(np.zeros(len(column), "int64"), lists[0])] = lists[1]
+    return out
+
+
+def spline_at(rows: pa.RecordBatch, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where thin-plate splines (cx, cy, wx, wy, ax, ay: centres, weights, affine parts of 1, x and y), a row each, take rows of places."""
+    cx, cy, wx, wy, ax, ay = (_padded(rows.column(c)) for c in ("cx", "cy", "wx", "wy", "ax", "ay"))
+    r2 = (x[..., None] - cx[:, None]) ** 2 + (y[..., None] - cy[:, None]) ** 2
     pull = r2 * np.log(np.where(r2 > 0, r2, 1)) / 2
-    return tuple(a[0] + a[1] * x + a[2] * y + pull @ np.array(w, float) for a, w in ((row["ax"], row["wx"]), (row["ay"], row["wy"])))
+    return tuple(a[:, :1] + a[:, 1:2] * x + a[:, 2:3] * y + (pull @ w[..., None])[..., 0] for a, w in ((ax, wx), (ay, wy)))
 
 
 def spline_warp(tiles: DataFrame, splines: DataFrame, width: int, height: int, mode: str = "bilinear", step: int = 8, side: int = SIDE, kind: str = "u1", out: str | None = None) -> DataFrame:
@@ -594,9 +715,13 @@ def spline_warp(tiles: DataFrame, splines: DataFrame, width: int, height: int, m
         raise ValueError("step divides a tile's side")
     grid_side = side // step + 1
 
-    def grid(row: dict) -> tuple[np.ndarray, np.ndarray]:
-        y, x = np.mgrid[:grid_side, :grid_side].astype(float) * step
-        return spline_at(row, x + row["gx"] * side, y + row["gy"] * side)
+    def grid(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """u and v on the grids of the rows' tiles, a row each."""
+        y, x = (a.ravel().astype(float) * step for a in np.mgrid[:grid_side, :grid_side])
+        gx, gy = _ints(rows, "gx", "gy")
+        each = [1 + len(x) * n for n in rows.column("cx").value_lengths().to_pylist()]
+        done = [spline_at(rows.slice(a, b - a), x + gx[a:b, None] * side, y + gy[a:b, None] * side) for a, b in _parts(np.array(each))]
+        return tuple(map(np.concatenate, zip(*done)))
 
     names = ("cx", "cy", "wx", "wy", "ax", "ay")
     last = lambda n: (n - 1) // side
@@ -605,20 +730,21 @@ def spline_warp(tiles: DataFrame, splines: DataFrame, width: int, height: int, m
 
     def boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ends: list[list[int]] = [[] for _ in _BOX]
-            for row in batch.drop_columns(["img"]).to_pylist():
-                found = [(np.floor(p.min()) - 1, np.ceil(p.max()) + 2, most) for p, most in zip(grid(row), (row["iw"], row["ih"]))]
-                for column, end in zip(ends, (*(max(0, min(f[0], f[2])) for f in found), *(max(0, min(f[1], f[2])) for f in found))):
-                    column.append(int(end))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(e, pa.int32()) for e in ends)], [*batch.schema.names, *_BOX])
+            if not batch.num_rows:
+                continue
+            ends = {}
+            for c, p, most in zip("xy", grid(batch), _ints(batch, "iw", "ih")):
+                ends[f"{c}0"] = np.clip(np.floor(p.min(axis=1)) - 1, 0, most)
+                ends[f"{c}1"] = np.clip(np.ceil(p.max(axis=1)) + 2, 0, most)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(ends[c].astype("int32")) for c in _BOX)], [*batch.schema.names, *_BOX])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
-    def places(row: dict, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        u, v = ((p - p.flat[0]) / step for p in (x, y))
+    def places(rows: pa.RecordBatch, own: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        u, v = ((p - (g * side)[own]) / step for p, g in zip((x, y), _ints(rows, "gx", "gy")))
         bu, bv = (np.minimum(np.floor(p), grid_side - 2).astype("int64") for p in (u, v))
-        weigh = lambda a: sum(np.abs(1 - i - (u - bu)) * np.abs(1 - j - (v - bv)) * a[bv + j, bu + i] for i in (0, 1) for j in (0, 1))
-        return tuple(map(weigh, grid(row)))
+        weigh = lambda a: sum(np.abs(1 - i - (u - bu)) * np.abs(1 - j - (v - bv)) * a[own, (bv + j) * grid_side + bu + i] for i in (0, 1) for j in (0, 1))
+        return tuple(map(weigh, grid(rows)))
 
     requests = rows.mapInArrow(boxes, f"{kinds}, x0 int, y0 int, x1 int, y1 int")
     return _resampled(tiles, requests, places, width, height, mode, False, side, kind, out or kind)

@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +143,44 @@ def test_classes_of_tiles_are_counted_with_their_places(spark):
     a = (x * 3 + y + 5) % 4
     got = {r["cls"]: (r["n"], r["sum_x"], r["sum_y"]) for r in tiles.class_places(made, 16).collect()}
     assert got == {k: ((a == k).sum(), x[a == k].sum(), y[a == k].sum()) for k in range(4)}
+
+
+def test_many_groups_are_served_by_one_call(spark):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        for k in held:
+            spark.conf.set(k, "1" if "partitions" in k else "false")
+        made = tiles.computed(spark.range(500).select(F.col("id").alias("img"), F.lit(20).alias("iw"), F.lit(16).alias("ih")), lambda img, x, y: ((x + y + img) % 251)[..., None], 1, 16)
+        boxes = made.select("img", F.col("tx").alias("gx"), F.col("ty").alias("gy"), "n", F.lit(3).alias("x0"), F.lit(2).alias("y0"), F.lit(18).alias("x1"), F.lit(9).alias("y1"))
+
+        def sums(rows, group, patches):
+            total = np.bincount(np.repeat(np.arange(len(group)), (patches.wide * patches.high)[group]), weights=patches.values)
+            calls = np.where(np.arange(len(group)) == 0, 1, 0)
+            return pa.RecordBatch.from_arrays([rows.column("img"), pa.array(calls), pa.array(total)], ["img", "calls", "total"])
+
+        got = tiles.gathered(made, boxes, sums, "img long, calls long, total double", 16).collect()
+        y, x = np.mgrid[2:9, 3:18]
+        assert len(got) == 1000 and all(r["total"] == ((x + y + r["img"]) % 251).sum() for r in got)
+        assert sum(r["calls"] for r in got) <= 10
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def test_images_of_other_channels_and_without_a_box_share_a_batch(spark):
+    (one, a), (three, b) = photos(spark, [(20, 30)] * 3, 1), photos(spark, [(35, 18)] * 3, 3)
+    shifted = b.withColumn("img", F.col("img") + 10)
+    both = tiles.tiled(a, 1, 16).unionByName(tiles.tiled(shifted, 3, 16)).where("img < 20")
+    want = one | {k + 10: v for k, v in three.items()}
+    flat = dict.fromkeys(geometry.NAMES, 0.0)
+    rows = [(k, *({**flat, "h00": 1.0, "h11": 1.0, "h22": 1.0, "h02": 2.0} if k % 10 else flat).values()) for k in want]
+    m = spark.createDataFrame(rows, "img int, " + ", ".join(f"{n} double" for n in geometry.NAMES))
+    got = back(tiles.warp(both, m, 18, 20, "nearest", 16))
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert (got[k] == (np.pad(v, ((0, 0), (2, 0), (0, 0)))[:20, :18] if k % 10 else 0)).all()
+    cut = back(tiles.crop(both, m.select("img", F.lit(5).alias("x0"), F.lit(4).alias("y0"), F.lit(18).alias("x1"), F.lit(19).alias("y1")), 16))
+    assert cut.keys() == want.keys() and all((cut[k] == v[4:19, 5:18]).all() for k, v in want.items())
+    points = m.select("img", F.lit(1).alias("id"), F.when(F.col("img") % 10 == 0, -9.0).otherwise(7.5).alias("px"), F.lit(17.0).alias("py"))
+    near = {r["img"]: r["values"] for r in tiles.at_points(both, points, 16).collect()}
+    assert all(np.allclose(near[k], (v[17, 7].astype(float) + v[17, 8]) / 2 if k % 10 else np.zeros(v.shape[2])) for k, v in want.items())
