@@ -68,13 +68,25 @@ def centre_distance(x: Column, y: Column, width: int, height: int) -> Column:
     return F.hypot(x - cx, y - cy) / (F.hypot(F.lit(cx), F.lit(cy)) + F.lit(1e-12))
 
 
+def _sides(pixels: DataFrame, keys: Sequence[str], classes: Sequence[int]) -> tuple[DataFrame, dict[str, Column]]:
+    """(keys, s) with each pixel's truth and, where that is another, its prediction; and which of them count as gt (g), hit (i) and wrong (w)."""
+    hit = F.col("pred") == F.col("gt")
+    truth = F.struct(F.col("gt").alias("cls"), F.when(hit, 1).otherwise(0).alias("kind"))
+    wrong = F.struct(F.when(~F.coalesce(hit, F.lit(False)), F.col("pred")).alias("cls"), F.lit(2).alias("kind"))
+    sides = pixels.select(*keys, F.explode(F.array(truth, wrong)).alias("s")).where(F.col("s.cls").isin(*classes))
+    return sides, {"g": F.col("s.kind") < 2, "i": F.col("s.kind") == 1, "w": F.col("s.kind") == 2}
+
+
 def size_bins(pixels: DataFrame, image: Sequence[str], small: float, medium: float, classes: Sequence[int] = range(256)) -> DataFrame:
     """(cls, bin, inter, pred_sum, gt_sum): a class's counts by its area within each image (0 small, 1 medium, 2 large).
 
     pixels has pred and gt. Classes that an image's gt lacks don't count there, even where predicted, nor do others than
-    classes.
+    classes. A task holds one table of counts by image and class: rows are combined before they are dealt, by that key alone.
     """
-    per_image = class_counts(pairs(pixels, F.col("pred"), F.col("gt"), *image), classes, *image).where("gt_sum > 0")
+    sides, kinds = _sides(pixels, image, classes)
+    g, i, w = (F.col(k) for k in kinds)
+    held = sides.groupBy(*image, F.col("s.cls").alias("cls")).agg(*[F.count_if(cond).alias(k) for k, cond in kinds.items()]).where(g > 0)
+    per_image = held.select("cls", i.alias("inter"), (i + w).alias("pred_sum"), g.alias("gt_sum"))
     size = F.when(F.col("gt_sum") < small, 0).when(F.col("gt_sum") < medium, 1).otherwise(2)
     return per_image.groupBy("cls", size.alias("bin")).agg(*[F.sum(c).alias(c) for c in ("inter", "pred_sum", "gt_sum")])
 
@@ -89,11 +101,7 @@ def counts_in_bins(pixels: DataFrame, image: Sequence[str], classes: Sequence[in
         per_bin = class_counts(pairs(pixels, F.col("pred"), F.col("gt"), *image, "bin"), classes, *image, "bin")
         rows = per_bin.withColumn("_has", F.sum("gt_sum").over(Window.partitionBy(*image, "cls"))).where("_has > 0")
         return rows.groupBy("cls", "bin").agg(*[F.sum(c).alias(c) for c in ("inter", "pred_sum", "gt_sum")])
-    hit = F.col("pred") == F.col("gt")
-    truth = F.struct(F.col("gt").alias("cls"), F.when(hit, 1).otherwise(0).alias("kind"))
-    wrong = F.struct(F.when(~F.coalesce(hit, F.lit(False)), F.col("pred")).alias("cls"), F.lit(2).alias("kind"))
-    sides = pixels.select(*image, "bin", F.explode(F.array(truth, wrong)).alias("s")).where(F.col("s.cls").isin(*classes))
-    kinds = {"g": F.col("s.kind") < 2, "i": F.col("s.kind") == 1, "w": F.col("s.kind") == 2}
+    sides, kinds = _sides(pixels, [*image, "bin"], classes)
     counts = [F.count_if(cond & (F.col("bin") == b)).alias(f"{k}{b}") for k, cond in kinds.items() for b in range(bins)]
     per_image = sides.groupBy(*image, F.col("s.cls").alias("cls")).agg(*counts).where(sum((F.col(f"g{b}") for b in range(bins)), F.lit(0)) > 0)
     whole = per_image.groupBy("cls").agg(*[F.sum(f"{k}{b}").alias(f"{k}{b}") for k in kinds for b in range(bins)])

@@ -1,6 +1,8 @@
 """Closed forms, traps and properties of the operators."""
 
+import random
 import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -504,3 +506,20 @@ def test_root_normalised_sums_once_for_a_row(spark):
     rows = spark.range(2000).select(F.transform(F.sequence(F.lit(1), F.lit(256)), lambda i: (i + F.col("id")).cast("double")).alias("d"))
     got = rows.select(keypoints.root_normalised(F.col("d")).alias("r")).select(F.aggregate("r", F.lit(0.0), lambda s, v: s + v * v).alias("n")).agg(F.min("n"), F.max("n")).first()
     assert got[0] == pytest.approx(1) and got[1] == pytest.approx(1) and time.time() - began < 30
+
+
+def test_size_bins_deal_an_images_counts_once(spark):
+    rng = random.Random(5)
+    rows = [(rng.randrange(40), rng.choice([0, 1, 2, 7, None]), rng.choice([0, 1, 2, 7, None])) for _ in range(600)]
+    got = metrics.size_bins(spark.createDataFrame(rows, "image int, pred int, gt int"), ["image"], 3, 5, (0, 1, 2))
+    want: dict = {}
+    for image in range(40):
+        for cls in (0, 1, 2):
+            own = [(p, g) for i, p, g in rows if i == image]
+            n = (sum(p == g == cls for p, g in own), sum(p == cls for p, g in own), sum(g == cls for p, g in own))
+            if n[2]:
+                key = (cls, 0 if n[2] < 3 else 1 if n[2] < 5 else 2)
+                want[key] = tuple(map(sum, zip(want.get(key, (0, 0, 0)), n)))
+    assert {(r["cls"], r["bin"]): (r["inter"], r["pred_sum"], r["gt_sum"]) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("partial_count") == 3 and plan.count("HashAggregate") == 4  # two of them, each before and after it is dealt
