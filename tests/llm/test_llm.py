@@ -15,6 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from framelake.llm import bpe, chat_format, langid, media, mixing, quality_lm, queries, simhash, token_counts, toxicity, vector_search
+from framelake.sources import scratch
 from tests.conftest import SF
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -297,6 +298,29 @@ def test_no_limit_comes_from_a_model_that_saw_its_texts(spark, docs_of):
     assert fold[1] == fold[100] and got[1]["perplexity"] == got[100]["perplexity"]
 
 
+def test_quality_models_are_made_together(spark, monkeypatch):
+    """Each action and table of the driver's stays in its memory for a while; their number doesn't follow that of the folds."""
+    written = []
+    monkeypatch.setattr(quality_lm, "materialise", lambda df, name="table": written.append(name) or scratch.materialise(df, name))
+    quality_lm.score(table(spark, "documents"), table(spark, "labels"))
+    assert len(written) < 20 and len(set(written)) == len(written) - 1  # "known" of the trusted texts and of all
+
+
+def test_a_block_of_a_model_holds_its_own_rows(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(quality_lm, "BLOCK_CHARS", 30)
+    rows = [(i, "abcdefghij"[: i % 7] + "xyz"[i % 3]) for i in range(60)]
+    docs = docs_of(rows, extra=False).withColumn("of", F.col("doc_id") % 3)
+    found = quality_lm._gram_blocks(docs.repartition(2), "of").collect()
+    held = {(r["block"], r["of"]): set(r["keys"]) for r in found if r["keys"] is not None}
+    texts = {}
+    for r in found:
+        if r["row"] is not None:
+            assert r["of"] == r["row"]["doc_id"] % 3
+            texts.setdefault((r["block"], r["of"]), []).append(r["row"]["text"])
+    assert sorted(t for own in texts.values() for t in own) == sorted(t for _, t in rows)
+    assert held == {k: {int(g) for t in own for g in quality_lm.trigrams(t)} for k, own in texts.items()} and len({b for b, _ in held}) == len(held) > 6
+
+
 def test_quality_edges(spark, docs_of):
     docs = docs_of(EDGES)
     labels = spark.createDataFrame([(4, 1, 0), (5, 1, 0), (5, 0, 0), (7, 1, None), (None, 1, 1)], LABELS)
@@ -627,6 +651,26 @@ def test_links_connect_what_is_near(spark, monkeypatch, piece):
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def test_contraction_ends_once_all_are_stars(spark, monkeypatch):
+    from framelake.operators import graph
+
+    written = []
+    monkeypatch.setattr(graph, "materialise", lambda df, name="table": written.append(name) or scratch.materialise(df, name))
+    found = lambda pairs: {r["node"]: r["root"] for r in graph.connected(spark.createDataFrame(pairs, "a long, b long").repartition(5)).collect()}
+    assert found([(i, i % 3) for i in range(60)]) == {i: i % 3 for i in range(3, 60)} and written == ["edges"]
+    mixed = random.Random(3).sample(range(300), 300)
+    assert found([(a, b) for a, b in zip(mixed, mixed[1:]) if a % 50 and b % 50]) == _roots([(a, b) for a, b in zip(mixed, mixed[1:]) if a % 50 and b % 50])
+
+
+def _roots(pairs):
+    least = {x: x for p in pairs for x in p}
+    for _ in pairs:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    return {a: b for a, b in least.items() if a != b}
+
+
+
 @pytest.mark.parametrize("n", [1, 3000, 10**6, 10**9, 10**13])
 def test_masks_catch_every_three_flips(n):
     masks, rng = simhash.masks_for(n), random.Random(n)
