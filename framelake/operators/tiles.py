@@ -202,12 +202,17 @@ def _every_tile(sizes: DataFrame, side: int) -> DataFrame:
     return every.select("img", "tx", F.explode(last("ih")).alias("ty"), "iw", "ih")
 
 
-def from_cells(cells: DataFrame, sizes: DataFrame, values: tuple[str, ...] = ("v",), side: int = SIDE, kind: str = "u1", empty: float = 0) -> DataFrame:
+def from_cells(cells: DataFrame, sizes: DataFrame, values: tuple[str, ...] = ("v",), side: int = SIDE, kind: str = "u1", empty: float = 0, summed: Callable[[np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]] | None = None) -> DataFrame:
     """Tiles of cells (img, x, y, a column for each channel), of images of the sizes (img, iw, ih); other places are empty.
 
+    With summed, a place may have many rows, whose one value, a whole number, is added up as the tiles are filled;
+    summed(totals, x, y) gives the channels of the places that have a value. The rows then need no aggregation before.
+
     Cells and tiles are dealt once, by tile, a tile's own row before its cells; the tiles of a batch are filled together.
     """
     names = [f"v{i}" for i in range(len(values))]
+    channels = len(summed(*np.zeros((3, 0), "int64"))) if summed else len(values)
+    cells = cells.where(F.col(values[0]).isNotNull()) if summed else cells
     kinds = {n: _sql(cells, c) for n, c in zip(names, values)} | {c: _sql(cells, c) for c in ("x", "y")}
     null = lambda c: F.lit(None).cast(kinds[c]).alias(c)
     every = _every_tile(sizes, side).select("img", "tx", "ty", F.lit(0).alias("_side"), "iw", "ih", null("x"), null("y"), *map(null, names))
@@ -229,7 +234,7 @@ def from_cells(cells: DataFrame, sizes: DataFrame, values: tuple[str, ...] = ("v
         own, (x, y) = number[cell], _ints(rows.take(pa.array(cell)), "x", "y")
         there = (x < iw[own]) & (y < ih[own])
         cell, own, x, y = (a[there] for a in (cell, own, x, y))
-        wide, high, n = np.minimum(side, iw - tx * side), np.minimum(side, ih - ty * side), len(values)
+        wide, high, n = np.minimum(side, iw - tx * side), np.minimum(side, ih - ty * side), channels
         size = wide * high * n
         for first, last in _parts(size):
             begin = np.cumsum(size[first:last]) - size[first:last]
@@ -238,8 +243,16 @@ def from_cells(cells: DataFrame, sizes: DataFrame, values: tuple[str, ...] = ("v
             k = own[on]
             at = begin[k - first] + ((y[on] - ty[k] * side) * wide[k] + x[on] - tx[k] * side) * n
             found = rows.take(pa.array(cell[on]))
-            for i, name in enumerate(names):
-                out[at + i] = found.column(name).to_numpy(zero_copy_only=False)
+            if summed:
+                place = at // n
+                totals, px, py = (np.zeros(len(out) // n, "int64") for _ in range(3))
+                np.add.at(totals, place, found.column("v0").to_numpy(zero_copy_only=False).astype("int64"))
+                px[place], py[place] = x[on], y[on]
+                there = np.unique(place)
+                found = dict(enumerate(summed(totals[there], px[there], py[there])))
+                at = there * n
+            for i in range(n):
+                out[at + i] = found[i] if summed else found.column(names[i]).to_numpy(zero_copy_only=False)
             part = heads.slice(first, last - first)
             yield _made_tiles(part.column("img"), *(a[first:last] for a in (tx, ty, iw, ih)), n, _bytes(out, size[first:last]))
 

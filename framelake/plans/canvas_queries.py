@@ -11,7 +11,7 @@ from framelake.functions import models, parsing
 from framelake.operators import geometry, joins, keypoints, raster, sequence, split, tiles
 from framelake.plans.image_queries import _H, _transforms
 from framelake.plans.registry import query, r6, table
-from framelake.plans.tile_queries import _ALL, _CORNERS, _INVERSE, _SUMS, PHOTOS, SIDE, TALL, WIDE, _class_sums, _grid, _sql_bilinear, _sql_places, _sums, photo_cells, photos
+from framelake.plans.tile_queries import _ALL, _CORNERS, _INVERSE, _SUMS, PHOTOS, SIDE, TALL, WIDE, _class_sums, _grid, _sql_bilinear, _sql_places, _sums, photo_cells, photo_tiles, photos
 from framelake.plans.tile_queries import _transforms as _photo_transforms
 from framelake.sources import files, frames
 from framelake.sources.scratch import materialise, scratch_dir
@@ -231,7 +231,7 @@ def image_files_there_and_back(spark: SparkSession, d: str) -> DataFrame:
     """A channel of each image written as a file, and what the image source reads from it."""
     frames.register(spark)
     root = f"{scratch_dir(spark)}/images"
-    plain = tiles.untiled(tiles.from_cells(photo_cells(spark, d).select("img", "x", "y", "r"), _photo_sizes(spark, d), ("r",), SIDE), SIDE)
+    plain = tiles.untiled(photo_tiles(spark, d, 1), SIDE)
     rows = plain.select(F.concat(F.lit("video"), F.col("img").cast("string")).alias("video"), F.lit(0).alias("frame_id"), "h", "w", F.col("pixels").alias("classes"))
     frames.class_files(rows).write.format("frame_files").mode("append").save(root)
     read = files.images(spark, root, "*.png").where("status = 'ok'").withColumnRenamed("path", "img")
@@ -240,10 +240,6 @@ def image_files_there_and_back(spark: SparkSession, d: str) -> DataFrame:
     return sums.select(name.alias("file"), *[F.col(c).cast("bigint").alias(c) for c in ("total", "by_x", "by_y")])
 
 
-def _photo_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("img")).distinct().select("img", F.lit(WIDE).alias("iw"), F.lit(TALL).alias("ih"))
-
-
 @query("SELECT l_suppkey AS video, l_partkey % 5 AS cls, CAST(round(avg(l_quantity), 6) AS DOUBLE) AS dice FROM lineitem WHERE l_quantity > 10 GROUP BY 1, 2")
 def metrics_as_csv(spark: SparkSession, d: str) -> DataFrame:
     """A metric table written as CSV, without rows that have no value, and read back."""
@@ -298,7 +294,7 @@ def model_on_crops(spark: SparkSession, d: str) -> DataFrame:
     """Crops of canvases given to a model, its classes placed in the canvas and led back to the frame."""
     k = F.col("l_suppkey")
     boxes = table(spark, d, "lineitem").select(k).distinct().select(k.alias("img"), (k % 9 + 2).alias("x0"), (k % 7 + 1).alias("y0"), (k % 9 + 14 + k % 15).alias("x1"), (k % 7 + 9 + k % 8).alias("y1"))
-    canvas = materialise(tiles.from_cells(photo_cells(spark, d).select("img", "x", "y", "r"), _photo_sizes(spark, d), ("r",), SIDE), "canvas")
+    canvas = materialise(photo_tiles(spark, d, 1), "canvas")
     classes = models.segment(tiles.untiled(tiles.crop(canvas, boxes, SIDE), SIDE).select("img", "h", "w", "pixels")).withColumnRenamed("classes", "pixels")
     placed = materialise(tiles.place(materialise(tiles.tiled(classes, side=SIDE), "classes"), boxes, WIDE, TALL, SIDE), "placed")
     h, to, _ = _canvas_matrices(spark, d)

@@ -21,10 +21,24 @@ def photo_cells(spark: SparkSession, d: str) -> DataFrame:
     return cells.select("*", ((F.col("r") * 3 + F.col("x")) % 256).alias("g"), (255 - F.col("r")).alias("b"))
 
 
+def photo_tiles(spark: SparkSession, d: str, channels: int = 3) -> DataFrame:
+    """photo_cells() as tiles: lineitem's rows are dealt once, by tile, and added up as the tiles are filled."""
+    lineitem = table(spark, d, "lineitem")
+    img = F.col("l_suppkey").alias("img")
+    sizes = lineitem.select(img).distinct().select("img", F.lit(WIDE).alias("iw"), F.lit(TALL).alias("ih"))
+    x, y = (F.col("l_orderkey") % WIDE).cast("int"), (F.col("l_partkey") % TALL).cast("int")
+    rows = lineitem.select(img, x.alias("x"), y.alias("y"), (F.col("l_quantity").cast("bigint") * 7 + F.col("l_linenumber") * 31).alias("v"))
+
+    def summed(totals: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:  # noqa: ARG001
+        r = np.fmod(totals, 256)
+        return [r, np.fmod(r * 3 + x, 256), 255 - r][:channels]
+
+    return tiles.from_cells(rows, sizes, ("v",), SIDE, summed=summed)
+
+
 def photos(spark: SparkSession, d: str) -> DataFrame:
-    """photo_cells() as tiles, made once: operators read their sides and their bytes apart."""
-    sizes = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("img")).distinct().select("img", F.lit(WIDE).alias("iw"), F.lit(TALL).alias("ih"))
-    return materialise(tiles.from_cells(photo_cells(spark, d), sizes, ("r", "g", "b"), SIDE), "photos")
+    """photo_tiles(), made once: operators read their sides and their bytes apart."""
+    return materialise(photo_tiles(spark, d), "photos")
 
 
 PHOTOS = f"""

@@ -184,3 +184,17 @@ def test_images_of_other_channels_and_without_a_box_share_a_batch(spark):
     points = m.select("img", F.lit(1).alias("id"), F.when(F.col("img") % 10 == 0, -9.0).otherwise(7.5).alias("px"), F.lit(17.0).alias("py"))
     near = {r["img"]: r["values"] for r in tiles.at_points(both, points, 16).collect()}
     assert all(np.allclose(near[k], (v[17, 7].astype(float) + v[17, 8]) / 2 if k % 10 else np.zeros(v.shape[2])) for k, v in want.items())
+
+
+def test_rows_of_a_place_are_added_up_as_tiles_are_filled(spark):
+    rows = [(i % 3, i % 11, i % 7, None if i % 13 == 0 else i * 37) for i in range(900)] + [(1, 40, 2, 5), (None, 0, 0, 9), (7, 1, 1, 3)]
+    cells = spark.createDataFrame(rows, "img long, x int, y int, v long").repartition(4)
+    sizes = spark.createDataFrame([(i, 9, 6) for i in range(4)], "img long, iw int, ih int")
+    made = tiles.from_cells(cells, sizes, ("v",), 4, summed=lambda t, x, y: [t % 251, (t + x * 3 + y) % 256])
+    assert "HashAggregate" not in made._jdf.queryExecution().executedPlan().toString()
+    totals = {}
+    for img, x, y, v in rows:
+        if v is not None:
+            totals[img, x, y] = totals.get((img, x, y), 0) + v
+    want = {(i, x, y, c): (([t % 251, (t + x * 3 + y) % 256][c]) if (t := totals.get((i, x, y))) is not None else 0) for i in range(4) for x in range(9) for y in range(6) for c in (0, 1)}
+    assert {(r["img"], r["x"], r["y"], r["c"]): int(r["v"]) for r in tiles.to_cells(made, 4).collect()} == want
